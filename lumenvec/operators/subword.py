@@ -10,9 +10,9 @@ Each distinct pre-token is segmented once:
 3. a left-to-right ``aggregate`` walks the starts: at the current cut take
    the best piece, or one code point as the unknown token, and jump.
 
-Positions are code points throughout (Java strings index UTF-16 units, so
-``substring``/``char_length`` count supplementary characters as one, which is
-what Spark's string functions do).
+Positions are code points throughout: Spark's ``substring`` and
+``char_length`` count code points, so an emoji is one unit, as chosen for the
+unknown-character step.
 """
 
 from __future__ import annotations

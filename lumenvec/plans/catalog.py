@@ -79,3 +79,116 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "embed_static": q_embed_static,
     "masked_pool": q_masked_pool,
 }
+
+
+# --- subword profile (O6, O7, O8, O9, O10) ---------------------------------
+from lumenvec.operators.subword import segment_table  # noqa: E402
+from lumenvec.operators.tokens import decode, task_ids  # noqa: E402
+from lumenvec.profiles import SUBWORD1024  # noqa: E402
+from lumenvec.sources.vocab import (  # noqa: E402
+    corpus_piece_vocabulary,
+    tasks_from_json,
+    tokenizer_document,
+    tokenizer_document_array,
+    vocabulary_from_json,
+)
+
+SUBWORD64 = SUBWORD1024.with_(name="subword64", dim=FIXTURE_DIM)
+
+
+def q_v3_pretokens(spark: SparkSession, d: str) -> DataFrame:
+    nested = raw_tokens(_docs(spark, d), SUBWORD64)
+    return explode_tokens(nested).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "token")
+
+
+def q_v3_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    vocab = corpus_piece_vocabulary(docs)
+    pts = explode_tokens(raw_tokens(docs, SUBWORD64)).select("token").distinct()
+    seg = segment_table(pts, vocab, SUBWORD64)
+    return seg.select("token", F.posexplode("pieces").alias("sub", "piece")).select(
+        "token", F.col("sub").cast("bigint").alias("sub"), "piece"
+    )
+
+
+def q_v3_token_ids(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    vocab = corpus_piece_vocabulary(docs)
+    ids = token_ids(docs, vocab, SUBWORD64)
+    return ids.select(
+        "doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("sub").cast("bigint").alias("sub"),
+        "token", "token_id", "in_vocab",
+    )
+
+
+def q_decode_v3(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    vocab = corpus_piece_vocabulary(docs)
+    return decode(token_ids(docs, vocab, SUBWORD64), vocab, SUBWORD64)
+
+
+def q_decode_v2(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    vocab = corpus_word_vocabulary(docs)
+    return decode(token_ids(docs, vocab, WORDS64), vocab, WORDS64)
+
+
+# --- vocabulary documents (O1, O2) and task ids (O3, O11) -------------------
+LETTERS_ONLY = r"^\p{L}+$"
+
+
+def q_vocab_object(spark: SparkSession, d: str) -> DataFrame:
+    """Object-shape tokenizer.json written from the corpus vocabulary: words
+    of letters only carry ``id + 0.5`` (truncated back to ``id`` on load);
+    other words carry their id as a JSON string and are skipped on load."""
+    vocab = corpus_word_vocabulary(_docs(spark, d))
+    value = F.when(
+        F.col("token").rlike(LETTERS_ONLY), F.parse_json(F.concat(F.col("id").cast("string"), F.lit(".5")))
+    ).otherwise(F.parse_json(F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('"'))))
+    doc = tokenizer_document(vocab.tokens, vocab.specials, value)
+    loaded = vocabulary_from_json(doc)
+    return loaded.tokens.select("token", "id")
+
+
+def q_vocab_array(spark: SparkSession, d: str) -> DataFrame:
+    """Array-shape tokenizer.json: position = rank - 1; words with a
+    non-letter become one-item entries, which are skipped on load but keep
+    their position."""
+    vocab = corpus_word_vocabulary(_docs(spark, d))
+    item = F.when(
+        F.col("token").rlike(LETTERS_ONLY),
+        F.parse_json(F.to_json(F.array(F.col("token"), (F.col("id") * -0.5).cast("string")))),
+    ).otherwise(F.parse_json(F.to_json(F.array(F.col("token")))))
+    entries = vocab.tokens.select((F.col("id") - 3).alias("pos"), item.alias("item"))
+    loaded = vocabulary_from_json(tokenizer_document_array(entries, vocab.specials))
+    return loaded.tokens.select("token", "id")
+
+
+def q_task_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Task list = the two most frequent conversation roles (count desc, role
+    asc); each turn's role is looked up strictly (v3) and leniently (v2)."""
+    conv = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    top = conv.groupBy("role").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc("role")).limit(2)
+    cfg = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "role"))).alias("l")).select(
+        F.to_json(F.struct(F.transform("l", lambda x: x["role"]).alias("lora_adaptations"))).alias("value")
+    )
+    tasks = tasks_from_json(cfg)
+    strict = task_ids(conv, tasks, SUBWORD64, "role")
+    lenient = task_ids(conv, tasks, WORDS64, "role").select(
+        "conv_id", "turn", F.col("task_id").alias("task_id_lenient")
+    )
+    return strict.select("conv_id", "turn", "role", "task_id", "task_error").join(lenient, ["conv_id", "turn"])
+
+
+QUERIES.update(
+    {
+        "v3_pretokens": q_v3_pretokens,
+        "v3_segments": q_v3_segments,
+        "v3_token_ids": q_v3_token_ids,
+        "decode_v3": q_decode_v3,
+        "decode_v2": q_decode_v2,
+        "vocab_object": q_vocab_object,
+        "vocab_array": q_vocab_array,
+        "task_ids": q_task_ids,
+    }
+)

@@ -60,3 +60,80 @@ WITH {V2_BASE}, {_pooled('i.in_vocab AND i.token_id > 2')}
 SELECT doc_id, CAST(dim AS BIGINT) AS dim, x FROM pooled
 """,
 }
+
+PT = PRETOKEN_PATTERN
+PRE_BASE = f"""
+pre AS (
+  SELECT doc_id, list_transform(
+           regexp_extract_all(regexp_replace(coalesce(text, ''), '{EDGE}', '', 'g'), '{PT}'),
+           lambda m: CASE WHEN regexp_matches(m, '{LETTER_OR_DIGIT}') THEN '▁' || m ELSE m END) AS p
+  FROM documents),
+pfreq AS (SELECT t AS token, count(*) AS n FROM (SELECT unnest(p) AS t FROM pre) GROUP BY t),
+ptop AS (SELECT token, CAST(3 + row_number() OVER (ORDER BY n DESC, token) AS BIGINT) AS id FROM pfreq
+         QUALIFY row_number() OVER (ORDER BY n DESC, token) <= 1000),
+singles AS (SELECT unnest(string_split('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', '')) AS c),
+single_pieces AS (SELECT c AS token FROM singles UNION ALL SELECT '▁' || c FROM singles),
+extra AS (SELECT token, CAST(1003 + row_number() OVER (ORDER BY token) AS BIGINT) AS id FROM single_pieces
+          WHERE token NOT IN (SELECT token FROM ptop)),
+pvocab AS (SELECT * FROM ptop UNION ALL SELECT * FROM extra),
+pspecials AS (SELECT * FROM (VALUES ('<s>', 0::BIGINT), ('<pad>', 1::BIGINT), ('</s>', 2::BIGINT), ('<unk>', 3::BIGINT)) s(content, id)),
+plong AS (SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS BIGINT) AS pos, unnest(p) AS token FROM pre),
+dt AS (SELECT DISTINCT token FROM plong),
+maxlen AS (SELECT max(length(token)) AS L FROM pvocab),
+st AS (SELECT token, unnest(range(0, length(token))) AS start FROM dt),
+cand AS (SELECT token, start, unnest(range(1, least((SELECT L FROM maxlen), length(token) - start) + 1)) AS len FROM st),
+best AS (SELECT c.token, c.start, max(CASE WHEN v.token IS NOT NULL THEN c.len ELSE 0 END) AS best
+         FROM cand c LEFT JOIN pvocab v ON v.token = substring(c.token, c.start + 1, c.len) GROUP BY c.token, c.start),
+seg AS (
+  WITH RECURSIVE walk(token, cut, k) AS (
+    SELECT token, 0, 0 FROM dt
+    UNION ALL
+    SELECT w.token, w.cut + greatest(b.best, 1), w.k + 1 FROM walk w JOIN best b ON b.token = w.token AND b.start = w.cut)
+  SELECT w.token, CAST(w.k AS BIGINT) AS sub,
+         CASE WHEN b.best > 0 THEN substring(w.token, w.cut + 1, b.best) ELSE '<unk>' END AS piece
+  FROM walk w JOIN best b ON b.token = w.token AND b.start = w.cut),
+pieces AS (
+  SELECT l.doc_id, l.pos, s.sub, s.piece AS token FROM plong l JOIN seg s ON s.token = l.token
+  UNION ALL SELECT doc_id, -1, 0, '<s>' FROM pre
+  UNION ALL SELECT doc_id, len(p), 0, '</s>' FROM pre),
+pids AS (SELECT x.doc_id, x.pos, x.sub, x.token, CAST(coalesce(v.id, sp.id, (SELECT id FROM pspecials WHERE content = '<unk>'), 0) AS BIGINT) AS token_id,
+                (v.id IS NOT NULL OR sp.id IS NOT NULL) AS in_vocab
+         FROM pieces x LEFT JOIN pvocab v ON v.token = x.token LEFT JOIN pspecials sp ON sp.content = x.token)
+"""
+
+EDGE_SQL = EDGE
+
+
+def _decode(ids: str, rev: str, unk: str, bos: str = "<s>", eos: str = "</s>") -> str:
+    return f"""
+SELECT doc_id, regexp_replace(replace(replace(replace(
+         string_agg(coalesce(r.token, '{unk}'), '' ORDER BY i.pos, i.sub), '▁', ' '), '{bos}', ''), '{eos}', ''),
+         '{EDGE_SQL}', '', 'g') AS text
+FROM {ids} i LEFT JOIN {rev} r ON r.id = i.token_id GROUP BY doc_id
+"""
+
+
+SQL.update({
+    "v3_pretokens": f"WITH {PRE_BASE} SELECT doc_id, pos, token FROM plong",
+    "v3_segments": f"WITH {PRE_BASE} SELECT token, sub, piece FROM seg",
+    "v3_token_ids": f"WITH {PRE_BASE} SELECT doc_id, pos, sub, token, token_id, in_vocab FROM pids",
+    "decode_v3": f"""WITH {PRE_BASE},
+prev AS (SELECT id, token FROM pvocab UNION ALL SELECT id, content FROM pspecials)
+{_decode('pids', 'prev', '<unk>')}""",
+    "decode_v2": f"""WITH {V2_BASE},
+rev AS (SELECT id, token FROM vocab UNION ALL SELECT id, content FROM specials),
+ids2 AS (SELECT *, 0 AS sub FROM ids)
+{_decode('ids2', 'rev', '<unk>')}""",
+    "vocab_object": f"""WITH {V2_BASE}
+SELECT token, id FROM vocab WHERE regexp_matches(token, '^\\p{{L}}+$')""",
+    "vocab_array": f"""WITH {V2_BASE}
+SELECT token, id - 3 AS id FROM vocab WHERE regexp_matches(token, '^\\p{{L}}+$')""",
+    "task_ids": """
+WITH r AS (SELECT role, count(*) AS n FROM conversations GROUP BY role),
+t AS (SELECT role AS task, CAST(row_number() OVER (ORDER BY n DESC, role) - 1 AS BIGINT) AS task_id FROM r
+      QUALIFY row_number() OVER (ORDER BY n DESC, role) <= 2)
+SELECT c.conv_id, c.turn, c.role, t.task_id,
+       CASE WHEN t.task_id IS NULL THEN 'task type ''' || coalesce(c.role, '') || ''' not found' END AS task_error,
+       CAST(coalesce(t.task_id, 0) AS BIGINT) AS task_id_lenient
+FROM conversations c LEFT JOIN t ON t.task = c.role""",
+})

@@ -157,3 +157,31 @@ def corpus_piece_vocabulary(texts: DataFrame, size: int = 1000, text_col: str =
     reverse = tokens.select("id", "token").unionByName(specials.select("id", F.col("content").alias("token")))
     bound = size + 2 * len(SINGLE_PIECE_CHARS) + len(SUBWORD_SPECIALS)
     return Vocabulary(tokens=tokens, reverse=reverse, specials=specials, row_bound=bound)
+
+
+def tokenizer_document(tokens: DataFrame, specials: DataFrame, value: Column | None = None) -> DataFrame:
+    """Write vocabulary tables back as one ``tokenizer.json`` text (object
+    shape). ``value`` is the JSON value per entry (default: the id). The
+    vocabulary is a model artifact; this gathers it into one row."""
+    val = value if value is not None else F.parse_json(F.col("id").cast("string"))
+    vocab = tokens.select(F.struct(F.col("token"), val.alias("v")).alias("e")).agg(
+        F.map_from_entries(F.collect_list("e")).alias("vocab")
+    )
+    added = specials.agg(
+        F.array_sort(F.collect_list(F.struct("id", "content", F.lit(True).alias("special")))).alias("added_tokens")
+    )
+    doc = vocab.join(added, how="left")  # both sides are one row
+    return doc.select(F.to_json(F.struct(F.struct("vocab").alias("model"), "added_tokens")).alias("value"))
+
+
+def tokenizer_document_array(entries: DataFrame, specials: DataFrame) -> DataFrame:
+    """Array shape: ``entries`` (pos, item VARIANT) -> ``{"model":{"vocab":[...]}}``."""
+    by_pos = lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
+    vocab = entries.agg(F.array_sort(F.collect_list(F.struct("pos", "item")), by_pos).alias("l")).select(
+        F.transform("l", lambda x: x["item"]).alias("vocab")
+    )
+    added = specials.agg(
+        F.array_sort(F.collect_list(F.struct("id", "content", F.lit(True).alias("special")))).alias("added_tokens")
+    )
+    doc = vocab.join(added, how="left")
+    return doc.select(F.to_json(F.struct(F.struct("vocab").alias("model"), "added_tokens")).alias("value"))

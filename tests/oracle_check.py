@@ -28,9 +28,13 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
+    import pandas as pd
+
+    if v is None or v is pd.NA or v is pd.NaT:
+        return None
     if isinstance(v, float):
         if math.isnan(v):
-            return "NaN"
+            return None  # pandas turns NULL in numeric columns into NaN
         return round(v, 6)
     if hasattr(v, "item"):
         return _norm(v.item())
