@@ -192,3 +192,60 @@ QUERIES.update(
         "task_ids": q_task_ids,
     }
 )
+
+
+# --- ONNX encoder (O12b, O17, O18) and preview (O16) ------------------------
+from lumenvec.operators.onnx_batch import OnnxEncoder  # noqa: E402
+from lumenvec.operators.pooling import embedding_preview  # noqa: E402
+from lumenvec.sources.model_fixture import gather_model, static_matrix  # noqa: E402
+
+# The task list of the v3 model's config.json.
+V3_TASKS = ["retrieval.query", "retrieval.passage", "separation", "classification", "text-matching"]
+
+
+def fixture_tasks(spark: SparkSession) -> DataFrame:
+    import json
+
+    cfg = spark.createDataFrame([(json.dumps({"lora_adaptations": V3_TASKS}),)], "value string")
+    return tasks_from_json(cfg)
+
+
+def fixture_onnx(vocab, dim: int = FIXTURE_DIM, with_tasks: bool = False) -> OnnxEncoder:
+    """Gather model over the fixture vectors of every vocabulary id; the v3
+    form adds ``(task_id + 1) / 8`` to every dimension."""
+    import numpy as np
+
+    n_ids = int(vocab.reverse.agg(F.max("id")).first()[0]) + 1  # one scalar of a bounded table
+    mat = static_matrix(n_ids, dim)
+    if not with_tasks:
+        return OnnxEncoder(model_bytes=gather_model(mat), dim=dim)
+    tm = np.repeat(((np.arange(len(V3_TASKS)) + 1) / 8.0)[:, None], dim, axis=1)
+    model = gather_model(mat, ("input_ids", "attention_mask", "task_id"), "text_embeds", task_matrix=tm)
+    return OnnxEncoder(model_bytes=model, dim=dim)
+
+
+def q_embed_onnx(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    vocab = corpus_word_vocabulary(docs)
+    res = embed(docs, vocab, WORDS64, fixture_onnx(vocab), dtype="double")
+    return _long_vectors(res, "doc_id", "embedding")
+
+
+def q_embed_onnx_v3(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    vocab = corpus_piece_vocabulary(docs)
+    res = embed(docs, vocab, SUBWORD64, fixture_onnx(vocab, with_tasks=True), dtype="double", tasks=fixture_tasks(spark))
+    return _long_vectors(res, "doc_id", "embedding")
+
+
+def q_preview(spark: SparkSession, d: str) -> DataFrame:
+    """Shape and first 10 values of each document's embedding."""
+    docs = _docs(spark, d)
+    vocab = corpus_word_vocabulary(docs)
+    res = embedding_preview(embed(docs, vocab, WORDS64, fixture_vectors(vocab, FIXTURE_DIM), dtype="double"))
+    return _long_vectors(res.select("doc_id", F.col("shape").cast("bigint").alias("shape"), "head"), "doc_id", "head").join(
+        res.select("doc_id", F.col("shape").cast("bigint").alias("shape")), "doc_id"
+    )
+
+
+QUERIES.update({"embed_onnx": q_embed_onnx, "embed_onnx_v3": q_embed_onnx_v3, "preview": q_preview})

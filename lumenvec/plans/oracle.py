@@ -137,3 +137,23 @@ SELECT c.conv_id, c.turn, c.role, t.task_id,
        CAST(coalesce(t.task_id, 0) AS BIGINT) AS task_id_lenient
 FROM conversations c LEFT JOIN t ON t.task = c.role""",
 })
+
+PRE_POOLED = """
+ptv AS (SELECT i.doc_id, d.dim, CAST(((i.token_id * 31 + d.dim * 17) % 129) - 64 AS DOUBLE) / 64.0 + 5.0 / 8.0 AS h
+        FROM pids i CROSS JOIN range(0, 64) d(dim)),
+ppooled AS (SELECT doc_id, dim, sum(h) / greatest(count(*), 1e-9) AS x FROM ptv GROUP BY doc_id, dim),
+pnrm AS (SELECT doc_id, sqrt(sum(x * x)) AS nrm FROM ppooled GROUP BY doc_id)
+"""
+
+SQL.update({
+    "embed_onnx": EMBED_STATIC,
+    "embed_onnx_v3": f"""WITH {PRE_BASE}, {PRE_POOLED}
+SELECT p.doc_id, CAST(p.dim AS BIGINT) AS dim,
+       round(CASE WHEN nrm = 0 THEN CAST('NaN' AS DOUBLE) ELSE x / nrm END, 6) AS x
+FROM ppooled p JOIN pnrm USING (doc_id)""",
+    "preview": f"""WITH {V2_BASE}, {_pooled('1')},
+nrm AS (SELECT doc_id, sqrt(sum(x * x)) AS nrm FROM pooled GROUP BY doc_id)
+SELECT p.doc_id, CAST(p.dim AS BIGINT) AS dim, CAST(64 AS BIGINT) AS shape,
+       round(CASE WHEN nrm = 0 THEN CAST('NaN' AS DOUBLE) ELSE x / nrm END, 6) AS x
+FROM pooled p JOIN nrm USING (doc_id) WHERE p.dim < 10""",
+})
