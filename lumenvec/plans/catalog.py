@@ -249,3 +249,174 @@ def q_preview(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES.update({"embed_onnx": q_embed_onnx, "embed_onnx_v3": q_embed_onnx_v3, "preview": q_preview})
+
+
+# --- search (O24, O25), reports (O19-O21), store (O22, O23), requests (O4), stream
+import uuid  # noqa: E402
+
+from lumenvec.operators.reports import (  # noqa: E402
+    latency_report,
+    parity,
+    parity_summary,
+    top_unknown_tokens,
+    unknown_token_report,
+)
+from lumenvec.operators.search import pair_scores, topk_similar  # noqa: E402
+from lumenvec.operators.store import append, documents_view, pending, read_store, text_hash  # noqa: E402
+from lumenvec.session import work_dir  # noqa: E402
+from lumenvec.sources.requests import parse_requests, request_lines  # noqa: E402
+from lumenvec.streaming.stream import embed_stream, request_stream, run_available  # noqa: E402
+
+TOP_K = 5
+
+
+def _static_embeddings(spark: SparkSession, d: str, texts: DataFrame | None = None, vocab=None, dtype="double"):
+    docs = _docs(spark, d)
+    vocab = vocab or corpus_word_vocabulary(docs)
+    return embed(texts if texts is not None else docs, vocab, WORDS64, fixture_vectors(vocab, FIXTURE_DIM), dtype=dtype)
+
+
+def q_topk_benchmark_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Each benchmark item (embedded like the documents) -> its 5 nearest documents."""
+    docs = _docs(spark, d)
+    vocab = corpus_word_vocabulary(docs)
+    base = _static_embeddings(spark, d, docs, vocab)
+    bench = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    q = _static_embeddings(spark, d, bench, vocab)
+    return topk_similar(q.withColumnRenamed("doc_id", "query_id"), base, TOP_K)
+
+
+def q_topk_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Every stored vector -> its 5 nearest other vectors."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return topk_similar(e.withColumnRenamed("doc_id", "query_id"), e, TOP_K, exclude_self=True)
+
+
+def q_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Score of each vector against the next id (NULL when there is none)."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    pairs = e.select(F.col("doc_id").alias("id_a"), (F.col("doc_id") + 1).alias("id_b"))
+    return pair_scores(pairs, e)
+
+
+def _parity_rows(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    vocab = corpus_word_vocabulary(docs)
+    static = embed(docs, vocab, WORDS64, fixture_vectors(vocab, FIXTURE_DIM), dtype="double")
+    onnx = embed(docs, vocab, WORDS64, fixture_onnx(vocab), dtype="float")
+    return parity(static, onnx)
+
+
+def q_parity(spark: SparkSession, d: str) -> DataFrame:
+    """Static encoder (double) against the ONNX encoder (float32 output)."""
+    return _parity_rows(spark, d)
+
+
+def q_parity_summary(spark: SparkSession, d: str) -> DataFrame:
+    return parity_summary(_parity_rows(spark, d))
+
+
+def _oov_inputs(spark: SparkSession, d: str):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    vocab = corpus_word_vocabulary(docs)
+    return token_ids(docs, vocab, WORDS64), docs.select("doc_id", "lang")
+
+
+def q_oov_report(spark: SparkSession, d: str) -> DataFrame:
+    ids, groups = _oov_inputs(spark, d)
+    return unknown_token_report(ids, groups, ["lang"])
+
+
+def q_oov_top(spark: SparkSession, d: str) -> DataFrame:
+    ids, groups = _oov_inputs(spark, d)
+    return top_unknown_tokens(ids, groups, ["lang"], n=TOP_K)
+
+
+def q_latency_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per-runtime latency of the ONNX encoder over all documents."""
+    docs = _docs(spark, d)
+    vocab = corpus_word_vocabulary(docs)
+    res = embed(docs, vocab, WORDS64, fixture_onnx(vocab))
+    return latency_report(res.withColumn("runtime", F.lit("onnx")))
+
+
+def q_anti_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Texts still to encode after a run over the English documents: the
+    previous results are the store, new work is every distinct text whose
+    hash is not in it."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    vocab = corpus_word_vocabulary(docs)
+    en = docs.where(F.col("lang") == "en")
+    prev = embed(en.select("doc_id", "text"), vocab, WORDS64, fixture_vectors(vocab, FIXTURE_DIM))
+    store = prev.join(en.select("doc_id", text_hash().alias("text_hash")), "doc_id").select(
+        "text_hash", F.lit(WORDS64.name).alias("profile"), F.lit(None).cast("string").alias("task"), "error"
+    )
+    return pending(docs.select("doc_id", "text"), store, WORDS64.name).select("text_hash", "n_docs", "first_doc_id")
+
+
+def q_store_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs appended to a Parquet store: all documents, then the English
+    ones again with ``max_tokens = 8``; the latest row per text wins."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    vocab = corpus_word_vocabulary(docs)
+    path = work_dir(spark, f"store-{uuid.uuid4().hex}")
+
+    def run(texts, profile):
+        res = embed(texts.select("doc_id", "text"), vocab, profile, fixture_vectors(vocab, FIXTURE_DIM), dtype="double")
+        hashed = texts.select("doc_id", text_hash().alias("text_hash")).dropDuplicates(["text_hash"])
+        return res.join(hashed, "doc_id").select(
+            "text_hash", F.lit(WORDS64.name).alias("profile"), F.lit(None).cast("string").alias("task"),
+            F.current_timestamp().alias("run_ts"), "embedding", "dim", "n_tokens", "error",
+        )
+
+    append(run(docs, WORDS64), path)
+    append(run(docs.where(F.col("lang") == "en"), WORDS64.with_(max_tokens=8)), path)
+    view = documents_view(docs, read_store(spark, path, WORDS64.name), WORDS64.name)
+    return _long_vectors(view, "doc_id", "embedding")
+
+
+def q_read_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Conversation turns as request lines: user turns as single requests,
+    assistant turns as one-item batch requests, system turns as a command
+    the job does not serve."""
+    conv = table(spark, d, "conversations")
+    cid = F.col("conv_id")
+    line = (
+        F.when(F.col("role") == "user", F.to_json(F.struct(cid.alias("id"), F.lit("infer").alias("command"), F.col("text").alias("text"))))
+        .when(F.col("role") == "assistant", F.to_json(F.struct(cid.alias("id"), F.array(F.col("text")).alias("inputs"))))
+        .otherwise(F.to_json(F.struct(cid.alias("id"), F.lit("ping").alias("command"))))
+    )
+    return parse_requests(conv.select(line.alias("value"))).select(
+        "request_id", F.col("idx").cast("bigint").alias("idx"), "text", "error"
+    )
+
+
+def q_stream_embed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as request files, embedded by a streaming query
+    (one file per micro-batch) with the ONNX encoder, read back from the sink."""
+    docs = _docs(spark, d)
+    vocab = corpus_word_vocabulary(docs)
+    root = work_dir(spark, f"stream-{uuid.uuid4().hex}")
+    request_lines(docs, "doc_id", "text").repartition(4).write.text(f"{root}/in")
+    res = embed_stream(request_stream(spark, f"{root}/in", 1), vocab, WORDS64, fixture_onnx(vocab), dtype="double")
+    run_available(res, f"{root}/out", f"{root}/checkpoint")
+    out = spark.read.parquet(f"{root}/out")
+    return _long_vectors(out, "doc_id", "embedding")
+
+
+QUERIES.update(
+    {
+        "topk_benchmark_docs": q_topk_benchmark_docs,
+        "topk_embeddings": q_topk_embeddings,
+        "pairs": q_pairs,
+        "parity": q_parity,
+        "parity_summary": q_parity_summary,
+        "oov_report": q_oov_report,
+        "oov_top": q_oov_top,
+        "latency_report": q_latency_report,
+        "anti_incremental": q_anti_incremental,
+        "store_latest": q_store_latest,
+        "read_requests": q_read_requests,
+        "stream_embed": q_stream_embed,
+    }
+)

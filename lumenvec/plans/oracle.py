@@ -157,3 +157,94 @@ SELECT p.doc_id, CAST(p.dim AS BIGINT) AS dim, CAST(64 AS BIGINT) AS shape,
        round(CASE WHEN nrm = 0 THEN CAST('NaN' AS DOUBLE) ELSE x / nrm END, 6) AS x
 FROM pooled p JOIN nrm USING (doc_id) WHERE p.dim < 10""",
 })
+
+
+def _v2_embed(p: str, src: str, max_words: int | None = None) -> str:
+    """CTEs ``{p}emb(id, dim, x)``: normalised static embedding (double) of
+    ``src(id, text)``, using the ``vocab``/``specials`` of ``V2_BASE``."""
+    body = "w" if max_words is None else f"list_slice(w, 1, {max_words})"
+    return f"""
+{p}w AS (SELECT id, list_filter(regexp_split_to_array(lower(translate(coalesce(text, ''), 'Σİ', 'σi')), '{WS}'),
+                               lambda x: x <> '') AS w FROM ({src})),
+{p}s AS (SELECT id, list_concat(['[CLS]'], {body}, ['[SEP]']) AS s FROM {p}w),
+{p}l AS (SELECT id, unnest(s) AS token FROM {p}s),
+{p}i AS (SELECT l.id, CAST(coalesce(v.id, sp.id, 0) AS BIGINT) AS token_id
+         FROM {p}l l LEFT JOIN vocab v ON v.token = l.token LEFT JOIN specials sp ON sp.content = l.token),
+{p}p AS (SELECT i.id, d.dim, avg(CAST(((i.token_id * 31 + d.dim * 17) % 129) - 64 AS DOUBLE) / 64.0) AS x
+         FROM {p}i i CROSS JOIN range(0, 64) d(dim) GROUP BY i.id, d.dim),
+{p}n AS (SELECT id, sqrt(sum(x * x)) AS nrm FROM {p}p GROUP BY id),
+{p}emb AS (SELECT p.id, p.dim, CASE WHEN nrm = 0 THEN CAST('NaN' AS DOUBLE) ELSE x / nrm END AS x
+           FROM {p}p p JOIN {p}n USING (id))
+"""
+
+
+DOC_EMB = _v2_embed("d", "SELECT doc_id AS id, text FROM documents")
+PARITY_ROWS = f"""
+WITH {V2_BASE}, {DOC_EMB},
+pr AS (SELECT id AS doc_id, sum(x * CAST(CAST(x AS FLOAT) AS DOUBLE)) AS ab, sum(x * x) AS aa,
+              sum(CAST(CAST(x AS FLOAT) AS DOUBLE) * CAST(CAST(x AS FLOAT) AS DOUBLE)) AS bb,
+              max(abs(x - CAST(CAST(x AS FLOAT) AS DOUBLE))) AS mad
+       FROM demb GROUP BY id),
+rows AS (SELECT doc_id, 'both' AS status,
+                round(CASE WHEN aa * bb = 0 THEN CAST('NaN' AS DOUBLE) ELSE ab / (sqrt(aa) * sqrt(bb)) END, 6) AS cosine,
+                round(mad, 6) AS max_abs_diff, mad <= 1e-5 AS within_tol FROM pr)
+"""
+
+SQL.update({
+    "topk_benchmark_docs": f"""
+WITH {V2_BASE}, {DOC_EMB}, {_v2_embed("b", "SELECT item_id AS id, text FROM benchmark")},
+sc AS (SELECT q.id AS query_id, d.id AS doc_id, round(sum(q.x * d.x), 6) AS score
+       FROM bemb q JOIN demb d ON q.dim = d.dim GROUP BY q.id, d.id)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 5""",
+    "topk_embeddings": """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+sc AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_dot_product(a.v, b.v), 6) AS score
+       FROM e a, e b WHERE a.vec_id <> b.vec_id)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 5""",
+    "pairs": """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT a.vec_id AS id_a, a.vec_id + 1 AS id_b, round(list_dot_product(a.v, b.v), 6) AS score
+FROM e a LEFT JOIN e b ON b.vec_id = a.vec_id + 1""",
+    "parity": PARITY_ROWS + " SELECT * FROM rows",
+    "parity_summary": PARITY_ROWS + """
+SELECT CAST(count(*) AS BIGINT) AS n_both, CAST(0 AS BIGINT) AS n_left_only, CAST(0 AS BIGINT) AS n_right_only,
+       min(cosine) AS min_cosine, max(max_abs_diff) AS max_abs_diff,
+       round(avg(CAST(within_tol AS DOUBLE)), 6) AS share_within_tol FROM rows""",
+    "oov_report": f"""
+WITH {V2_BASE},
+per_doc AS (SELECT doc_id, count(*) AS n_tokens, sum(CAST(NOT in_vocab AS BIGINT)) AS n_unknown
+            FROM ids WHERE token NOT IN ('[CLS]', '[SEP]', '<s>', '</s>') GROUP BY doc_id),
+g AS (SELECT d.lang, count(*) AS n_docs, CAST(coalesce(sum(p.n_tokens), 0) AS BIGINT) AS n_tokens,
+             CAST(coalesce(sum(p.n_unknown), 0) AS BIGINT) AS n_unknown
+      FROM documents d LEFT JOIN per_doc p ON p.doc_id = d.doc_id GROUP BY d.lang)
+SELECT lang, n_docs, n_tokens, n_unknown,
+       round(CASE WHEN n_tokens > 0 THEN n_unknown / n_tokens END, 6) AS unknown_rate FROM g""",
+    "oov_top": f"""
+WITH {V2_BASE},
+c AS (SELECT d.lang, i.token, count(*) AS n FROM ids i JOIN documents d ON d.doc_id = i.doc_id
+      WHERE NOT i.in_vocab AND i.token NOT IN ('[CLS]', '[SEP]', '<s>', '</s>') GROUP BY d.lang, i.token)
+SELECT lang, CAST(rank AS BIGINT) AS rank, token, n FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS rank FROM c) WHERE rank <= 5""",
+    "anti_incremental": """
+WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_hash, lang FROM documents)
+SELECT text_hash, count(*) AS n_docs, min(doc_id) AS first_doc_id FROM h
+WHERE text_hash NOT IN (SELECT text_hash FROM h WHERE lang = 'en') GROUP BY text_hash""",
+    "store_latest": f"""
+WITH {V2_BASE}, {DOC_EMB}, {_v2_embed("t", "SELECT doc_id AS id, text FROM documents", 6)},
+en AS (SELECT DISTINCT text FROM documents WHERE lang = 'en'),
+pick AS (SELECT d.doc_id, d.text IN (SELECT text FROM en) AS trunc FROM documents d)
+SELECT p.doc_id, CAST(e.dim AS BIGINT) AS dim, round(e.x, 6) AS x
+FROM pick p JOIN demb e ON e.id = p.doc_id WHERE NOT p.trunc
+UNION ALL
+SELECT p.doc_id, CAST(e.dim AS BIGINT) AS dim, round(e.x, 6) AS x
+FROM pick p JOIN temb e ON e.id = p.doc_id WHERE p.trunc""",
+    "read_requests": """
+SELECT conv_id AS request_id, CAST(0 AS BIGINT) AS idx,
+       CASE WHEN role IN ('user', 'assistant') THEN text END AS text,
+       CASE WHEN role IN ('user', 'assistant') THEN CASE WHEN text IS NULL THEN 'missing text' END
+            ELSE 'Unknown command' END AS error
+FROM conversations""",
+    "stream_embed": EMBED_STATIC,
+})
