@@ -65,13 +65,25 @@ def segment_table(distinct_tokens: DataFrame, vocab: Vocabulary, profile: Profil
     return out
 
 
-def segment_long(long: DataFrame, vocab: Vocabulary, profile: Profile) -> DataFrame:
+def segment_long(long: DataFrame, vocab: Vocabulary, profile: Profile, broadcast_rows: int = 2_000_000) -> DataFrame:
     """(doc_id, pos, token) pre-tokens -> (doc_id, pos, sub, token) pieces.
 
     ``(pos, sub)`` orders the pieces: ``pos`` is the pre-token position and
-    ``sub`` the piece index within it. The join back is a shuffle join keyed
-    by pre-token (AQE splits a hot pre-token's partition).
+    ``sub`` the piece index within it.
+
+    The segment table (one row per distinct pre-token) is checkpointed to the
+    shared checkpoint folder, which cuts its lineage and makes its row count
+    cheap. Under ``broadcast_rows`` it is broadcast, so the occurrences stay
+    where they are (partitioned by document); above it the join back is a
+    shuffle join on the pre-token, where AQE splits a hot pre-token's
+    partition.
     """
-    seg = segment_table(long.select("token").distinct(), vocab, profile)
-    j = long.join(seg, "token")
+    from lumenvec.session import ensure_checkpoint_dir
+
+    if long.isStreaming:
+        raise ValueError("subword segmentation by join needs a batch input; use the ONNX path for streams")
+    ensure_checkpoint_dir(long.sparkSession)
+    seg = segment_table(long.select("token").distinct(), vocab, profile).checkpoint(eager=True)
+    side = bounded_broadcast(seg, max_rows=broadcast_rows)
+    j = long.join(side, "token")
     return j.select("doc_id", "pos", F.posexplode("pieces").alias("sub", "token"))

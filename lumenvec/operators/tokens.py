@@ -23,9 +23,15 @@ def raw_tokens(texts: DataFrame, profile: Profile, text_col: str = "text", id_co
 
 
 def explode_tokens(nested: DataFrame, col: str = "tokens", keep: list[str] | None = None) -> DataFrame:
-    """Nested -> long form (doc_id, pos, token), pos from 0."""
+    """Nested -> long form (doc_id, pos, token), pos from 0.
+
+    ``posexplode_outer`` + a null filter instead of ``posexplode``: for the
+    latter Catalyst infers ``size(tokens) > 0`` and pushes that filter, i.e.
+    the whole tokenisation, below an earlier repartition into the scan task.
+    """
     keep = keep or []
-    return nested.select("doc_id", *keep, F.posexplode(col).alias("pos", "token"))
+    out = nested.select("doc_id", *keep, F.posexplode_outer(col).alias("pos", "token"))
+    return out.where(F.col("pos").isNotNull())
 
 
 def truncate(tokens: Column, max_tokens: int | None) -> Column:
@@ -91,7 +97,7 @@ def token_ids(
         pieces = segment_long(explode_tokens(nested), vocab, profile)
         marks = nested.select(
             "doc_id",
-            F.explode(
+            F.explode_outer(
                 F.array(
                     F.struct(F.lit(-1).alias("pos"), F.lit(profile.first).alias("token")),
                     F.struct(F.size("tokens").alias("pos"), F.lit(profile.last).alias("token")),

@@ -15,7 +15,7 @@ from lumenvec.operators.encode import encode_static, fixture_vectors
 from lumenvec.operators.pooling import masked_mean_pool
 from lumenvec.operators.tokens import explode_tokens, raw_tokens, token_ids
 from lumenvec.plans.pipeline import embed
-from lumenvec.plans.strategy import bounded_broadcast
+from lumenvec.plans.strategy import bounded_broadcast, spread
 from lumenvec.profiles import WORDS768
 from lumenvec.sources.tables import table
 from lumenvec.sources.vocab import corpus_word_vocabulary
@@ -24,8 +24,9 @@ FIXTURE_DIM = 64
 WORDS64 = WORDS768.with_(name="words64", dim=FIXTURE_DIM)
 
 
-def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+def _docs(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """All documents, spread over the cores when the file is small."""
+    return spread(table(spark, d, "documents").select("doc_id", "text", *cols), "doc_id")
 
 
 def _long_vectors(df: DataFrame, id_col: str, vec_col: str, idx: str = "dim", val: str = "x", digits: int | None = 6) -> DataFrame:
@@ -167,7 +168,7 @@ def q_vocab_array(spark: SparkSession, d: str) -> DataFrame:
 def q_task_ids(spark: SparkSession, d: str) -> DataFrame:
     """Task list = the two most frequent conversation roles (count desc, role
     asc); each turn's role is looked up strictly (v3) and leniently (v2)."""
-    conv = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    conv = spread(table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id")
     top = conv.groupBy("role").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc("role")).limit(2)
     cfg = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "role"))).alias("l")).select(
         F.to_json(F.struct(F.transform("l", lambda x: x["role"]).alias("lora_adaptations"))).alias("value")
@@ -281,7 +282,7 @@ def q_topk_benchmark_docs(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     vocab = corpus_word_vocabulary(docs)
     base = _static_embeddings(spark, d, docs, vocab)
-    bench = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    bench = spread(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), "doc_id")
     q = _static_embeddings(spark, d, bench, vocab)
     return topk_similar(q.withColumnRenamed("doc_id", "query_id"), base, TOP_K)
 
@@ -317,7 +318,7 @@ def q_parity_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _oov_inputs(spark: SparkSession, d: str):
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    docs = _docs(spark, d, "lang")
     vocab = corpus_word_vocabulary(docs)
     return token_ids(docs, vocab, WORDS64), docs.select("doc_id", "lang")
 
@@ -344,7 +345,7 @@ def q_anti_incremental(spark: SparkSession, d: str) -> DataFrame:
     """Texts still to encode after a run over the English documents: the
     previous results are the store, new work is every distinct text whose
     hash is not in it."""
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    docs = _docs(spark, d, "lang")
     vocab = corpus_word_vocabulary(docs)
     en = docs.where(F.col("lang") == "en")
     prev = embed(en.select("doc_id", "text"), vocab, WORDS64, fixture_vectors(vocab, FIXTURE_DIM))
@@ -357,7 +358,7 @@ def q_anti_incremental(spark: SparkSession, d: str) -> DataFrame:
 def q_store_latest(spark: SparkSession, d: str) -> DataFrame:
     """Two runs appended to a Parquet store: all documents, then the English
     ones again with ``max_tokens = 8``; the latest row per text wins."""
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    docs = _docs(spark, d, "lang")
     vocab = corpus_word_vocabulary(docs)
     path = work_dir(spark, f"store-{uuid.uuid4().hex}")
 
@@ -379,7 +380,7 @@ def q_read_requests(spark: SparkSession, d: str) -> DataFrame:
     """Conversation turns as request lines: user turns as single requests,
     assistant turns as one-item batch requests, system turns as a command
     the job does not serve."""
-    conv = table(spark, d, "conversations")
+    conv = spread(table(spark, d, "conversations"), "conv_id")
     cid = F.col("conv_id")
     line = (
         F.when(F.col("role") == "user", F.to_json(F.struct(cid.alias("id"), F.lit("infer").alias("command"), F.col("text").alias("text"))))

@@ -120,12 +120,23 @@ def _ranked(counts: DataFrame, size: int, first_id: int) -> DataFrame:
     return top.select("token", (F.row_number().over(w) + (first_id - 1)).cast("bigint").alias("id"))
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """Compute a bounded derived table once: a reliable checkpoint in the
+    shared checkpoint folder cuts its lineage, so every later use (joins,
+    decode, vector table) reads a few rows instead of recounting the corpus."""
+    from lumenvec.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def corpus_word_vocabulary(texts: DataFrame, size: int = 2000, text_col: str = "text") -> Vocabulary:
     """Words profile fixture: the ``size`` most frequent words (count desc,
     word asc), ids from 3; ``[CLS]`` = 1, ``[SEP]`` = 2, no unknown token."""
-    words = texts.select(F.explode(v2_words(text_col)).alias("token"))
+    # explode_outer: see operators.tokens.explode_tokens on inferred filters.
+    words = texts.select(F.explode_outer(v2_words(text_col)).alias("token")).where(F.col("token").isNotNull())
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    tokens = _ranked(counts, size, 3)
+    tokens = _materialize(_ranked(counts, size, 3))
     spark = texts.sparkSession
     specials = specials_table(spark, [("[CLS]", 1), ("[SEP]", 2)])
     reverse = tokens.select("id", "token").unionByName(specials.select("id", F.col("content").alias("token")))
@@ -143,16 +154,16 @@ def corpus_piece_vocabulary(texts: DataFrame, size: int = 1000, text_col: str =
     and with the word prefix, so unseen words split into pieces and accented
     letters become unknown."""
     spark = texts.sparkSession
-    pts = texts.select(F.explode(v3_pretokens(text_col)).alias("token"))
+    pts = texts.select(F.explode_outer(v3_pretokens(text_col)).alias("token")).where(F.col("token").isNotNull())
     counts = pts.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = _ranked(counts, size, 4)
+    top = _materialize(_ranked(counts, size, 4))
     singles = spark.createDataFrame(
         [(c,) for c in SINGLE_PIECE_CHARS] + [("▁" + c,) for c in SINGLE_PIECE_CHARS], "token string"
     )
     extra = singles.join(top, "token", "left_anti")
     w = Window.orderBy("token")
     extra = extra.select("token", (F.row_number().over(w) + (size + 3)).cast("bigint").alias("id"))
-    tokens = top.unionByName(extra)
+    tokens = _materialize(top.unionByName(extra))
     specials = specials_table(spark, SUBWORD_SPECIALS)
     reverse = tokens.select("id", "token").unionByName(specials.select("id", F.col("content").alias("token")))
     bound = size + 2 * len(SINGLE_PIECE_CHARS) + len(SUBWORD_SPECIALS)
