@@ -16,12 +16,16 @@ def squared_norm(col: Column | str) -> Column:
 
 def l2_normalize(col: Column | str) -> Column:
     """x / sqrt(sum(x^2)); a zero vector gives NaN in every slot (no guard,
-    like the reference), written so ANSI mode never divides by zero."""
-    norm = F.sqrt(squared_norm(col))
-    return F.transform(
-        _c(col),
-        lambda x: F.when(norm == 0, F.lit(float("nan"))).otherwise(x.cast("double") / norm),
+    like the reference), written so ANSI mode never divides by zero.
+
+    The norm is bound once through a one-element array, so it is not
+    recomputed for every element inside the lambda."""
+    v = _c(col)
+    once = F.transform(
+        F.array(F.sqrt(squared_norm(v))),
+        lambda n: F.transform(v, lambda x: F.when(n == 0, F.lit(float("nan"))).otherwise(x.cast("double") / n)),
     )
+    return F.when(v.isNotNull(), once[0])
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

@@ -36,9 +36,10 @@ def _long_vectors(df: DataFrame, id_col: str, vec_col: str, idx: str = "dim", va
     are left unrounded: rounding exact ties differs between engines.
     """
     x = F.col(val).cast("double")
-    return df.select(id_col, F.posexplode(vec_col).alias(idx, val)).select(
-        id_col, F.col(idx).cast("bigint").alias(idx), (F.round(x, digits) if digits is not None else x).alias(val)
-    )
+    # explode_outer + filter: a plain explode would make Catalyst evaluate
+    # the vector expression twice (inferred size filter).
+    out = df.select(id_col, F.posexplode_outer(vec_col).alias(idx, val)).where(F.col(idx).isNotNull())
+    return out.select(id_col, F.col(idx).cast("bigint").alias(idx), (F.round(x, digits) if digits is not None else x).alias(val))
 
 
 def q_v2_tokens(spark: SparkSession, d: str) -> DataFrame:
