@@ -65,25 +65,45 @@ def segment_table(distinct_tokens: DataFrame, vocab: Vocabulary, profile: Profil
     return out
 
 
-def segment_long(long: DataFrame, vocab: Vocabulary, profile: Profile, broadcast_rows: int = 2_000_000) -> DataFrame:
+def segment_long(
+    long: DataFrame,
+    vocab: Vocabulary,
+    profile: Profile,
+    broadcast_rows: int = 2_000_000,
+    hot_rows: int = 200_000,
+) -> DataFrame:
     """(doc_id, pos, token) pre-tokens -> (doc_id, pos, sub, token) pieces.
 
     ``(pos, sub)`` orders the pieces: ``pos`` is the pre-token position and
     ``sub`` the piece index within it.
 
-    The segment table (one row per distinct pre-token) is checkpointed to the
-    shared checkpoint folder, which cuts its lineage and makes its row count
-    cheap. Under ``broadcast_rows`` it is broadcast, so the occurrences stay
-    where they are (partitioned by document); above it the join back is a
-    shuffle join on the pre-token, where AQE splits a hot pre-token's
-    partition.
+    The segment table (one row per distinct pre-token, with its count) is
+    checkpointed to the shared checkpoint folder, which cuts its lineage and
+    makes its size cheap to check. Under ``broadcast_rows`` it is broadcast,
+    so the occurrences stay where they are (partitioned by document). Above
+    it, the ``hot_rows`` most frequent pre-tokens (a proven bound) are still
+    broadcast and only the remaining occurrences go through a shuffle join on
+    the pre-token: a pre-token holding a third of all occurrences (``▁the``)
+    never lands in one reduce task.
     """
     from lumenvec.session import ensure_checkpoint_dir
 
     if long.isStreaming:
         raise ValueError("subword segmentation by join needs a batch input; use the ONNX path for streams")
     ensure_checkpoint_dir(long.sparkSession)
-    seg = segment_table(long.select("token").distinct(), vocab, profile).checkpoint(eager=True)
-    side = bounded_broadcast(seg, max_rows=broadcast_rows)
-    j = long.join(side, "token")
-    return j.select("doc_id", "pos", F.posexplode("pieces").alias("sub", "token"))
+    counts = long.groupBy("token").agg(F.count(F.lit(1)).alias("n"))  # partial aggregate map-side
+    seg = segment_table(counts, vocab, profile).join(counts, "token").checkpoint(eager=True)
+    n_seg = seg.count()
+    if n_seg <= broadcast_rows:
+        j = long.join(F.broadcast(seg.select("token", "pieces")), "token")
+    else:
+        hot = seg.orderBy(F.desc("n"), F.asc("token")).limit(hot_rows).select(
+            F.col("token").alias("_ht"), F.col("pieces").alias("_hp")
+        )
+        tagged = long.join(F.broadcast(hot), F.col("token") == F.col("_ht"), "left")
+        done = tagged.where(F.col("_ht").isNotNull()).select("doc_id", "pos", "token", F.col("_hp").alias("pieces"))
+        cold = tagged.where(F.col("_ht").isNull()).select("doc_id", "pos", "token")
+        j = done.unionByName(cold.join(seg.select("token", "pieces"), "token"))
+    # posexplode_outer + filter: no inferred size filter re-evaluating pieces.
+    out = j.select("doc_id", "pos", F.posexplode_outer("pieces").alias("sub", "token"))
+    return out.where(F.col("sub").isNotNull())

@@ -108,9 +108,8 @@ def q_v3_segments(spark: SparkSession, d: str) -> DataFrame:
     vocab = corpus_piece_vocabulary(docs)
     pts = explode_tokens(raw_tokens(docs, SUBWORD64)).select("token").distinct()
     seg = segment_table(pts, vocab, SUBWORD64)
-    return seg.select("token", F.posexplode("pieces").alias("sub", "piece")).select(
-        "token", F.col("sub").cast("bigint").alias("sub"), "piece"
-    )
+    out = seg.select("token", F.posexplode_outer("pieces").alias("sub", "piece")).where(F.col("sub").isNotNull())
+    return out.select("token", F.col("sub").cast("bigint").alias("sub"), "piece")
 
 
 def q_v3_token_ids(spark: SparkSession, d: str) -> DataFrame:

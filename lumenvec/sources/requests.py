@@ -34,9 +34,10 @@ def parse_requests(lines: DataFrame, value_col: str = "value") -> DataFrame:
         .otherwise(F.array(item(F.lit(0), none, F.lit("Unknown command"))))
     )
     rid = F.coalesce(F.try_variant_get(v, "$.id", "bigint"), F.xxhash64(F.col(value_col)))
-    return lines.select(rid.alias("request_id"), F.explode(items).alias("r")).select(
-        "request_id", "r.idx", "r.text", "r.error"
-    )
+    # explode_outer + filter: a plain explode makes Catalyst evaluate the
+    # parse twice (inferred size filter); an empty batch still yields no row.
+    out = lines.select(rid.alias("request_id"), F.explode_outer(items).alias("r")).where(F.col("r").isNotNull())
+    return out.select("request_id", "r.idx", "r.text", "r.error")
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:

@@ -178,3 +178,13 @@ def test_preview_shape(spark):
     df = spark.createDataFrame([([float(x) for x in range(20)],)], "embedding array<double>")
     r = embedding_preview(df).first()
     assert r.shape == 20 and r.head == [float(x) for x in range(10)]
+
+
+def test_unicode_trim_matches_edge_regex(spark):
+    from lumenvec.functions.text import EDGE_SPACE, unicode_trim
+
+    vals = ["\x0bx　", "  a b\t", "", "  ", " y z ", "\U0001F600\u0085"]
+    df = spark.createDataFrame([(v,) for v in vals], "t string")
+    rows = df.select(unicode_trim("t").alias("a"), F.regexp_replace("t", EDGE_SPACE, "").alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+    assert pretokens(spark, "\x0bx") == ["▁x"]

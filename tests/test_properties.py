@@ -119,3 +119,19 @@ def test_incremental_second_run_encodes_nothing(spark, docs, vocab, tmp_path):
     first = embed_incremental(spark, docs, path, fn, WORDS64.name)
     assert first == docs.select(F.sha2("text", 256)).distinct().count()
     assert embed_incremental(spark, docs, path, fn, WORDS64.name) == 0
+
+
+def test_segment_hot_cold_split_equals_broadcast(spark, docs):
+    """The skew-safe path (hot pre-tokens broadcast, tail shuffle-joined)
+    gives the same pieces as the all-broadcast path."""
+    from lumenvec.operators.subword import segment_long
+    from lumenvec.operators.tokens import explode_tokens, raw_tokens
+    from lumenvec.plans.catalog import SUBWORD64
+    from lumenvec.sources.vocab import corpus_piece_vocabulary
+
+    v = corpus_piece_vocabulary(docs)
+    long = explode_tokens(raw_tokens(docs, SUBWORD64))
+    a = segment_long(long, v, SUBWORD64)
+    b = segment_long(long, v, SUBWORD64, broadcast_rows=10, hot_rows=50)
+    cols = ["doc_id", "pos", "sub", "token"]
+    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
