@@ -82,14 +82,17 @@ def topk_similar(
 
     q = queries.select(F.col(query_id).cast("bigint").alias("qid"), F.col(query_vec).alias("qvec"))
     b = base.select(F.col(base_id).cast("bigint").alias("bid"), F.col(base_vec).alias("bvec"))
-    n_q = q.count()
-    n_blocks = max(1, -(-n_q // block))
+    first = q.limit(block + 1).toPandas()  # one pass when the queries fit one block
+    n_blocks = 1 if len(first) <= block else max(2, -(-q.count() // block))
     parts = []
     for blk in range(n_blocks):
-        qb = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == blk)
-        pdf = qb.limit(2 * block + 1).toPandas()  # a hash block is near ``block`` rows
-        if len(pdf) > 2 * block:
-            raise ValueError("query block larger than twice the block size; raise block count")
+        if n_blocks == 1:
+            pdf = first
+        else:
+            qb = q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == blk)
+            pdf = qb.limit(2 * block + 1).toPandas()  # a hash block is near ``block`` rows
+            if len(pdf) > 2 * block:
+                raise ValueError("query block larger than twice the block size; raise block count")
         if len(pdf) == 0:
             continue
         qids = pdf["qid"].to_numpy().astype(np.int64)

@@ -78,7 +78,7 @@ def segment_long(
     ``sub`` the piece index within it.
 
     The segment table (one row per distinct pre-token, with its count) is
-    checkpointed to the shared checkpoint folder, which cuts its lineage and
+    written once to the shared checkpoint folder, which cuts its lineage and
     makes its size cheap to check. Under ``broadcast_rows`` it is broadcast,
     so the occurrences stay where they are (partitioned by document). Above
     it, the ``hot_rows`` most frequent pre-tokens (a proven bound) are still
@@ -86,13 +86,12 @@ def segment_long(
     the pre-token: a pre-token holding a third of all occurrences (``▁the``)
     never lands in one reduce task.
     """
-    from lumenvec.session import ensure_checkpoint_dir
+    from lumenvec.plans.strategy import materialize
 
     if long.isStreaming:
         raise ValueError("subword segmentation by join needs a batch input; use the ONNX path for streams")
-    ensure_checkpoint_dir(long.sparkSession)
     counts = long.groupBy("token").agg(F.count(F.lit(1)).alias("n"))  # partial aggregate map-side
-    seg = segment_table(counts, vocab, profile).join(counts, "token").checkpoint(eager=True)
+    seg = materialize(segment_table(counts, vocab, profile).join(counts, "token"), "segments")
     n_seg = seg.count()
     if n_seg <= broadcast_rows:
         j = long.join(F.broadcast(seg.select("token", "pieces")), "token")

@@ -244,8 +244,9 @@ def q_preview(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     vocab = corpus_word_vocabulary(docs)
     res = embedding_preview(embed(docs, vocab, WORDS64, fixture_vectors(vocab, FIXTURE_DIM), dtype="double"))
-    return _long_vectors(res.select("doc_id", F.col("shape").cast("bigint").alias("shape"), "head"), "doc_id", "head").join(
-        res.select("doc_id", F.col("shape").cast("bigint").alias("shape")), "doc_id"
+    out = res.select("doc_id", F.col("shape").cast("bigint").alias("shape"), F.posexplode_outer("head").alias("dim", "x"))
+    return out.where(F.col("dim").isNotNull()).select(
+        "doc_id", F.col("dim").cast("bigint").alias("dim"), "shape", F.round(F.col("x").cast("double"), 6).alias("x")
     )
 
 

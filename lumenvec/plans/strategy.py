@@ -53,3 +53,20 @@ def spread(df: DataFrame, key: str, max_bytes: int = SPREAD_MAX_BYTES) -> DataFr
         return df
     n = max(df.sparkSession.sparkContext.defaultParallelism * 2, 1)
     return df.repartition(n, key)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Compute ``df`` once into a Parquet table under the shared checkpoint
+    folder and read it back: the lineage is cut, every later use reads the
+    written rows, and the reader knows the table's size.
+
+    (``DataFrame.checkpoint(eager=True)`` would compute its input twice: once
+    to count it and once to write it.)
+    """
+    import uuid
+
+    from lumenvec.session import work_dir
+
+    path = work_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -121,13 +121,12 @@ def _ranked(counts: DataFrame, size: int, first_id: int) -> DataFrame:
 
 
 def _materialize(df: DataFrame) -> DataFrame:
-    """Compute a bounded derived table once: a reliable checkpoint in the
-    shared checkpoint folder cuts its lineage, so every later use (joins,
-    decode, vector table) reads a few rows instead of recounting the corpus."""
-    from lumenvec.session import ensure_checkpoint_dir
+    """Compute a bounded derived table once into the shared checkpoint
+    folder, so every later use (joins, decode, vector table) reads a few rows
+    instead of recounting the corpus."""
+    from lumenvec.plans.strategy import materialize
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize(df, "vocabulary")
 
 
 def corpus_word_vocabulary(texts: DataFrame, size: int = 2000, text_col: str = "text") -> Vocabulary:
