@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-STORE_COLUMNS = ["text_hash", "profile", "task", "run_ts", "embedding", "dim", "n_tokens", "error"]
+STORE_COLUMNS = ["text_hash", "profile", "task", "run_id", "run_ts", "embedding", "dim", "n_tokens", "error"]
 
 
 def text_hash(col: str = "text"):
@@ -72,6 +72,7 @@ def embed_incremental(spark: SparkSession, texts: DataFrame, store_path: str, em
     res = embed_fn(batch.select("doc_id", "text")).join(batch.select("doc_id", "text_hash"), "doc_id")
     out = res.select(
         "text_hash", F.lit(profile).alias("profile"), F.lit(task).cast("string").alias("task"),
+        F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSS").alias("run_id"),
         F.current_timestamp().alias("run_ts"), "embedding", "dim", "n_tokens", "error",
     )
     before = spark.read.parquet(store_path).count() if done is not None else 0
@@ -85,4 +86,4 @@ def documents_view(texts: DataFrame, store: DataFrame, profile: str, task: str |
     lt = latest(store.where(F.col("profile") == profile))
     lt = lt.where(F.col("task").isNull() if task is None else F.col("task") == task)
     h = texts.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("text_hash"))
-    return h.join(lt.select("text_hash", "embedding", "dim", "n_tokens", "error"), "text_hash", "left")
+    return h.join(lt.select("text_hash", "run_id", "embedding", "dim", "n_tokens", "error"), "text_hash", "left")

@@ -4,11 +4,13 @@ Each distinct pre-token is segmented once:
 
 1. every (start, length) substring up to the longest vocabulary piece is a
    candidate row; a broadcast left join with the vocabulary marks matches;
-2. ``max(length)`` per (pre-token, start) gives the best match at each start
-   (0 = none); the rows stay partitioned by pre-token from the ``distinct``
-   shuffle, so both aggregations run without another exchange;
-3. a left-to-right ``aggregate`` walks the starts: at the current cut take
-   the best piece, or one code point as the unknown token, and jump.
+2. only matched rows (plus one marker row per pre-token) go on: ``max(length)``
+   per (pre-token, start) gives the best match where there is one; the rows
+   stay partitioned by pre-token from the ``distinct`` shuffle, so both
+   aggregations run without another exchange;
+3. a left-to-right ``aggregate`` walks the positions with a pointer into the
+   sorted matches: at the current cut take the best piece, or one code point
+   as the unknown token, and jump.
 
 Positions are code points throughout: Spark's ``substring`` and
 ``char_length`` count code points, so an emoji is one unit, as chosen for the
@@ -32,37 +34,47 @@ def segment_table(distinct_tokens: DataFrame, vocab: Vocabulary, profile: Profil
     v = bounded_broadcast(pieces, known_rows=vocab.row_bound)
 
     t = distinct_tokens.select(F.col(col).alias("token")).withColumn("n", F.char_length("token"))
-    starts = t.select("token", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
-    cand = starts.select(
-        "token", "n", "start",
-        F.explode(F.sequence(F.lit(1), F.least(F.coalesce(longest, F.lit(1)), F.col("n") - F.col("start")))).alias("len"),
-    ).withColumn("sub", F.substring("token", F.col("start") + 1, F.col("len")))
-    hit = cand.join(v, F.col("sub") == F.col("_piece"), "left").select(
-        "token", "n", "start", F.when(F.col("_piece").isNotNull(), F.col("len")).otherwise(0).alias("len")
+    # Start -1 is a marker row per pre-token, so pre-tokens without any
+    # match keep a row through the aggregation.
+    starts = t.select("token", "n", F.explode_outer(F.sequence(F.lit(-1), F.col("n") - 1)).alias("start"))
+    lens = F.when(F.col("start") < 0, F.array(F.lit(0))).otherwise(
+        F.sequence(F.lit(1), F.least(F.coalesce(longest, F.lit(1)), F.col("n") - F.col("start")))
+    )
+    cand = starts.select("token", "n", "start", F.explode_outer(lens).alias("len")).withColumn(
+        "sub", F.substring("token", F.col("start") + 1, F.col("len"))
+    )
+    hit = cand.join(v, F.col("sub") == F.col("_piece"), "left").where(
+        F.col("_piece").isNotNull() | (F.col("start") < 0)
     )
     best = hit.groupBy("token", "n", "start").agg(F.max("len").alias("best"))
-    dense = best.groupBy("token", "n").agg(F.array_sort(F.collect_list(F.struct("start", "best"))).alias("b"))
-    dense = dense.select("token", "n", F.transform("b", lambda x: x["best"]).alias("best"))
+    sparse = best.groupBy("token", "n").agg(F.array_sort(F.collect_list(F.struct("start", "best"))).alias("m"))
 
-    init = F.struct(F.lit(0).alias("nxt"), F.array().cast("array<int>").alias("cuts"))
+    # Walk the starts left to right. ``m`` is sorted by start with distinct
+    # starts, so a pointer ``p`` that moves at most one entry per position
+    # gives the best match at position i in O(1).
+    init = F.struct(F.lit(0).alias("nxt"), F.lit(1).alias("p"), F.array().cast("array<struct<i:int,b:int>>").alias("cuts"))
 
     def step(acc, i):
-        take = F.greatest(F.col("best")[i], F.lit(1))
-        moved = F.struct((i + take).alias("nxt"), F.concat(acc["cuts"], F.array(i)).alias("cuts"))
-        return F.when(i == acc["nxt"], moved).otherwise(acc)
+        entry = F.get(F.col("m"), acc["p"])
+        has = F.coalesce(entry["start"] == i, F.lit(False))
+        b = F.when(has, entry["best"]).otherwise(F.lit(0))
+        p = F.when(has, acc["p"] + 1).otherwise(acc["p"])
+        cut = F.struct(i.alias("i"), b.alias("b"))
+        at_cut = i == acc["nxt"]
+        return F.struct(
+            F.when(at_cut, i + F.greatest(b, F.lit(1))).otherwise(acc["nxt"]).alias("nxt"),
+            p.alias("p"),
+            F.when(at_cut, F.concat(acc["cuts"], F.array(cut))).otherwise(acc["cuts"]).alias("cuts"),
+        )
 
-    walked = dense.select(
-        "token", "best",
-        F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), init, step)["cuts"].alias("cuts"),
-    )
-    out = walked.select(
+    walked = sparse.select("token", F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), init, step)["cuts"].alias("cuts"))
+    return walked.select(
         "token",
         F.transform(
             "cuts",
-            lambda c: F.when(F.col("best")[c] > 0, F.substring("token", c + 1, F.col("best")[c])).otherwise(F.lit(profile.unk)),
+            lambda c: F.when(c["b"] > 0, F.substring("token", c["i"] + 1, c["b"])).otherwise(F.lit(profile.unk)),
         ).alias("pieces"),
     )
-    return out
 
 
 def segment_long(

@@ -357,24 +357,26 @@ def q_anti_incremental(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_store_latest(spark: SparkSession, d: str) -> DataFrame:
-    """Two runs appended to a Parquet store: all documents, then the English
-    ones again with ``max_tokens = 8``; the latest row per text wins."""
+    """Two runs appended to a Parquet store: run r1 embeds all documents with
+    the static encoder, run r2 the English ones again with the ONNX encoder;
+    the latest row per text wins. (doc_id, run_id, dim, x)."""
     docs = _docs(spark, d, "lang")
     vocab = corpus_word_vocabulary(docs)
     path = work_dir(spark, f"store-{uuid.uuid4().hex}")
 
-    def run(texts, profile):
-        res = embed(texts.select("doc_id", "text"), vocab, profile, fixture_vectors(vocab, FIXTURE_DIM), dtype="double")
+    def run(texts, encoder, run_id):
+        res = embed(texts.select("doc_id", "text"), vocab, WORDS64, encoder, dtype="double")
         hashed = texts.select("doc_id", text_hash().alias("text_hash")).dropDuplicates(["text_hash"])
         return res.join(hashed, "doc_id").select(
             "text_hash", F.lit(WORDS64.name).alias("profile"), F.lit(None).cast("string").alias("task"),
-            F.current_timestamp().alias("run_ts"), "embedding", "dim", "n_tokens", "error",
+            F.lit(run_id).alias("run_id"), F.current_timestamp().alias("run_ts"), "embedding", "dim", "n_tokens", "error",
         )
 
-    append(run(docs, WORDS64), path)
-    append(run(docs.where(F.col("lang") == "en"), WORDS64.with_(max_tokens=8)), path)
+    append(run(docs, fixture_vectors(vocab, FIXTURE_DIM), "r1"), path)
+    append(run(docs.where(F.col("lang") == "en"), fixture_onnx(vocab), "r2"), path)
     view = documents_view(docs, read_store(spark, path, WORDS64.name), WORDS64.name)
-    return _long_vectors(view, "doc_id", "embedding")
+    out = view.select("doc_id", "run_id", F.posexplode_outer("embedding").alias("dim", "x")).where(F.col("dim").isNotNull())
+    return out.select("doc_id", "run_id", F.col("dim").cast("bigint").alias("dim"), F.round("x", 6).alias("x"))
 
 
 def q_read_requests(spark: SparkSession, d: str) -> DataFrame:

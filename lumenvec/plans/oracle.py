@@ -232,14 +232,11 @@ WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_hash, lang FROM doc
 SELECT text_hash, count(*) AS n_docs, min(doc_id) AS first_doc_id FROM h
 WHERE text_hash NOT IN (SELECT text_hash FROM h WHERE lang = 'en') GROUP BY text_hash""",
     "store_latest": f"""
-WITH {V2_BASE}, {DOC_EMB}, {_v2_embed("t", "SELECT doc_id AS id, text FROM documents", 6)},
-en AS (SELECT DISTINCT text FROM documents WHERE lang = 'en'),
-pick AS (SELECT d.doc_id, d.text IN (SELECT text FROM en) AS trunc FROM documents d)
-SELECT p.doc_id, CAST(e.dim AS BIGINT) AS dim, round(e.x, 6) AS x
-FROM pick p JOIN demb e ON e.id = p.doc_id WHERE NOT p.trunc
-UNION ALL
-SELECT p.doc_id, CAST(e.dim AS BIGINT) AS dim, round(e.x, 6) AS x
-FROM pick p JOIN temb e ON e.id = p.doc_id WHERE p.trunc""",
+WITH {V2_BASE}, {DOC_EMB},
+en AS (SELECT DISTINCT text FROM documents WHERE lang = 'en')
+SELECT d.doc_id, CASE WHEN d.text IN (SELECT text FROM en) THEN 'r2' ELSE 'r1' END AS run_id,
+       CAST(e.dim AS BIGINT) AS dim, round(e.x, 6) AS x
+FROM documents d JOIN demb e ON e.id = d.doc_id""",
     "read_requests": """
 SELECT conv_id AS request_id, CAST(0 AS BIGINT) AS idx,
        CASE WHEN role IN ('user', 'assistant') THEN text END AS text,
