@@ -84,10 +84,11 @@ def segment_long(
     broadcast_rows: int = 2_000_000,
     hot_rows: int = 200_000,
 ) -> DataFrame:
-    """(doc_id, pos, token) pre-tokens -> (doc_id, pos, sub, token) pieces.
+    """(doc_id, pos, token[, is_marker]) pre-tokens -> (doc_id, pos, sub, token) pieces.
 
     ``(pos, sub)`` orders the pieces: ``pos`` is the pre-token position and
-    ``sub`` the piece index within it.
+    ``sub`` the piece index within it. Rows flagged ``is_marker`` (the frame
+    markers) pass through as one piece.
 
     The segment table (one row per distinct pre-token, with its count) is
     written once to the shared checkpoint folder, which cuts its lineage and
@@ -102,18 +103,23 @@ def segment_long(
 
     if long.isStreaming:
         raise ValueError("subword segmentation by join needs a batch input; use the ONNX path for streams")
-    counts = long.groupBy("token").agg(F.count(F.lit(1)).alias("n"))  # partial aggregate map-side
+    marker = F.col("is_marker") if "is_marker" in long.columns else F.lit(False)
+    words = long.where(~marker)
+    counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))  # partial aggregate map-side
     seg = materialize(segment_table(counts, vocab, profile).join(counts, "token"), "segments")
     n_seg = seg.count()
     if n_seg <= broadcast_rows:
-        j = long.join(F.broadcast(seg.select("token", "pieces")), "token")
+        j = long.join(F.broadcast(seg.select("token", "pieces")), "token", "left")
+        j = j.select("doc_id", "pos", "token", F.when(marker, F.array("token")).otherwise(F.col("pieces")).alias("pieces"))
     else:
         hot = seg.orderBy(F.desc("n"), F.asc("token")).limit(hot_rows).select(
             F.col("token").alias("_ht"), F.col("pieces").alias("_hp")
         )
         tagged = long.join(F.broadcast(hot), F.col("token") == F.col("_ht"), "left")
-        done = tagged.where(F.col("_ht").isNotNull()).select("doc_id", "pos", "token", F.col("_hp").alias("pieces"))
-        cold = tagged.where(F.col("_ht").isNull()).select("doc_id", "pos", "token")
+        done = tagged.where(F.col("_ht").isNotNull() | marker).select(
+            "doc_id", "pos", "token", F.when(marker, F.array("token")).otherwise(F.col("_hp")).alias("pieces")
+        )
+        cold = tagged.where(F.col("_ht").isNull() & ~marker).select("doc_id", "pos", "token")
         j = done.unionByName(cold.join(seg.select("token", "pieces"), "token"))
     # posexplode_outer + filter: no inferred size filter re-evaluating pieces.
     out = j.select("doc_id", "pos", F.posexplode_outer("pieces").alias("sub", "token"))

@@ -85,8 +85,9 @@ def token_ids(
     """Texts -> long form (doc_id, pos, sub, token, token_id, in_vocab, attention, token_type).
 
     Words profile: O5 -> O8 -> O9, ``pos`` 0 is the first marker, ``sub`` 0.
-    Subword profile: O6 -> O7 -> O8 -> O9; ``pos`` is the pre-token position
-    and ``sub`` the piece within it; the markers sit at ``pos`` -1 and n.
+    Subword profile: O6 -> O8 -> O7 -> O9; ``pos`` is the position in the
+    framed pre-token sequence (markers at 0 and n+1) and ``sub`` the piece
+    within that pre-token.
     """
     nested = raw_tokens(texts, profile, text_col, id_col)
     if profile.tokens == "words":
@@ -94,17 +95,12 @@ def token_ids(
     else:
         from lumenvec.operators.subword import segment_long
 
-        pieces = segment_long(explode_tokens(nested), vocab, profile)
-        marks = nested.select(
-            "doc_id",
-            F.explode_outer(
-                F.array(
-                    F.struct(F.lit(-1).alias("pos"), F.lit(profile.first).alias("token")),
-                    F.struct(F.size("tokens").alias("pos"), F.lit(profile.last).alias("token")),
-                )
-            ).alias("m"),
-        ).select("doc_id", "m.pos", F.lit(0).alias("sub"), "m.token")
-        long = pieces.unionByName(marks)
+        # Markers are framed in first (one pass over the text) and flagged so
+        # that segmentation passes them through unchanged.
+        fr = nested.select("doc_id", frame(F.col("tokens"), profile.first, profile.last).alias("tokens"))
+        long = explode_tokens(fr.withColumn("n", F.size("tokens")), keep=["n"])
+        long = long.withColumn("is_marker", (F.col("pos") == 0) | (F.col("pos") == F.col("n") - 1)).drop("n")
+        long = segment_long(long, vocab, profile)
     return lookup_ids(long.select("doc_id", "pos", "sub", "token"), vocab, profile)
 
 

@@ -93,9 +93,9 @@ seg AS (
          CASE WHEN b.best > 0 THEN substring(w.token, w.cut + 1, b.best) ELSE '<unk>' END AS piece
   FROM walk w JOIN best b ON b.token = w.token AND b.start = w.cut),
 pieces AS (
-  SELECT l.doc_id, l.pos, s.sub, s.piece AS token FROM plong l JOIN seg s ON s.token = l.token
-  UNION ALL SELECT doc_id, -1, 0, '<s>' FROM pre
-  UNION ALL SELECT doc_id, len(p), 0, '</s>' FROM pre),
+  SELECT l.doc_id, l.pos + 1 AS pos, s.sub, s.piece AS token FROM plong l JOIN seg s ON s.token = l.token
+  UNION ALL SELECT doc_id, 0, 0, '<s>' FROM pre
+  UNION ALL SELECT doc_id, len(p) + 1, 0, '</s>' FROM pre),
 pids AS (SELECT x.doc_id, x.pos, x.sub, x.token, CAST(coalesce(v.id, sp.id, (SELECT id FROM pspecials WHERE content = '<unk>'), 0) AS BIGINT) AS token_id,
                 (v.id IS NOT NULL OR sp.id IS NOT NULL) AS in_vocab
          FROM pieces x LEFT JOIN pvocab v ON v.token = x.token LEFT JOIN pspecials sp ON sp.content = x.token)
