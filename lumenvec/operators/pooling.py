@@ -17,6 +17,12 @@ def masked_sums(hidden: Column, mask: Column, dim: int) -> list[Column]:
     return [F.sum(hidden[i].cast("double") * m) for i in range(dim)]
 
 
+# Up to this many dimensions one ``sum`` per dimension keeps the aggregate in
+# whole-stage codegen (Spark's limit is 100 fields); wider vectors use one
+# vector-valued aggregate instead, whose plan size does not grow with dim.
+MAX_SUM_COLUMNS = 96
+
+
 def masked_mean_pool(
     long: DataFrame,
     dim: int,
@@ -30,15 +36,36 @@ def masked_mean_pool(
     Rows with mask 0 add nothing; a key whose mask is all 0 pools to zeros.
     Returns (key, pooled ARRAY<DOUBLE>, mask_sum DOUBLE, *extra).
     """
-    sums = masked_sums(F.col(hidden_col), F.col(mask_col), dim)
-    g = long.groupBy(key).agg(
-        F.array(*sums).alias("_sums"), F.sum(F.col(mask_col).cast("double")).alias("mask_sum"), *(extra or [])
-    )
+    mask = F.col(mask_col).cast("double")
+    if dim <= MAX_SUM_COLUMNS:
+        sums = F.array(*masked_sums(F.col(hidden_col), F.col(mask_col), dim))
+        g = long.groupBy(key).agg(sums.alias("_sums"), F.sum(mask).alias("mask_sum"), *(extra or []))
+    else:
+        g = _vector_sums(long, dim, key, hidden_col, mask, extra)
     den = F.greatest(F.col("mask_sum"), F.lit(MIN_MASK))
     return g.select(key, F.transform("_sums", lambda x: x / den).alias("pooled"), "mask_sum",
                     *[c for c in g.columns if c not in (key, "_sums", "mask_sum")])
 
 
+def _vector_sums(long: DataFrame, dim: int, key: str, hidden_col: str, mask: Column, extra) -> DataFrame:
+    """Masked sums with Spark ML's ``Summarizer`` (one aggregate for any dim).
+
+    A masked row (or a row without a vector) becomes a zero vector of weight
+    1: zeros add nothing to any dimension's sum, and the total weight stays
+    positive, which ``Summarizer`` requires."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    use = (mask != 0) & F.col(hidden_col).isNotNull()
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    vec = array_to_vector(F.when(use, F.col(hidden_col).cast("array<double>")).otherwise(zeros))
+    weight = F.when(use, mask).otherwise(F.lit(1.0))
+    g = long.groupBy(key).agg(
+        Summarizer.metrics("sum").summary(vec, weight).alias("_s"), F.sum(mask).alias("mask_sum"), *(extra or [])
+    )
+    return g.withColumn("_sums", vector_to_array(F.col("_s.sum"))).drop("_s")
+
+
 def normalized(df: DataFrame, col: str = "pooled", out: str = "embedding") -> DataFrame:
     """O14 applied to a column."""
     return df.withColumn(out, l2_normalize(col))

@@ -135,3 +135,25 @@ def test_segment_hot_cold_split_equals_broadcast(spark, docs):
     b = segment_long(long, v, SUBWORD64, broadcast_rows=10, hot_rows=50)
     cols = ["doc_id", "pos", "sub", "token"]
     assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+
+
+def test_wide_vectors_pool_like_narrow(spark):
+    """Above the per-dimension limit the vector aggregate gives the same means
+    (within float rounding), including masked rows and all-zero masks."""
+    from lumenvec.operators.pooling import MAX_SUM_COLUMNS, masked_mean_pool
+
+    dim = MAX_SUM_COLUMNS + 4
+    rng = np.random.default_rng(7)
+    rows = []
+    for doc in range(6):
+        for pos in range(5):
+            mask = 0 if (doc == 5 or pos == 2) else 1
+            rows.append((doc, pos, rng.normal(size=dim).tolist(), mask))
+    df = spark.createDataFrame(rows, "doc_id bigint, pos int, hidden array<double>, attention bigint")
+    got = {r.doc_id: np.array(r.pooled) for r in masked_mean_pool(df, dim).collect()}
+    for doc in range(6):
+        h = np.array([r[2] for r in rows if r[0] == doc])
+        m = np.array([r[3] for r in rows if r[0] == doc], dtype=float)
+        want = (h * m[:, None]).sum(0) / max(m.sum(), 1e-9)
+        assert np.allclose(got[doc], want, atol=1e-12)
+    assert np.all(got[5] == 0)
