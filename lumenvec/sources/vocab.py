@@ -25,10 +25,6 @@ class Vocabulary:
     specials: DataFrame  # (content STRING, id BIGINT): added tokens
     row_bound: int | None = None  # proven upper bound on rows of tokens/reverse, if known
 
-    @property
-    def max_piece_chars(self) -> Column:
-        return F.max(F.char_length("token"))
-
 
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per file, column ``value`` holding the whole JSON text."""

@@ -11,7 +11,7 @@ from lumenvec.functions.text import v2_words, v3_pretokens
 from lumenvec.functions.vectors import l2_normalize
 from lumenvec.operators.pooling import masked_mean_pool
 from lumenvec.operators.subword import segment_table
-from lumenvec.operators.tokens import decode, explode_tokens, framed, raw_tokens, task_ids, token_ids
+from lumenvec.operators.tokens import decode, framed, raw_tokens, task_ids, token_ids
 from lumenvec.profiles import SUBWORD1024, WORDS768
 from lumenvec.sources.vocab import tasks_from_json, vocabulary_from_json
 
