@@ -230,7 +230,10 @@ def encode_onnx(
     tasks: DataFrame | None = None,
 ) -> DataFrame:
     """Texts -> pooled rows via the ONNX model; one output row per text."""
+    from lumenvec.session import ship_package
+
     spark = texts.sparkSession
+    ship_package(spark)
     nested = raw_tokens(texts, profile, text_col, id_col)
     if not profile.uses_token_types:
         if tasks is None:

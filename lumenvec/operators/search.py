@@ -80,6 +80,9 @@ def topk_similar(
     """
     import numpy as np
 
+    from lumenvec.session import ship_package
+
+    ship_package(queries.sparkSession)
     q = queries.select(F.col(query_id).cast("bigint").alias("qid"), F.col(query_vec).alias("qvec"))
     b = base.select(F.col(base_id).cast("bigint").alias("bid"), F.col(base_vec).alias("bvec"))
     first = q.limit(block + 1).toPandas()  # one pass when the queries fit one block

@@ -45,3 +45,32 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint location for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base.rstrip("/"), "lumenvec", name)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lumenvec`` importable in the Python workers, once per application.
+
+    ``mapInPandas`` functions are pickled by reference to this package, so the
+    workers must import it. This is what ``--py-files`` does at submit time: a
+    zip of the package's sources is handed to ``addPyFile``, and Spark serves
+    it to every executor.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="lumenvec-pyfiles-"), "lumenvec.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
