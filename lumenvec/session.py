@@ -74,3 +74,31 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(zpath)
     _SHIPPED.add(sc.applicationId)
+
+
+def cluster_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
+    """Session settings for a large run, to pass to ``spark-submit --conf``.
+
+    * scan splits of 64 MB: tokenising multiplies rows ~100x in long form, so
+      a task's exploded tokens stay a few hundred MB;
+    * shuffle partitions ~ input / 128 MB (at least 2 per core); AQE then
+      coalesces small ones and splits skewed ones;
+    * Arrow batches of 2,048 rows for the ONNX path (hidden states of one
+      batch stay in memory; calls are cut further by ``max_batch_tokens``);
+    * retries for lost executors, and no speculation for the model tasks.
+    """
+    partitions = max(2 * total_cores, input_bytes // (128 << 20))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(64 << 20),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+        "spark.python.worker.reuse": "true",
+        "spark.task.maxFailures": "8",
+        "spark.speculation": "false",
+    }
