@@ -27,13 +27,58 @@ from lumenvec.profiles import Profile
 from lumenvec.sources.vocab import Vocabulary
 
 
-def segment_table(distinct_tokens: DataFrame, vocab: Vocabulary, profile: Profile, col: str = "token") -> DataFrame:
+# Pre-tokens longer than this go through the exact greedy helper instead of
+# the join-based walk, whose list of cuts grows by copying (quadratic in the
+# number of pieces of one pre-token). Both give the same pieces.
+LONG_PRETOKEN = 200
+
+
+def segment_table(
+    distinct_tokens: DataFrame, vocab: Vocabulary, profile: Profile, col: str = "token", long_at: int = LONG_PRETOKEN
+) -> DataFrame:
     """(token) distinct -> (token, pieces ARRAY<STRING>)."""
+    t = distinct_tokens.select(F.col(col).alias("token"))
+    short = _segment_joined(t.where(F.char_length("token") <= long_at), vocab, profile)
+    return short.unionByName(_segment_long_tokens(t.where(F.char_length("token") > long_at), vocab, profile))
+
+
+def _segment_long_tokens(tokens: DataFrame, vocab: Vocabulary, profile: Profile) -> DataFrame:
+    """Greedy pieces of (rare) very long pre-tokens, linear per token, with
+    the vocabulary pieces broadcast as a set (a bounded model artifact)."""
+    from lumenvec.operators.onnx_batch import greedy_pieces
+    from lumenvec.session import ship_package
+
+    spark = tokens.sparkSession
+    ship_package(spark)
+    limit = 5_000_000
+    pdf = vocab.tokens.select("token").limit(limit + 1).toPandas()
+    if len(pdf) > limit:
+        raise ValueError(f"vocabulary has more than {limit} pieces; not shipped to workers")
+    pieces = set(pdf["token"])
+    bc = spark.sparkContext.broadcast((pieces, max((len(x) for x in pieces), default=1)))
+    unk = profile.unk
+
+    # Long pre-tokens are rare: fewer, fuller Python tasks (no shuffle).
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 16)
+    tokens = tokens.coalesce(parts)
+
+    def run(batches):
+        import pandas as pd
+
+        vocab_set, longest = bc.value
+        for b in batches:
+            yield pd.DataFrame({"token": b["token"], "pieces": [greedy_pieces(x, vocab_set, longest, unk) for x in b["token"]]})
+
+    return tokens.mapInPandas(run, "token string, pieces array<string>")
+
+
+def _segment_joined(t: DataFrame, vocab: Vocabulary, profile: Profile) -> DataFrame:
+    """Segmentation as candidate rows, a broadcast join, two aggregates and a walk."""
     pieces = vocab.tokens.select(F.col("token").alias("_piece"))
     longest = vocab.tokens.select(F.max(F.char_length("token"))).scalar()
     v = bounded_broadcast(pieces, known_rows=vocab.row_bound)
 
-    t = distinct_tokens.select(F.col(col).alias("token")).withColumn("n", F.char_length("token"))
+    t = t.withColumn("n", F.char_length("token"))
     # Start -1 is a marker row per pre-token, so pre-tokens without any
     # match keep a row through the aggregation.
     starts = t.select("token", "n", F.explode_outer(F.sequence(F.lit(-1), F.col("n") - 1)).alias("start"))

@@ -188,3 +188,15 @@ def test_unicode_trim_matches_edge_regex(spark):
     rows = df.select(unicode_trim("t").alias("a"), F.regexp_replace("t", EDGE_SPACE, "").alias("b")).collect()
     assert all(r.a == r.b for r in rows)
     assert pretokens(spark, "\x0bx") == ["▁x"]
+
+
+def test_long_pretokens_take_the_linear_route(spark):
+    from lumenvec.operators.onnx_batch import greedy_pieces
+
+    v = make_vocab(spark, {"ab": 10, "c": 11, "▁ab": 12}, {"<unk>": 3})
+    words = ["▁" + "ab" * 150 + "c" + "x" * 30, "▁abcab", "ab" * 20]
+    d = spark.createDataFrame([(w,) for w in words], "token string")
+    for long_at in (200, 5):  # default route split, and everything long
+        got = {r.token: r.pieces for r in segment_table(d, v, SUBWORD1024, long_at=long_at).collect()}
+        for w in words:
+            assert got[w] == greedy_pieces(w, {"ab", "c", "▁ab"}, 3, "<unk>")
