@@ -157,3 +157,24 @@ def test_wide_vectors_pool_like_narrow(spark):
         want = (h * m[:, None]).sum(0) / max(m.sum(), 1e-9)
         assert np.allclose(got[doc], want, atol=1e-12)
     assert np.all(got[5] == 0)
+
+
+def test_stream_equals_batch_for_task_model(spark, docs, tmp_path):
+    """O26 with the subword profile and a task model: the streaming result
+    equals the batch embedding of the same texts."""
+    from lumenvec.plans.catalog import SUBWORD64, fixture_onnx, fixture_tasks
+    from lumenvec.sources.requests import request_lines
+    from lumenvec.sources.vocab import corpus_piece_vocabulary
+    from lumenvec.streaming.stream import embed_stream, request_stream, run_available
+
+    v = corpus_piece_vocabulary(docs)
+    enc = fixture_onnx(v, with_tasks=True)
+    tasks = fixture_tasks(spark)
+    src = str(tmp_path / "in")
+    request_lines(docs, "doc_id", "text").repartition(3).write.text(src)
+    res = embed_stream(request_stream(spark, src, 1), v, SUBWORD64, enc, tasks=tasks, dtype="double")
+    run_available(res, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    streamed = as_dict(spark.read.parquet(str(tmp_path / "out")))
+    batch = as_dict(embed(docs, v, SUBWORD64, enc, dtype="double", tasks=tasks))
+    assert streamed.keys() == batch.keys()
+    assert all(np.max(np.abs(streamed[k] - batch[k])) < 1e-12 for k in batch)
