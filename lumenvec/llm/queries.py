@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenvec.llm import line_dedup, mixing, quality_rules, simhash, substring
+from lumenvec.llm import line_dedup, mixing, packing, quality_rules, simhash, substring, token_counts, token_files
+from lumenvec.llm.encoding import tokenizer_path
 from lumenvec.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +40,26 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts.counted(docs, tokenizer_path())
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and its place there."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the written files give it back."""
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
