@@ -1,7 +1,72 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and all that the stage before it kept;
+its result is written as Parquet and read again. All but the last give the
+columns of ``documents``, with ``text`` and ``n_chars`` as they are by then:
 
+1. quality rules: lines that fail are taken out, rejected documents go;
+2. line dedup: later copies of runs of lines go, with documents that have no
+   words left;
+3. SimHash near-dedup: one document of each group stays;
+4. mixing sources to target weights: a row for each copy the mix takes, so a
+   document can come twice; the last one of a source can be cut;
+5. best-fit packing: the pieces of all rows with their sequences.
+"""
 
-def run(spark, sf_dir):
-    raise ValueError("no stages yet")
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenvec.llm import line_dedup, mixing, packing, quality_rules, simhash
+from lumenvec.llm.encoding import tokenizer_path
+from lumenvec.plans.strategy import materialize
+from lumenvec.sources.tables import table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def as_documents(docs: DataFrame) -> DataFrame:
+    """The columns of ``documents``, the characters counted anew."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return as_documents(quality_rules.clean(docs))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return as_documents(line_dedup.dedup(docs).where(line_dedup.has_words("text")))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return as_documents(simhash.dedup(docs))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return as_documents(mixing.mixed(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("SimHash near-dedup", near_copies),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
+]
+
+# Packing has no SQL; the tests hold run() against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, f"pipeline-{k}")
+    return docs

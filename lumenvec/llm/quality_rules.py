@@ -15,12 +15,13 @@ columns are named so that none clashes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenvec.llm.common import WHITE, bind, col, fresh, words
+from lumenvec.llm.common import bind, col, fresh, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -85,25 +86,34 @@ def repeat_words(w: Column, size: int) -> Column:
     return F.when(F.size(w) <= size, F.lit(0)).otherwise(bind(hashes, repeated)).cast("long")
 
 
-def line_fails(line: Column, rules: Rules) -> Column:
-    """The rules for one line that has a word."""
-    n = F.size(words(line))
-    symbols = F.char_length(line) - F.char_length(F.translate(line, SYMBOLS, ""))
-    separators = F.regexp_count(line, F.lit(r"(?:^|\s)[|»›•>](?=\s|$)"))
+def symbols(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(f"[{SYMBOLS}]"))
+
+
+def line_fails(line: Column, n: Column, n_symbols: Column, rules: Rules) -> Column:
+    """The rules for one line with ``n`` words. What most lines pass comes first and is cheap."""
+    marks = ("|", "»", "›", "•", ">")
+    some = F.lit(False)
+    for x in marks:
+        some = some | line.contains(x)
+    separators = F.regexp_count(line, F.lit(rf"(?:^|\s)[{''.join(marks)}](?=\s|$)"))
     letters = F.regexp_replace(line, r"[^\p{L}]+", "")
-    shouting = (F.char_length(letters) >= 12) & (letters == F.upper(letters)) & (letters != F.lower(letters))
+    shouting = (line == F.upper(line)) & (line != F.lower(line)) & (F.char_length(letters) >= 12)
     unended = (n < rules.short_line) & ~line.rlike(r"[.!?…:;,\"'”’)\]]\s*$")
-    low = F.lower(line)
-    phrase = F.lit(False)
-    for p in BOILERPLATE:
-        phrase = phrase | low.contains(p)
+
+    def phrase(low: Column) -> Column:
+        found = F.lit(False)
+        for p in BOILERPLATE:
+            found = found | low.contains(p)
+        return found
+
     return (
-        (symbols > n * rules.max_symbols)
-        | (separators > rules.max_separators)
-        | shouting
+        (n_symbols > n * rules.max_symbols)
         | unended
-        | phrase
-        | line.contains("{") & line.contains("}")
+        | shouting
+        | (some & (separators > rules.max_separators))
+        | (line.contains("{") & line.contains("}"))
+        | bind(F.lower(line), phrase)
     )
 
 
@@ -112,28 +122,29 @@ def judge(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFr
     n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lost, kept, and the
     cleaned text. If ``docs`` has a column of that name, underscores go before it."""
     w, parts, verdict, own = fresh(docs, "w", "lines", "m", "quality")
-    t = F.coalesce(col(f"`{text}`"), F.lit(""))
-    judged = docs.withColumn(w, words(t)).withColumn(
-        parts,
-        F.transform(
-            F.split(t, "\n"),
-            lambda x: F.struct(
-                x.alias("line"),
-                F.size(words(x)).alias("n"),
-                (x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x, rules)).alias("fails"),
-            ),
-        ),
-    )
-    full = F.transform(F.filter(F.col(parts), lambda x: x["n"] > 0), lambda x: x["line"])
+
+    def line_facts(line: Column) -> Column:
+        def told(x: Column) -> Column:
+            fails = (F.size(x["w"]) > 0) & line_fails(line, F.size(x["w"]), x["n_symbols"], rules)
+            return F.struct(line.alias("line"), x["w"].alias("w"), x["n_symbols"].alias("n_symbols"), fails.alias("fails"))
+
+        return bind(F.struct(words(line).alias("w"), symbols(line).alias("n_symbols")), told)
+
+    lines = F.transform(F.split(F.coalesce(col(f"`{text}`"), F.lit("")), "\n"), line_facts)
+    # Words never cross lines, so the lines' words are the text's.
+    judged = docs.withColumn(parts, lines).withColumn(w, F.flatten(F.transform(parts, lambda x: x["w"])))
+    full = F.transform(F.filter(F.col(parts), lambda x: F.size(x["w"]) > 0), lambda x: x["line"])
+
+    def total(of: Callable[[Column], Column]) -> Column:
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + of(x))
+
     facts = F.struct(
         F.size(w).cast("long").alias("n_words"),
-        F.char_length(F.regexp_replace(t, WHITE, "")).cast("long").alias("word_chars"),
-        (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        total(lambda x: x["n_symbols"]).alias("n_symbols"),
         bind(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col(w), rules.window).alias("n_repeat_words"),
-        F.aggregate(
-            parts, F.lit(0).cast("long"), lambda a, x: a + F.when(x["fails"], x["n"]).otherwise(F.lit(0))
-        ).alias("n_lost"),
+        total(lambda x: F.when(x["fails"], F.size(x["w"])).otherwise(F.lit(0))).alias("n_lost"),
         F.array_join(
             F.transform(F.filter(F.col(parts), lambda x: ~x["fails"]), lambda x: x["line"]), "\n"
         ).alias("cleaned"),

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenvec.llm import line_dedup, mixing, packing, quality_rules, simhash, substring, token_counts, token_files
+from lumenvec.llm import (
+    line_dedup,
+    mixing,
+    packing,
+    quality_rules,
+    simhash,
+    spotsigs,
+    substring,
+    token_counts,
+    token_files,
+    toxicity,
+)
 from lumenvec.llm.encoding import tokenizer_path
 from lumenvec.sources.tables import table
 
@@ -40,6 +51,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint against its edited text's and the next document's."""
+    return spotsigs.compared(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
@@ -67,6 +84,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, the label set apart by a checksum of doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return out.select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts and the verdict of the quality rules for every document."""
