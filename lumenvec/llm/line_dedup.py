@@ -100,29 +100,35 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int
     """``docs`` without the later copies of runs: the text loses those lines.
 
     Adds ``n_lines`` and ``n_removed`` (both of lines with a word)."""
-    gone, gone_key, gone_text, lines, own, n_lines, n_removed = fresh(
-        docs, "gone", "gone_key", "gone_text", "numbered", "own", "n_lines", "n_removed"
+    gone, gone_key, gone_text, found, n_lines, n_removed = fresh(
+        docs, "gone", "gone_key", "gone_text", "found", "n_lines", "n_removed"
     )
     hit = repeats(docs, text, key, window).toDF(gone_key, gone_text, gone)
     same = F.col(f"`{key}`").eqNullSafe(F.col(gone_key)) & (digest(text) == F.col(gone_text))
-    lined = (
-        docs.join(hit, same, "left")
-        .drop(gone_key, gone_text)
-        .withColumn(lines, numbered(col(f"`{text}`")))
-        .withColumn(own, F.transform(F.filter(F.col(lines), lambda x: x["full"]), lambda x: x["at"]))
-    )
-    cut = F.transform(F.col(gone), lambda i: F.get(F.col(own), i))
-    left = F.array_except(F.transform(F.col(lines), lambda x: x["at"]), cut)
+
+    def told(lines: Column) -> Column:
+        def without(own: Column) -> Column:
+            def left(cut: Column) -> Column:
+                keep = F.array_except(F.transform(lines, lambda x: x["at"]), cut)
+                return F.array_join(F.transform(keep, lambda i: F.get(lines, i)["line"]), "\n")
+
+            cut = F.transform(F.col(gone), lambda i: F.get(own, i))
+            whole = F.col(gone).isNull()
+            return F.struct(
+                F.size(own).cast("long").alias("n_lines"),
+                F.when(whole, F.lit(0)).otherwise(F.size(F.col(gone))).cast("long").alias("n_removed"),
+                F.when(whole, F.col(f"`{text}`")).otherwise(bind(cut, left)).alias("text"),
+            )
+
+        return bind(F.transform(F.filter(lines, lambda x: x["full"]), lambda x: x["at"]), without)
+
     return (
-        lined.withColumn(n_lines, F.size(own).cast("long"))
-        .withColumn(n_removed, F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long"))
-        .withColumn(
-            text,
-            F.when(F.col(gone).isNull(), F.col(f"`{text}`")).otherwise(
-                F.array_join(F.transform(left, lambda i: F.get(F.col(lines), i)["line"]), "\n")
-            ),
-        )
-        .drop(lines, own, gone)
+        docs.join(hit, same, "left")
+        .withColumn(found, bind(numbered(col(f"`{text}`")), told))
+        .withColumn(n_lines, F.col(found)["n_lines"])
+        .withColumn(n_removed, F.col(found)["n_removed"])
+        .withColumn(text, F.col(found)["text"])
+        .drop(gone, gone_key, gone_text, found)
     )
 
 

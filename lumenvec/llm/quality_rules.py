@@ -117,11 +117,10 @@ def line_fails(line: Column, n: Column, n_symbols: Column, rules: Rules) -> Colu
     )
 
 
-def judge(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """``docs`` with the struct column ``quality``: n_words, word_chars,
-    n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lost, kept, and the
-    cleaned text. If ``docs`` has a column of that name, underscores go before it."""
-    w, parts, verdict, own = fresh(docs, "w", "lines", "m", "quality")
+def quality(text: Column, rules: Rules = Rules()) -> Column:
+    """A text's facts, verdict and cleaned text as one struct. Every step is a
+    lambda variable for the next, so none is computed twice, wherever
+    Catalyst moves the expression."""
 
     def line_facts(line: Column) -> Column:
         def told(x: Column) -> Column:
@@ -130,42 +129,46 @@ def judge(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFr
 
         return bind(F.struct(words(line).alias("w"), symbols(line).alias("n_symbols")), told)
 
-    lines = F.transform(F.split(F.coalesce(col(f"`{text}`"), F.lit("")), "\n"), line_facts)
+    def total(lines: Column, of: Callable[[Column], Column]) -> Column:
+        return F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + of(x))
+
+    def facts(lines: Column, w: Column) -> Column:
+        full = F.transform(F.filter(lines, lambda x: F.size(x["w"]) > 0), lambda x: x["line"])
+        left = F.transform(F.filter(lines, lambda x: ~x["fails"]), lambda x: x["line"])
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            total(lines, lambda x: x["n_symbols"]).alias("n_symbols"),
+            bind(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            repeat_words(w, rules.window).alias("n_repeat_words"),
+            total(lines, lambda x: F.when(x["fails"], F.size(x["w"])).otherwise(F.lit(0))).alias("n_lost"),
+            F.array_join(left, "\n").alias("cleaned"),
+        )
+
+    def verdict(m: Column) -> Column:
+        failed = (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_pct * m["n_words"])
+        kept = ~failed & (m["n_lost"] <= m["n_words"] * rules.max_lost)
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost", "cleaned")
+        return F.struct(*[m[x].alias(x) for x in names], failed.alias("base_failed"), kept.alias("kept"))
+
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line_facts)
     # Words never cross lines, so the lines' words are the text's.
-    judged = docs.withColumn(parts, lines).withColumn(w, F.flatten(F.transform(parts, lambda x: x["w"])))
-    full = F.transform(F.filter(F.col(parts), lambda x: F.size(x["w"]) > 0), lambda x: x["line"])
-
-    def total(of: Callable[[Column], Column]) -> Column:
-        return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + of(x))
-
-    facts = F.struct(
-        F.size(w).cast("long").alias("n_words"),
-        F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        total(lambda x: x["n_symbols"]).alias("n_symbols"),
-        bind(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col(w), rules.window).alias("n_repeat_words"),
-        total(lambda x: F.when(x["fails"], F.size(x["w"])).otherwise(F.lit(0))).alias("n_lost"),
-        F.array_join(
-            F.transform(F.filter(F.col(parts), lambda x: ~x["fails"]), lambda x: x["line"]), "\n"
-        ).alias("cleaned"),
-    )
-    m = F.col(verdict)
-    failed = (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_pct * m["n_words"])
-    kept = ~failed & (m["n_lost"] <= m["n_words"] * rules.max_lost)
-    out = judged.withColumn(verdict, facts)
-    return out.withColumn(
-        own,
-        F.struct(
-            *[m[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost")],
-            failed.alias("base_failed"),
-            kept.alias("kept"),
-            m["cleaned"].alias("cleaned"),
-        ),
-    ).drop(w, parts, verdict)
+    both = bind(lines, lambda x: bind(F.flatten(F.transform(x, lambda y: y["w"])), lambda w: facts(x, w)))
+    return bind(both, verdict)
+
+
+def judge(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """``docs`` with the struct column ``quality``: n_words, word_chars,
+    n_symbols, n_dup_lines, n_repeat_words, n_lost, base_failed, kept, and the
+    cleaned text. If ``docs`` has a column of that name, underscores go before it."""
+    (own,) = fresh(docs, "quality")
+    return docs.withColumn(own, quality(col(f"`{text}`"), rules))
 
 
 def clean(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The documents that are kept, their text without the lines that failed."""
     (own,) = fresh(docs, "quality")
-    judged = judge(docs, text, rules).where(F.col(own)["kept"])
+    # A generator, so that the filter stays above it and the rules run once a row.
+    kept = F.filter(F.array(quality(col(f"`{text}`"), rules)), lambda x: x["kept"])
+    judged = docs.select("*", F.explode_outer(kept).alias(own)).where(F.col(own).isNotNull())
     return judged.withColumn(text, F.col(own)["cleaned"]).drop(own)
