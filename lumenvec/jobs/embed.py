@@ -18,8 +18,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lumenvec.operators.onnx_batch import OnnxEncoder
-from lumenvec.operators.store import append, embed_incremental, text_hash
-from lumenvec.plans.pipeline import embed, split_results
+from lumenvec.operators.store import append, as_store_rows, embed_incremental, text_hash
+from lumenvec.plans.pipeline import embed
 from lumenvec.profiles import SUBWORD1024, WORDS768
 from lumenvec.sources.vocab import load_tasks, load_vocabulary
 
@@ -58,21 +58,13 @@ def run(spark: SparkSession, args) -> int:
     )
 
     def encode(df):
-        return embed(df, vocab, profile, enc, tasks=tasks)
+        return embed(df, vocab, profile, enc, tasks=tasks, keep=["text_hash"])
 
     if args.incremental:
         return embed_incremental(spark, texts, args.store, encode, profile.name, profile.task)
-    res = encode(texts)
-    good, bad = split_results(res)
-    hashed = texts.select("doc_id", text_hash().alias("text_hash"))
-    out = good.join(hashed, "doc_id").select(
-        "text_hash", F.lit(profile.name).alias("profile"), F.lit(profile.task).cast("string").alias("task"),
-        F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSS").alias("run_id"),
-        F.current_timestamp().alias("run_ts"), "embedding", "dim", "n_tokens", "error",
-    )
-    append(out, args.store)
-    bad.write.mode("append").parquet(args.store.rstrip("/") + "_errors")
-    return spark.read.parquet(args.store).where(F.col("profile") == profile.name).count()
+    # The hash goes along with the text; the model runs once, the split reads what it wrote.
+    hashed = texts.withColumn("text_hash", text_hash())
+    return append(as_store_rows(encode(hashed), profile.name, profile.task), args.store)
 
 
 def main(argv=None) -> None:

@@ -3,66 +3,66 @@
 Two encoders share one output contract
 ``(doc_id, pooled ARRAY<DOUBLE>, mask_sum, n_tokens, inference_time, setup_time, call_seq, error)``:
 
-* ``StaticEncoder`` (O12a): a token-vector table joined to the long-form ids
-  and mean-pooled by one hash aggregate. Pure DataFrame work.
+* ``StaticEncoder`` (O12a): a token-vector table. Where the vocabulary and the
+  table keep under ``MAX_SHIPPED_BYTES``, texts stay rows: the JVM tokenises,
+  one Arrow batch looks its tokens up, gathers their vectors and pools them
+  (``encode_rows``); no explode, no shuffle, any dimension, batch or stream.
+  Beyond that bound the long-form ids are counted per (document, token) first
+  and joined to the vectors by a shuffle (``encode_static``). Both sum
+  ``vector * mask`` in float64.
 * ``OnnxEncoder`` (O12b): an ONNX model run by ``mapInPandas`` over Arrow
   batches; see ``lumenvec.operators.onnx_batch``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenvec.functions.vectors import static_vector
-from lumenvec.operators.pooling import masked_mean_pool
-from lumenvec.plans.strategy import DEFAULT_BROADCAST_ROWS, bounded_broadcast
+from lumenvec.operators.pooling import MIN_MASK, masked_mean_pool
+from lumenvec.operators.tokens import id_rows, task_ids
+from lumenvec.profiles import Profile
 from lumenvec.sources.vocab import Vocabulary
 
-# Broadcast at most this many vector cells (doubles): 32M cells = 256 MB.
-MAX_BROADCAST_CELLS = 32_000_000
+# What may be sent to every executor: tokens, ids and vectors together.
+MAX_SHIPPED_BYTES = 512 << 20
 
 
 @dataclass(frozen=True)
 class StaticEncoder:
+    """``task_scale``: with a task list, (task_id + 1) * task_scale is added to
+    every dimension of every vector, as the stand-in for a task adapter."""
+
     vectors: DataFrame  # (id BIGINT, v ARRAY<DOUBLE>), one row per token id
     dim: int
     row_bound: int | None = None
     runtime: str = "static"
+    task_scale: float = 0.0
 
 
-def fixture_vectors(vocab: Vocabulary, dim: int = 64) -> StaticEncoder:
+def fixture_vectors(vocab: Vocabulary, dim: int = 64, task_scale: float = 0.0) -> StaticEncoder:
     """Deterministic vectors for every id the vocabulary can emit, plus 0."""
     ids = vocab.reverse.select("id").unionByName(vocab.specials.select("id"))
     ids = ids.unionByName(ids.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("id"))).distinct()
     vec = ids.select("id", static_vector("id", dim).alias("v"))
     bound = None if vocab.row_bound is None else 2 * vocab.row_bound + 1
-    return StaticEncoder(vectors=vec, dim=dim, row_bound=bound)
+    return StaticEncoder(vectors=vec, dim=dim, row_bound=bound, task_scale=task_scale)
 
 
-def encode_static(ids: DataFrame, enc: StaticEncoder) -> DataFrame:
-    """O12a + O13 on long-form ids (doc_id, token_id, attention).
-
-    Broadcast join of the vector table when it is proven small (rows x dim
-    under ``MAX_BROADCAST_CELLS``), else a shuffle join on ``token_id``.
-    Ids without a vector are counted into ``error`` rather than dropped,
-    so the mean never silently shifts.
-    """
-    max_rows = min(DEFAULT_BROADCAST_ROWS, MAX_BROADCAST_CELLS // max(enc.dim, 1))
-    vec = bounded_broadcast(
-        enc.vectors.select(F.col("id").alias("_vid"), F.col("v").alias("_v")), max_rows=max_rows, known_rows=enc.row_bound
-    )
-    j = ids.join(vec, F.col("token_id") == F.col("_vid"), "left")
-    pooled = masked_mean_pool(
-        j, enc.dim, key="doc_id", hidden_col="_v", mask_col="attention",
-        extra=[
-            F.count(F.lit(1)).alias("n_tokens"),
-            F.sum(F.when(F.col("_vid").isNull(), 1).otherwise(0)).alias("n_missing"),
-        ],
-    )
+def shipped_bytes(vocab: Vocabulary, enc: StaticEncoder) -> int:
+    """Bytes of the tables that ``encode_rows`` sends to every executor."""
+    size = F.coalesce(F.sum(F.octet_length("token").cast("long") + 16), F.lit(0))
+    tokens = vocab.tokens.unionByName(vocab.specials.select(F.col("content").alias("token"), "id")).agg(size).first()[0]
+    return tokens + enc.vectors.count() * (8 * enc.dim + 8)
+
+
+def _finished(pooled: DataFrame) -> DataFrame:
     err = F.when(F.col("n_missing") > 0, F.format_string("%d token ids have no vector", F.col("n_missing")))
+    err = F.coalesce(F.col("task_error"), err) if "task_error" in pooled.columns else err
     return pooled.select(
         "doc_id",
         F.when(err.isNull(), F.col("pooled")).alias("pooled"),
@@ -72,4 +72,87 @@ def encode_static(ids: DataFrame, enc: StaticEncoder) -> DataFrame:
         F.lit(None).cast("double").alias("setup_time"),
         F.lit(None).cast("int").alias("call_seq"),
         err.alias("error"),
+        *[F.col(c) for c in pooled.columns if c.startswith("keep_")],
     )
+
+
+def encode_static(ids: DataFrame, enc: StaticEncoder) -> DataFrame:
+    """O12a + O13 on long-form ids (doc_id, token_id, attention), by joins.
+
+    Ids without a vector are counted into ``error`` rather than dropped, so
+    the mean never silently shifts."""
+    per = ids.groupBy("doc_id", "token_id").agg(
+        F.sum(F.col("attention").cast("double")).alias("attention"), F.count(F.lit(1)).alias("n")
+    )
+    vec = enc.vectors.select(F.col("id").alias("_vid"), F.col("v").alias("_v"))
+    j = per.join(vec, F.col("token_id") == F.col("_vid"), "left")
+    pooled = masked_mean_pool(j, enc.dim, key="doc_id", hidden_col="_v", mask_col="attention")
+    missing = F.sum(F.when(F.col("_vid").isNull(), F.col("n")).otherwise(F.lit(0)))
+    counts = j.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), missing.alias("n_missing"))
+    return _finished(pooled.drop("n_missing").join(counts, "doc_id"))
+
+
+def encode_rows(
+    texts: DataFrame,
+    vocab: Vocabulary,
+    profile: Profile,
+    enc: StaticEncoder,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    tasks: DataFrame | None = None,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """O12a + O13 row by row: one output row per text, in Arrow batches.
+
+    Columns in ``keep`` come through as ``keep_<name>``."""
+    import numpy as np
+
+    spark = texts.sparkSession
+    named = texts.withColumns({f"keep_{c}": F.col(c) for c in keep or []})
+    extra = [f"keep_{c}" for c in keep or []]
+    with_task = ["task"] if tasks is not None and "task" in texts.columns else []
+    rows = id_rows(named, vocab, profile, text_col, id_col, [*with_task, *extra])
+    if tasks is not None:
+        rows = rows if with_task else rows.withColumn("task", F.lit(profile.task))
+        rows = task_ids(rows, tasks, profile)
+    else:
+        rows = rows.withColumns({"task_id": F.lit(0).cast("long"), "task_error": F.lit(None).cast("string")})
+    rows = rows.select("doc_id", "ids", "task_id", "task_error", *extra)
+
+    vectors = enc.vectors.toPandas()
+    order = np.argsort(vectors["id"].to_numpy(), kind="stable")
+    matrix = np.stack(vectors["v"].to_numpy()).astype(np.float64)[order] if len(vectors) else np.zeros((0, enc.dim))
+    shipped = spark.sparkContext.broadcast((vectors["id"].to_numpy()[order], matrix))
+    dim, scale = enc.dim, enc.task_scale if tasks is not None else 0.0
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        vector_ids, mat = shipped.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            offsets = b.column(1).offsets.to_numpy()
+            ids = b.column(1).values.to_numpy()
+            at = np.minimum(np.searchsorted(vector_ids, ids), max(len(vector_ids) - 1, 0))
+            there = vector_ids[at] == ids if len(vector_ids) else np.zeros(len(ids), bool)
+            means, missing = np.zeros((b.num_rows, dim)), np.zeros(b.num_rows, np.int64)
+            n = np.diff(offsets).astype(np.int64)
+            for i in range(b.num_rows):
+                for lo in range(offsets[i], offsets[i + 1], 4096):  # so many vectors at a time
+                    part = slice(lo, min(lo + 4096, offsets[i + 1]))
+                    own = there[part]
+                    missing[i] += len(own) - int(own.sum())
+                    means[i] += mat[at[part][own]].sum(axis=0)
+            means /= np.maximum(n, MIN_MASK)[:, None]
+            if scale:
+                means += (b.column(2).fill_null(0).to_numpy()[:, None] + 1) * scale
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dim, pa.int32()), pa.array(means.reshape(-1)))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), lists, pa.array(n.astype(float)), pa.array(n), pa.array(missing), *b.columns[3:]],
+                ["doc_id", "pooled", "mask_sum", "n_tokens", "n_missing", "task_error", *extra],
+            )
+
+    kinds = dict(rows.dtypes)
+    schema = "doc_id long, pooled array<double>, mask_sum double, n_tokens long, n_missing long, task_error string"
+    return _finished(rows.mapInArrow(run, ", ".join([schema, *[f"`{c}` {kinds[c]}" for c in extra]])))

@@ -19,10 +19,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenvec.operators.subword import greedy_pieces
 from lumenvec.operators.tokens import raw_tokens, task_ids
 from lumenvec.profiles import Profile
 from lumenvec.sources.vocab import Vocabulary
 
+# A task keeps the pieces of this many pre-tokens at most.
+SEGMENT_CACHE = 1 << 18
+
 OUTPUT_SCHEMA = (
     "doc_id bigint, pooled array<double>, mask_sum double, n_tokens bigint, "
     "inference_time double, setup_time double, call_seq int, error string"
@@ -38,7 +42,6 @@ class OnnxEncoder:
     max_batch_rows: int = 64
     threads: int = 1  # intra-op threads; tasks x threads should fit the cores
     runtime: str = "onnx"
-    max_vocab_rows: int = 5_000_000
 
 
 _SESSIONS: dict = {}
@@ -59,27 +62,10 @@ def _session(key, enc_threads: int, model_bytes, model_path):
     return sess, True
 
 
-def greedy_pieces(token: str, pieces: set, longest: int, unk: str) -> list[str]:
-    """Longest vocabulary piece from the left; no match: one code point as unknown."""
-    out, i, n = [], 0, len(token)
-    while i < n:
-        for ln in range(min(longest, n - i), 0, -1):
-            if token[i : i + ln] in pieces:
-                out.append(token[i : i + ln])
-                i += ln
-                break
-        else:
-            out.append(unk)
-            i += 1
-    return out
-
-
-def _vocab_payload(vocab: Vocabulary, profile: Profile, max_rows: int) -> dict:
-    """Vocabulary as Python dicts for the workers; refuses an unbounded table."""
-    toks = vocab.tokens.select("token", "id").limit(max_rows + 1).toPandas()
-    if len(toks) > max_rows:
-        raise ValueError(f"vocabulary has more than {max_rows} rows; not shipped to workers")
-    spec = vocab.specials.select("content", "id").limit(max_rows + 1).toPandas()
+def _vocab_payload(vocab: Vocabulary, profile: Profile) -> dict:
+    """Vocabulary as Python dicts for the workers (a model artifact)."""
+    toks = vocab.tokens.select("token", "id").toPandas()
+    spec = vocab.specials.select("content", "id").toPandas()
     tokens = dict(zip(toks["token"], toks["id"].astype("int64")))
     specials = dict(zip(spec["content"], spec["id"].astype("int64")))
     return {
@@ -90,7 +76,7 @@ def _vocab_payload(vocab: Vocabulary, profile: Profile, max_rows: int) -> dict:
     }
 
 
-def _runner(enc: OnnxEncoder, profile: Profile, bc_vocab, bc_model, model_key):
+def _runner(enc: OnnxEncoder, profile: Profile, bc_vocab, bc_model, model_key, extra):
     first, last, unk = profile.first, profile.last, profile.unk
     subword = profile.tokens == "subword"
     max_body = None if profile.max_tokens is None else max(profile.max_tokens - 2, 0)
@@ -122,7 +108,9 @@ def _runner(enc: OnnxEncoder, profile: Profile, bc_vocab, bc_model, model_key):
                 if subword:
                     p = seg_cache.get(t)
                     if p is None:
-                        p = seg_cache[t] = greedy_pieces(t, piece_set, voc["longest"], unk)
+                        if len(seg_cache) >= SEGMENT_CACHE:
+                            seg_cache.clear()
+                        p = seg_cache[t] = [x for x, _ in greedy_pieces(t, piece_set, voc["longest"], unk)]
                     body.extend(p)
                 else:
                     body.append(t)
@@ -143,10 +131,14 @@ def _runner(enc: OnnxEncoder, profile: Profile, bc_vocab, bc_model, model_key):
                 feeds["token_type_ids"] = np.zeros_like(ids)
             else:
                 feeds["task_id"] = np.array([task], dtype=np.int64)
-            hidden = sess.run(names, feeds)[0].astype(np.float64)
-            m = mask[..., None].astype(np.float64)
+            r0 = time.perf_counter()
+            hidden = sess.run(names, feeds)[0]
+            span = time.perf_counter() - r0
+            # One text at a time in float64: never a second copy of the whole tensor.
+            m = mask.astype(np.float64)
             msum = m.sum(axis=1)
-            return (hidden * m).sum(axis=1) / np.maximum(msum, 1e-9), msum[:, 0]
+            mean = [(hidden[k].astype(np.float64) * m[k][:, None]).sum(axis=0) / max(msum[k], 1e-9) for k in range(b)]
+            return mean, msum, span
 
         for pdf in batches:
             nrow = len(pdf)
@@ -183,20 +175,18 @@ def _runner(enc: OnnxEncoder, profile: Profile, bc_vocab, bc_model, model_key):
             if cur:
                 chunks.append(cur)
             for ch in chunks:
-                c0 = time.perf_counter()
                 try:
-                    res, ms = model_call([seqs_ids[k] for k in ch], int(tasks[ch[0]]))
-                    span = (time.perf_counter() - c0) / len(ch)
+                    res, ms, span = model_call([seqs_ids[k] for k in ch], int(tasks[ch[0]]))
+                    span /= len(ch)
                     for j, k in enumerate(ch):
                         pooled[k], msums[k], times[k], seqs[k] = res[j], ms[j], tok_time[k] + span, call_seq
                     call_seq += 1
                 except Exception:  # noqa: BLE001 - retry row by row
                     for k in ch:
-                        c1 = time.perf_counter()
                         try:
-                            res, ms = model_call([seqs_ids[k]], int(tasks[k]))
+                            res, ms, span = model_call([seqs_ids[k]], int(tasks[k]))
                             pooled[k], msums[k] = res[0], ms[0]
-                            times[k], seqs[k] = tok_time[k] + time.perf_counter() - c1, call_seq
+                            times[k], seqs[k] = tok_time[k] + span, call_seq
                         except Exception as e:  # noqa: BLE001
                             errs[k] = f"inference: {e}"
                         call_seq += 1
@@ -214,6 +204,7 @@ def _runner(enc: OnnxEncoder, profile: Profile, bc_vocab, bc_model, model_key):
                     "setup_time": setup_col,
                     "call_seq": [None if s < 0 else int(s) for s in seqs],
                     "error": errs,
+                    **{c: pdf[c] for c in extra},
                 }
             )
 
@@ -228,24 +219,27 @@ def encode_onnx(
     text_col: str = "text",
     id_col: str = "doc_id",
     tasks: DataFrame | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Texts -> pooled rows via the ONNX model; one output row per text."""
     from lumenvec.session import ship_package
 
     spark = texts.sparkSession
     ship_package(spark)
-    nested = raw_tokens(texts, profile, text_col, id_col)
+    with_task = ["task"] if "task" in texts.columns and not profile.uses_token_types else []
+    named = texts.withColumns({f"keep_{c}": F.col(c) for c in keep or []})
+    extra = [f"keep_{c}" for c in keep or []]
+    nested = raw_tokens(named, profile, text_col, id_col, [*with_task, *extra])
     if not profile.uses_token_types:
         if tasks is None:
             raise ValueError("this profile's model takes a task id: pass the task list")
-        task_col = "task" if "task" in texts.columns else None
-        if task_col:
-            nested = nested.join(texts.select(F.col(id_col).alias("doc_id"), "task"), "doc_id")
-        else:
+        if not with_task:
             nested = nested.withColumn("task", F.lit(profile.task))
         nested = task_ids(nested, tasks, profile).drop("task")
     sc = spark.sparkContext
-    bc_vocab = sc.broadcast(_vocab_payload(vocab, profile, enc.max_vocab_rows))
+    bc_vocab = sc.broadcast(_vocab_payload(vocab, profile))
     bc_model = sc.broadcast(enc.model_bytes) if enc.model_bytes is not None else None
     key = (enc.model_path, None if enc.model_bytes is None else hash(enc.model_bytes), enc.threads)
-    return nested.mapInPandas(_runner(enc, profile, bc_vocab, bc_model, key), OUTPUT_SCHEMA)
+    kinds = dict(nested.dtypes)
+    schema = ", ".join([OUTPUT_SCHEMA, *[f"`{c}` {kinds[c]}" for c in extra]])
+    return nested.mapInPandas(_runner(enc, profile, bc_vocab, bc_model, key, extra), schema)

@@ -1,74 +1,120 @@
-"""Masked mean pooling, L2 normalisation and preview."""
+"""Masked mean pooling, L2 normalisation and preview.
+
+One rule for every dimension: float64 ``h * mask`` is summed, so a NaN under
+mask 0 is NaN, and a row without a vector adds nothing. Rows of one key lie
+together in most inputs, so each Arrow batch first sums its own rows per key;
+the partial sums are dealt by key and summed again while they stream by. A
+task holds one batch and one key's sums, whatever the key's size.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenvec.functions.vectors import l2_normalize, preview
+from lumenvec.functions.vectors import preview
 
 MIN_MASK = 1e-9  # Fixed value: the clamp on the mask sum.
 
+SUMS = "sums array<double>, mask_sum double, n_rows long, n_missing long"
 
-def masked_sums(hidden: Column, mask: Column, dim: int) -> list[Column]:
-    """One ``sum`` per dimension: a single hash aggregate whose partial
-    buffers are combined map-side, so one compact row per key is shuffled."""
-    m = mask.cast("double")
-    return [F.sum(hidden[i].cast("double") * m) for i in range(dim)]
 
+def _matrix(column, dim: int):
+    """A list column as a float64 matrix and which rows have a vector."""
+    import numpy as np
+    import pyarrow as pa
 
-# Up to this many dimensions one ``sum`` per dimension keeps the aggregate in
-# whole-stage codegen (Spark's limit is 100 fields); wider vectors use one
-# vector-valued aggregate instead, whose plan size does not grow with dim.
-MAX_SUM_COLUMNS = 96
+    there = np.array(column.is_valid().to_numpy(zero_copy_only=False), bool)
+    out = np.zeros((len(column), dim))
+    flat = column.drop_null().flatten()
+    out[there] = np.asarray(flat.cast(pa.float64()).to_numpy(zero_copy_only=False)).reshape(-1, dim)
+    return out, there
 
 
-def masked_mean_pool(
-    long: DataFrame,
-    dim: int,
-    key: str = "doc_id",
-    hidden_col: str = "hidden",
-    mask_col: str = "attention",
-    extra: list[Column] | None = None,
-) -> DataFrame:
-    """Per key and dimension ``sum(h * mask) / max(sum(mask), 1e-9)``.
-
-    Rows with mask 0 add nothing; a key whose mask is all 0 pools to zeros.
-    Returns (key, pooled ARRAY<DOUBLE>, mask_sum DOUBLE, *extra).
-    """
-    mask = F.col(mask_col).cast("double")
-    if dim <= MAX_SUM_COLUMNS:
-        sums = F.array(*masked_sums(F.col(hidden_col), F.col(mask_col), dim))
-        g = long.groupBy(key).agg(sums.alias("_sums"), F.sum(mask).alias("mask_sum"), *(extra or []))
-    else:
-        g = _vector_sums(long, dim, key, hidden_col, mask, extra)
-    den = F.greatest(F.col("mask_sum"), F.lit(MIN_MASK))
-    return g.select(key, F.transform("_sums", lambda x: x / den).alias("pooled"), "mask_sum",
-                    *[c for c in g.columns if c not in (key, "_sums", "mask_sum")])
+def _sums_of_keys(keys, mat, rest) -> tuple:
+    """Sums over equal neighbours: (keys, vectors, the other columns)."""
+    import numpy as np
 
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(mat, first, axis=0), [np.add.reduceat(x, first) for x in rest]
 
-def _vector_sums(long: DataFrame, dim: int, key: str, hidden_col: str, mask: Column, extra) -> DataFrame:
-    """Masked sums with Spark ML's ``Summarizer`` (one aggregate for any dim).
 
-    A masked row (or a row without a vector) becomes a zero vector of weight
-    1: zeros add nothing to any dimension's sum, and the total weight stays
-    positive, which ``Summarizer`` requires."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
+def _batch(keys, mat, mask, n, missing):
+    import pyarrow as pa
 
-    use = (mask != 0) & F.col(hidden_col).isNotNull()
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    vec = array_to_vector(F.when(use, F.col(hidden_col).cast("array<double>")).otherwise(zeros))
-    weight = F.when(use, mask).otherwise(F.lit(1.0))
-    g = long.groupBy(key).agg(
-        Summarizer.metrics("sum").summary(vec, weight).alias("_s"), F.sum(mask).alias("mask_sum"), *(extra or [])
+    dim = mat.shape[1]
+    flat = pa.array(mat.reshape(-1))
+    sums = pa.ListArray.from_arrays(pa.array(range(0, (len(keys) + 1) * dim, dim), pa.int32()), flat)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys, pa.int64()), sums, pa.array(mask, pa.float64()), pa.array(n, pa.int64()), pa.array(missing, pa.int64())],
+        ["key", "sums", "mask_sum", "n_rows", "n_missing"],
     )
-    return g.withColumn("_sums", vector_to_array(F.col("_s.sum"))).drop("_s")
 
 
-def normalized(df: DataFrame, col: str = "pooled", out: str = "embedding") -> DataFrame:
-    """O14 applied to a column."""
-    return df.withColumn(out, l2_normalize(col))
+def _partial(dim: int):
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(0).to_numpy()
+            order = np.argsort(keys, kind="stable")
+            mat, there = _matrix(b.column(1), dim)
+            mask = b.column(2).to_numpy(zero_copy_only=False).astype(float)
+            rest = [mask[order], np.ones(len(keys), np.int64), (~there).astype(np.int64)[order]]
+            k, s, (m, n, missing) = _sums_of_keys(keys[order], (mat * mask[:, None])[order], rest)
+            yield _batch(k, s, m, n, missing)
+
+    return run
+
+
+def _final(dim: int):
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        held = None  # the last key so far, which the next batch may go on with
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(0).to_numpy()
+            mat, _ = _matrix(b.column(1), dim)
+            rest = [b.column(i).to_numpy() for i in (2, 3, 4)]
+            if held:
+                keys, mat = np.concatenate((held[0], keys)), np.concatenate((held[1], mat))
+                rest = [np.concatenate((h, x)) for h, x in zip(held[2], rest)]
+            k, s, (m, n, missing) = _sums_of_keys(keys, mat, rest)
+            held = (k[-1:], s[-1:], [x[-1:] for x in (m, n, missing)])
+            if len(k) > 1:
+                yield _batch(k[:-1], s[:-1], m[:-1], n[:-1], missing[:-1])
+        if held:
+            yield _batch(held[0], held[1], *held[2])
+
+    return run
+
+
+def masked_mean_pool(
+    long: DataFrame, dim: int, key: str = "doc_id", hidden_col: str = "hidden", mask_col: str = "attention"
+) -> DataFrame:
+    """Per key and dimension ``sum(h * mask) / max(sum(mask), 1e-9)``.
+
+    A key whose mask is all 0, or that has no vector, pools to zeros. Returns
+    (key, pooled ARRAY<DOUBLE>, mask_sum DOUBLE, n_rows, n_missing); the last
+    counts rows without a vector."""
+    from lumenvec.session import ship_package
+
+    ship_package(long.sparkSession)
+    rows = long.select(
+        F.col(key).cast("long").alias("key"), F.col(hidden_col).cast("array<double>").alias("h"), F.col(mask_col).alias("m")
+    )
+    partial = rows.mapInArrow(_partial(dim), f"key long, {SUMS}")
+    total = partial.repartition("key").sortWithinPartitions("key").mapInArrow(_final(dim), f"key long, {SUMS}")
+    den = F.greatest(F.col("mask_sum"), F.lit(MIN_MASK))
+    return total.select(
+        F.col("key").alias(key), F.transform("sums", lambda x: x / den).alias("pooled"), "mask_sum", "n_rows", "n_missing"
+    )
 
 
 def embedding_preview(df: DataFrame, col: str = "embedding", n: int = 10) -> DataFrame:

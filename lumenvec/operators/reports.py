@@ -12,53 +12,66 @@ from lumenvec.functions.vectors import cosine, max_abs_diff
 MARKERS = ("[CLS]", "[SEP]", "<s>", "</s>")
 
 
-def unknown_token_report(ids: DataFrame, groups: DataFrame, by: list[str], key: str = "doc_id") -> DataFrame:
-    """Tokens, unknown tokens and unknown rate per group.
-
-    ``ids`` is long-form token ids with ``in_vocab``; the markers are not
-    counted. ``groups`` maps ``key`` to the grouping columns (e.g. ``lang``).
-    """
-    words = ids.where(~F.col("token").isin(*MARKERS))
-    per_doc = words.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_tokens"), F.sum((~F.col("in_vocab")).cast("bigint")).alias("n_unknown")
-    )
-    g = groups.select(key, *by).join(per_doc, key, "left").groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens"),
-        F.coalesce(F.sum("n_unknown"), F.lit(0)).cast("bigint").alias("n_unknown"),
+def unknown_token_report(ids: DataFrame, by: list[str]) -> DataFrame:
+    """Texts, tokens, unknown tokens and unknown rate per group.
+
+    ``ids`` is long-form token ids with ``in_vocab`` and the grouping columns
+    (``token_ids(..., keep=by)``); every text has a first marker, at ``pos`` 0,
+    and the markers are not counted as tokens. One partial aggregate, no join."""
+    word = ~F.col("token").isin(*MARKERS)
+    g = ids.groupBy(*by).agg(
+        F.sum((F.col("pos") == 0).cast("bigint")).alias("n_docs"),
+        F.sum(word.cast("bigint")).alias("n_tokens"),
+        F.sum((word & ~F.col("in_vocab")).cast("bigint")).alias("n_unknown"),
     )
     rate = F.when(F.col("n_tokens") > 0, F.col("n_unknown") / F.col("n_tokens"))
     return g.withColumn("unknown_rate", F.round(rate, 6))
 
 
-def top_unknown_tokens(ids: DataFrame, groups: DataFrame, by: list[str], n: int = 5, key: str = "doc_id") -> DataFrame:
-    """The ``n`` most frequent unknown tokens per group (count desc, token asc).
+def top_unknown_tokens(ids: DataFrame, by: list[str], n: int = 5) -> DataFrame:
+    """The ``n`` most frequent unknown tokens per group (count desc, token
+    asc); an unknown piece is named by the character it stands for.
 
     Counts are pre-aggregated per (group, token) with a partial aggregate; the
     window then keeps n per group (``WindowGroupLimit``)."""
-    unk = ids.where(~F.col("in_vocab") & ~F.col("token").isin(*MARKERS)).join(groups.select(key, *by), key)
-    c = unk.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("n"))
+    name = F.coalesce("source", "token") if "source" in ids.columns else F.col("token")
+    unk = ids.where(~F.col("in_vocab") & ~F.col("token").isin(*MARKERS))
+    c = unk.groupBy(*by, name.alias("token")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*by).orderBy(F.desc("n"), F.asc("token"))
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(
         *by, F.col("rank").cast("bigint").alias("rank"), "token", "n"
     )
 
 
-def latency_report(results: DataFrame, runtime_col: str = "runtime") -> DataFrame:
-    """Per runtime: rows, model calls, first-call vs later mean latency,
-    mean/p50/p95 per-row inference time, set-up time and rows per second of
-    inference time."""
+def latency_report(results: DataFrame, runtime_col: str = "runtime", order_col: str = "call_time", call_col: str = "call_seq") -> DataFrame:
+    """O20 over a table of results (runtime, call time, inference_time, set-up
+    time): per runtime rows and calls, the first call by time against the mean
+    of the later rows, mean, exact median and 95th percentile, set-up time and
+    rows per second of inference time."""
     r = results.where(F.col("inference_time").isNotNull())
-    return r.groupBy(runtime_col).agg(
+    t = F.col("inference_time")
+    calls = r.groupBy(runtime_col, call_col).agg(F.count(F.lit(1)).alias("k")).groupBy(runtime_col).agg(F.count(F.lit(1)).alias("calls"))
+    first = r.groupBy(runtime_col).agg(F.min(F.struct(order_col, call_col, "inference_time")).alias("f"))
+    stats = r.groupBy(runtime_col).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.countDistinct("call_seq").alias("call_slots"),
-        F.avg(F.when(F.col("call_seq") == 0, F.col("inference_time"))).alias("first_call_mean"),
-        F.avg(F.when(F.col("call_seq") > 0, F.col("inference_time"))).alias("later_call_mean"),
-        F.avg("inference_time").alias("mean"),
-        F.percentile_approx("inference_time", 0.5).alias("p50"),
-        F.percentile_approx("inference_time", 0.95).alias("p95"),
+        F.sum(t).alias("total"),
+        F.expr("percentile(inference_time, 0.5)").alias("p50"),
+        F.expr("percentile(inference_time, 0.95)").alias("p95"),
         F.sum("setup_time").alias("setup_time"),
-        (F.count(F.lit(1)) / F.sum("inference_time")).alias("rows_per_sec"),
+    )
+    j = stats.join(first, runtime_col).join(calls, runtime_col)
+    later = F.when(F.col("rows") > 1, (F.col("total") - F.col("f.inference_time")) / (F.col("rows") - 1))
+    return j.select(
+        runtime_col,
+        "rows",
+        "calls",
+        F.col("f.inference_time").alias("first_call"),
+        F.round(later, 6).alias("later_mean"),
+        F.round(F.col("total") / F.col("rows"), 6).alias("mean"),
+        "p50",
+        F.round("p95", 6).alias("p95"),
+        "setup_time",
+        F.round(F.when(F.col("total") > 0, F.col("rows") / F.col("total")), 6).alias("rows_per_sec"),
     )
 
 

@@ -1,64 +1,76 @@
 """Exact top-k cosine search (O24) and pair scoring.
 
-Top-k never materialises query x base pairs as rows. Queries are taken in
-blocks of at most ``block`` rows (a proven size, shipped by broadcast); each
-base partition multiplies its rows against the block in numpy and keeps,
-per query, only the rows that can still reach the top k. Spark then ranks
-those few candidates per query with a window whose ``row_number() <= k``
-filter is planned as a ``WindowGroupLimit`` before the shuffle.
+Both sides are written once as packed blocks (ids, vectors as bytes) of at
+most ``block`` rows. Every base block meets every query block in one join,
+which is what exact search costs; a meeting is one matrix product in numpy and
+gives, per query, the block's k best (and rows tied with the k-th after
+rounding, up to k by smallest id), never pairs as rows. Spark then keeps k per
+query with a window whose ``row_number() <= k`` is a ``WindowGroupLimit``
+before the shuffle. Nothing passes through the driver; the base is read once.
+
+Rows whose vector is NULL or holds a NaN (error rows, texts with a zero
+vector) match nothing and find nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenvec.functions.vectors import dot
+from lumenvec.plans.strategy import materialize
 
 # Scores are ranked after rounding to this many places, ties by base id.
 SCORE_DIGITS = 6
-# Rounding moves a value by at most half a unit of the last place, so rows
-# more than one unit below the k-th best can never enter the top k.
-_MARGIN = 10.0 ** -SCORE_DIGITS
 
 
-def _candidates_fn(qids, qmat, k: int, exclude_self: bool, rows_per_step: int = 4096):
-    def run(batches):
+def _blocks(rows: DataFrame, block: int, name: str) -> DataFrame:
+    """(id, vec) -> (ids, mat, dim): blocks of at most ``block`` rows with a whole vector."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            b = b.filter(b.column(1).is_valid())
+            for at in range(0, b.num_rows, block):
+                part = b.slice(at, block)
+                ids = part.column(0).to_numpy()
+                mat = np.array(part.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), -1)
+                good = np.isfinite(mat).all(axis=1)
+                ids, mat = ids[good], mat[good]
+                if len(ids):
+                    yield pa.RecordBatch.from_pydict(
+                        {"ids": pa.array([ids.tolist()]), "mat": pa.array([mat.tobytes()], pa.binary()), "dim": pa.array([mat.shape[1]], pa.int32())}
+                    )
+
+    clean = rows.where(F.col("vec").isNotNull()).select("id", F.col("vec").cast("array<double>").alias("vec"))
+    return materialize(clean.mapInArrow(run, "ids array<long>, mat binary, dim int"), name)
+
+
+def _meet(k: int, exclude_self: bool):
+    def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
-
-        q = qmat.astype(np.float64)
-        found = []  # (query index array, base id array, score array)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            ids = pdf["bid"].to_numpy()
-            mat = np.stack(pdf["bvec"].to_numpy()).astype(np.float64)
-            for s in range(0, len(ids), rows_per_step):
-                part, pids = mat[s : s + rows_per_step], ids[s : s + rows_per_step]
-                sc = part @ q.T  # [rows, queries]
+        import pyarrow as pa
+
+        for b in batches:
+            for q_ids, q_mat, b_ids, b_mat, dim in zip(*[c.to_pylist() for c in b.columns]):
+                q_ids, b_ids = np.array(q_ids), np.array(b_ids)
+                q = np.frombuffer(q_mat).reshape(-1, dim)
+                base = np.frombuffer(b_mat).reshape(-1, dim)
+                score = np.round(q @ base.T, SCORE_DIGITS)
                 if exclude_self:
-                    sc[pids[:, None] == qids[None, :]] = -np.inf
-                kk = min(k, sc.shape[0])
-                kth = -np.partition(-sc, kk - 1, axis=0)[kk - 1]  # k-th best per query
-                r, c = np.nonzero(sc >= (kth - _MARGIN)[None, :])
-                keep = np.isfinite(sc[r, c])
-                found.append((c[keep], pids[r[keep]], sc[r[keep], c[keep]]))
-        if not found:
-            return
-        c = np.concatenate([f[0] for f in found])
-        b = np.concatenate([f[1] for f in found])
-        s = np.concatenate([f[2] for f in found])
-        # Merge the steps of this partition: same margin rule over the union.
-        out = []
-        for j in np.unique(c):
-            m = c == j
-            sj, bj = s[m], b[m]
-            kk = min(k, len(sj))
-            kth = -np.partition(-sj, kk - 1)[kk - 1]
-            sel = sj >= kth - _MARGIN
-            out.append(pd.DataFrame({"query_id": qids[j], "doc_id": bj[sel], "score": sj[sel]}))
-        yield pd.concat(out, ignore_index=True)
+                    score[q_ids[:, None] == b_ids[None, :]] = -np.inf
+                # Falling score, then rising id, in one sort of k rows a query.
+                by_id = np.argsort(b_ids, kind="stable")
+                best = by_id[np.argsort(-score[:, by_id], axis=1, kind="stable")[:, :k]]
+                found = np.take_along_axis(score, best, axis=1)
+                row, column = np.nonzero(np.isfinite(found))
+                yield pa.RecordBatch.from_pydict(
+                    {"query_id": q_ids[row], "doc_id": b_ids[best[row, column]], "score": found[row, column]}
+                )
 
     return run
 
@@ -72,40 +84,28 @@ def topk_similar(
     base_id: str = "doc_id",
     base_vec: str = "embedding",
     exclude_self: bool = False,
-    block: int = 4096,
+    block: int = 1024,
 ) -> DataFrame:
     """(query_id, rank, doc_id, score) with the k best base rows per query.
 
     Score is the dot product, i.e. the cosine for unit vectors (O14 output).
-    """
-    import numpy as np
-
+    Without queries or base rows the result is empty."""
     from lumenvec.session import ship_package
 
-    ship_package(queries.sparkSession)
-    q = queries.select(F.col(query_id).cast("bigint").alias("qid"), F.col(query_vec).alias("qvec"))
-    b = base.select(F.col(base_id).cast("bigint").alias("bid"), F.col(base_vec).alias("bvec"))
-    first = q.limit(block + 1).toPandas()  # one pass when the queries fit one block
-    n_blocks = 1 if len(first) <= block else max(2, -(-q.count() // block))
-    parts = []
-    for blk in range(n_blocks):
-        if n_blocks == 1:
-            pdf = first
-        else:
-            qb = q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == blk)
-            pdf = qb.limit(2 * block + 1).toPandas()  # a hash block is near ``block`` rows
-            if len(pdf) > 2 * block:
-                raise ValueError("query block larger than twice the block size; raise block count")
-        if len(pdf) == 0:
-            continue
-        qids = pdf["qid"].to_numpy().astype(np.int64)
-        qmat = np.stack(pdf["qvec"].to_numpy())
-        fn = _candidates_fn(qids, qmat, k, exclude_self)
-        parts.append(b.mapInPandas(fn, "query_id bigint, doc_id bigint, score double"))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    cand = cand.withColumn("score", F.round("score", SCORE_DIGITS))
+    spark = queries.sparkSession
+    ship_package(spark)
+    q = queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(query_vec).alias("vec"))
+    b = base.select(F.col(base_id).cast("bigint").alias("id"), F.col(base_vec).alias("vec"))
+    q_blocks = _blocks(q, block, "topk-queries").select(F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"), "dim")
+    b_blocks = _blocks(b, block, "topk-base").select(F.col("ids").alias("b_ids"), F.col("mat").alias("b_mat"), "dim")
+    # Every base block has to meet every query block: each query block goes to
+    # all cells of its row, each base block to all cells of its column.
+    side = max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) ** 0.5))
+    cells = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    q_side = q_blocks.withColumn("qc", F.pmod(F.xxhash64("q_ids"), F.lit(side)).cast("int")).withColumn("bc", cells)
+    b_side = b_blocks.withColumn("bc", F.pmod(F.xxhash64("b_ids"), F.lit(side)).cast("int")).withColumn("qc", cells)
+    met = q_side.join(b_side, ["qc", "bc", "dim"]).select("q_ids", "q_mat", "b_ids", "b_mat", "dim")
+    cand = met.mapInArrow(_meet(k, exclude_self), "query_id bigint, doc_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score")

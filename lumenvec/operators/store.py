@@ -1,11 +1,12 @@
 """Embedding store (O23) and incremental runs.
 
 The store is a Parquet table partitioned by ``profile``; every run appends
-rows keyed by ``(text_hash, profile, task)`` with a ``run_ts``. Reading the
-latest row per key is a window over that key (partition pruning on
-``profile`` keeps the scan to one profile). An incremental run anti-joins
-its texts against the store, encodes each distinct new text once and joins
-the result back to every document that carries it.
+rows keyed by ``(text_hash, profile, task)`` with a ``run_ts``. Error rows go
+beside it, into ``<store>_errors``, so a failed run never hides a good
+embedding. The latest row per key is chosen on the narrow columns; vectors are
+joined to the chosen rows only. An incremental run anti-joins its texts
+against the store, encodes each distinct new text once and writes the result
+once before it is split.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenvec.plans.strategy import materialize
+
 STORE_COLUMNS = ["text_hash", "profile", "task", "run_id", "run_ts", "embedding", "dim", "n_tokens", "error"]
+KEY = ["text_hash", "profile", "task"]
 
 
 def text_hash(col: str = "text"):
@@ -33,13 +37,33 @@ def read_store(spark: SparkSession, path: str, profile: str | None = None) -> Da
 
 
 def latest(store: DataFrame) -> DataFrame:
-    """Latest row per (text_hash, profile, task); ties by run_ts then error-free first."""
-    w = Window.partitionBy("text_hash", "profile", "task").orderBy(F.desc("run_ts"), F.col("error").asc_nulls_first())
-    return store.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    """One row per (text_hash, profile, task): error-free rows first, then the
+    latest run. Of several equal ones in a run, one stays."""
+    good = F.struct(F.col("error").isNull().cast("int"), "run_ts", "run_id")
+    narrow = store.groupBy(*[F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in KEY], F.col("task").isNull().alias("_no_task")).agg(
+        F.max(good).alias("_best")
+    )
+    same = F.col("task").isNull() == F.col("_no_task")
+    for c in KEY:
+        same = same & (F.coalesce(F.col(c), F.lit("")) == F.col(f"_{c}"))
+    chosen = store.join(narrow, same & (good == F.col("_best"))).select(*store.columns)
+    w = Window.partitionBy(*KEY).orderBy("run_ts")
+    return chosen.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+
+
+def errors_path(path: str) -> str:
+    return path.rstrip("/") + "_errors"
 
 
-def append(results: DataFrame, path: str) -> None:
-    results.select(*STORE_COLUMNS).write.mode("append").partitionBy("profile").parquet(path)
+def append(results: DataFrame, path: str) -> int:
+    """Writes finished results once and splits them: error-free rows into the
+    store, the others into ``<store>_errors``. Returns the rows stored."""
+    done = materialize(results.select(*STORE_COLUMNS), "store-run")
+    good, bad = done.where(F.col("error").isNull()), done.where(F.col("error").isNotNull())
+    good.write.mode("append").partitionBy("profile").parquet(path)
+    if not bad.isEmpty():
+        bad.write.mode("append").partitionBy("profile").parquet(errors_path(path))
+    return good.count()
 
 
 def pending(texts: DataFrame, done: DataFrame | None, profile: str, task: str | None = None,
@@ -59,25 +83,26 @@ def pending(texts: DataFrame, done: DataFrame | None, profile: str, task: str |
     return todo.join(d, "text_hash", "left_anti")
 
 
+def as_store_rows(results: DataFrame, profile: str, task: str | None) -> DataFrame:
+    """Result rows that carry ``text_hash`` in the shape of the store."""
+    return results.select(
+        "text_hash", F.lit(profile).alias("profile"), F.lit(task).cast("string").alias("task"),
+        F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSS").alias("run_id"),
+        F.current_timestamp().alias("run_ts"), "embedding", "dim", "n_tokens", "error",
+    )
+
+
 def embed_incremental(spark: SparkSession, texts: DataFrame, store_path: str, embed_fn, profile: str,
                       task: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> int:
-    """Encode only texts the store lacks; append them. Returns rows encoded.
+    """Encode only texts the store lacks; append them. Returns rows stored.
 
-    ``embed_fn(df)`` takes (doc_id, text) and returns the result rows of
-    ``plans.pipeline.embed`` keyed by the same doc_id.
+    ``embed_fn(df)`` takes (doc_id, text, text_hash) and returns the result
+    rows of ``plans.pipeline.embed(..., keep=["text_hash"])``.
     """
     done = read_store(spark, store_path, profile) if store_exists(spark, store_path) else None
     todo = pending(texts, done, profile, task, text_col, id_col)
     batch = todo.select(F.col("first_doc_id").alias("doc_id"), "text", "text_hash")
-    res = embed_fn(batch.select("doc_id", "text")).join(batch.select("doc_id", "text_hash"), "doc_id")
-    out = res.select(
-        "text_hash", F.lit(profile).alias("profile"), F.lit(task).cast("string").alias("task"),
-        F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSS").alias("run_id"),
-        F.current_timestamp().alias("run_ts"), "embedding", "dim", "n_tokens", "error",
-    )
-    before = spark.read.parquet(store_path).count() if done is not None else 0
-    append(out, store_path)
-    return spark.read.parquet(store_path).count() - before
+    return append(as_store_rows(embed_fn(batch), profile, task), store_path)
 
 
 def documents_view(texts: DataFrame, store: DataFrame, profile: str, task: str | None = None,

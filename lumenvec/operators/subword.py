@@ -1,171 +1,91 @@
 """Greedy longest-match subword segmentation (O7) as DataFrame work.
 
-Each distinct pre-token is segmented once:
-
-1. every (start, length) substring up to the longest vocabulary piece is a
-   candidate row; a broadcast left join with the vocabulary marks matches;
-2. only matched rows (plus one marker row per pre-token) go on: ``max(length)``
-   per (pre-token, start) gives the best match where there is one; the rows
-   stay partitioned by pre-token from the ``distinct`` shuffle, so both
-   aggregations run without another exchange;
-3. a left-to-right ``aggregate`` walks the positions with a pointer into the
-   sorted matches: at the current cut take the best piece, or one code point
-   as the unknown token, and jump.
-
-Positions are code points throughout: Spark's ``substring`` and
-``char_length`` count code points, so an emoji is one unit, as chosen for the
-unknown-character step.
+The pre-tokens of a corpus are counted once and that table is written; every
+distinct pre-token is then cut once, whatever its length, in Arrow batches
+with the vocabulary's pieces at hand (a model artifact, sent by broadcast).
+The written segment table is joined back to the occurrences. The join has no
+hint: a small table is broadcast by size, a large one is shuffled on the
+pre-token and a frequent pre-token's occurrences are split (AQE skew join).
+
+Positions are code points throughout, so an emoji is one unit, as chosen for
+the unknown-character step. A piece that is the unknown token keeps the
+character it stands for in ``source``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenvec.plans.strategy import bounded_broadcast
+from lumenvec.plans.strategy import materialize
 from lumenvec.profiles import Profile
 from lumenvec.sources.vocab import Vocabulary
 
 
-# Pre-tokens longer than this go through the exact greedy helper instead of
-# the join-based walk, whose list of cuts grows by copying (quadratic in the
-# number of pieces of one pre-token). Both give the same pieces.
-LONG_PRETOKEN = 200
-
-
-def segment_table(
-    distinct_tokens: DataFrame, vocab: Vocabulary, profile: Profile, col: str = "token", long_at: int = LONG_PRETOKEN
-) -> DataFrame:
-    """(token) distinct -> (token, pieces ARRAY<STRING>)."""
-    t = distinct_tokens.select(F.col(col).alias("token"))
-    short = _segment_joined(t.where(F.char_length("token") <= long_at), vocab, profile)
-    return short.unionByName(_segment_long_tokens(t.where(F.char_length("token") > long_at), vocab, profile))
-
-
-def _segment_long_tokens(tokens: DataFrame, vocab: Vocabulary, profile: Profile) -> DataFrame:
-    """Greedy pieces of (rare) very long pre-tokens, linear per token, with
-    the vocabulary pieces broadcast as a set (a bounded model artifact)."""
-    from lumenvec.operators.onnx_batch import greedy_pieces
+def greedy_pieces(token: str, pieces, longest: int, unk: str) -> list[tuple[str, str | None]]:
+    """Longest vocabulary piece from the left, as (piece, None); no match: one
+    code point as (unknown token, that code point)."""
+    out, i, n = [], 0, len(token)
+    while i < n:
+        for ln in range(min(longest, n - i), 0, -1):
+            if token[i : i + ln] in pieces:
+                out.append((token[i : i + ln], None))
+                i += ln
+                break
+        else:
+            out.append((unk, token[i]))
+            i += 1
+    return out
+
+
+def segment_table(distinct_tokens: DataFrame, vocab: Vocabulary, profile: Profile, col: str = "token") -> DataFrame:
+    """(token) distinct -> (token, pieces ARRAY<STRING>, sources ARRAY<STRING>)."""
     from lumenvec.session import ship_package
 
-    spark = tokens.sparkSession
+    spark = distinct_tokens.sparkSession
     ship_package(spark)
-    limit = 5_000_000
-    pdf = vocab.tokens.select("token").limit(limit + 1).toPandas()
-    if len(pdf) > limit:
-        raise ValueError(f"vocabulary has more than {limit} pieces; not shipped to workers")
-    pieces = set(pdf["token"])
-    bc = spark.sparkContext.broadcast((pieces, max((len(x) for x in pieces), default=1)))
+    pieces = {r["token"] for r in vocab.tokens.select("token").collect()}
+    shipped = spark.sparkContext.broadcast((pieces, max(map(len, pieces), default=1)))
     unk = profile.unk
 
-    # Long pre-tokens are rare: fewer, fuller Python tasks (no shuffle).
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 16)
-    tokens = tokens.coalesce(parts)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def run(batches):
-        import pandas as pd
-
-        vocab_set, longest = bc.value
+        known, longest = shipped.value
+        kind = pa.list_(pa.string())
         for b in batches:
-            yield pd.DataFrame({"token": b["token"], "pieces": [greedy_pieces(x, vocab_set, longest, unk) for x in b["token"]]})
-
-    return tokens.mapInPandas(run, "token string, pieces array<string>")
-
-
-def _segment_joined(t: DataFrame, vocab: Vocabulary, profile: Profile) -> DataFrame:
-    """Segmentation as candidate rows, a broadcast join, two aggregates and a walk."""
-    pieces = vocab.tokens.select(F.col("token").alias("_piece"))
-    longest = vocab.tokens.select(F.max(F.char_length("token"))).scalar()
-    v = bounded_broadcast(pieces, known_rows=vocab.row_bound)
-
-    t = t.withColumn("n", F.char_length("token"))
-    # Start -1 is a marker row per pre-token, so pre-tokens without any
-    # match keep a row through the aggregation.
-    starts = t.select("token", "n", F.explode_outer(F.sequence(F.lit(-1), F.col("n") - 1)).alias("start"))
-    lens = F.when(F.col("start") < 0, F.array(F.lit(0))).otherwise(
-        F.sequence(F.lit(1), F.least(F.coalesce(longest, F.lit(1)), F.col("n") - F.col("start")))
-    )
-    cand = starts.select("token", "n", "start", F.explode_outer(lens).alias("len")).withColumn(
-        "sub", F.substring("token", F.col("start") + 1, F.col("len"))
-    )
-    hit = cand.join(v, F.col("sub") == F.col("_piece"), "left").where(
-        F.col("_piece").isNotNull() | (F.col("start") < 0)
-    )
-    best = hit.groupBy("token", "n", "start").agg(F.max("len").alias("best"))
-    sparse = best.groupBy("token", "n").agg(F.array_sort(F.collect_list(F.struct("start", "best"))).alias("m"))
-
-    # Walk the starts left to right. ``m`` is sorted by start with distinct
-    # starts, so a pointer ``p`` that moves at most one entry per position
-    # gives the best match at position i in O(1).
-    init = F.struct(F.lit(0).alias("nxt"), F.lit(1).alias("p"), F.array().cast("array<struct<i:int,b:int>>").alias("cuts"))
-
-    def step(acc, i):
-        entry = F.get(F.col("m"), acc["p"])
-        has = F.coalesce(entry["start"] == i, F.lit(False))
-        b = F.when(has, entry["best"]).otherwise(F.lit(0))
-        p = F.when(has, acc["p"] + 1).otherwise(acc["p"])
-        cut = F.struct(i.alias("i"), b.alias("b"))
-        at_cut = i == acc["nxt"]
-        return F.struct(
-            F.when(at_cut, i + F.greatest(b, F.lit(1))).otherwise(acc["nxt"]).alias("nxt"),
-            p.alias("p"),
-            F.when(at_cut, F.concat(acc["cuts"], F.array(cut))).otherwise(acc["cuts"]).alias("cuts"),
-        )
-
-    walked = sparse.select("token", F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), init, step)["cuts"].alias("cuts"))
-    return walked.select(
-        "token",
-        F.transform(
-            "cuts",
-            lambda c: F.when(c["b"] > 0, F.substring("token", c["i"] + 1, c["b"])).otherwise(F.lit(profile.unk)),
-        ).alias("pieces"),
-    )
-
-
-def segment_long(
-    long: DataFrame,
-    vocab: Vocabulary,
-    profile: Profile,
-    broadcast_rows: int = 2_000_000,
-    hot_rows: int = 200_000,
-) -> DataFrame:
-    """(doc_id, pos, token[, is_marker]) pre-tokens -> (doc_id, pos, sub, token) pieces.
+            cut = [greedy_pieces(t, known, longest, unk) for t in b.column(0).to_pylist()]
+            columns = [pa.array([[x[k] for x in c] for c in cut], kind) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["token", "pieces", "sources"])
+
+    tokens = distinct_tokens.select(F.col(col).alias("token"))
+    return tokens.mapInArrow(run, "token string, pieces array<string>, sources array<string>")
+
+
+def segment_long(long: DataFrame, vocab: Vocabulary, profile: Profile) -> DataFrame:
+    """(doc_id, pos, token[, is_marker], ...) pre-tokens -> (doc_id, pos, sub, token, source, ...) pieces.
 
     ``(pos, sub)`` orders the pieces: ``pos`` is the pre-token position and
     ``sub`` the piece index within it. Rows flagged ``is_marker`` (the frame
-    markers) pass through as one piece.
-
-    The segment table (one row per distinct pre-token, with its count) is
-    written once to the shared checkpoint folder, which cuts its lineage and
-    makes its size cheap to check. Under ``broadcast_rows`` it is broadcast,
-    so the occurrences stay where they are (partitioned by document). Above
-    it, the ``hot_rows`` most frequent pre-tokens (a proven bound) are still
-    broadcast and only the remaining occurrences go through a shuffle join on
-    the pre-token: a pre-token holding a third of all occurrences (``▁the``)
-    never lands in one reduce task.
-    """
-    from lumenvec.plans.strategy import materialize
-
+    markers) pass through as one piece. With ``max_tokens`` a document keeps
+    its first ``max_tokens - 2`` pieces between the markers."""
     if long.isStreaming:
-        raise ValueError("subword segmentation by join needs a batch input; use the ONNX path for streams")
+        raise ValueError("segmentation by join needs a batch input; use the row-local encoder for streams")
     marker = F.col("is_marker") if "is_marker" in long.columns else F.lit(False)
+    rest = [c for c in long.columns if c not in ("doc_id", "pos", "token", "is_marker")]
     words = long.where(~marker)
-    counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))  # partial aggregate map-side
-    seg = materialize(segment_table(counts, vocab, profile).join(counts, "token"), "segments")
-    n_seg = seg.count()
-    if n_seg <= broadcast_rows:
-        j = long.join(F.broadcast(seg.select("token", "pieces")), "token", "left")
-        j = j.select("doc_id", "pos", "token", F.when(marker, F.array("token")).otherwise(F.col("pieces")).alias("pieces"))
-    else:
-        hot = seg.orderBy(F.desc("n"), F.asc("token")).limit(hot_rows).select(
-            F.col("token").alias("_ht"), F.col("pieces").alias("_hp")
-        )
-        tagged = long.join(F.broadcast(hot), F.col("token") == F.col("_ht"), "left")
-        done = tagged.where(F.col("_ht").isNotNull() | marker).select(
-            "doc_id", "pos", "token", F.when(marker, F.array("token")).otherwise(F.col("_hp")).alias("pieces")
-        )
-        cold = tagged.where(F.col("_ht").isNull() & ~marker).select("doc_id", "pos", "token")
-        j = done.unionByName(cold.join(seg.select("token", "pieces"), "token"))
+    counts = materialize(words.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "pre-tokens")
+    seg = materialize(segment_table(counts, vocab, profile), "segments")
+    piece = F.transform(F.arrays_zip("pieces", "sources"), lambda x: F.struct(x["pieces"].alias("token"), x["sources"].alias("source")))
+    own = F.array(F.struct(F.col("token").alias("token"), F.lit(None).cast("string").alias("source")))
+    j = long.withColumn("is_marker", marker).join(seg.withColumnRenamed("token", "_t"), F.col("token") == F.col("_t"), "left")
+    j = j.select("doc_id", "pos", "is_marker", *rest, F.when(F.col("is_marker"), own).otherwise(piece).alias("p"))
     # posexplode_outer + filter: no inferred size filter re-evaluating pieces.
-    out = j.select("doc_id", "pos", F.posexplode_outer("pieces").alias("sub", "token"))
-    return out.where(F.col("sub").isNotNull())
+    out = j.select("doc_id", "pos", "is_marker", *rest, F.posexplode_outer("p").alias("sub", "x")).where(F.col("sub").isNotNull())
+    if profile.max_tokens is not None:
+        w = Window.partitionBy("doc_id", "is_marker").orderBy("pos", "sub")
+        nth = F.row_number().over(w)
+        out = out.withColumn("_n", nth).where(F.col("is_marker") | (F.col("_n") <= max(profile.max_tokens - 2, 0)))
+    return out.select("doc_id", "pos", "sub", "x.token", "x.source", *rest)

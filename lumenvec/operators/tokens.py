@@ -16,10 +16,12 @@ from lumenvec.profiles import Profile
 from lumenvec.sources.vocab import Vocabulary
 
 
-def raw_tokens(texts: DataFrame, profile: Profile, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """O5 (words) / O6 (pre-tokens) in nested form: (doc_id, tokens)."""
+def raw_tokens(
+    texts: DataFrame, profile: Profile, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None
+) -> DataFrame:
+    """O5 (words) / O6 (pre-tokens) in nested form: (doc_id, tokens, *keep)."""
     fn = v2_words if profile.tokens == "words" else v3_pretokens
-    return texts.select(F.col(id_col).alias("doc_id"), fn(text_col).alias("tokens"))
+    return texts.select(F.col(id_col).alias("doc_id"), fn(text_col).alias("tokens"), *(keep or []))
 
 
 def explode_tokens(nested: DataFrame, col: str = "tokens", keep: list[str] | None = None) -> DataFrame:
@@ -66,10 +68,13 @@ def lookup_ids(long: DataFrame, vocab: Vocabulary, profile: Profile, token_col:
         vocab.specials.select(F.col("content").alias("_st"), F.col("id").alias("_sid")), known_rows=vocab.row_bound
     )
     out = long.join(v, F.col(token_col) == F.col("_vt"), "left").join(s, F.col(token_col) == F.col("_st"), "left")
+    found = F.col("_vid").isNotNull() | F.col("_sid").isNotNull()
+    if "source" in long.columns:  # the unknown token is in the tables, what it stands for is not
+        found = found & F.col("source").isNull()
     return out.select(
         *[c for c in long.columns],
         F.coalesce("_vid", "_sid", unknown_id(vocab, profile)).alias("token_id"),
-        (F.col("_vid").isNotNull() | F.col("_sid").isNotNull()).alias("in_vocab"),
+        found.alias("in_vocab"),
         F.lit(1).cast("bigint").alias("attention"),
         F.lit(0).cast("bigint").alias("token_type"),
     )
@@ -81,50 +86,128 @@ def token_ids(
     profile: Profile,
     text_col: str = "text",
     id_col: str = "doc_id",
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Texts -> long form (doc_id, pos, sub, token, token_id, in_vocab, attention, token_type).
+    """Texts -> long form (doc_id, pos, sub, token, token_id, in_vocab, attention, token_type, *keep).
 
     Words profile: O5 -> O8 -> O9, ``pos`` 0 is the first marker, ``sub`` 0.
     Subword profile: O6 -> O8 -> O7 -> O9; ``pos`` is the position in the
     framed pre-token sequence (markers at 0 and n+1) and ``sub`` the piece
-    within that pre-token.
+    within that pre-token; ``source`` is the character an unknown piece stands
+    for. Columns of ``texts`` named in ``keep`` go along with every token.
     """
-    nested = raw_tokens(texts, profile, text_col, id_col)
+    keep = keep or []
+    nested = raw_tokens(texts, profile, text_col, id_col, keep)
     if profile.tokens == "words":
-        long = explode_tokens(framed(nested, profile)).withColumn("sub", F.lit(0))
-    else:
-        from lumenvec.operators.subword import segment_long
+        long = explode_tokens(framed(nested, profile), keep=keep).withColumn("sub", F.lit(0))
+        return lookup_ids(long.select("doc_id", "pos", "sub", "token", *keep), vocab, profile)
+    from lumenvec.operators.subword import segment_long
+
+    # Markers are framed in first (one pass over the text) and flagged so
+    # that segmentation passes them through unchanged.
+    fr = nested.withColumn("tokens", frame(F.col("tokens"), profile.first, profile.last))
+    long = explode_tokens(fr.withColumn("n", F.size("tokens")), keep=["n", *keep])
+    long = long.withColumn("is_marker", (F.col("pos") == 0) | (F.col("pos") == F.col("n") - 1)).drop("n")
+    return lookup_ids(segment_long(long, vocab, profile), vocab, profile)
+
+
+def id_rows(
+    texts: DataFrame, vocab: Vocabulary, profile: Profile, text_col: str = "text", id_col: str = "doc_id",
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """Texts -> (doc_id, ids ARRAY<BIGINT>, *keep): the ids of ``token_ids`` in order, row by row.
+
+    The JVM tokenises; the distinct tokens of an Arrow batch are cut (subword)
+    and looked up once in the vocabulary, which is sent by broadcast (a model
+    artifact). No explode, no shuffle, so it also runs on a stream."""
+    from lumenvec.session import ship_package
+
+    spark = texts.sparkSession
+    ship_package(spark)
+    keep = keep or []
+    nested = raw_tokens(texts, profile, text_col, id_col, keep)
+    nested = nested.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens", *keep)
+    specials = {r["content"]: r["id"] for r in vocab.specials.collect()}
+    tokens = {r["token"]: r["id"] for r in vocab.tokens.collect()}
+    shipped = spark.sparkContext.broadcast((specials | tokens, set(tokens)))
+    unk_id, longest = specials.get(profile.unk, 0), max(map(len, tokens), default=1)
+    body = None if profile.max_tokens is None else max(profile.max_tokens - 2, 0)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        from lumenvec.operators.subword import greedy_pieces
+
+        ids, pieces = shipped.value
+
+        def ids_of(names):
+            return np.array([ids.get(t, unk_id) for t in names], np.int64)
+
+        first, last = ids_of([profile.first]), ids_of([profile.last])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            column = b.column(1)
+            offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy())))
+            coded = column.flatten().dictionary_encode()
+            words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            if profile.tokens == "words":
+                units = ids_of(words).reshape(-1, 1)
+            else:
+                units = [ids_of([p for p, _ in greedy_pieces(w, pieces, longest, profile.unk)]) for w in words]
+            out, size = [], [0]
+            for i in range(b.num_rows):
+                at = index[offsets[i] : offsets[i + 1]]
+                if profile.tokens == "words":
+                    own = units[at, 0] if len(at) else np.zeros(0, np.int64)
+                else:
+                    own = np.concatenate([units[k] for k in at]) if len(at) else np.zeros(0, np.int64)
+                out += [first, own[:body], last]
+                size.append(size[-1] + len(own[:body]) + 2)
+            lists = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate(out)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, *b.columns[2:]], ["doc_id", "ids", *keep])
+
+    kinds = dict(nested.dtypes)
+    return nested.mapInArrow(run, ", ".join(["doc_id long, ids array<long>", *[f"`{c}` {kinds[c]}" for c in keep]]))
+
+
+def decode_rows(rows: DataFrame, vocab: Vocabulary, profile: Profile, sep: str = "", strip: tuple[str, ...] | None = None) -> DataFrame:
+    """(doc_id, ids ARRAY<BIGINT>) -> (doc_id, text), row by row.
 
-        # Markers are framed in first (one pass over the text) and flagged so
-        # that segmentation passes them through unchanged.
-        fr = nested.select("doc_id", frame(F.col("tokens"), profile.first, profile.last).alias("tokens"))
-        long = explode_tokens(fr.withColumn("n", F.size("tokens")), keep=["n"])
-        long = long.withColumn("is_marker", (F.col("pos") == 0) | (F.col("pos") == F.col("n") - 1)).drop("n")
-        long = segment_long(long, vocab, profile)
-    return lookup_ids(long.select("doc_id", "pos", "sub", "token"), vocab, profile)
+    Unknown ids read as the unknown token, pieces join with ``sep`` ("" in the
+    reference), the word prefix becomes a space, the texts in ``strip`` (the
+    profile's bos and eos unless given) are removed and the result is trimmed."""
+    from lumenvec.session import ship_package
 
+    spark = rows.sparkSession
+    ship_package(spark)
+    shipped = spark.sparkContext.broadcast({r["id"]: r["token"] for r in vocab.reverse.collect()})
+    unk = profile.unk
 
-def decode(ids: DataFrame, vocab: Vocabulary, profile: Profile, sep: str = "") -> DataFrame:
-    """(doc_id, pos, token_id) -> (doc_id, text).
+    def run(batches):
+        import pyarrow as pa
 
-    Unknown ids read as the unknown token, pieces join with ``sep`` ("" in the
-    reference), the word prefix becomes a space, bos/eos text is removed and
-    the result is trimmed.
-    """
-    r = bounded_broadcast(
-        vocab.reverse.select(F.col("id").alias("_rid"), F.col("token").alias("_rt")), known_rows=vocab.row_bound
-    )
+        names = shipped.value
+        for b in batches:
+            text = [sep.join([names.get(i, unk) for i in x or []]) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], ["doc_id", "text"])
+
+    joined = rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    text = F.replace("text", F.lit("▁"), F.lit(" "))
+    for x in (profile.bos, profile.eos) if strip is None else strip:
+        text = F.replace(text, F.lit(x), F.lit(""))
+    return joined.select("doc_id", unicode_trim(text).alias("text"))
+
+
+def decode(ids: DataFrame, vocab: Vocabulary, profile: Profile, sep: str = "", strip: tuple[str, ...] | None = None) -> DataFrame:
+    """O10 on long-form ids (doc_id, pos[, sub], token_id): each document's ids
+    come together first (bounded by that one text), then ``decode_rows``."""
     order = ["pos", "sub"] if "sub" in ids.columns else ["pos"]
-    j = ids.join(r, F.col("token_id") == F.col("_rid"), "left").select(
-        "doc_id", *order, F.coalesce("_rt", F.lit(profile.unk)).alias("piece")
-    )
-    # Re-assembles each document's own tokens: bounded by that one text.
-    g = j.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*order, "piece"))).alias("p"))
-    text = F.array_join(F.transform("p", lambda x: x["piece"]), sep)
-    text = F.replace(text, F.lit("▁"), F.lit(" "))
-    text = F.replace(text, F.lit(profile.bos), F.lit(""))
-    text = F.replace(text, F.lit(profile.eos), F.lit(""))
-    return g.select("doc_id", unicode_trim(text).alias("text"))
+    g = ids.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*order, "token_id"))).alias("p"))
+    rows = g.select("doc_id", F.transform("p", lambda x: x["token_id"]).alias("ids"))
+    return decode_rows(rows, vocab, profile, sep, strip)
 
 
 def task_ids(df: DataFrame, tasks: DataFrame, profile: Profile, task_col: str = "task") -> DataFrame:

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenvec.operators.encode import fixture_vectors
 from lumenvec.operators.pooling import masked_mean_pool
 from lumenvec.operators.tokens import explode_tokens, raw_tokens, token_ids
 from lumenvec.plans.pipeline import embed
-from lumenvec.plans.strategy import bounded_broadcast, spread
+from lumenvec.plans.strategy import spread
 from lumenvec.profiles import WORDS768
 from lumenvec.sources.tables import table
 from lumenvec.sources.vocab import corpus_word_vocabulary
@@ -69,13 +69,28 @@ def q_masked_pool(spark: SparkSession, d: str) -> DataFrame:
     enc = fixture_vectors(vocab, FIXTURE_DIM)
     ids = token_ids(docs, vocab, WORDS64)
     ids = ids.withColumn("attention", (F.col("in_vocab") & (F.col("token_id") > 2)).cast("bigint"))
-    vec = bounded_broadcast(enc.vectors, known_rows=enc.row_bound)
-    j = ids.join(vec, F.col("token_id") == F.col("id"), "left")
+    j = ids.join(enc.vectors, F.col("token_id") == F.col("id"), "left")
     pooled = masked_mean_pool(j, FIXTURE_DIM, hidden_col="v")
     return _long_vectors(pooled, "doc_id", "pooled", digits=None)
 
 
+def _head_and_norm(res: DataFrame, n: int = 10) -> DataFrame:
+    """(doc_id, dim, x, n_dims, norm): the first values of every embedding, its size and length."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    out = res.select("doc_id", F.size("embedding").cast("bigint").alias("n_dims"), F.round(norm, 6).alias("norm"),
+                     F.posexplode_outer(F.slice("embedding", 1, n)).alias("dim", "x")).where(F.col("dim").isNotNull())
+    return out.select("doc_id", F.col("dim").cast("bigint").alias("dim"), F.round("x", 6).alias("x"), "n_dims", "norm")
+
+
+def q_embed_static_768(spark: SparkSession, d: str) -> DataFrame:
+    """The words profile at its real size."""
+    docs = _docs(spark, d)
+    vocab = corpus_word_vocabulary(docs)
+    return _head_and_norm(embed(docs, vocab, WORDS768, fixture_vectors(vocab, WORDS768.dim), dtype="double"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "embed_static_768": q_embed_static_768,
     "v2_tokens": q_v2_tokens,
     "v2_token_ids": q_v2_token_ids,
     "embed_static": q_embed_static,
@@ -85,7 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 # --- subword profile (O6, O7, O8, O9, O10) ---------------------------------
 from lumenvec.operators.subword import segment_table  # noqa: E402
-from lumenvec.operators.tokens import decode, task_ids  # noqa: E402
+from lumenvec.operators.tokens import decode_rows, id_rows, task_ids  # noqa: E402
 from lumenvec.profiles import SUBWORD1024  # noqa: E402
 from lumenvec.sources.vocab import (  # noqa: E402
     corpus_piece_vocabulary,
@@ -125,13 +140,22 @@ def q_v3_token_ids(spark: SparkSession, d: str) -> DataFrame:
 def q_decode_v3(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     vocab = corpus_piece_vocabulary(docs)
-    return decode(token_ids(docs, vocab, SUBWORD64), vocab, SUBWORD64)
+    return decode_rows(id_rows(docs, vocab, SUBWORD64), vocab, SUBWORD64)
 
 
 def q_decode_v2(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     vocab = corpus_word_vocabulary(docs)
-    return decode(token_ids(docs, vocab, WORDS64), vocab, WORDS64)
+    return decode_rows(id_rows(docs, vocab, WORDS64), vocab, WORDS64)
+
+
+def q_v3_token_ids_max(spark: SparkSession, d: str) -> DataFrame:
+    """At most 16 tokens a document, markers included."""
+    docs = _docs(spark, d)
+    ids = token_ids(docs, corpus_piece_vocabulary(docs), SUBWORD64.with_(max_tokens=16))
+    return ids.select(
+        "doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("sub").cast("bigint").alias("sub"), "token", "token_id", "in_vocab"
+    )
 
 
 # --- vocabulary documents (O1, O2) and task ids (O3, O11) -------------------
@@ -165,6 +189,17 @@ def q_vocab_array(spark: SparkSession, d: str) -> DataFrame:
     return loaded.tokens.select("token", "id")
 
 
+def q_special_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The languages of the corpus as added tokens, numbered in order; every
+    second one is listed again with 100 more, and the last entry counts."""
+    langs = table(spark, d, "documents").select("lang").where(F.col("lang").isNotNull()).distinct()
+    w = Window.orderBy("lang")  # one row a language
+    once = langs.select(F.concat(F.lit("<"), "lang", F.lit(">")).alias("content"), F.row_number().over(w).cast("bigint").alias("id"))
+    twice = once.unionByName(once.where(F.col("id") % 2 == 0).withColumn("id", F.col("id") + 100))
+    vocab = spark.createDataFrame([("a", 0)], "token string, id bigint")
+    return vocabulary_from_json(tokenizer_document(vocab, twice)).specials.select("content", "id")
+
+
 def q_task_ids(spark: SparkSession, d: str) -> DataFrame:
     """Task list = the two most frequent conversation roles (count desc, role
     asc); each turn's role is looked up strictly (v3) and leniently (v2)."""
@@ -186,10 +221,12 @@ QUERIES.update(
         "v3_pretokens": q_v3_pretokens,
         "v3_segments": q_v3_segments,
         "v3_token_ids": q_v3_token_ids,
+        "v3_token_ids_max": q_v3_token_ids_max,
         "decode_v3": q_decode_v3,
         "decode_v2": q_decode_v2,
         "vocab_object": q_vocab_object,
         "vocab_array": q_vocab_array,
+        "special_tokens": q_special_tokens,
         "task_ids": q_task_ids,
     }
 )
@@ -250,11 +287,20 @@ def q_preview(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES.update({"embed_onnx": q_embed_onnx, "embed_onnx_v3": q_embed_onnx_v3, "preview": q_preview})
+def q_embed_static_1024_task(spark: SparkSession, d: str) -> DataFrame:
+    """The subword profile at its real size, with its default task's offset."""
+    docs = _docs(spark, d)
+    vocab = corpus_piece_vocabulary(docs)
+    enc = fixture_vectors(vocab, SUBWORD1024.dim, task_scale=1 / 8)
+    return _head_and_norm(embed(docs, vocab, SUBWORD1024, enc, dtype="double", tasks=fixture_tasks(spark)))
+
+
+QUERIES.update({"embed_static_1024_task": q_embed_static_1024_task, "embed_onnx": q_embed_onnx, "embed_onnx_v3": q_embed_onnx_v3, "preview": q_preview})
 
 
 # --- search (O24, O25), reports (O19-O21), store (O22, O23), requests (O4), stream
 import uuid  # noqa: E402
+from dataclasses import replace  # noqa: E402
 
 from lumenvec.operators.reports import (  # noqa: E402
     latency_report,
@@ -264,9 +310,19 @@ from lumenvec.operators.reports import (  # noqa: E402
     unknown_token_report,
 )
 from lumenvec.operators.search import pair_scores, topk_similar  # noqa: E402
-from lumenvec.operators.store import append, documents_view, pending, read_store, text_hash  # noqa: E402
+from lumenvec.operators.store import (  # noqa: E402
+    append,
+    as_store_rows,
+    documents_view,
+    embed_incremental,
+    pending,
+    read_store,
+    text_hash,
+)
+from lumenvec.plans.pipeline import split_results  # noqa: E402
+from lumenvec.plans.strategy import materialize  # noqa: E402
 from lumenvec.session import work_dir  # noqa: E402
-from lumenvec.sources.requests import parse_requests, request_lines  # noqa: E402
+from lumenvec.sources.requests import parse_requests  # noqa: E402
 from lumenvec.streaming.stream import embed_stream, request_stream, run_available  # noqa: E402
 
 TOP_K = 5
@@ -294,6 +350,15 @@ def q_topk_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return topk_similar(e.withColumnRenamed("doc_id", "query_id"), e, TOP_K, exclude_self=True)
 
 
+def q_topk_with_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Top 5 where a third of the rows has no vector (errors) and a third a NaN one (zero vectors)."""
+    kind = F.pmod(F.col("label"), F.lit(3))
+    nan = F.transform("embedding", lambda x: F.lit(float("nan")).cast("float"))
+    vec = F.when(kind == 1, nan).when(kind == 2, F.col("embedding"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), vec.alias("embedding"))
+    return topk_similar(e.withColumnRenamed("doc_id", "query_id"), e, TOP_K, exclude_self=True)
+
+
 def q_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Score of each vector against the next id (NULL when there is none)."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
@@ -302,15 +367,18 @@ def q_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parity_rows(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
+    docs = _docs(spark, d, "lang")
     vocab = corpus_word_vocabulary(docs)
-    static = embed(docs, vocab, WORDS64, fixture_vectors(vocab, FIXTURE_DIM), dtype="double")
-    onnx = embed(docs, vocab, WORDS64, fixture_onnx(vocab), dtype="float")
+    lang = F.coalesce(F.col("lang"), F.lit(""))
+    left, right = (docs.where(lang != x).select("doc_id", "text") for x in ("fr", "de"))
+    static = embed(left, vocab, WORDS64, fixture_vectors(vocab, FIXTURE_DIM), dtype="double")
+    onnx = embed(right, vocab, WORDS64, fixture_onnx(vocab), dtype="float")
     return parity(static, onnx)
 
 
 def q_parity(spark: SparkSession, d: str) -> DataFrame:
-    """Static encoder (double) against the ONNX encoder (float32 output)."""
+    """Static encoder (double, all but French) against the ONNX encoder (float32
+    output, all but German)."""
     return _parity_rows(spark, d)
 
 
@@ -318,28 +386,73 @@ def q_parity_summary(spark: SparkSession, d: str) -> DataFrame:
     return parity_summary(_parity_rows(spark, d))
 
 
-def _oov_inputs(spark: SparkSession, d: str):
+def _oov_ids(spark: SparkSession, d: str, profile) -> DataFrame:
     docs = _docs(spark, d, "lang")
-    vocab = corpus_word_vocabulary(docs)
-    return token_ids(docs, vocab, WORDS64), docs.select("doc_id", "lang")
+    vocab = corpus_word_vocabulary(docs) if profile is WORDS64 else corpus_piece_vocabulary(docs)
+    return token_ids(docs, vocab, profile, keep=["lang"])
 
 
 def q_oov_report(spark: SparkSession, d: str) -> DataFrame:
-    ids, groups = _oov_inputs(spark, d)
-    return unknown_token_report(ids, groups, ["lang"])
+    return unknown_token_report(_oov_ids(spark, d, WORDS64), ["lang"])
 
 
 def q_oov_top(spark: SparkSession, d: str) -> DataFrame:
-    ids, groups = _oov_inputs(spark, d)
-    return top_unknown_tokens(ids, groups, ["lang"], n=TOP_K)
+    return top_unknown_tokens(_oov_ids(spark, d, WORDS64), ["lang"], n=TOP_K)
+
+
+def q_oov_report_v3(spark: SparkSession, d: str) -> DataFrame:
+    return unknown_token_report(_oov_ids(spark, d, SUBWORD64), ["lang"])
+
+
+def q_oov_top_v3(spark: SparkSession, d: str) -> DataFrame:
+    """The characters that no piece covers."""
+    return top_unknown_tokens(_oov_ids(spark, d, SUBWORD64), ["lang"], n=TOP_K)
 
 
 def q_latency_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per-runtime latency of the ONNX encoder over all documents."""
+    """The report over a table of timings made from the documents by a fixed
+    rule: languages as runtimes, 16 texts a call, 2**-16 s a character."""
+    docs = table(spark, d, "documents")
+    res = docs.select(
+        F.coalesce("lang", F.lit("none")).alias("runtime"), F.col("doc_id").alias("call_time"),
+        F.floor(F.col("doc_id") / 16).alias("call_seq"), (F.col("n_chars") / F.lit(65536.0)).alias("inference_time"),
+        F.when(F.col("doc_id") % 100 == 0, F.lit(0.5)).alias("setup_time"),
+    )
+    return latency_report(res)
+
+
+def q_result_split(spark: SparkSession, d: str) -> DataFrame:
+    """Results where words past id 1,500 have no vector, split into good and error rows."""
     docs = _docs(spark, d)
     vocab = corpus_word_vocabulary(docs)
-    res = embed(docs, vocab, WORDS64, fixture_onnx(vocab))
-    return latency_report(res.withColumn("runtime", F.lit("onnx")))
+    enc = fixture_vectors(vocab, FIXTURE_DIM)
+    res = embed(docs, vocab, WORDS64, replace(enc, vectors=enc.vectors.where("id <= 1500")))
+    good, bad = split_results(materialize(res, "results"))
+    cols = ["doc_id", "dim", "n_tokens", "error"]
+    return good.select(F.lit("good").alias("sink"), *cols).unionByName(bad.select(F.lit("error").alias("sink"), *cols)).select(
+        "sink", "doc_id", F.col("dim").cast("bigint").alias("dim"), "n_tokens", "error"
+    )
+
+
+def q_incremental_runs(spark: SparkSession, d: str) -> DataFrame:
+    """O22 in full: a run over the English texts, one over all, and one again:
+    rows each run stores, and the documents that have an embedding after it."""
+    docs = _docs(spark, d, "lang")
+    vocab = corpus_word_vocabulary(docs)
+    enc = fixture_vectors(vocab, FIXTURE_DIM)
+    path = work_dir(spark, f"store-{uuid.uuid4().hex}")
+
+    def encode(df: DataFrame) -> DataFrame:
+        return embed(df, vocab, WORDS64, enc, keep=["text_hash"])
+
+    runs = []
+    for k, texts in enumerate((docs.where(F.col("lang") == "en"), docs, docs)):
+        added = embed_incremental(spark, texts.select("doc_id", "text"), path, encode, WORDS64.name)
+        view = documents_view(docs, read_store(spark, path), WORDS64.name)
+        embedded = view.where(F.col("embedding").isNotNull()).agg(F.count(F.lit(1)).alias("embedded"))
+        runs.append(embedded.select(F.lit(k + 1).cast("bigint").alias("run"), F.lit(added).cast("bigint").alias("added"), "embedded"))
+        runs[-1] = materialize(runs[-1], "runs")
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
 
 
 def q_anti_incremental(spark: SparkSession, d: str) -> DataFrame:
@@ -349,10 +462,9 @@ def q_anti_incremental(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d, "lang")
     vocab = corpus_word_vocabulary(docs)
     en = docs.where(F.col("lang") == "en")
-    prev = embed(en.select("doc_id", "text"), vocab, WORDS64, fixture_vectors(vocab, FIXTURE_DIM))
-    store = prev.join(en.select("doc_id", text_hash().alias("text_hash")), "doc_id").select(
-        "text_hash", F.lit(WORDS64.name).alias("profile"), F.lit(None).cast("string").alias("task"), "error"
-    )
+    hashed = en.select("doc_id", "text", text_hash().alias("text_hash"))
+    prev = embed(hashed, vocab, WORDS64, fixture_vectors(vocab, FIXTURE_DIM), keep=["text_hash"])
+    store = as_store_rows(prev, WORDS64.name, None)
     return pending(docs.select("doc_id", "text"), store, WORDS64.name).select("text_hash", "n_docs", "first_doc_id")
 
 
@@ -365,12 +477,9 @@ def q_store_latest(spark: SparkSession, d: str) -> DataFrame:
     path = work_dir(spark, f"store-{uuid.uuid4().hex}")
 
     def run(texts, encoder, run_id):
-        res = embed(texts.select("doc_id", "text"), vocab, WORDS64, encoder, dtype="double")
-        hashed = texts.select("doc_id", text_hash().alias("text_hash")).dropDuplicates(["text_hash"])
-        return res.join(hashed, "doc_id").select(
-            "text_hash", F.lit(WORDS64.name).alias("profile"), F.lit(None).cast("string").alias("task"),
-            F.lit(run_id).alias("run_id"), F.current_timestamp().alias("run_ts"), "embedding", "dim", "n_tokens", "error",
-        )
+        once = texts.select("doc_id", "text", text_hash().alias("text_hash")).dropDuplicates(["text_hash"])
+        res = embed(once, vocab, WORDS64, encoder, dtype="double", keep=["text_hash"])
+        return as_store_rows(res, WORDS64.name, None).withColumn("run_id", F.lit(run_id))
 
     append(run(docs, fixture_vectors(vocab, FIXTURE_DIM), "r1"), path)
     append(run(docs.where(F.col("lang") == "en"), fixture_onnx(vocab), "r2"), path)
@@ -380,43 +489,65 @@ def q_store_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_read_requests(spark: SparkSession, d: str) -> DataFrame:
-    """Conversation turns as request lines: user turns as single requests,
-    assistant turns as one-item batch requests, system turns as a command
-    the job does not serve."""
+    """Conversation turns as request lines: user turns as single requests, a
+    conversation's assistant turns as one batch request, system turns as a
+    command the job does not serve; of every fifth conversation the first
+    turn's line is cut short, of every seventh its text is a number. Lines
+    that are no JSON have no id (here -1; it is a hash of the line)."""
     conv = spread(table(spark, d, "conversations"), "conv_id")
     cid = F.col("conv_id")
+    first = F.col("turn") == 0
+    infer = F.lit("infer").alias("command")
     line = (
-        F.when(F.col("role") == "user", F.to_json(F.struct(cid.alias("id"), F.lit("infer").alias("command"), F.col("text").alias("text"))))
-        .when(F.col("role") == "assistant", F.to_json(F.struct(cid.alias("id"), F.array(F.col("text")).alias("inputs"))))
+        F.when(first & (cid % 5 == 0), F.lit('{"command": "infer", "text": "x"'))
+        .when(first & (cid % 7 == 0), F.to_json(F.struct(cid.alias("id"), infer, F.col("turn").alias("text"))))
+        .when(F.col("role") == "user", F.to_json(F.struct(cid.alias("id"), infer, F.col("text").alias("text"))))
         .otherwise(F.to_json(F.struct(cid.alias("id"), F.lit("ping").alias("command"))))
     )
-    return parse_requests(conv.select(line.alias("value"))).select(
-        "request_id", F.col("idx").cast("bigint").alias("idx"), "text", "error"
+    odd = first & ((cid % 5 == 0) | (cid % 7 == 0))
+    own = conv.where(odd | (F.col("role") != "assistant") | F.col("role").isNull()).select(line.alias("value"))
+    turns = conv.where(~odd & (F.col("role") == "assistant")).groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t")
     )
+    batches = turns.select(F.to_json(F.struct(cid.alias("id"), F.transform("t", lambda x: x["text"]).alias("inputs"))).alias("value"))
+    rows = parse_requests(own.unionByName(batches))
+    rid = F.when(F.col("error") == "invalid JSON", F.lit(-1)).otherwise(F.col("request_id"))
+    return rows.select(rid.cast("bigint").alias("request_id"), F.col("idx").cast("bigint").alias("idx"), "text", "error")
 
 
 def q_stream_embed(spark: SparkSession, d: str) -> DataFrame:
-    """Documents written as request files, embedded by a streaming query
-    (one file per micro-batch) with the ONNX encoder, read back from the sink."""
+    """Documents written as request files, three texts to a batch request,
+    embedded by a streaming query (one file per micro-batch) with the
+    row-local static encoder, read back from the sink."""
     docs = _docs(spark, d)
     vocab = corpus_word_vocabulary(docs)
     root = work_dir(spark, f"stream-{uuid.uuid4().hex}")
-    request_lines(docs, "doc_id", "text").repartition(4).write.text(f"{root}/in")
-    res = embed_stream(request_stream(spark, f"{root}/in", 1), vocab, WORDS64, fixture_onnx(vocab), dtype="double")
+    of = docs.groupBy(F.floor(F.col("doc_id") / 3).alias("id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
+    lines = of.select(F.to_json(F.struct("id", F.transform("t", lambda x: x["text"]).alias("inputs"))).alias("value"))
+    lines.repartition(4).write.text(f"{root}/in")
+    enc = fixture_vectors(vocab, FIXTURE_DIM)
+    res = embed_stream(request_stream(spark, f"{root}/in", 1), vocab, WORDS64, enc, dtype="double")
     run_available(res, f"{root}/out", f"{root}/checkpoint")
-    out = spark.read.parquet(f"{root}/out")
-    return _long_vectors(out, "doc_id", "embedding")
+    out = spark.read.parquet(f"{root}/out").select("request_id", "idx", F.posexplode_outer("embedding").alias("dim", "x"))
+    return out.where(F.col("dim").isNotNull()).select(
+        "request_id", F.col("idx").cast("bigint").alias("idx"), F.col("dim").cast("bigint").alias("dim"), F.round("x", 6).alias("x")
+    )
 
 
 QUERIES.update(
     {
         "topk_benchmark_docs": q_topk_benchmark_docs,
         "topk_embeddings": q_topk_embeddings,
+        "topk_with_errors": q_topk_with_errors,
         "pairs": q_pairs,
         "parity": q_parity,
         "parity_summary": q_parity_summary,
         "oov_report": q_oov_report,
         "oov_top": q_oov_top,
+        "oov_report_v3": q_oov_report_v3,
+        "oov_top_v3": q_oov_top_v3,
+        "result_split": q_result_split,
+        "incremental_runs": q_incremental_runs,
         "latency_report": q_latency_report,
         "anti_incremental": q_anti_incremental,
         "store_latest": q_store_latest,

@@ -90,25 +90,23 @@ seg AS (
     UNION ALL
     SELECT w.token, w.cut + greatest(b.best, 1), w.k + 1 FROM walk w JOIN best b ON b.token = w.token AND b.start = w.cut)
   SELECT w.token, CAST(w.k AS BIGINT) AS sub,
-         CASE WHEN b.best > 0 THEN substring(w.token, w.cut + 1, b.best) ELSE '<unk>' END AS piece
+         CASE WHEN b.best > 0 THEN substring(w.token, w.cut + 1, b.best) ELSE '<unk>' END AS piece,
+         CASE WHEN b.best = 0 THEN substring(w.token, w.cut + 1, 1) END AS src
   FROM walk w JOIN best b ON b.token = w.token AND b.start = w.cut),
 pieces AS (
-  SELECT l.doc_id, l.pos + 1 AS pos, s.sub, s.piece AS token FROM plong l JOIN seg s ON s.token = l.token
-  UNION ALL SELECT doc_id, 0, 0, '<s>' FROM pre
-  UNION ALL SELECT doc_id, len(p) + 1, 0, '</s>' FROM pre),
-pids AS (SELECT x.doc_id, x.pos, x.sub, x.token, CAST(coalesce(v.id, sp.id, (SELECT id FROM pspecials WHERE content = '<unk>'), 0) AS BIGINT) AS token_id,
-                (v.id IS NOT NULL OR sp.id IS NOT NULL) AS in_vocab
+  SELECT l.doc_id, l.pos + 1 AS pos, s.sub, s.piece AS token, s.src FROM plong l JOIN seg s ON s.token = l.token
+  UNION ALL SELECT doc_id, 0, 0, '<s>', NULL FROM pre
+  UNION ALL SELECT doc_id, len(p) + 1, 0, '</s>', NULL FROM pre),
+pids AS (SELECT x.doc_id, x.pos, x.sub, x.token, x.src, CAST(coalesce(v.id, sp.id, (SELECT id FROM pspecials WHERE content = '<unk>'), 0) AS BIGINT) AS token_id,
+                (v.id IS NOT NULL OR sp.id IS NOT NULL) AND x.src IS NULL AS in_vocab
          FROM pieces x LEFT JOIN pvocab v ON v.token = x.token LEFT JOIN pspecials sp ON sp.content = x.token)
 """
 
-EDGE_SQL = EDGE
-
-
 def _decode(ids: str, rev: str, unk: str, bos: str = "<s>", eos: str = "</s>") -> str:
     return f"""
 SELECT doc_id, regexp_replace(replace(replace(replace(
          string_agg(coalesce(r.token, '{unk}'), '' ORDER BY i.pos, i.sub), '▁', ' '), '{bos}', ''), '{eos}', ''),
-         '{EDGE_SQL}', '', 'g') AS text
+         '{EDGE}', '', 'g') AS text
 FROM {ids} i LEFT JOIN {rev} r ON r.id = i.token_id GROUP BY doc_id
 """
 
@@ -159,14 +157,13 @@ FROM pooled p JOIN nrm USING (doc_id) WHERE p.dim < 10""",
 })
 
 
-def _v2_embed(p: str, src: str, max_words: int | None = None) -> str:
+def _v2_embed(p: str, src: str) -> str:
     """CTEs ``{p}emb(id, dim, x)``: normalised static embedding (double) of
     ``src(id, text)``, using the ``vocab``/``specials`` of ``V2_BASE``."""
-    body = "w" if max_words is None else f"list_slice(w, 1, {max_words})"
     return f"""
 {p}w AS (SELECT id, list_filter(regexp_split_to_array(lower(translate(coalesce(text, ''), 'Σİ', 'σi')), '{WS}'),
                                lambda x: x <> '') AS w FROM ({src})),
-{p}s AS (SELECT id, list_concat(['[CLS]'], {body}, ['[SEP]']) AS s FROM {p}w),
+{p}s AS (SELECT id, list_concat(['[CLS]'], w, ['[SEP]']) AS s FROM {p}w),
 {p}l AS (SELECT id, unnest(s) AS token FROM {p}s),
 {p}i AS (SELECT l.id, CAST(coalesce(v.id, sp.id, 0) AS BIGINT) AS token_id
          FROM {p}l l LEFT JOIN vocab v ON v.token = l.token LEFT JOIN specials sp ON sp.content = l.token),
@@ -185,11 +182,31 @@ pr AS (SELECT id AS doc_id, sum(x * CAST(CAST(x AS FLOAT) AS DOUBLE)) AS ab, sum
               sum(CAST(CAST(x AS FLOAT) AS DOUBLE) * CAST(CAST(x AS FLOAT) AS DOUBLE)) AS bb,
               max(abs(x - CAST(CAST(x AS FLOAT) AS DOUBLE))) AS mad
        FROM demb GROUP BY id),
-rows AS (SELECT doc_id, 'both' AS status,
-                round(CASE WHEN aa * bb = 0 THEN CAST('NaN' AS DOUBLE) ELSE ab / (sqrt(aa) * sqrt(bb)) END, 6) AS cosine,
-                round(mad, 6) AS max_abs_diff, mad <= 1e-5 AS within_tol FROM pr)
+st AS (SELECT pr.*, CASE coalesce(d.lang, '') WHEN 'fr' THEN 'right_only' WHEN 'de' THEN 'left_only' ELSE 'both' END AS status
+       FROM pr JOIN documents d USING (doc_id)),
+rows AS (SELECT doc_id, status,
+                CASE WHEN status = 'both' THEN
+                  round(CASE WHEN aa * bb = 0 THEN CAST('NaN' AS DOUBLE) ELSE ab / (sqrt(aa) * sqrt(bb)) END, 6) END AS cosine,
+                CASE WHEN status = 'both' THEN round(mad, 6) END AS max_abs_diff,
+                CASE WHEN status = 'both' THEN mad <= 1e-5 END AS within_tol FROM st)
 """
 
+
+def _wide(ids: str, dims: int, add: str) -> str:
+    """Head, size and length of static embeddings of many dimensions: the
+    fixture vectors depend on id * 31 % 129 alone, so ids are counted by that."""
+    return f"""
+cls AS (SELECT doc_id, (token_id * 31) % 129 AS r, count(*) AS n FROM {ids} GROUP BY ALL),
+tot AS (SELECT doc_id, sum(n) AS n FROM cls GROUP BY doc_id),
+wp AS (SELECT doc_id, d.dim, sum(cls.n * CAST((r + d.dim * 17) % 129 - 64 AS DOUBLE) / 64.0) AS s
+       FROM cls CROSS JOIN range(0, {dims}) d(dim) GROUP BY doc_id, d.dim),
+wm AS (SELECT doc_id, dim, s / tot.n + {add} AS x FROM wp JOIN tot USING (doc_id)),
+wn AS (SELECT doc_id, sqrt(sum(x * x)) AS nrm FROM wm GROUP BY doc_id)
+SELECT wm.doc_id, CAST(dim AS BIGINT) AS dim, round(CASE WHEN nrm = 0 THEN CAST('NaN' AS DOUBLE) ELSE x / nrm END, 6) AS x,
+       CAST({dims} AS BIGINT) AS n_dims, CASE WHEN nrm = 0 THEN CAST('NaN' AS DOUBLE) ELSE 1.0::DOUBLE END AS norm
+FROM wm JOIN wn USING (doc_id) WHERE dim < 10"""
+
+
 SQL.update({
     "topk_benchmark_docs": f"""
 WITH {V2_BASE}, {DOC_EMB}, {_v2_embed("b", "SELECT item_id AS id, text FROM benchmark")},
@@ -209,7 +226,9 @@ SELECT a.vec_id AS id_a, a.vec_id + 1 AS id_b, round(list_dot_product(a.v, b.v),
 FROM e a LEFT JOIN e b ON b.vec_id = a.vec_id + 1""",
     "parity": PARITY_ROWS + " SELECT * FROM rows",
     "parity_summary": PARITY_ROWS + """
-SELECT CAST(count(*) AS BIGINT) AS n_both, CAST(0 AS BIGINT) AS n_left_only, CAST(0 AS BIGINT) AS n_right_only,
+SELECT CAST(count(*) FILTER (status = 'both') AS BIGINT) AS n_both,
+       CAST(count(*) FILTER (status = 'left_only') AS BIGINT) AS n_left_only,
+       CAST(count(*) FILTER (status = 'right_only') AS BIGINT) AS n_right_only,
        min(cosine) AS min_cosine, max(max_abs_diff) AS max_abs_diff,
        round(avg(CAST(within_tol AS DOUBLE)), 6) AS share_within_tol FROM rows""",
     "oov_report": f"""
@@ -238,10 +257,67 @@ SELECT d.doc_id, CASE WHEN d.text IN (SELECT text FROM en) THEN 'r2' ELSE 'r1' E
        CAST(e.dim AS BIGINT) AS dim, round(e.x, 6) AS x
 FROM documents d JOIN demb e ON e.id = d.doc_id""",
     "read_requests": """
-SELECT conv_id AS request_id, CAST(0 AS BIGINT) AS idx,
-       CASE WHEN role IN ('user', 'assistant') THEN text END AS text,
-       CASE WHEN role IN ('user', 'assistant') THEN CASE WHEN text IS NULL THEN 'missing text' END
-            ELSE 'Unknown command' END AS error
-FROM conversations""",
-    "stream_embed": EMBED_STATIC,
+WITH c AS (SELECT *, turn = 0 AND conv_id % 5 = 0 AS cut, turn = 0 AND conv_id % 5 <> 0 AND conv_id % 7 = 0 AS num FROM conversations),
+one AS (SELECT CASE WHEN cut THEN -1 ELSE conv_id END AS request_id, 0 AS idx,
+               CASE WHEN NOT cut AND NOT num AND role = 'user' THEN text END AS text,
+               CASE WHEN cut THEN 'invalid JSON' WHEN num THEN 'missing text'
+                    WHEN role = 'user' THEN CASE WHEN text IS NULL THEN 'missing text' END
+                    ELSE 'Unknown command' END AS error
+        FROM c WHERE cut OR num OR role <> 'assistant' OR role IS NULL),
+many AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, text,
+                CASE WHEN text IS NULL THEN 'missing text' END AS error
+         FROM c WHERE NOT cut AND NOT num AND role = 'assistant')
+SELECT CAST(request_id AS BIGINT) AS request_id, CAST(idx AS BIGINT) AS idx, text, error FROM one
+UNION ALL SELECT CAST(conv_id AS BIGINT), CAST(idx AS BIGINT), text, error FROM many""",
+    "stream_embed": f"""
+WITH {V2_BASE}, {DOC_EMB},
+r AS (SELECT doc_id, text, doc_id // 3 AS request_id, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id) - 1 AS idx FROM documents)
+SELECT CAST(r.request_id AS BIGINT) AS request_id, CAST(r.idx AS BIGINT) AS idx, CAST(e.dim AS BIGINT) AS dim, round(e.x, 6) AS x
+FROM r JOIN demb e ON e.id = r.doc_id WHERE r.text IS NOT NULL""",
+    "embed_static_768": f"WITH {V2_BASE}, {_wide('ids', 768, '0.0')}",
+    "embed_static_1024_task": f"WITH {PRE_BASE}, {_wide('pids', 1024, '5.0 / 8.0')}",
+    "v3_token_ids_max": f"""WITH {PRE_BASE},
+nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id, token IN ('<s>', '</s>') ORDER BY pos, sub) AS k FROM pids)
+SELECT doc_id, pos, sub, token, token_id, in_vocab FROM nth WHERE token IN ('<s>', '</s>') OR k <= 14""",
+    "special_tokens": """
+WITH l AS (SELECT lang, row_number() OVER (ORDER BY lang) AS k FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL))
+SELECT '<' || lang || '>' AS content, CAST(CASE WHEN k % 2 = 0 THEN k + 100 ELSE k END AS BIGINT) AS id FROM l""",
+    "topk_with_errors": """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label % 3 = 2),
+sc AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_dot_product(a.v, b.v), 6) AS score
+       FROM e a, e b WHERE a.vec_id <> b.vec_id)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 5""",
+    "oov_report_v3": f"""
+WITH {PRE_BASE},
+g AS (SELECT d.lang, count(DISTINCT i.doc_id) AS n_docs, count(*) FILTER (token NOT IN ('<s>', '</s>')) AS n_tokens,
+             count(*) FILTER (token NOT IN ('<s>', '</s>') AND NOT in_vocab) AS n_unknown
+      FROM pids i JOIN documents d USING (doc_id) GROUP BY d.lang)
+SELECT lang, n_docs, n_tokens, n_unknown, round(CASE WHEN n_tokens > 0 THEN n_unknown / n_tokens END, 6) AS unknown_rate FROM g""",
+    "oov_top_v3": f"""
+WITH {PRE_BASE},
+c AS (SELECT d.lang, coalesce(i.src, i.token) AS token, count(*) AS n FROM pids i JOIN documents d ON d.doc_id = i.doc_id
+      WHERE NOT i.in_vocab AND i.token NOT IN ('<s>', '</s>') GROUP BY ALL)
+SELECT lang, CAST(rank AS BIGINT) AS rank, token, n FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS rank FROM c) WHERE rank <= 5""",
+    "latency_report": """
+WITH r AS (SELECT coalesce(lang, 'none') AS runtime, doc_id AS call_time, doc_id // 16 AS call_seq, n_chars / 65536.0::DOUBLE AS t,
+                  CASE WHEN doc_id % 100 = 0 THEN 0.5::DOUBLE END AS setup FROM documents WHERE n_chars IS NOT NULL),
+s AS (SELECT runtime, count(*) AS rows, count(DISTINCT call_seq) AS calls, sum(t) AS total, quantile_cont(t, 0.5) AS p50,
+             quantile_cont(t, 0.95) AS p95, sum(setup) AS setup_time, arg_min(t, call_time) AS first_call FROM r GROUP BY runtime)
+SELECT runtime, rows, calls, first_call, round(CASE WHEN rows > 1 THEN (total - first_call) / (rows - 1) END, 6) AS later_mean,
+       round(total / rows, 6) AS mean, p50, round(p95, 6) AS p95, setup_time,
+       round(CASE WHEN total > 0 THEN rows / total END, 6) AS rows_per_sec FROM s""",
+    "result_split": f"""
+WITH {V2_BASE},
+n AS (SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (token_id > 1500) AS missing FROM ids GROUP BY doc_id)
+SELECT CASE WHEN missing > 0 THEN 'error' ELSE 'good' END AS sink, doc_id,
+       CASE WHEN missing = 0 THEN CAST(64 AS BIGINT) END AS dim, n_tokens,
+       CASE WHEN missing > 0 THEN missing || ' token ids have no vector' END AS error FROM n""",
+    "incremental_runs": """
+WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS h, lang FROM documents),
+en AS (SELECT DISTINCT h FROM h WHERE lang = 'en'),
+k AS (SELECT (SELECT count(*) FROM en) AS a, (SELECT count(DISTINCT h) FROM h) AS b,
+             (SELECT count(*) FROM h WHERE h IN (SELECT h FROM en)) AS c, (SELECT count(*) FROM h) AS d)
+SELECT 1::BIGINT AS run, a AS added, c AS embedded FROM k UNION ALL SELECT 2, b - a, d FROM k UNION ALL SELECT 3, 0, d FROM k""",
 })

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenvec.functions.vectors import l2_normalize
-from lumenvec.operators.encode import StaticEncoder, encode_static
+from lumenvec.operators.encode import MAX_SHIPPED_BYTES, StaticEncoder, encode_rows, encode_static, shipped_bytes
 from lumenvec.operators.tokens import token_ids
 from lumenvec.profiles import Profile
 from lumenvec.sources.vocab import Vocabulary
@@ -28,6 +28,7 @@ def finish(pooled: DataFrame, dtype: str = "float") -> DataFrame:
         "setup_time",
         "call_seq",
         "error",
+        *[F.col(c).alias(c.removeprefix("keep_")) for c in pooled.columns if c.startswith("keep_")],
     )
 
 
@@ -40,18 +41,28 @@ def embed(
     text_col: str = "text",
     id_col: str = "doc_id",
     tasks: DataFrame | None = None,
+    keep: list[str] | None = None,
+    max_shipped: int = MAX_SHIPPED_BYTES,
 ) -> DataFrame:
     """Texts -> (doc_id, embedding, dim, n_tokens, inference_time, setup_time, call_seq, error).
 
     One output row per input row; ``doc_id`` must be unique. ``dtype`` is the
     element type of ``embedding`` ("float" like the reference, or "double").
+    Columns of ``texts`` named in ``keep`` come through.
     """
     if isinstance(encoder, StaticEncoder):
-        ids = token_ids(texts, vocab, profile, text_col, id_col)
-        return finish(encode_static(ids, encoder), dtype)
+        if texts.isStreaming or shipped_bytes(vocab, encoder) <= max_shipped:
+            return finish(encode_rows(texts, vocab, profile, encoder, text_col, id_col, tasks, keep), dtype)
+        if tasks is not None:
+            raise ValueError("task vectors need a vector table that can be sent to the executors")
+        pooled = encode_static(token_ids(texts, vocab, profile, text_col, id_col), encoder)
+        if keep:
+            carried = texts.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+            pooled = pooled.join(carried, "doc_id")
+        return finish(pooled, dtype)
     from lumenvec.operators.onnx_batch import encode_onnx
 
-    return finish(encode_onnx(texts, vocab, profile, encoder, text_col, id_col, tasks), dtype)
+    return finish(encode_onnx(texts, vocab, profile, encoder, text_col, id_col, tasks, keep), dtype)
 
 
 def split_results(results: DataFrame) -> tuple[DataFrame, DataFrame]:

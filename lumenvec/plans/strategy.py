@@ -28,31 +28,22 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, kno
     return df
 
 
-# Inputs below this estimated size may sit in a few row groups and give fewer
-# scan tasks than cores; above it the files themselves give the parallelism.
-SPREAD_MAX_BYTES = 4 << 30
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a (batch) DataFrame's optimized plan."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size if isinstance(size, int) else size.toString())
-
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a batch input by ``key`` if its files give fewer tasks
+    than there are cores.
+
+    A file can hold one row group, which Spark reads in a single task; the
+    text work after it would then run on one core. Files that already give a
+    task a core, and streams, are returned unchanged: shuffling the text would
+    cost more than it saves. Operators give the same rows either way."""
+    if df.isStreaming:
+        return df
+    cores = max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    return df.repartition(2 * cores, key) if scan_tasks(df) < cores else df
 
-def spread(df: DataFrame, key: str, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
-    """Hash-partition a small text input by ``key`` over all cores.
 
-    A small file can hold one row group, which Spark reads in a single task;
-    the text work after it would then run on one core. Below ``max_bytes`` a
-    shuffle of the input is cheap and hashing by ``key`` also serves later
-    per-key aggregations (no second exchange). Large inputs and streams are
-    returned unchanged: their files already give one task per row group, and
-    shuffling terabytes of text would cost more than it saves.
-    """
-    if df.isStreaming or estimated_bytes(df) > max_bytes:
-        return df
-    n = max(df.sparkSession.sparkContext.defaultParallelism * 2, 1)
-    return df.repartition(n, key)
+def scan_tasks(df: DataFrame) -> int:
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

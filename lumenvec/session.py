@@ -6,6 +6,7 @@ Library functions take the caller's session; only entry points build one.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -31,13 +32,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set one only where none is set."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The shared checkpoint folder: the configured one. Only a local master,
+    where one machine is all there is, gets a folder of its own if none is
+    set; a cluster without one is an error, as executors share no local disk."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="lumenvec-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
@@ -74,31 +79,3 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(zpath)
     _SHIPPED.add(sc.applicationId)
-
-
-def cluster_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
-    """Session settings for a large run, to pass to ``spark-submit --conf``.
-
-    * scan splits of 64 MB: tokenising multiplies rows ~100x in long form, so
-      a task's exploded tokens stay a few hundred MB;
-    * shuffle partitions ~ input / 128 MB (at least 2 per core); AQE then
-      coalesces small ones and splits skewed ones;
-    * Arrow batches of 2,048 rows for the ONNX path (hidden states of one
-      batch stay in memory; calls are cut further by ``max_batch_tokens``);
-    * retries for lost executors, and no speculation for the model tasks.
-    """
-    partitions = max(2 * total_cores, input_bytes // (128 << 20))
-    return {
-        "spark.sql.files.maxPartitionBytes": str(64 << 20),
-        "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
-        "spark.python.worker.reuse": "true",
-        "spark.task.maxFailures": "8",
-        "spark.speculation": "false",
-    }

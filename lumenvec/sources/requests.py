@@ -16,12 +16,18 @@ from pyspark.sql import functions as F
 INFER = "infer"
 
 
+def string_of(value):
+    """The text of a variant that is a JSON string; numbers and the like are no texts."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
 def parse_requests(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """(value STRING) -> (request_id BIGINT, idx INT, text STRING, error STRING)."""
     v = F.try_parse_json(F.col(value_col))
     cmd = F.try_variant_get(v, "$.command", "string")
-    text = F.try_variant_get(v, "$.text", "string")
-    inputs = F.try_variant_get(v, "$.inputs", "array<string>")
+    raw = F.try_variant_get(v, "$.text", "variant")
+    text = string_of(raw)
+    inputs = F.transform(F.try_variant_get(v, "$.inputs", "array<variant>"), string_of)
 
     def item(i, t, e):
         return F.struct(i.cast("int").alias("idx"), t.cast("string").alias("text"), e.cast("string").alias("error"))

@@ -1,8 +1,8 @@
 """Streaming embedding job.
 
-``readStream`` of JSON request lines -> parse (O4) -> JVM tokenise -> ONNX
-encoder in ``mapInPandas`` (O12b, pooling inside the batch) -> normalise
-(O14) -> ``writeStream``. Every row is independent, so the query keeps no
+``readStream`` of JSON request lines -> parse (O4) -> JVM tokenise -> encoder
+in Arrow batches (O12, pooling inside the batch) -> normalise (O14) ->
+``writeStream``. Every row is independent, so the query keeps no
 state and needs no watermark; the checkpoint gives exactly-once output for
 the file sink.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenvec.plans.pipeline import finish
+from lumenvec.plans.pipeline import embed
 from lumenvec.sources.requests import parse_requests
 
 
@@ -24,13 +24,14 @@ def request_stream(spark: SparkSession, source_dir: str, max_files_per_trigger:
 
 
 def embed_stream(requests: DataFrame, vocab, profile, encoder, tasks: DataFrame | None = None, dtype: str = "float") -> DataFrame:
-    """Streaming (or batch) single-text requests -> result rows keyed by
-    request id; requests that failed to parse are left to the caller's
-    error sink (``requests.where(error IS NOT NULL)``)."""
-    from lumenvec.operators.onnx_batch import encode_onnx
-
-    ok = requests.where(F.col("error").isNull()).select(F.col("request_id").alias("doc_id"), "text")
-    return finish(encode_onnx(ok, vocab, profile, encoder, tasks=tasks), dtype)
+    """Streaming (or batch) requests -> result rows keyed by (request_id, idx),
+    so the texts of one ``inputs`` request stay apart and in order. Requests
+    that failed to parse are left to the caller's error sink
+    (``requests.where(error IS NOT NULL)``). The encoder is the row-local
+    static one or ONNX; both work row by row and keep no state."""
+    ok = requests.where(F.col("error").isNull()).select(F.col("request_id").alias("doc_id"), "idx", "text")
+    res = embed(ok, vocab, profile, encoder, dtype, tasks=tasks, keep=["idx"])
+    return res.withColumnRenamed("doc_id", "request_id")
 
 
 def run_available(results: DataFrame, out_dir: str, checkpoint_dir: str) -> None:

@@ -33,17 +33,16 @@ def _norm(v):
     if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
-        if math.isnan(v):
-            return None  # pandas turns NULL in numeric columns into NaN
-        return round(v, 6)
+        return "NaN" if math.isnan(v) else round(v, 6)
     if hasattr(v, "item"):
         return _norm(v.item())
     return v
 
 
-def rows_of(pdf):
-    cols = sorted(pdf.columns)
-    out = [tuple(_norm(x) for x in r) for r in pdf[cols].itertuples(index=False, name=None)]
+def rows_of(table):
+    """Sorted rows of an Arrow table, where NULL and NaN stay apart."""
+    cols = sorted(table.column_names)
+    out = [tuple(_norm(x) for x in r) for r in zip(*(table.column(c).to_pylist() for c in cols))]
     return cols, sorted(out, key=repr)
 
 
@@ -56,14 +55,14 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
     for name in names or qs:
         t0 = time.time()
         sdf = qs[name](spark, sf_dir)
-        spdf = sdf.toPandas()
+        spdf = sdf.toArrow()
         t1 = time.time()
         if name not in sql:
-            report[name] = ("rows-only", len(spdf), round(t1 - t0, 1))
+            report[name] = ("rows-only", spdf.num_rows, round(t1 - t0, 1))
             if verbose:
                 print(name, report[name], flush=True)
             continue
-        dpdf = con.execute(sql[name]).df()
+        dpdf = con.execute(sql[name]).to_arrow_table()
         sc, sr = rows_of(spdf)
         dc, dr = rows_of(dpdf)
         ok = sc == dc and sr == dr
@@ -74,7 +73,7 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
             else:
                 diff = set(sr) ^ set(dr)
                 detail = f"rows {len(sr)} vs {len(dr)}; {len(diff)} differ e.g. {sorted(diff, key=repr)[:4]}"
-        report[name] = (ok, len(spdf), round(t1 - t0, 1), detail)
+        report[name] = (ok, spdf.num_rows, round(t1 - t0, 1), detail)
         if verbose:
             print(name, report[name], flush=True)
     return report

@@ -190,13 +190,39 @@ def test_unicode_trim_matches_edge_regex(spark):
     assert pretokens(spark, "\x0bx") == ["▁x"]
 
 
-def test_long_pretokens_take_the_linear_route(spark):
-    from lumenvec.operators.onnx_batch import greedy_pieces
-
+def test_pretokens_of_any_length_are_cut_alike(spark):
     v = make_vocab(spark, {"ab": 10, "c": 11, "▁ab": 12}, {"<unk>": 3})
-    words = ["▁" + "ab" * 150 + "c" + "x" * 30, "▁abcab", "ab" * 20]
+    words = ["▁" + "ab" * 150 + "c" + "x" * 30, "▁abcab", "ab" * 20, "x" * 5000]
     d = spark.createDataFrame([(w,) for w in words], "token string")
-    for long_at in (200, 5):  # default route split, and everything long
-        got = {r.token: r.pieces for r in segment_table(d, v, SUBWORD1024, long_at=long_at).collect()}
-        for w in words:
-            assert got[w] == greedy_pieces(w, {"ab", "c", "▁ab"}, 3, "<unk>")
+    got = {r.token: r for r in segment_table(d, v, SUBWORD1024).collect()}
+    assert got[words[0]].pieces == ["▁ab"] + ["ab"] * 149 + ["c"] + ["<unk>"] * 30
+    assert got[words[0]].sources == [None] * 151 + ["x"] * 30
+    assert got[words[1]].pieces == ["▁ab", "c", "ab"] and got[words[2]].pieces == ["ab"] * 20
+    assert got[words[3]].pieces == ["<unk>"] * 5000
+
+
+def test_unknown_pieces_are_reported(spark):
+    from lumenvec.operators.reports import top_unknown_tokens, unknown_token_report
+
+    v = make_vocab(spark, {"▁a": 4}, {"<s>": 0, "</s>": 2, "<unk>": 3})
+    df = spark.createDataFrame([(1, "a é é", "x"), (2, "", "x"), (3, None, "y")], "doc_id bigint, text string, lang string")
+    ids = token_ids(df, v, SUBWORD1024, keep=["lang"])
+    rep = {r.lang: tuple(r)[1:] for r in unknown_token_report(ids, ["lang"]).collect()}
+    # Each é is cut into an unknown prefix and an unknown letter.
+    assert rep == {"x": (2, 5, 4, 0.8), "y": (1, 0, 0, None)}
+    top = {(r.rank, r.token, r.n) for r in top_unknown_tokens(ids, ["lang"]).collect()}
+    assert top == {(1, "é", 2), (2, "▁", 2)}
+
+
+def test_max_tokens_in_all_forms(spark):
+    from lumenvec.operators.tokens import decode_rows, id_rows
+
+    v = make_vocab(spark, {"▁a": 4, "b": 5}, {"<s>": 0, "</s>": 2, "<unk>": 3})
+    p = SUBWORD1024.with_(max_tokens=4)
+    df = texts(spark, ["a b, a", "", "a"])
+    long = token_ids(df, v, p).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "sub", "token_id"))).alias("x"))
+    assert {r.doc_id: [y.token_id for y in r.x] for r in long.collect()} == {0: [0, 4, 3, 2], 1: [0, 2], 2: [0, 4, 2]}
+    rows = id_rows(df, v, p)
+    assert {r.doc_id: r.ids for r in rows.collect()} == {0: [0, 4, 3, 2], 1: [0, 2], 2: [0, 4, 2]}
+    assert {r.doc_id: r.text for r in decode_rows(rows, v, p, sep=" ", strip=("<s>", "</s>", "<unk>")).collect()} == {
+        0: "a", 1: "", 2: "a"}

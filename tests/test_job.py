@@ -21,8 +21,28 @@ def test_embed_job_from_files(spark, sf001, tmp_path):
     store = str(tmp_path / "store")
     base = ["--texts", f"{sf001}/documents.parquet", "--tokenizer", str(tmp_path / "tokenizer.json"),
             "--model", str(tmp_path / "model.onnx"), "--dim", "16", "--store", store]
-    n = run(spark, parse_args(base))
-    assert n == docs.count()
+    # Every text goes through the encoder once, though good and error rows are split.
+    from lumenvec.operators import onnx_batch
+
+    seen = spark.sparkContext.accumulator(0)
+    whole = onnx_batch._runner
+
+    def counting(*args):
+        inner = whole(*args)
+
+        def run_batches(batches):
+            for pdf in inner(batches):
+                seen.add(len(pdf))
+                yield pdf
+
+        return run_batches
+
+    onnx_batch._runner = counting
+    try:
+        n = run(spark, parse_args(base))
+    finally:
+        onnx_batch._runner = whole
+    assert n == docs.count() == seen.value
     rows = spark.read.parquet(store)
     assert rows.where(F.size("embedding") != 16).count() == 0
     assert run(spark, parse_args(base + ["--incremental"])) == 0

@@ -115,48 +115,76 @@ def test_incremental_second_run_encodes_nothing(spark, docs, vocab, tmp_path):
 
     path = str(tmp_path / "store")
     enc = fixture_vectors(vocab, 64)
-    fn = lambda df: embed(df, vocab, WORDS64, enc)
+    fn = lambda df: embed(df, vocab, WORDS64, enc, keep=["text_hash"])
     first = embed_incremental(spark, docs, path, fn, WORDS64.name)
     assert first == docs.select(F.sha2("text", 256)).distinct().count()
     assert embed_incremental(spark, docs, path, fn, WORDS64.name) == 0
 
 
-def test_segment_hot_cold_split_equals_broadcast(spark, docs):
-    """The skew-safe path (hot pre-tokens broadcast, tail shuffle-joined)
-    gives the same pieces as the all-broadcast path."""
-    from lumenvec.operators.subword import segment_long
-    from lumenvec.operators.tokens import explode_tokens, raw_tokens
-    from lumenvec.plans.catalog import SUBWORD64
-    from lumenvec.sources.vocab import corpus_piece_vocabulary
-
-    v = corpus_piece_vocabulary(docs)
-    long = explode_tokens(raw_tokens(docs, SUBWORD64))
-    a = segment_long(long, v, SUBWORD64)
-    b = segment_long(long, v, SUBWORD64, broadcast_rows=10, hot_rows=50)
-    cols = ["doc_id", "pos", "sub", "token"]
-    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+def test_shuffled_and_row_local_encoders_agree(docs, vocab):
+    enc = fixture_vectors(vocab, 100)
+    a = as_dict(embed(docs, vocab, WORDS64, enc, dtype="double"))
+    b = as_dict(embed(docs, vocab, WORDS64, enc, dtype="double", max_shipped=0))
+    assert a.keys() == b.keys() and all(np.array_equal(a[k], b[k], equal_nan=True) for k in a)
 
 
-def test_wide_vectors_pool_like_narrow(spark):
-    """Above the per-dimension limit the vector aggregate gives the same means
-    (within float rounding), including masked rows and all-zero masks."""
-    from lumenvec.operators.pooling import MAX_SUM_COLUMNS, masked_mean_pool
+@pytest.mark.parametrize("dim", [64, 768])
+def test_pooling_has_one_rule_for_any_dim(spark, dim):
+    from lumenvec.operators.pooling import masked_mean_pool
 
-    dim = MAX_SUM_COLUMNS + 4
     rng = np.random.default_rng(7)
     rows = []
     for doc in range(6):
         for pos in range(5):
             mask = 0 if (doc == 5 or pos == 2) else 1
             rows.append((doc, pos, rng.normal(size=dim).tolist(), mask))
-    df = spark.createDataFrame(rows, "doc_id bigint, pos int, hidden array<double>, attention bigint")
-    got = {r.doc_id: np.array(r.pooled) for r in masked_mean_pool(df, dim).collect()}
+    rows.append((6, 0, [float("nan")] * dim, 0))  # NaN under mask 0 stays NaN
+    rows.append((6, 1, [1.0] * dim, 1))
+    rows.append((7, 0, None, 1))  # no vector at all: zeros
+    df = spark.createDataFrame(rows, "doc_id bigint, pos int, hidden array<double>, attention bigint").repartition(5)
+    found = {r.doc_id: r for r in masked_mean_pool(df, dim).collect()}
+    got = {k: np.array(r.pooled) for k, r in found.items()}
     for doc in range(6):
         h = np.array([r[2] for r in rows if r[0] == doc])
         m = np.array([r[3] for r in rows if r[0] == doc], dtype=float)
-        want = (h * m[:, None]).sum(0) / max(m.sum(), 1e-9)
-        assert np.allclose(got[doc], want, atol=1e-12)
-    assert np.all(got[5] == 0)
+        assert np.allclose(got[doc], (h * m[:, None]).sum(0) / max(m.sum(), 1e-9), atol=1e-12)
+    assert np.all(got[5] == 0) and np.all(got[7] == 0) and np.isnan(got[6]).all()
+    assert found[7].n_missing == 1 and found[6].n_rows == 2
+
+
+def test_topk_without_vectors_or_queries(spark):
+    e = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, None), (3, [float("nan")] * 2), (4, [0.0, 1.0]), (5, [1.0, 0.0])], "doc_id bigint, embedding array<double>"
+    )
+    q = e.withColumnRenamed("doc_id", "query_id")
+    got = {tuple(r) for r in topk_similar(q, e, 2).collect()}
+    assert got == {(1, 1, 1, 1.0), (1, 2, 5, 1.0), (4, 1, 4, 1.0), (4, 2, 1, 0.0), (5, 1, 1, 1.0), (5, 2, 5, 1.0)}
+    assert topk_similar(q.where("query_id > 9"), e, 2).count() == 0
+    assert topk_similar(q, e.where("doc_id > 9"), 2).count() == 0
+
+
+def test_requests_take_strings_only(spark):
+    lines = spark.createDataFrame(
+        [('{"id": 1, "inputs": [3, "a", null]}',), ('{"id": 2, "command": "infer", "text": 5}',), ('{"id": 3, "inputs": []}',)], "value string"
+    )
+    rows = sorted((r.request_id, r.idx, r.text, r.error) for r in parse_requests(lines).collect())
+    assert rows == [(1, 0, None, "missing text"), (1, 1, "a", None), (1, 2, None, "missing text"), (2, 0, None, "missing text")]
+
+
+def test_error_rows_never_hide_a_good_one(spark, tmp_path):
+    from lumenvec.operators.store import STORE_COLUMNS, append, errors_path, latest
+
+    ddl = "text_hash string, profile string, task string, run_id string, run_ts timestamp, embedding array<float>, dim int, n_tokens bigint, error string"
+    import datetime as dt
+
+    day = lambda k: dt.datetime(2024, 1, k)
+    rows = [("a", "p", None, "r1", day(1), [1.0], 1, 1, None), ("a", "p", None, "r2", day(2), None, None, 1, "bad"),
+            ("b", "p", "t", "r1", day(1), [1.0], 1, 1, None), ("b", "p", "t", "r2", day(2), [2.0], 1, 1, None)]
+    df = spark.createDataFrame(rows, ddl)
+    assert {(r.text_hash, r.run_id) for r in latest(df).collect()} == {("a", "r1"), ("b", "r2")}
+    path = str(tmp_path / "s")
+    assert append(df.select(*STORE_COLUMNS), path) == 3
+    assert spark.read.parquet(path).count() == 3 and spark.read.parquet(errors_path(path)).count() == 1
 
 
 def test_stream_equals_batch_for_task_model(spark, docs, tmp_path):
@@ -174,7 +202,7 @@ def test_stream_equals_batch_for_task_model(spark, docs, tmp_path):
     request_lines(docs, "doc_id", "text").repartition(3).write.text(src)
     res = embed_stream(request_stream(spark, src, 1), v, SUBWORD64, enc, tasks=tasks, dtype="double")
     run_available(res, str(tmp_path / "out"), str(tmp_path / "ckpt"))
-    streamed = as_dict(spark.read.parquet(str(tmp_path / "out")))
+    streamed = as_dict(spark.read.parquet(str(tmp_path / "out")).withColumnRenamed("request_id", "doc_id"))
     batch = as_dict(embed(docs, v, SUBWORD64, enc, dtype="double", tasks=tasks))
     assert streamed.keys() == batch.keys()
     assert all(np.max(np.abs(streamed[k] - batch[k])) < 1e-12 for k in batch)

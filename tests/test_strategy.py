@@ -22,9 +22,47 @@ def test_bounded_broadcast_respects_bound(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_spread_only_small_inputs(spark, sf001):
+def test_spread_only_where_files_give_few_tasks(spark, sf001):
     docs = spark.read.parquet(f"{sf001}/documents.parquet").select("doc_id", "text")
     assert "REPARTITION_BY_NUM" in plan(spread(docs, "doc_id"))
-    assert "REPARTITION_BY_NUM" not in plan(spread(docs, "doc_id", max_bytes=0))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        many = spark.read.parquet(f"{sf001}/documents.parquet").select("doc_id", "text", "lang")
+        assert "REPARTITION_BY_NUM" not in plan(spread(many, "doc_id"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
     stream = spark.readStream.format("rate").load().select(F.col("value").alias("doc_id"))
     assert spread(stream, "doc_id") is stream
+
+
+def test_checkpoint_folder_without_a_preset(spark, monkeypatch):
+    from lumenvec import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+        def setCheckpointDir(self, d):
+            self.folder = d
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    import pytest
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
+    Session.sparkContext.master = "local[2]"
+    d = session.ensure_checkpoint_dir(Session())
+    assert Session.sparkContext.folder == d
