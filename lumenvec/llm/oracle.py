@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lumenvec.llm.line_dedup import WINDOW
 from lumenvec.llm.quality_rules import BOILERPLATE, Rules
+from lumenvec.llm.substring import WINDOW as SPAN
 
 R = Rules()
 SQL: dict[str, str] = {}
@@ -59,3 +60,18 @@ SELECT doc_id, count(pos) AS n_lines, CAST(sum(CASE WHEN out THEN 1 ELSE 0 END)
        sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT out), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+SQL["op1_substring_dedup"] = rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+           FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + {SPAN - 1}], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - {SPAN} + 2)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM win) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, range(0, {SPAN}) r(k)),
+one AS (SELECT doc_id, i, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+kept AS (SELECT one.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY one.i) AS t
+         FROM one ANTI JOIN gone ON gone.doc_id = one.doc_id AND gone.i = one.i GROUP BY one.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
