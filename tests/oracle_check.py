@@ -62,7 +62,7 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
             if verbose:
                 print(name, report[name], flush=True)
             continue
-        dpdf = con.execute(sql[name]).to_arrow_table()
+        dpdf = con.sql(sql[name]).to_arrow_table()
         sc, sr = rows_of(spdf)
         dc, dr = rows_of(dpdf)
         ok = sc == dc and sr == dr
