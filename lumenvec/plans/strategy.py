@@ -2,30 +2,21 @@
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-log = logging.getLogger(__name__)
-
-# A vocabulary of 250k pieces with ids is a few MB; 2M rows keeps a
-# broadcast side well under the default 8 GB broadcast limit per executor.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# A vocabulary of 250k pieces with ids is a few MB; its pieces are short, so
+# 2M rows stay well under Spark's broadcast limit.
+MAX_BROADCAST_ROWS = 2_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, known_rows: int | None = None) -> DataFrame:
-    """Hint a broadcast when the side has at most ``max_rows`` rows.
+def bounded_broadcast(df: DataFrame, known_rows: int | None = None, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast for a side of short rows that is proven small.
 
-    ``known_rows`` is a proven upper bound (e.g. from a ``limit``); without it
-    the rows are counted, which is one cheap job over a small table. Beyond the
-    bound the side is left to the planner (shuffle join, AQE re-plan).
-    """
-    n = known_rows if known_rows is not None else df.count()
-    if n <= max_rows:
-        return F.broadcast(df)
-    log.warning("side has %s rows > %s: not broadcast, shuffle join", n, max_rows)
-    return df
+    ``known_rows`` is an upper bound that comes with the table (a model
+    artifact's size, a ``limit``). Without one nothing is counted and nothing
+    hinted: Spark broadcasts by measured bytes or shuffles."""
+    return F.broadcast(df) if known_rows is not None and known_rows <= max_rows else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

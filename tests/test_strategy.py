@@ -14,10 +14,11 @@ def test_bounded_broadcast_respects_bound(spark):
     small = spark.range(10).withColumnRenamed("id", "k")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        hinted = big.join(bounded_broadcast(small, max_rows=100), "k")
+        hinted = big.join(bounded_broadcast(small, known_rows=10, max_rows=100), "k")
         assert "BroadcastHashJoin" in plan(hinted)
-        refused = big.join(bounded_broadcast(small, max_rows=5), "k")
+        refused = big.join(bounded_broadcast(small, known_rows=10, max_rows=5), "k")
         assert "BroadcastHashJoin" not in plan(refused)
+        assert "BroadcastHashJoin" not in plan(big.join(bounded_broadcast(small), "k"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
