@@ -45,9 +45,9 @@ class Fit:
     max_features: int = 2000
     prefixes: tuple[int, ...] = (3, 4, 5, 6, 7)
     least_positive: int = 3
-    steps: int = 400
+    steps: int = 800
     rate: float = 0.05
-    decay: float = 0.002
+    decay: float = 0.0002
     seed: int = 11
 
 
