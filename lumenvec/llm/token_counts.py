@@ -54,7 +54,8 @@ def parts(enc: Encoder, text: str):
     word = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
     # An added token in the text starts the count of words anew or has none.
     starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])) | (word < 0)) if len(word) else np.zeros(0, np.int64)
-    at = np.array([e.offsets[i][0] for i in starts], np.int64)
+    offsets = e.offsets  # a new list each time it is asked for
+    at = np.array([offsets[i][0] for i in starts], np.int64)
     return np.concatenate((at, [len(text)])), np.concatenate((starts, [len(word)]))
 
 
@@ -73,8 +74,11 @@ def count_tokens(enc: Encoder, text: str | None, chunk: int = CHUNK, overlap: in
     while end < len(text):
         wide = overlap
         while True:
+            # White space at a chunk's edge would send the chunk to the library as a whole.
             at = max(proven, end - wide)
+            at -= at > proven and text[at] in " \n"
             to = min(len(text), max(at + chunk, end + chunk // 2))
+            to += to < len(text) and text[to - 1] in " \n"
             new, new_before = parts(enc, text[at:to])
             new = new + at
             if at == proven:
