@@ -176,8 +176,11 @@ def factors(docs: DataFrame, texts: DataFrame, window: int = WINDOW, gram: int =
 
     ``docs``: (doc_id, row, text); ``texts``: the same, dealt by row."""
     blocks_of = materialize(index(docs.where("doc_id IS NOT NULL"), window, gram), "rlz-blocks")
+    # Every table that is joined by a key is written first: a join of two plain
+    # reads is one that Spark can split where a key is hot.
     shared = blocks_of.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    found = materialize(blocks_of.join(shared.select("anchor"), "anchor"), "rlz-shared")
+    shared = materialize(shared.select("anchor"), "rlz-anchors")
+    found = materialize(blocks_of.join(shared, "anchor"), "rlz-shared")
 
     entries = found.groupBy("anchor", "block").agg(
         F.min(F.struct("doc_id", "row", "first", "n")).alias("x"), F.max("doc_id").alias("last")
@@ -188,11 +191,12 @@ def factors(docs: DataFrame, texts: DataFrame, window: int = WINDOW, gram: int =
     ).where("doc_id > smallest")
 
     open_ = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
-    listed = entries.join(open_, "anchor").groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    listed = entries.join(materialize(open_, "rlz-open"), "anchor").groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     edges = texts.join(listed, "row")
     windows = materialize(boundary_windows(edges, window), "rlz-windows")
     least = windows.groupBy("content").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("last"))
-    inner = windows.join(least.where("smallest < last"), "content").where("doc_id > smallest")
+    least = materialize(least.where("smallest < last").select("content", "smallest"), "rlz-least")
+    inner = windows.join(least, "content").where("doc_id > smallest")
     return later.select("row", "first", "n").unionByName(inner.select("row", "first", F.lit(1).alias("n")))
 
 
