@@ -161,6 +161,8 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     label = own.join(of, F.col("fingerprint") == F.col("f"), "left").select(
         "fingerprint", F.when(F.col("f").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")
     )
+    # Written first: a join of two plain reads is split where a fingerprint is hot.
+    label = materialize(label, "simhash-label")
     return prints.join(label, "fingerprint").select("doc_id", "text_id", "fingerprint", "component_id")
 
 
