@@ -212,9 +212,10 @@ def groupings(shards: DataFrame, plan: Plan = Plan()) -> DataFrame:
         "shard", F.explode(F.sequence(F.lit(0), F.lit(plan.islands - 1))).alias("island"), "lengths",
         F.lit(None).cast("array<array<int>>").alias("groups"),
     )
-    parts = F.col("shard"), F.col("island")
+    # Islands are small rows and long work: a fixed number of tasks, not one by size.
+    tasks = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     for epoch in range(plan.epochs):
-        here = materialize(_epoch(here.repartition(*parts), plan, epoch), "packing-islands")
+        here = materialize(_epoch(here.repartition(tasks, "shard", "island"), plan, epoch), "packing-islands")
         if epoch + 1 < plan.epochs and plan.islands > 1:
             elite = here.select(
                 "shard", F.pmod(F.col("island") + 1, F.lit(plan.islands)).alias("island"), F.slice("groups", 1, 1).alias("elite")
