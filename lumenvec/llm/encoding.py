@@ -45,8 +45,9 @@ def library(path: str):
     return t
 
 
-#: A word of the Latin letters that every version of Unicode has, and the punctuation after it.
-LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:]*)")
+#: A word of the Latin letters that every version of Unicode has, and the ASCII signs after it
+#: (all but the apostrophe, which can begin a part with letters).
+LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]*)([!-&(-/:-@\[-`{-~]*)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -69,14 +70,14 @@ class Units(dict):
         return ids_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
-        """A Latin word is one part and the punctuation after it another, so the
-        library's model merges the first by itself; other words go through
-        the library's whole way."""
+        """A Latin word is one part and the signs after it another; signs alone are
+        one part. The library's model merges a part by itself; other words go
+        through the library's whole way."""
         if len(self) >= UNIT_CACHE:
             self.clear()
         if not (m := LATIN.fullmatch(word)):
             found = self.whole(self.before + word)
-        elif m[2]:
+        elif m[1] and m[2]:
             if m[2] not in self.tails:
                 if len(self.tails) >= UNIT_CACHE:
                     self.tails = {"": b""}

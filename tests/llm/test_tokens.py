@@ -14,7 +14,8 @@ from lumenvec.llm.encoding import encoder, library, tokenizer_path
 
 PATH = tokenizer_path()
 PIECES = ["a", "the", " ", "  ", "\n", "\n\n", "'s", "'", "1", "½", "é", "ſ", "\xa0", "　", " ", "\x1c", "\x85", "​", "。", "😀", "!!", "...",
-          "<|endoftext|>", "<|end", "\t", "\r\n", "ß", "Ǆ", "x,"]
+          "<|endoftext|>", "<|end", "\t", "\r\n", "ß", "Ǆ", "x,", "***",
+          "|", "_", "-", "@", "\"", "`", "x***", "a_b", "^", "~"]
 ROWS = [
     (1, None), (2, ""), (3, " "), (4, "hello world, it's me\nthe end."), (4, "hello world, it's me\nthe end."),
     (5, "word " * 9000), (6, "x" * 30000), (7, "<|endoftext|> a <|endoftext|>"), (None, "no id"), (8, "é\n" * 5000), (9, "<|endoftext|>"),
