@@ -15,9 +15,9 @@ words are duplicate spans and are cut out.
   with its first document, so a passage in millions of documents is one entry.
 * **Factor boundaries.** Where an anchor has several different blocks, a factor
   may begin or end inside. The first document of each of these blocks lists
-  the block's windows; a window whose words also start in a smaller document
-  belongs to a factor. Every other holder of the block has a smaller document
-  with all of it already.
+  the windows of every place it has the block at, in all its rows; a window
+  whose words also start in a smaller document belongs to a factor. Every
+  holder with a larger doc_id has a smaller document with all of it already.
 * **Greedy parse.** Within a document the matched windows, in order, are joined
   into the longest factors; their words go.
 
@@ -182,16 +182,17 @@ def factors(docs: DataFrame, texts: DataFrame, window: int = WINDOW, gram: int =
     shared = materialize(shared.select("anchor"), "rlz-anchors")
     found = materialize(blocks_of.join(shared, "anchor"), "rlz-shared")
 
-    entries = found.groupBy("anchor", "block").agg(
-        F.min(F.struct("doc_id", "row", "first", "n")).alias("x"), F.max("doc_id").alias("last")
-    )
-    entries = materialize(entries.select("anchor", "block", "x.*", "last"), "rlz-entries")
+    entries = found.groupBy("anchor", "block").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+    entries = materialize(entries, "rlz-entries")
     later = found.join(
         entries.where("last > doc_id").select("anchor", "block", F.col("doc_id").alias("smallest")), ["anchor", "block"]
     ).where("doc_id > smallest")
 
     open_ = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
-    listed = entries.join(materialize(open_, "rlz-open"), "anchor").groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    firsts = entries.join(materialize(open_, "rlz-open"), "anchor").select("anchor", "block", "doc_id")
+    # Every place of the block in its first document, not only the first one.
+    places = found.join(materialize(firsts, "rlz-firsts"), ["anchor", "block", "doc_id"], "left_semi")
+    listed = places.groupBy("row").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
     edges = texts.join(listed, "row")
     windows = materialize(boundary_windows(edges, window), "rlz-windows")
     least = windows.groupBy("content").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("last"))
