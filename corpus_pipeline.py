@@ -9,7 +9,8 @@ columns of ``documents``, with ``text`` and ``n_chars`` as they are by then:
    words left;
 3. SimHash near-dedup: one document of each group stays;
 4. mixing sources to target weights: a row for each copy the mix takes, so a
-   document can come twice; the last one of a source can be cut;
+   document can come twice; the last one of a source can be cut; the rows
+   are written shard after shard, in the random order of their places;
 5. best-fit packing: the pieces of all rows with their sequences.
 """
 
@@ -44,7 +45,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return as_documents(mixing.mixed(docs))
+    out = mixing.mixed(docs)
+    shard, place = out.columns[-2:]
+    # Ranges, not one task for each shard: the written rows are in the order of the shards and places.
+    return as_documents(out.repartitionByRange(shard, place).sortWithinPartitions(shard, place))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from oracle_check import compare
 from test_tokens import check_packing
 
 import __spark_entry__ as E
+from lumenvec.llm import mixing
 from lumenvec.llm.oracle import SQL
 from lumenvec.llm.queries import QUERIES
 
@@ -81,6 +82,14 @@ def test_pipeline_stages_against_brute_force(spark, sf001, corpus):
     assert all(r.n_chars == len(r.text) for r in rows)
 
 
+def test_mix_stage_gives_shards_in_their_order(spark, docs_of):
+    rows = [(i, f"{i} " + "w " * (i * 37 % 300), "abc"[i % 3]) for i in range(900)]
+    docs = docs_of(rows, 5)
+    got = [(r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["mixing sources to target weights"](spark, docs, "").collect()]
+    want = mixing.mixed(docs).orderBy("shard", "place").collect()
+    assert got == [(r.doc_id, r.text) for r in want] and len({r.shard for r in want}) == 16
+
+
 def test_run_gives_the_packed_pieces(spark, sf001):
     out = corpus_pipeline.run(spark, sf001)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
