@@ -13,7 +13,8 @@ counted by the different words of a text that have them, and the text's length.
 What is fitted is bounded: at most ``max_positive`` and ``max_unlabelled``
 texts, chosen by hash among the labelled rows, and at most ``max_features``
 features, counted in Spark over these texts and chosen by how much commoner
-they are in positives. Every row of the corpus is then scored where it lies,
+they are in positives. Rows with one doc_id count as one text, the one with
+the smallest hash. Every row of the corpus is then scored where it lies,
 whole. Memory in a worker: the features and a bounded cache of words.
 
 Defined results: null and empty texts have no features and a score of their
@@ -85,10 +86,11 @@ def sample(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), text: str = "te
     shuffled = F.xxhash64(F.lit(fit.seed), "doc_id")
     positive = known.where("toxic = 1").orderBy(shuffled).limit(fit.max_positive).select(F.col("doc_id").alias("id"), F.lit(True).alias("positive"))
     hidden = known.orderBy(shuffled).limit(fit.max_unlabelled).select(F.col("doc_id").alias("id"), F.lit(False).alias("positive"))
-    # At most max_positive + max_unlabelled ids.
+    # At most max_positive + max_unlabelled ids, and one text of each: the one with the smallest hash.
     chosen = F.broadcast(positive.unionByName(hidden))
-    rows = docs.join(chosen, own == F.col("id")).select("positive", F.col(f"`{text}`").alias("text"))
-    return materialize(rows, "toxicity-sample"), prior or 0.0
+    rows = docs.select(own.alias("id"), F.col(f"`{text}`").alias("text")).join(chosen, "id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")
+    return materialize(rows.groupBy("id", "positive").agg(one).select("positive", "x.text"), "toxicity-sample"), prior or 0.0
 
 
 def choose_features(rows: DataFrame, fit: Fit = Fit()) -> list[str]:

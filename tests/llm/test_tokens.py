@@ -161,6 +161,17 @@ def test_risk_never_learns_positives_by_heart():
     assert abs(p[~positive].mean() - 0.2) < 0.1
 
 
+def test_toxicity_sample_has_one_text_for_each_label(spark, docs_of):
+    labels = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(100, 300)], "doc_id bigint, quality int, toxic int")
+    known = [k for k in range(100, 300) if zlib.crc32(str(k).encode()) % 4 != 2]
+    hot = next(k for k in known if k % 5 == 0)
+    rows = [(k, f"words {k}") for k in range(100, 300)] + [(hot, f"other words {i}") for i in range(500)]
+    found, prior = toxicity.sample(docs_of(rows), labels)
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(p for p, _ in got) == sorted([False] * len(known) + [True] * sum(k % 5 == 0 for k in known))
+    assert len(set(got)) == len(got) and prior == sum(k % 5 == 0 for k in known) / len(known)
+
+
 def test_toxicity_hard_rows(spark, docs_of):
     labels = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(100, 300)] + [(None, 1, 1), (101, 1, None)], "doc_id bigint, quality int, toxic int")
     rows = [(k, f"some words {k} and more" + (" awful horrid" if k % 5 == 0 else "")) for k in range(100, 300)]
