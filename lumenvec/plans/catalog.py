@@ -366,11 +366,12 @@ def q_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pair_scores(pairs, e)
 
 
-def _parity_rows(spark: SparkSession, d: str) -> DataFrame:
+def _parity_rows(spark: SparkSession, d: str, without: tuple[str | None, str | None] = ("fr", "de")) -> DataFrame:
+    """``without``: the language that each side leaves out, if any."""
     docs = _docs(spark, d, "lang")
     vocab = corpus_word_vocabulary(docs)
     lang = F.coalesce(F.col("lang"), F.lit(""))
-    left, right = (docs.where(lang != x).select("doc_id", "text") for x in ("fr", "de"))
+    left, right = ((docs.where(lang != x) if x else docs).select("doc_id", "text") for x in without)
     static = embed(left, vocab, WORDS64, fixture_vectors(vocab, FIXTURE_DIM), dtype="double")
     onnx = embed(right, vocab, WORDS64, fixture_onnx(vocab), dtype="float")
     return parity(static, onnx)
@@ -386,6 +387,15 @@ def q_parity_summary(spark: SparkSession, d: str) -> DataFrame:
     return parity_summary(_parity_rows(spark, d))
 
 
+def q_parity_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Both encoders over every document."""
+    return _parity_rows(spark, d, (None, None))
+
+
+def q_parity_summary_whole(spark: SparkSession, d: str) -> DataFrame:
+    return parity_summary(_parity_rows(spark, d, (None, None)))
+
+
 def _oov_ids(spark: SparkSession, d: str, profile) -> DataFrame:
     docs = _docs(spark, d, "lang")
     vocab = corpus_word_vocabulary(docs) if profile is WORDS64 else corpus_piece_vocabulary(docs)
@@ -542,6 +552,8 @@ QUERIES.update(
         "pairs": q_pairs,
         "parity": q_parity,
         "parity_summary": q_parity_summary,
+        "parity_whole": q_parity_whole,
+        "parity_summary_whole": q_parity_summary_whole,
         "oov_report": q_oov_report,
         "oov_top": q_oov_top,
         "oov_report_v3": q_oov_report_v3,

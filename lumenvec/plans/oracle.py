@@ -190,6 +190,17 @@ rows AS (SELECT doc_id, status,
                 CASE WHEN status = 'both' THEN round(mad, 6) END AS max_abs_diff,
                 CASE WHEN status = 'both' THEN mad <= 1e-5 END AS within_tol FROM st)
 """
+# Every document on both sides.
+PARITY_WHOLE = f"""
+WITH {V2_BASE}, {DOC_EMB},
+pr AS (SELECT id AS doc_id, sum(x * CAST(CAST(x AS FLOAT) AS DOUBLE)) AS ab, sum(x * x) AS aa,
+              sum(CAST(CAST(x AS FLOAT) AS DOUBLE) * CAST(CAST(x AS FLOAT) AS DOUBLE)) AS bb,
+              max(abs(x - CAST(CAST(x AS FLOAT) AS DOUBLE))) AS mad
+       FROM demb GROUP BY id),
+rows AS (SELECT doc_id, 'both' AS status,
+                round(CASE WHEN aa * bb = 0 THEN CAST('NaN' AS DOUBLE) ELSE ab / (sqrt(aa) * sqrt(bb)) END, 6) AS cosine,
+                round(mad, 6) AS max_abs_diff, mad <= 1e-5 AS within_tol FROM pr)
+"""
 
 
 def _wide(ids: str, dims: int, add: str) -> str:
@@ -231,6 +242,11 @@ SELECT CAST(count(*) FILTER (status = 'both') AS BIGINT) AS n_both,
        CAST(count(*) FILTER (status = 'right_only') AS BIGINT) AS n_right_only,
        min(cosine) AS min_cosine, max(max_abs_diff) AS max_abs_diff,
        round(avg(CAST(within_tol AS DOUBLE)), 6) AS share_within_tol FROM rows""",
+    "parity_whole": PARITY_WHOLE + " SELECT * FROM rows",
+    "parity_summary_whole": PARITY_WHOLE + """
+SELECT count(*) AS n_both, CAST(0 AS BIGINT) AS n_left_only, CAST(0 AS BIGINT) AS n_right_only,
+       min(cosine) AS min_cosine, max(max_abs_diff) AS max_abs_diff,
+       round(avg(CAST(within_tol AS DOUBLE)), 6) AS share_within_tol FROM rows""",
     "oov_report": f"""
 WITH {V2_BASE},
 per_doc AS (SELECT doc_id, count(*) AS n_tokens, sum(CAST(NOT in_vocab AS BIGINT)) AS n_unknown

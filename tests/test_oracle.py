@@ -16,6 +16,13 @@ def test_query_matches_oracle(spark, sf001, name):
         assert rep[0] is True, rep
 
 
+def test_parity_whole_compares_every_document(spark, sf001):
+    docs = spark.read.parquet(f"{sf001}/documents.parquet")
+    rows = QUERIES["parity_whole"](spark, sf001).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    assert {r.status for r in rows} == {"both"} and {r.lang for r in docs.select("lang").collect()} >= {"fr", "de"}
+
+
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0 and df.columns == ["doc_id", "dim", "x"]
