@@ -75,3 +75,28 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.
        sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+# Unsigned CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({0}::VARCHAR, ''),
+    lambda ch: [ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+
+SQL["op11_conversation_trie"] = f"""
+WITH turns AS (SELECT conv_id, turn, md5(length(r) || ':' || r || ':' || t) AS k, strlen(t) AS n
+               FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (SELECT conv_id, list(k ORDER BY turn NULLS FIRST, k) AS ks, list(n ORDER BY turn NULLS FIRST, k) AS ns,
+               {_CRC.format("conv_id")} % 9 AS h FROM turns GROUP BY conv_id),
+seqs AS (SELECT o.conv_id, list_concat(coalesce(b.ks[1:o.h], []), o.ks[o.h + 1:]) AS ks, list_concat(coalesce(b.ns[1:o.h], []), o.ns[o.h + 1:]) AS ns
+         FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+begins AS (SELECT conv_id, d, md5(array_to_string(ks[1:d], ',')) AS p, md5(array_to_string(ks[1:d - 1], ',')) AS up, ns[d] AS n, d = len(ks) AS is_end
+           FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM seqs)),
+nodes AS (SELECT p, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(n), 0) AS n,
+                 sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+          FROM begins GROUP BY p, d),
+kids AS (SELECT up AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY up),
+below AS (SELECT b.p, count(*) FILTER (k.p IS NULL) AS n_leaves, sum((v.n_convs - 1) * v.n) AS saved_tokens
+          FROM nodes v JOIN begins b ON b.conv_id = v.conv_id AND b.d <= v.d LEFT JOIN kids k ON k.p = v.p GROUP BY b.p)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, CASE WHEN v.d > 0 THEN u.conv_id END AS parent_conv_id, v.n_convs,
+       coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM nodes v JOIN below USING (p) LEFT JOIN kids USING (p) LEFT JOIN nodes u ON u.p = v.up AND u.d = v.d - 1
+"""

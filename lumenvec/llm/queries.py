@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenvec.llm import (
+    conversation_trie,
     line_dedup,
     mixing,
     packing,
@@ -100,3 +101,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality_rules.judge(table(spark, sf_dir, "documents"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost", "base_failed", "kept")
     return q.select("doc_id", *[f"quality.{n}" for n in names])
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie over the rebuilt conversations."""
+    own = conversation_trie.sequences(table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(conversation_trie.rebuilt(own)).drop("digest")
