@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from lumenvec.llm import (
     conversation_trie,
+    hard_negatives,
     line_dedup,
     mixing,
     packing,
+    personal_data,
     quality_rules,
     simhash,
     spotsigs,
@@ -108,3 +110,23 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie over the rebuilt conversations."""
     own = conversation_trie.sequences(table(spark, sf_dir, "conversations"))
     return conversation_trie.trie(conversation_trie.rebuilt(own)).drop("digest")
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, some labels moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.rows_of(table(spark, sf_dir, "embeddings"), label=moved)
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+@query
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the base spans, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    spans = personal_data.found(docs, personal_data.train(docs))
+    base = F.filter("spans", lambda x: x["base"])
+    counts = [F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in personal_data.KINDS]
+    added = F.size(F.filter("spans", lambda x: ~x["base"])).cast("long").alias("n_added")
+    digest = F.sha2(personal_data.listed(base), 256).alias("base_sha256")
+    return spans.select("doc_id", *counts, digest, personal_data.listed(F.col("spans")).alias("spans"), added)
