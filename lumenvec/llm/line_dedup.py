@@ -1,27 +1,35 @@
 """Line dedup: winnowing over line hashes.
 
-The lines of a document that have a word form a sequence. In every window of
-``window`` consecutive lines the line with the smallest hash (the first of
-equals) is its fingerprint, so two equal windows choose the same line at the
-same place: a shared run of ``window`` lines is never missed. Then
-
-1. fingerprint lines seen only once in the corpus drop out with all windows
-   that chose them (a pre-aggregated count);
-2. the windows of the others meet the first place of the same content: the
-   match is extended to both sides of the fingerprint by comparing the whole
-   window around it, and neighbouring windows that match join to runs;
-3. every run that was there before, in a smaller (doc_id, line), is deleted.
-
-Both groupings are counts and minima that Spark combines before the shuffle,
-so a line that millions of documents share is one row a task. Nothing but
-line numbers and digests is shuffled; texts meet their deleted line numbers
-in one join by document.
+The lines of a document that have a word form a sequence. A run of lines counts
+as repeated text when it has ``window`` lines, or fewer with ``alone`` words or
+more. In every window of ``window`` consecutive lines, and in every pair of
+lines and every line with ``alone`` words, the line with the smallest hash (the
+first of equals) is the fingerprint, so two equal runs choose the same line at
+the same place. One row for each chosen (fingerprint, line place) goes on, with
+the digests of the lines around it. Then
+
+1. places join by fingerprint: each content with two places or more keeps its
+   first place and its count, which Spark combines before the shuffle; places
+   whose line is found once drop out;
+2. matches are extended, a line at a time, first to the right and then to the
+   left, and at every step the places that no longer match another one drop
+   out; so a place is compared with all others by key, never pair by pair;
+3. each extended run that counts and was there before, in a smaller
+   (doc_id, line), is deleted. Longer runs are the union of these.
+
+Every run of ``window`` lines that repeats has its fingerprint in common, so none
+is missed. The result is exactly: a line goes if a run that counts covers it and
+the same run begins at a smaller (doc_id, line). A line that millions of
+documents share is one row a task in each count, and the joins are of two
+written tables, which Spark splits where a line is hot. Nothing but line numbers
+and digests is shuffled; texts meet their deleted line numbers in one join by
+document.
 
 Defined results: null and blank texts have no lines and stay as they are;
-lines without words are never compared and stay; a text with fewer lines than
-a window stays; of equal rows (same doc_id and text) none is earlier than the
-other by (doc_id, line), so both stay; a null doc_id sorts first; an empty
-table gives an empty result; other columns pass through.
+lines without words are never compared and stay; of equal rows (same doc_id and
+text) none is earlier than the other by (doc_id, line), so both stay; a null
+doc_id sorts first; an empty table gives an empty result; other columns pass
+through.
 """
 
 from __future__ import annotations
@@ -33,6 +41,8 @@ from lumenvec.llm.common import bind, col, fresh, words
 from lumenvec.plans.strategy import materialize
 
 WINDOW = 3
+#: Words that make a run of fewer lines count.
+ALONE = 50
 
 
 def numbered(text: Column) -> Column:
@@ -43,34 +53,36 @@ def numbered(text: Column) -> Column:
     )
 
 
-def windows(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_id, at, fingerprint, place, content): one row for each window of lines.
+def chosen(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, alone: int = ALONE) -> DataFrame:
+    """(doc_id, text_id, at, own, around): one row for each chosen line.
 
-    ``at`` is the window's first line among those with a word, ``fingerprint``
-    the chosen line's hash, ``place`` its place in the window and ``content``
-    the digest of the window's lines."""
+    ``at`` is its number among the lines with a word; ``around`` has the digest
+    and the number of words of the lines that a run can reach, itself at ``own``."""
 
-    def rows(full: Column) -> Column:
-        def one(hashes: Column, i: Column) -> Column:
-            part = F.slice(hashes, i + 1, window)
-            least = F.array_min(part)
-            return F.struct(
-                i.cast("int").alias("at"),
-                least.alias("fingerprint"),
-                F.array_position(part, least).cast("int").alias("place"),
-                F.unhex(F.md5(F.array_join(F.slice(full, i + 1, window), "\n"))).alias("content"),
-            )
+    def places(lines: Column) -> Column:
+        def of_windows(h: Column) -> Column:
+            last = F.size(lines) - window
+            least = lambda i: i + F.array_position(F.slice(h, i + 1, window), F.array_min(F.slice(h, i + 1, window))).cast("int") - 1
+            wide = F.when(last < 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), last), least))
+            n = lambda i: F.coalesce(F.get(lines, i)["n"], F.lit(0))
+            every = F.transform(lines, lambda x, i: i.cast("int"))
+            single = F.filter(every, lambda i: n(i) >= alone)
+            pair = F.filter(every, lambda i: (i + 1 < F.size(lines)) & (n(i) + n(i + 1) >= alone))
+            pair = F.transform(pair, lambda i: i + (F.get(h, i + 1) < F.get(h, i)).cast("int"))
+            return F.array_distinct(F.concat(wide, single, pair))
 
-        last = F.size(full) - window
-        return F.when(last < 0, F.array().cast("array<struct<at:int,fingerprint:bigint,place:int,content:binary>>")).otherwise(
-            bind(
-                F.transform(full, lambda x: F.xxhash64(x)),
-                lambda h: F.transform(F.sequence(F.lit(0), last), lambda i: one(h, i)),
-            )
-        )
+        def row(i: Column) -> Column:
+            begin = F.greatest(F.lit(0), i - (window - 1))
+            around = F.slice(lines, begin + 1, i - begin + window)
+            return F.struct(i.alias("at"), (i - begin).alias("own"), F.transform(around, lambda x: F.struct(x["d"].alias("d"), x["n"].alias("n"))).alias("around"))
+
+        return F.transform(bind(F.transform(lines, lambda x: x["h"]), of_windows), row)
 
-    full = F.transform(F.filter(numbered(col(f"`{text}`")), lambda x: x["full"]), lambda x: x["line"])
-    told = docs.select(F.col(f"`{key}`").alias("doc_id"), digest(text).alias("text_id"), F.explode(bind(full, rows)).alias("x"))
+    def lined(x: Column) -> Column:
+        return F.struct(F.xxhash64(x["line"]).alias("h"), F.unhex(F.md5(x["line"])).alias("d"), F.size(words(x["line"])).alias("n"))
+
+    full = F.transform(F.filter(numbered(col(f"`{text}`")), lambda x: x["full"]), lined)
+    told = docs.select(F.col(f"`{key}`").alias("doc_id"), digest(text).alias("text_id"), F.explode(bind(full, places)).alias("x"))
     return told.select("doc_id", "text_id", "x.*")
 
 
@@ -79,31 +91,54 @@ def digest(text: str) -> Column:
     return F.xxhash64(F.col(f"`{text}`"))
 
 
-def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
+def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, alone: int = ALONE) -> DataFrame:
     """(doc_id, text_id, removed): the line numbers, among lines with a word, that lie in
     a later copy of a run. One row for each document that loses a line."""
-    rows = materialize(windows(docs, text, key, window), "line-windows")
-    shared = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
-    near = rows.join(shared, "fingerprint")
-    first = near.groupBy("fingerprint", "place", "content").agg(
-        F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")
-    )
-    later = near.join(first.where("n > 1"), ["fingerprint", "place", "content"]).where(
-        F.struct("doc_id", "at") > F.col("first")
+    line = F.get("around", F.col("own"))
+    runs = chosen(docs, text, key, window, alone).select(
+        "doc_id", "text_id", "at", "own", "around", F.lit(0).alias("left"), F.lit(0).alias("right"), line["d"].alias("run"), line["n"].alias("n_words")
     )
-    runs = later.groupBy("doc_id", "text_id").agg(F.collect_set("at").alias("at"))
-    covered = F.flatten(F.transform("at", lambda i: F.sequence(i, i + (window - 1))))
-    return runs.select("doc_id", "text_id", F.array_distinct(covered).alias("removed"))
-
-
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
+    runs, later = materialize(runs, "chosen-lines"), None
+    for lines in range(1, window + 1):
+        places = runs.groupBy("run").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        runs = materialize(runs.join(materialize(places.drop("n"), "line-places"), "run"), "matched-lines")
+        counts = F.lit(True) if lines == window else F.col("n_words") >= alone
+        gone = runs.where(counts & (F.struct("doc_id", "at") > F.col("first")))
+        gone = gone.select("doc_id", "text_id", (F.col("at") - F.col("left")).alias("from"), (F.col("at") + F.col("right")).alias("to"))
+        later = gone if later is None else later.unionByName(gone)
+        if lines < window:
+            runs = extended(runs.drop("first"))
+    spans = later.groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    covered = F.flatten(F.transform("spans", lambda x: F.sequence(x["from"], x["to"])))
+    return spans.select("doc_id", "text_id", F.array_distinct(covered).alias("removed"))
+
+
+def extended(runs: DataFrame) -> DataFrame:
+    """The runs with one more line: to the right (while none was added to the left), and to the left.
+
+    ``run`` is a digest of the lines and of the way they were added in, so two
+    runs meet only with the chosen line at the same place."""
+
+    def more(side: str, at: Column) -> Column:
+        line = F.get("around", at)
+        of = F.unhex(F.md5(F.concat(F.lit(f"{side}:"), F.hex("run"), F.hex(line["d"]))))
+        step = {x: (F.col(x) + F.lit(int(x == side))).alias(x) for x in ("left", "right")}
+        return F.struct(*step.values(), of.alias("run"), (F.col("n_words") + line["n"]).alias("n_words"))
+
+    right = F.when((F.col("left") == 0) & (F.col("own") + F.col("right") + 1 < F.size("around")), more("right", F.col("own") + F.col("right") + 1))
+    left = F.when(F.col("own") > F.col("left"), more("left", F.col("own") - F.col("left") - 1))
+    both = runs.select("doc_id", "text_id", "at", "own", "around", F.explode(F.filter(F.array(right, left), lambda x: x.isNotNull())).alias("x"))
+    return both.select("doc_id", "text_id", "at", "own", "around", "x.*")
+
+
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, alone: int = ALONE) -> DataFrame:
     """``docs`` without the later copies of runs: the text loses those lines.
 
     Adds ``n_lines`` and ``n_removed`` (both of lines with a word)."""
     gone, gone_key, gone_text, found, n_lines, n_removed = fresh(
         docs, "gone", "gone_key", "gone_text", "found", "n_lines", "n_removed"
     )
-    hit = repeats(docs, text, key, window).toDF(gone_key, gone_text, gone)
+    hit = repeats(docs, text, key, window, alone).toDF(gone_key, gone_text, gone)
     same = F.col(f"`{key}`").eqNullSafe(F.col(gone_key)) & (digest(text) == F.col(gone_text))
 
     def told(lines: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenvec.llm.line_dedup import WINDOW
+from lumenvec.llm.line_dedup import ALONE, WINDOW
 from lumenvec.llm.quality_rules import BOILERPLATE, Rules
 from lumenvec.llm.substring import WINDOW as SPAN
 
@@ -47,13 +47,14 @@ SELECT *, NOT base_failed AND n_lost <= n_words * {R.max_lost} AS kept FROM v
 SQL["op3_line_dedup"] = rf"""
 WITH lines AS (SELECT doc_id, i AS line_no, string_split(coalesce(text, ''), chr(10))[i] AS line
                FROM (SELECT *, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
-lined AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS pos
+lined AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS pos,
+                 len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
           FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-win AS (SELECT * FROM (SELECT doc_id, pos, string_agg(line, chr(10)) OVER w AS g, count(*) OVER w AS n
-        FROM lined WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING))
-        WHERE n = {WINDOW}),
-later AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY g ORDER BY doc_id, pos) AS k FROM win) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM later, range(0, {WINDOW}) r(k)),
+runs AS ({" UNION ALL ".join(f"""SELECT doc_id, pos, {k} AS k, string_agg(line, chr(10)) OVER w AS g, count(*) OVER w AS n, sum(words) OVER w AS words
+        FROM lined WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING)""" for k in range(1, WINDOW + 1))}),
+later AS (SELECT doc_id, pos, k FROM (SELECT doc_id, pos, k, row_number() OVER (PARTITION BY k, g ORDER BY doc_id, pos) AS nth FROM runs
+                                      WHERE n = k AND (k = {WINDOW} OR words >= {ALONE})) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, pos + j AS pos FROM (SELECT doc_id, pos, unnest(range(0, k)) AS j FROM later)),
 marked AS (SELECT lines.doc_id, lines.line_no, lines.line, lined.pos, gone.pos IS NOT NULL AS out
            FROM lines LEFT JOIN lined USING (doc_id, line_no) LEFT JOIN gone ON gone.doc_id = lines.doc_id AND gone.pos = lined.pos)
 SELECT doc_id, count(pos) AS n_lines, CAST(sum(CASE WHEN out THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,

@@ -71,18 +71,21 @@ def simhash_groups(rows, max_bits=2):
     return {d: (f"{prints[d]:016x}", group[d]) for d in prints}
 
 
-def line_dedup(rows, window=3):
+def line_dedup(rows, window=3, alone=50):
     """doc_id -> text left, of rows (doc_id, text)."""
     seen, out = set(), {}
     for d, t in sorted(rows):
         lines = (t or "").split("\n")
         full = [i for i, x in enumerate(lines) if words(x)]
         gone = set()
-        for k in range(len(full) - window + 1):
-            g = tuple(lines[i] for i in full[k : k + window])
-            if g in seen:
-                gone |= set(full[k : k + window])
-            seen.add(g)
+        for k in range(len(full)):
+            for n in range(1, window + 1):
+                part = full[k : k + n]
+                g = tuple(lines[i] for i in part)
+                if len(part) == n and (n == window or sum(len(words(x)) for x in g) >= alone):
+                    if g in seen:
+                        gone |= set(part)
+                    seen.add(g)
         out[d] = t if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 

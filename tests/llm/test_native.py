@@ -62,6 +62,19 @@ def test_line_dedup_against_brute_force(docs_of):
         assert {r.doc_id: r.text for r in out.collect()} == brute.line_dedup(rows, window)
 
 
+def test_line_dedup_few_long_lines(docs_of):
+    """Runs of one or two lines count when they have enough words."""
+    rng = random.Random(4)
+    lines = ["a b", "c", "d " * 5, "e " * 6, "f g h i", "", "x " * 12]
+    for alone in (5, 8):
+        rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 6)))) for i in range(80)]
+        out = line_dedup.dedup(docs_of(rows), alone=alone)
+        assert {r.doc_id: r.text for r in out.collect()} == brute.line_dedup(rows, 3, alone)
+    long = " ".join(f"w{i}" for i in range(60))
+    out = line_dedup.dedup(docs_of([(1, long), (2, long), (3, f"own line\n{long}\nlast")])).collect()
+    assert {r.doc_id: r.text for r in out} == {1: long, 2: "", 3: "own line\nlast"}
+
+
 def test_line_dedup_hard_rows(docs_of):
     run = "one line\ntwo lines\nthree lines\nfour lines"
     d = docs_of([(7, run), (7, run), (7, "else\n" + run), (8, "new\n" + run), (None, run), (9, None)]).withColumn("gone", F.lit("x"))
