@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from lumenvec.llm.line_dedup import ALONE, WINDOW
-from lumenvec.llm.quality_rules import BOILERPLATE, Rules
+from lumenvec.llm.quality_rules import PHRASE, SENTENCE_ENDS, Rules
 from lumenvec.llm.substring import WINDOW as SPAN
 
 R = Rules()
 SQL: dict[str, str] = {}
 
-_PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)
+_ENDS = SENTENCE_ENDS.replace("'", "''").replace('\\"', '"')
 
 SQL["op10_quality_rules"] = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
@@ -30,8 +30,8 @@ seps AS (SELECT *, len(list_filter(regexp_split_to_array(line, '[\t\n\x0B\f\r ]'
          FROM facts),
 judged AS (SELECT *, sym > n * {R.max_symbols} OR sep > {R.max_separators}
                   OR (length(letters) >= 12 AND letters = upper(letters) AND letters <> lower(letters))
-                  OR (n < {R.short_line} AND NOT regexp_matches(line, '[.!?…:;,"''”’)\]][\t\n\x0B\f\r ]*$'))
-                  OR {_PHRASES} OR (contains(line, '{{') AND contains(line, '}}')) AS fails
+                  OR (n < {R.short_line} AND NOT regexp_matches(line, '[{_ENDS}][\t\n\x0B\f\r ]*$'))
+                  OR (n < {R.phrase_line} AND regexp_matches(lower(line), '{PHRASE}')) OR (contains(line, '{{') AND contains(line, '}}')) AS fails
            FROM seps),
 per AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
                sum(CASE WHEN fails THEN n ELSE 0 END) AS n_lost FROM judged GROUP BY doc_id),

@@ -41,12 +41,19 @@ BOILERPLATE = (
 )
 
 
+# What may end a short line, and what parts words for a phrase.
+SENTENCE_ENDS = r".!?…:;,\"'”’)\]。！？；：，、」』）】"
+NO_WORD = r"[^\p{L}\p{N}]"
+PHRASE = f"(?:^|{NO_WORD})(?:{'|'.join(BOILERPLATE)})(?:$|{NO_WORD})"
+
+
 @dataclass(frozen=True)
 class Rules:
     """Thresholds. ``window``: words of a repeated window; ``max_repeat_pct``:
     words in repeated windows, percent; ``max_symbols``: symbols a word in a
     line; ``max_separators``: navigation separators a line may hold;
     ``short_line``: words below which a line must end a sentence;
+    ``phrase_line``: words below which a boilerplate phrase condemns a line;
     ``max_lost``: share of a document's words that failing lines may hold."""
 
     min_words: int = 20
@@ -55,18 +62,20 @@ class Rules:
     max_symbols: float = 0.5
     max_separators: int = 2
     short_line: int = 4
+    phrase_line: int = 20
     max_lost: float = 0.5
 
 
 def repeat_words(w: Column, size: int) -> Column:
     """Words that lie in a window of ``size`` words found twice or more in ``w``.
 
-    Windows are compared by their 64-bit hash within one document. Sorting
+    Windows are compared by a 64-bit hash of their words' hashes within one document. Sorting
     (hash, start) puts equal windows side by side, so the cost stays
     n log n for any text; texts without a repeat stop at the distinct count.
     """
-    starts = F.sequence(F.lit(1), F.size(w) - (size - 1))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, size)))
+    starts = F.sequence(F.lit(0), F.size(w) - size)
+    of_words = F.transform(w, lambda x: F.xxhash64(x))
+    hashes = bind(of_words, lambda h: F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(size)])))
 
     def repeated(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -99,13 +108,13 @@ def line_fails(line: Column, n: Column, n_symbols: Column, rules: Rules) -> Colu
     separators = F.regexp_count(line, F.lit(rf"(?:^|\s)[{''.join(marks)}](?=\s|$)"))
     letters = F.regexp_replace(line, r"[^\p{L}]+", "")
     shouting = (line == F.upper(line)) & (line != F.lower(line)) & (F.char_length(letters) >= 12)
-    unended = (n < rules.short_line) & ~line.rlike(r"[.!?…:;,\"'”’)\]]\s*$")
+    unended = (n < rules.short_line) & ~line.rlike(rf"[{SENTENCE_ENDS}]\s*$")
 
     def phrase(low: Column) -> Column:
         found = F.lit(False)
         for p in BOILERPLATE:
             found = found | low.contains(p)
-        return found
+        return found & low.rlike(PHRASE)  # as whole words; few lines come this far
 
     return (
         (n_symbols > n * rules.max_symbols)
@@ -113,7 +122,7 @@ def line_fails(line: Column, n: Column, n_symbols: Column, rules: Rules) -> Colu
         | shouting
         | (some & (separators > rules.max_separators))
         | (line.contains("{") & line.contains("}"))
-        | bind(F.lower(line), phrase)
+        | ((n < rules.phrase_line) & bind(F.lower(line), phrase))
     )
 
 

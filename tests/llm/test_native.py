@@ -45,6 +45,16 @@ def test_line_rules(docs_of):
         assert got[i].text == f"{good}\n{more}"
 
 
+def test_phrases_are_words_of_short_lines(docs_of):
+    """Phrases inside longer words, or in long lines, condemn nothing; unspaced prose ends its sentences."""
+    inside = "They design in the morning and assign in the afternoon, so nobody will resign in anger before the long day is over at last. And so on."
+    long = "Under the privacy policy of the club every member may speak at the meeting, read the old books and take one home for a week or two."
+    prose = "\n".join(f"今天天气很好我们去公园散步{i}{end}" for i, end in zip(range(30), "。！？" * 10))
+    menu = "\n".join([inside, long, "Read our privacy policy here.", "Sign in"])
+    got = {r.doc_id: r.text for r in quality_rules.clean(docs_of([(1, inside), (2, long), (3, prose), (4, menu)])).collect()}
+    assert got == {1: inside, 2: long, 3: prose, 4: f"{inside}\n{long}"}
+
+
 def test_quality_clash_and_empty(spark, docs_of):
     d = docs_of([(1, PROSE + " After that it sleeps for an hour and dreams.")]).withColumn("quality", F.lit(1)).withColumn("w", F.lit(2))
     out = quality_rules.judge(d)
