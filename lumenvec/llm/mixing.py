@@ -1,12 +1,11 @@
 """Mixing sources to target weights: a multivariate-hypergeometric splitting tree.
 
-A source is the stream of its documents in an order given by their hash, its
-sizes added up. A source's *blocks* are cut in that stream every ``block``
-words; a document belongs to the block in which its first word lies, so a
-block is a random bundle of whole documents. The mix takes the first
-``target`` words of the stream, going round it again where the target is more
-than the source (at most twice), so the number of blocks a source owes is
-exact, and only the document at the very end of the target is cut.
+A source's documents are bundled by their hash into *blocks* of about ``block``
+words. A source's blocks stand in a random order, another one for each round;
+the mix takes blocks in that order, a second round following the first where the
+target is more than the source (it is at most twice), until the target's words
+are reached; only the very last block is cut, and of its documents one. So the
+number of blocks a source owes is exact.
 
 The owed blocks are dealt to the output shards by a binary tree: at each node
 the left half of the shards gets half of the node's blocks, and how many of
@@ -14,17 +13,23 @@ them come from each source is a draw from the multivariate hypergeometric
 distribution (inversion over ten standard deviations about the mode; what lies
 beyond is less than a double can tell). The children's quotas add up to their
 parent's. A leaf reads its quota of each source as the next disjoint range of
-the permuted blocks and puts its documents in an order by hash.
-
-Plan: word counts are taken once and written as a narrow table (no text). The
-running sums have two levels, (source, bucket) and inside a bucket, so a
-source holding a third of all rows is spread over its buckets. The tree works
-on one array for each node, with as many entries as there are sources.
+the permuted blocks and puts its documents in an order by hash. What is taken
+of a document follows from its block: another block size or seed takes others,
+another depth deals them to other shards; the sums stay the same.
+
+Plan: word counts are taken once and written as a narrow table (no text), and
+added up by block before any shuffle. Running sums are over blocks, not documents,
+and have two levels, so a source holding a third of all rows is spread. A
+document finds its block by its own hash, and its copies with the block: documents
+are neither numbered nor sorted, but for those of the one cut block of a source.
+The tree works on one array for each node, with as many entries as there are
+sources: meant for up to some hundred thousand sources.
 
 Defined results: null and blank texts have size 0, are taken 0 times and are
 in no shard; a null source is a source, last in order; rows with equal doc_id
-are separate documents; an empty table gives an empty mix; other columns pass
-through. Reruns agree: all draws come from hashes of ``seed``.
+are separate documents; rows that agree in doc_id and text share a block; an
+empty table gives an empty mix; other columns pass through. Reruns agree: all
+draws come from hashes of ``seed``.
 """
 
 from __future__ import annotations
@@ -42,15 +47,14 @@ from lumenvec.plans.strategy import materialize
 class Mix:
     """``weights`` go to the sources in code point order, repeating; ``share``
     of all words is the mix's size; no source gives more than ``most`` times
-    its own; ``depth``: the tree's levels, 2 ** depth shards; ``block`` in
-    words; ``bucket``: documents in a bucket of the running sums, about."""
+    its own; ``depth``: the tree's levels, 2 ** depth shards; ``block``: words
+    of a block, about."""
 
     weights: tuple[int, ...] = (5, 2, 1)
     share: float = 1.5
     most: int = 2
     depth: int = 4
-    block: int = 512
-    bucket: int = 2000
+    block: int = 4096
     seed: int = 20240611
 
 
@@ -198,89 +202,108 @@ def shard_quotas(owed: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return by.select("rank", F.transform("q", lambda x: x["n"]).alias("quotas"))
 
 
-def plan(docs: DataFrame, mix: Mix = Mix(), text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies): a row for each document.
-
-    ``copies``: array of (epoch, shard, n): what the mix takes of it, one entry
-    for each round of the source's stream that reaches it."""
-    counted = materialize(
-        docs.select(
-            F.col(f"`{key}`").alias("doc_id"),
-            F.col(f"`{source}`").alias("source"),
-            n_words(f"`{text}`").alias("size"),
-        ),
-        "mix-sizes",
-    )
-    goal = materialize(targets(counted, mix), "mix-targets")
-    # As many whole words as the target has; the first block is number 0.
-    owed = goal.select("rank", F.ceil(F.floor("target") / mix.block).cast("long").alias("blocks"))
-    goal = goal.join(shard_quotas(owed, mix), "rank").withColumn("quota", F.floor("target").cast("long"))
-
-    h = F.xxhash64(F.lit(mix.seed), F.col("doc_id"), F.col("size"))
-    wide = counted.join(goal.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own")))
-    wide = wide.select(
-        "doc_id", "size", "rank", "source_size", "target", "quota", "quotas", h.alias("h"),
-        F.pmod(F.xxhash64(F.lit(mix.seed + 1), F.col("doc_id"), F.col("size")),
-               F.ceil(F.col("n_docs") / mix.bucket).cast("long")).alias("bucket"),
-    )
-    sums = wide.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
-    before = sums.select(
-        "rank", "bucket",
-        (F.sum("words").over(Window.partitionBy("rank").orderBy("bucket")) - F.col("words")).alias("base"),
-    )
-    inside = Window.partitionBy("rank", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = wide.withColumn("upto", F.sum("size").over(inside)).join(before, ["rank", "bucket"])
-    placed = placed.withColumn("at", F.col("base") + F.col("upto") - F.col("size"))
-
-    def shard_of(block: Column) -> Column:
+def in_blocks(docs: DataFrame, goal: DataFrame, mix: Mix, text: str, key: str, source: str) -> DataFrame:
+    """Rows of ``docs`` with ``size``, ``h`` (an order within a block) and the columns of ``goal``
+    and ``block``; the names are those of ``goal`` and must be free in ``docs``."""
+    seeded = lambda n: F.xxhash64(F.lit(mix.seed + n), F.col(f"`{key}`"), F.col("t"))
+    own = docs.withColumns({"size": n_words(f"`{text}`"), "t": F.xxhash64(F.col(f"`{text}`"))})
+    own = own.withColumns({"h": seeded(0), "block_hash": seeded(1)}).drop("t")
+    wide = own.join(goal.withColumnRenamed("source", "own"), F.col(f"`{source}`").eqNullSafe(F.col("own"))).drop("own")
+    return wide.withColumn("block", F.pmod("block_hash", F.col("n_blocks"))).drop("block_hash")
+
+
+def block_copies(words_of: DataFrame, goal: DataFrame, mix: Mix) -> DataFrame:
+    """(rank, block, copies, cut): for every block that is taken its copies (epoch, shard, n), n
+    in words; ``cut``: one of them ends before the block does. ``words_of``: (rank, block, words)."""
+    filled = words_of.where("words > 0").join(goal.select("rank", "source_size", "quota"), "rank")
+    turns = filled.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(mix.most)])))
+    # Two levels of running sums: of parts of the order by hash, and within a part.
+    turns = turns.withColumn("p", F.xxhash64(F.lit(mix.seed + 2), "rank", "block", "epoch"))
+    turns = turns.withColumn("part", F.shiftrightunsigned("p", 52))
+    turns = materialize(turns, "mix-blocks")
+    parts = turns.groupBy("rank", "epoch", "part").agg(F.sum("words").alias("part_words"), F.count(F.lit(1)).alias("part_blocks"))
+    up = Window.partitionBy("rank").orderBy("epoch", "part")
+    before = lambda c, w: F.sum(c).over(w) - F.col(c)
+    parts = parts.select("rank", "epoch", "part", before("part_words", up).alias("base"), before("part_blocks", up).alias("first"))
+    inside = Window.partitionBy("rank", "epoch", "part").orderBy("p", "block").rowsBetween(Window.unboundedPreceding, 0)
+    placed = turns.withColumns({"at": before("words", inside), "nth": F.row_number().over(inside) - 1}).join(parts, ["rank", "epoch", "part"])
+    left = F.col("quota") - F.col("base") - F.col("at")
+    placed = placed.withColumns({"n": F.least("words", left), "nth": F.col("first") + F.col("nth")}).where("n > 0")
+    placed = materialize(placed.select("rank", "block", "epoch", "n", "words", "nth"), "mix-taken")
+
+    every = goal.select("rank").join(placed.groupBy("rank").agg(F.count(F.lit(1)).alias("blocks")), "rank", "left")
+    quotas = shard_quotas(every.select("rank", F.coalesce("blocks", F.lit(0)).alias("blocks")), mix)
+
+    def shard_of(nth: Column) -> Column:
         """The shard whose range of blocks holds this one: quotas before it are used up."""
         return F.aggregate(
             "quotas",
             F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("shard")),
             lambda a, q: F.struct(
                 (a["sum"] + q).alias("sum"),
-                (a["shard"] + F.when(a["sum"] + q <= block, F.lit(1)).otherwise(F.lit(0))).alias("shard"),
+                (a["shard"] + F.when(a["sum"] + q <= nth, F.lit(1)).otherwise(F.lit(0))).alias("shard"),
             ),
         )["shard"]
 
-    def copy(epoch: int) -> Column:
-        start = F.col("at") + F.col("source_size") * epoch
-        n = F.greatest(F.lit(0).cast("long"), F.least("size", F.col("quota") - start))
-        return F.struct(
-            F.lit(epoch).alias("epoch"), shard_of(F.floor(start / mix.block).cast("long")).alias("shard"), n.alias("n")
-        )
-
-    copies = F.filter(F.array(*[copy(e) for e in range(mix.most)]), lambda x: x["n"] > 0)
-    return placed.withColumn("copies", copies).select(
-        "doc_id", "size", "source_size", "target",
-        F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("taken"), "copies",
+    dealt = placed.join(quotas, "rank").withColumn("copy", F.struct("epoch", shard_of(F.col("nth")).alias("shard"), "n"))
+    return materialize(dealt.groupBy("rank", "block").agg(
+        F.array_sort(F.collect_list("copy")).alias("copies"), F.max(F.col("n") < F.col("words")).alias("cut")), "mix-copies")
+
+
+def with_copies(wide: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``in_blocks`` rows with ``copies``: (epoch, shard, n) for each time the mix takes the row, n in words."""
+    met = wide.join(blocks, ["rank", "block"], "left")
+    none = F.array().cast("array<struct<epoch:int,shard:int,n:bigint>>")
+    whole = lambda n: F.transform("copies", lambda c: F.struct(c["epoch"].alias("epoch"), c["shard"].alias("shard"), n(c).cast("long").alias("n")))
+    taken = F.filter(whole(lambda c: F.col("size")), lambda c: c["n"] > 0)
+    rest = met.where(~F.coalesce("cut", F.lit(False))).withColumn("copies", F.coalesce(taken, none))
+    # The one cut block of a source: its documents in the order of their hash, up to the copy's words.
+    inside = Window.partitionBy("rank", "block").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)
+    cut = met.where("cut").withColumn("before", F.sum("size").over(inside) - F.col("size"))
+    upto = whole(lambda c: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), c["n"] - F.col("before"))))
+    cut = cut.withColumn("copies", F.filter(upto, lambda c: c["n"] > 0)).drop("before")
+    return rest.unionByName(cut).drop("cut")
+
+
+def dealt(docs: DataFrame, mix: Mix, text: str, key: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """(goal, blocks): each source's target, and the copies of its blocks."""
+    sizes = docs.select(F.col(f"`{source}`").alias("source"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    counted = sizes.select("source", "key", n_words("text").alias("size"), F.xxhash64("text").alias("t"))
+    counted = materialize(counted, "mix-sizes")
+    goal = targets(counted, mix).select(
+        "source", "rank", "source_size", "target", F.floor("target").cast("long").alias("quota"),
+        F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / mix.block).cast("long")).alias("n_blocks"),
     )
+    goal = materialize(goal, "mix-targets")
+    ranked = counted.join(goal.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own")))
+    block = F.pmod(F.xxhash64(F.lit(mix.seed + 1), "key", "t"), F.col("n_blocks"))
+    words_of = ranked.groupBy("rank", block.alias("block")).agg(F.sum("size").alias("words"))
+    return goal, block_copies(words_of, goal, mix)
+
+
+def plan(docs: DataFrame, mix: Mix = Mix(), text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies): a row for each document.
+
+    ``copies``: array of (epoch, shard, n): what the mix takes of it, one entry
+    for each round of the source's blocks that reaches it."""
+    goal, blocks = dealt(docs, mix, text, key, source)
+    lean = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").alias("source"))
+    out = with_copies(in_blocks(lean, goal, mix, "text", "doc_id", "source").drop("text"), blocks)
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """The mix itself: a row of ``docs`` for each copy taken, with ``shard`` and
     ``place`` (a random order inside the shard). The document at the end of a
     source's target has its first ``n`` words, joined by one space."""
-    shard, place, own_key, own_size, copies, taken = fresh(docs, "shard", "place", "own_key", "own_size", "copies", "taken")
-    p = plan(docs, mix, text, key, source).select(
-        F.col("doc_id").alias(own_key), F.col("size").alias(own_size), F.explode("copies").alias(copies)
-    )
-    # Copies of rows that agree in doc_id and size are interchangeable: each row takes its own.
-    nth, own_nth = fresh(docs, "nth", "own_nth")
-    size = n_words(f"`{text}`")
-    p = p.withColumn(
-        own_nth,
-        F.row_number().over(Window.partitionBy(own_key, own_size, F.col(copies)["epoch"]).orderBy(F.col(copies)["shard"], F.col(copies)["n"])),
-    )
-    d = docs.withColumn(nth, F.row_number().over(Window.partitionBy(F.col(f"`{key}`"), size).orderBy(F.xxhash64(F.col(f"`{text}`")))))
-    same = F.col(f"`{key}`").eqNullSafe(F.col(own_key)) & (size == F.col(own_size)) & (F.col(nth) == F.col(own_nth))
-    out = d.join(p, same)
-    whole = F.col(copies)["n"] == F.col(own_size)
-    cut = F.array_join(F.slice(words(f"`{text}`"), F.lit(1), F.col(copies)["n"].cast("int")), " ")
-    return (
-        out.withColumn(text, F.when(whole, F.col(f"`{text}`")).otherwise(cut))
-        .withColumn(shard, F.col(copies)["shard"])
-        .withColumn(place, F.xxhash64(F.lit(mix.seed + 2), F.col(own_key), F.col(copies)["epoch"], F.col(own_nth)))
-        .drop(own_key, own_size, copies, nth, own_nth)
-        .select(*docs.columns, shard, place)
-    )
+    shard, place = fresh(docs, "shard", "place")
+    goal, blocks = dealt(docs, mix, text, key, source)
+    names = [f"own_{i}" for i in range(len(docs.columns))]  # no name clashes with the mix's own
+    of = dict(zip(docs.columns, names))
+    wide = in_blocks(docs.toDF(*names), goal, mix, of[text], of[key], of[source])
+    out = with_copies(wide, blocks).withColumn("copy", F.explode("copies"))
+    cut = F.array_join(F.slice(words(of[text]), F.lit(1), F.col("copy.n").cast("int")), " ")
+    kept = [F.when(F.col("copy.n") == F.col("size"), F.col(n)).otherwise(cut) if c == text else F.col(n) for c, n in of.items()]
+    order = F.xxhash64(F.lit(mix.seed + 3), "h", F.col("copy.epoch"))
+    return out.select(*[x.alias(c) for x, c in zip(kept, of)], F.col("copy.shard").alias(shard), order.alias(place))

@@ -43,8 +43,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document."""
-    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """What the mix takes of every document, and the shards its copies go to."""
+    shards = F.array_join(F.transform("copies", lambda x: x["shard"].cast("string")), ",").alias("shards")
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", shards)
 
 
 @query

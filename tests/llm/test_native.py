@@ -163,3 +163,37 @@ def test_mixed_rows(docs_of):
     text = {r[0]: r[1] for r in rows}
     assert all((text[r.doc_id] or "").split()[: len(r.text.split())] == r.text.split() for r in got)
     assert mixing.mixed(d.where("doc_id > 1000")).count() == 0 == mixing.plan(d.where("doc_id > 1000")).count()
+
+
+def test_taken_follows_from_blocks(spark, docs_of):
+    """Block by block: whole or not at all but for one, quotas by the tree; other blocks take others, the sums stay."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 60)), rng.choice(["a", "b", "c", "d", None])) for i in range(1500)]
+    d = docs_of(rows)
+    source = {r[0]: r[2] for r in rows}
+    found = {}
+    for name, mix in {"one": mixing.Mix(block=200), "block": mixing.Mix(block=90), "depth": mixing.Mix(block=200, depth=1)}.items():
+        goal, _ = mixing.dealt(d, mix, "text", "doc_id", "source")
+        block = {r.doc_id: (r["rank"], r.block) for r in mixing.in_blocks(d, goal, mix, "text", "doc_id", "source").collect()}
+        p = mixing.plan(d, mix).collect()
+        of_block, shards, cut = {}, {}, {}
+        for r in p:
+            for c in r.copies:
+                of_block.setdefault((block[r.doc_id], c.epoch), set()).add(c.shard)
+                shards.setdefault(c.shard, set()).add((block[r.doc_id], c.epoch))
+                if c.n < r.size:
+                    cut.setdefault(block[r.doc_id][0], []).append(r.doc_id)
+        for r in p:
+            for e in range(2):
+                if (block[r.doc_id], e) in of_block and all(c.epoch != e for c in r.copies):
+                    cut.setdefault(block[r.doc_id][0], [])  # left out by the cut: its block is the source's one cut block
+        assert all(len(v) == 1 for v in of_block.values())
+        assert max(map(len, shards.values())) - min(map(len, shards.values())) <= 1 and len(shards) == 2**mix.depth
+        assert all(len(v) <= 1 for v in cut.values())
+        sums = {}
+        for r in p:
+            sums[source[r.doc_id]] = sums.get(source[r.doc_id], 0) + r.taken
+        found[name] = ({r.doc_id: r.taken for r in p}, sums, {r.doc_id: [c.shard for c in r.copies] for r in p})
+    one, other, deep = found["one"], found["block"], found["depth"]
+    assert one[1] == other[1] == deep[1]
+    assert one[0] != other[0] and one[0] == deep[0] and one[2] != deep[2]
