@@ -172,9 +172,10 @@ def cut(words: list, factors: list[dict], window: int) -> tuple[list, list[tuple
 
 
 def factors(docs: DataFrame, texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(row, first, n): runs of windows of each row that a smaller document has.
+    """(doc_id, row, first, n): runs of windows of each row that a smaller document has.
 
-    ``docs``: (doc_id, row, text); ``texts``: the same, dealt by row."""
+    ``docs``: (doc_id, row, text); ``texts``: the same, dealt by row. A row is known by
+    doc_id and the hash of its text together: a hash alone can stand for two."""
     blocks_of = materialize(index(docs.where("doc_id IS NOT NULL"), window, gram), "rlz-blocks")
     # Every table that is joined by a key is written first: a join of two plain
     # reads is one that Spark can split where a key is hot.
@@ -192,13 +193,13 @@ def factors(docs: DataFrame, texts: DataFrame, window: int = WINDOW, gram: int =
     firsts = entries.join(materialize(open_, "rlz-open"), "anchor").select("anchor", "block", "doc_id")
     # Every place of the block in its first document, not only the first one.
     places = found.join(materialize(firsts, "rlz-firsts"), ["anchor", "block", "doc_id"], "left_semi")
-    listed = places.groupBy("row").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
-    edges = texts.join(listed, "row")
+    listed = places.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    edges = texts.join(listed, ["doc_id", "row"])
     windows = materialize(boundary_windows(edges, window), "rlz-windows")
     least = windows.groupBy("content").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("last"))
     least = materialize(least.where("smallest < last").select("content", "smallest"), "rlz-least")
     inner = windows.join(least, "content").where("doc_id > smallest")
-    return later.select("row", "first", "n").unionByName(inner.select("row", "first", F.lit(1).alias("n")))
+    return later.select("doc_id", "row", "first", "n").unionByName(inner.select("doc_id", "row", "first", F.lit(1).alias("n")))
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -207,17 +208,19 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int
 
     Texts that lose nothing have their words in ``kept`` all the same."""
     ship_package(docs.sparkSession)
-    row, of, found, kept, n_words, n_removed, spans_ = fresh(
-        docs, "row", "of_row", "factors", "kept", "n_words", "n_removed", "spans"
+    row, of, of_key, found, kept, n_words, n_removed, spans_ = fresh(
+        docs, "row", "of_row", "of_key", "factors", "kept", "n_words", "n_removed", "spans"
     )
     own = docs.select(
         F.col(f"`{key}`").alias("doc_id"),
         F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("row"),
         F.col(f"`{text}`").alias("text"),
     )
-    per = factors(own, own, window, gram).groupBy(F.col("row").alias(of)).agg(F.collect_list(F.struct("first", "n")).alias(found))
+    per = factors(own, own, window, gram).groupBy(F.col("doc_id").alias(of_key), F.col("row").alias(of))
+    per = per.agg(F.collect_list(F.struct("first", "n")).alias(found))
     wide = docs.withColumn(row, F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")))
-    joined = wide.join(per, F.col(row) == F.col(of), "left").drop(row, of)
+    # Rows without a doc_id have no factors.
+    joined = wide.join(per, (F.col(f"`{key}`") == F.col(of_key)) & (F.col(row) == F.col(of)), "left").drop(row, of, of_key)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
