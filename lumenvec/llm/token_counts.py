@@ -9,8 +9,10 @@ proven place on, so it is right up to the last parts before its cut end
 (these, and as many characters as the longest added token has, are left out);
 and a scan that begins a part at a right place goes on as the whole scan does.
 If the overlap has no such place it is doubled; when it reaches back to the
-last proven place, the chunk begins there, which needs no alignment. So counts
-are exact for every text, in memory bounded by the chunk.
+last proven place, the chunk begins there, which needs no alignment, and is twice
+as long as what had been read from there. So counts are exact for every text and
+the work grows with its length; memory is bounded by the chunk or twice the
+longest stretch without a stable place (such as a line of CJK without a sign).
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; rows are
 counted each by itself, whatever they share; an empty table gives an empty
@@ -77,7 +79,8 @@ def count_tokens(enc: Encoder, text: str | None, chunk: int = CHUNK, overlap: in
             # White space at a chunk's edge would send the chunk to the library as a whole.
             at = max(proven, end - wide)
             at -= at > proven and text[at] in " \n"
-            to = min(len(text), max(at + chunk, end + chunk // 2))
+            to = max(at + chunk, end + chunk // 2, at + 2 * (end - at) if at == proven else 0)
+            to = min(len(text), to)
             to += to < len(text) and text[to - 1] in " \n"
             new, new_before = parts(enc, text[at:to])
             new = new + at
