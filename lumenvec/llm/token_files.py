@@ -5,14 +5,17 @@ ascending doc_id order. It is dealt to files by ranges of doc_id. A file holds
 its part of the stream as sequences of ``length`` ids: fixed-size-list columns
 ``ids`` and ``mask`` (false: padding, only at the very end of a file), in
 record batches of ``rows`` sequences, so sequence i is row i % rows of batch
-i // rows and is read by mapping the file, without copying. The list column
+i // rows and is read by mapping the file: ids and the mask's bits are views of
+it, nothing is copied. The list column
 ``docs`` has (doc_id, at) for each document that begins in a sequence. Ids take
 16 bits where the vocabulary allows it.
 
 A task writes its file under a name of its own and reports it; the list of
 reported files is written as a table, so what a lost or repeated task left
 behind is never read. The folder must be one that all executors share and
-that pyarrow opens; the default is in ``spark.checkpoint.dir``.
+that pyarrow opens; the default is in ``spark.checkpoint.dir``. A name without a
+scheme means the default file system, as everywhere in Spark: the driver makes
+it whole once.
 
 Defined results: a null or empty text is its end id alone; a null doc_id comes
 first; rows with equal doc_id follow each other in the order of their text; an
@@ -24,7 +27,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenvec.llm.encoding import encoder
@@ -112,47 +115,71 @@ class SequenceReader:
         self.file = pa.ipc.open_file(source)
         self.length = self.file.schema.field("ids").type.list_size
         self.rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 0
+        self.held: tuple = (-1, None, None, None)  # the batch last read
 
     def __len__(self) -> int:
         n = self.file.num_record_batches
         return 0 if not n else (n - 1) * self.rows + self.file.get_batch(n - 1).num_rows
 
     def sequence(self, i: int):
-        """(ids, mask) of sequence i: the ids as a view of the file, the mask unpacked from its bits."""
-        b, k = self.file.get_batch(i // self.rows), i % self.rows
-        part = slice(k * self.length, (k + 1) * self.length)
-        ids = b.column(0).flatten().to_numpy()[part]
-        return ids, b.column(1).flatten().slice(part.start, self.length).to_numpy(zero_copy_only=False)
+        """(ids, mask) of sequence i, both views of the file: the mask as its bits, 8 to a byte
+        with the first in the lowest (``unpacked`` spreads them)."""
+        import numpy as np
+
+        k = i % self.rows
+        if self.held[0] != i // self.rows:
+            b = self.file.get_batch(i // self.rows)
+            bits = b.column(1).values.buffers()[1]
+            self.held = (i // self.rows, b.column(0).values.to_numpy(), np.frombuffer(bits, np.uint8), b.column(2))
+        _, ids, bits, _ = self.held
+        if self.length % 8:  # such sequences share a byte with their neighbours
+            whole = np.unpackbits(bits, bitorder="little")[k * self.length : (k + 1) * self.length]
+            return ids[k * self.length : (k + 1) * self.length], np.packbits(whole, bitorder="little")
+        return ids[k * self.length : (k + 1) * self.length], bits[k * self.length // 8 : (k + 1) * self.length // 8]
+
+    def starts(self, i: int) -> list[dict]:
+        """The documents that begin in sequence i: doc_id, and where."""
+        self.sequence(i)
+        return self.held[3][i % self.rows].as_py()
 
     def documents(self) -> Iterator[tuple[int | None, int, "object"]]:
-        """(doc_id, start, ids) of each document, start in the file's stream, batch by batch."""
+        """(doc_id, start, ids) of each document, start in the file's stream, sequence by sequence."""
         import numpy as np
 
-        doc, begun, held, done = None, None, [], 0
-        for k in range(self.file.num_record_batches):
-            b = self.file.get_batch(k)
-            flat = b.column(0).flatten().to_numpy()
-            flat = flat[: int(np.count_nonzero(b.column(1).flatten().to_numpy(zero_copy_only=False)))]
+        doc, begun, held = None, None, []
+        for i in range(len(self)):
+            ids, mask = self.sequence(i)
             last = 0
-            for i, starts in enumerate(b.column(2).to_pylist()):
-                for x in starts:
-                    at = i * self.length + x["at"]
-                    held.append(flat[last:at])
-                    if begun is not None:
-                        yield doc, begun, np.concatenate(held)
-                    doc, begun, held, last = x["doc_id"], done + at, [], at
-            held.append(flat[last:])
-            done += len(flat)
+            for x in self.starts(i):
+                held.append(ids[last : x["at"]])
+                if begun is not None:
+                    yield doc, begun, np.concatenate(held)
+                doc, begun, held, last = x["doc_id"], i * self.length + x["at"], [], x["at"]
+            held.append(ids[last : int(np.bitwise_count(mask).sum())])
         if begun is not None:
             yield doc, begun, np.concatenate(held)
 
 
+def unpacked(mask, length: int):
+    """A mask's bits as booleans."""
+    import numpy as np
+
+    return np.unpackbits(mask, count=length, bitorder="little").view(bool)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark gives it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def write(docs: DataFrame, path: str, folder: str | None = None, text: str = "text", key: str = "doc_id",
           end_id: int = 0, length: int = LENGTH, rows: int = ROWS) -> DataFrame:
     """Writes the files; returns their list: (part, file, n_docs, n_tokens), a row a file."""
     spark = docs.sparkSession
     ship_package(spark)
-    folder = folder or work_dir(spark, f"token-files-{uuid.uuid4().hex}")
+    folder = qualified(spark, folder or work_dir(spark, f"token-files-{uuid.uuid4().hex}"))
     lean = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     # Spread by range, so that files follow each other in doc_id order.
     dealt = lean.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
@@ -172,7 +199,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, text: str = "te
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if out is None:
-                    files, inner = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+                    files, inner = fs.FileSystem.from_uri(folder)
                     files.create_dir(inner, recursive=True)
                     name = f"part-{part:06d}-{uuid.uuid4().hex}.arrow"
                     sink = files.open_output_stream(f"{inner}/{name}")
@@ -201,7 +228,7 @@ def read(files: DataFrame) -> DataFrame:
 
         for b in batches:
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found, out = SequenceReader(name if ":" in name else f"file://{name}").documents(), []
+                found, out = SequenceReader(name).documents(), []
                 for d, at, ids in found:
                     out.append((d, base + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     if len(out) == 10_000:

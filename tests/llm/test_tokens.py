@@ -46,6 +46,18 @@ def test_overlap_is_widened(monkeypatch):
             assert token_counts.count_tokens(enc, text, chunk, overlap) == len(ids_of(text))
 
 
+def test_unbroken_texts_take_linear_work(monkeypatch):
+    """Characters given to the library for a text without any stable place: a few times its length."""
+    enc, read = encoder(PATH), []
+    plain = token_counts.parts
+    monkeypatch.setattr(token_counts, "parts", lambda e, t: read.append(len(t)) or plain(e, t))
+    for n in (40_000, 160_000):
+        read.clear()
+        text = "".join(chr(0x4E00 + (i * 7919) % 20_000) for i in range(n))
+        assert token_counts.count_tokens(enc, text, 2048, 64) == len(ids_of(text))
+        assert sum(read) < 8 * n
+
+
 def test_counted_rows(docs_of):
     d = docs_of(ROWS).withColumn("n_tokens", F.lit("mine"))
     out = token_counts.counted(d, PATH, chunk=1000, overlap=16)
@@ -74,8 +86,12 @@ def test_token_files_round_trip(docs_of, length, rows):
     stream = np.concatenate([as_ids(t) for _, t in sorted(data, key=lambda r: (-1 if r[0] is None else r[0], r[1] or ""))])
     parts = []
     for f in files.orderBy("part").collect():
-        reader = token_files.SequenceReader(f.file if ":" in f.file else f"file://{f.file}")
+        assert f.file.startswith("file:///")  # made whole on the driver
+        reader = token_files.SequenceReader(f.file)
         own = [reader.sequence(i) for i in reversed(range(len(reader)))][::-1]
+        if length % 8 == 0:
+            assert not any(m.flags.owndata for _, m in own)  # the mask's bits are a view too
+        own = [(i, token_files.unpacked(m, length)) for i, m in own]
         assert all(len(i) == len(m) == length for i, m in own) and all(m.all() for _, m in own[:-1])
         if length > 1:
             assert not own[0][0].flags.owndata  # a view of the mapped file
