@@ -219,7 +219,7 @@ def block_copies(words_of: DataFrame, goal: DataFrame, mix: Mix) -> DataFrame:
     turns = filled.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(mix.most)])))
     # Two levels of running sums: of parts of the order by hash, and within a part.
     turns = turns.withColumn("p", F.xxhash64(F.lit(mix.seed + 2), "rank", "block", "epoch"))
-    turns = turns.withColumn("part", F.shiftrightunsigned("p", 52))
+    turns = turns.withColumn("part", F.shiftrightunsigned("p", 56))
     turns = materialize(turns, "mix-blocks")
     parts = turns.groupBy("rank", "epoch", "part").agg(F.sum("words").alias("part_words"), F.count(F.lit(1)).alias("part_blocks"))
     up = Window.partitionBy("rank").orderBy("epoch", "part")
