@@ -1,17 +1,31 @@
 """Encoders: token ids -> pooled sentence vectors.
 
 Two encoders share one output contract
-``(doc_id, pooled ARRAY<DOUBLE>, mask_sum, n_tokens, inference_time, setup_time, call_seq, error)``:
+``(doc_id, pooled ARRAY<DOUBLE>, mask_sum, n_tokens, inference_time, setup_time,
+call_seq, call_time, call_id, error)``, one row for each text:
 
 * ``StaticEncoder`` (O12a): a token-vector table. Where the vocabulary and the
   table keep under ``MAX_SHIPPED_BYTES``, texts stay rows: the JVM tokenises,
   one Arrow batch looks its tokens up, gathers their vectors and pools them
   (``encode_rows``); no explode, no shuffle, any dimension, batch or stream.
-  Beyond that bound the long-form ids are counted per (document, token) first
-  and joined to the vectors by a shuffle (``encode_static``). Both sum
-  ``vector * mask`` in float64.
+  Beyond that bound nothing is sent whole: the vectors are cut into blocks of
+  dimensions, and each block meets the token counts of every text in a sparse
+  product (``encode_blocks``). Both give the same rows.
 * ``OnnxEncoder`` (O12b): an ONNX model run by ``mapInPandas`` over Arrow
   batches; see ``lumenvec.operators.onnx_batch``.
+
+Defined results of the static encoder, either way: a null text is an empty one
+and pools its two markers; a null doc_id and repeated rows pass through, each with
+its own result; a token id without a vector, or a vector of another length,
+makes the row an error that counts such tokens; an unknown task of a strict
+profile is an error; an empty table gives no rows. Columns in ``keep`` come
+through as ``keep_<name>``, whatever their names.
+
+Timings: a *call* is one Arrow batch. ``inference_time`` is a row's share of its
+call (gathering and pooling), ``call_time`` when the call began, ``call_id`` tells
+calls apart across tasks, ``setup_time`` (once a task) is the time until the
+table is at hand. ``encode_blocks`` has no call of its own for a row: its rows
+have no timings.
 """
 
 from __future__ import annotations
@@ -23,13 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenvec.functions.vectors import static_vector
-from lumenvec.operators.pooling import MIN_MASK, masked_mean_pool
-from lumenvec.operators.tokens import id_rows, task_ids
+from lumenvec.operators.pooling import MIN_MASK
+from lumenvec.operators.tokens import id_rows, task_ids, token_ids
+from lumenvec.plans.strategy import materialize
 from lumenvec.profiles import Profile
+from lumenvec.session import ship_package
 from lumenvec.sources.vocab import Vocabulary
 
 # What may be sent to every executor: tokens, ids and vectors together.
 MAX_SHIPPED_BYTES = 512 << 20
+# What a task holds of the vector table at a time where it can't be sent.
+BLOCK_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -53,43 +71,42 @@ def fixture_vectors(vocab: Vocabulary, dim: int = 64, task_scale: float = 0.0) -
     return StaticEncoder(vectors=vec, dim=dim, row_bound=bound, task_scale=task_scale)
 
 
-def shipped_bytes(vocab: Vocabulary, enc: StaticEncoder) -> int:
-    """Bytes of the tables that ``encode_rows`` sends to every executor."""
+def vocabulary_bytes(vocab: Vocabulary) -> int:
     size = F.coalesce(F.sum(F.octet_length("token").cast("long") + 16), F.lit(0))
-    tokens = vocab.tokens.unionByName(vocab.specials.select(F.col("content").alias("token"), "id")).agg(size).first()[0]
-    return tokens + enc.vectors.count() * (8 * enc.dim + 8)
+    return vocab.tokens.unionByName(vocab.specials.select(F.col("content").alias("token"), "id")).agg(size).first()[0]
+
+
+def vector_bytes(enc: StaticEncoder) -> int:
+    return enc.vectors.count() * (8 * enc.dim + 8)
 
 
 def _finished(pooled: DataFrame) -> DataFrame:
     err = F.when(F.col("n_missing") > 0, F.format_string("%d token ids have no vector", F.col("n_missing")))
-    err = F.coalesce(F.col("task_error"), err) if "task_error" in pooled.columns else err
+    err = F.coalesce(F.col("task_error"), err)
+    timings = {"inference_time": "double", "setup_time": "double", "call_seq": "int", "call_time": "double", "call_id": "string"}
     return pooled.select(
         "doc_id",
         F.when(err.isNull(), F.col("pooled")).alias("pooled"),
         "mask_sum",
         "n_tokens",
-        F.lit(None).cast("double").alias("inference_time"),
-        F.lit(None).cast("double").alias("setup_time"),
-        F.lit(None).cast("int").alias("call_seq"),
+        *[F.col(c) if c in pooled.columns else F.lit(None).cast(k).alias(c) for c, k in timings.items()],
         err.alias("error"),
         *[F.col(c) for c in pooled.columns if c.startswith("keep_")],
     )
 
 
-def encode_static(ids: DataFrame, enc: StaticEncoder) -> DataFrame:
-    """O12a + O13 on long-form ids (doc_id, token_id, attention), by joins.
+def _with_task(rows: DataFrame, profile: Profile, tasks: DataFrame | None, own: bool) -> DataFrame:
+    """``rows`` with ``task_id`` and ``task_error``; ``own``: they have a column ``task``."""
+    if tasks is None:
+        return rows.withColumns({"task_id": F.lit(0).cast("long"), "task_error": F.lit(None).cast("string")})
+    return task_ids(rows if own else rows.withColumn("task", F.lit(profile.task)), tasks, profile)
 
-    Ids without a vector are counted into ``error`` rather than dropped, so
-    the mean never silently shifts."""
-    per = ids.groupBy("doc_id", "token_id").agg(
-        F.sum(F.col("attention").cast("double")).alias("attention"), F.count(F.lit(1)).alias("n")
-    )
-    vec = enc.vectors.select(F.col("id").alias("_vid"), F.col("v").alias("_v"))
-    j = per.join(vec, F.col("token_id") == F.col("_vid"), "left")
-    pooled = masked_mean_pool(j, enc.dim, key="doc_id", hidden_col="_v", mask_col="attention")
-    missing = F.sum(F.when(F.col("_vid").isNull(), F.col("n")).otherwise(F.lit(0)))
-    counts = j.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), missing.alias("n_missing"))
-    return _finished(pooled.drop("n_missing").join(counts, "doc_id"))
+
+def _carried(texts: DataFrame, text_col: str, id_col: str, own_task: bool, keep: list[str] | None) -> DataFrame:
+    """(doc_id, text[, task], keep_...): what a row needs, under names of our own."""
+    extra = [F.col(c).alias(f"keep_{c}") for c in keep or []]
+    task = [F.col("task")] if own_task else []
+    return texts.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *task, *extra)
 
 
 def encode_rows(
@@ -102,40 +119,38 @@ def encode_rows(
     tasks: DataFrame | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """O12a + O13 row by row: one output row per text, in Arrow batches.
-
-    Columns in ``keep`` come through as ``keep_<name>``."""
+    """O12a + O13 row by row: one output row per text, in Arrow batches."""
     import numpy as np
 
     spark = texts.sparkSession
-    named = texts.withColumns({f"keep_{c}": F.col(c) for c in keep or []})
-    extra = [f"keep_{c}" for c in keep or []]
-    with_task = ["task"] if tasks is not None and "task" in texts.columns else []
-    rows = id_rows(named, vocab, profile, text_col, id_col, [*with_task, *extra])
-    if tasks is not None:
-        rows = rows if with_task else rows.withColumn("task", F.lit(profile.task))
-        rows = task_ids(rows, tasks, profile)
-    else:
-        rows = rows.withColumns({"task_id": F.lit(0).cast("long"), "task_error": F.lit(None).cast("string")})
-    rows = rows.select("doc_id", "ids", "task_id", "task_error", *extra)
-
-    vectors = enc.vectors.toPandas()
+    own_task = tasks is not None and "task" in texts.columns
+    lean = _carried(texts, text_col, id_col, own_task, keep)
+    extra = [c for c in lean.columns if c.startswith("keep_")]
+    rows = id_rows(lean, vocab, profile, keep=[*(["task"] if own_task else []), *extra])
+    rows = _with_task(rows, profile, tasks, own_task).select("doc_id", "ids", "task_id", "task_error", *extra)
+
+    dim, scale = enc.dim, enc.task_scale if tasks is not None else 0.0
+    vectors = enc.vectors.where(F.size("v") == dim).toPandas()
     order = np.argsort(vectors["id"].to_numpy(), kind="stable")
-    matrix = np.stack(vectors["v"].to_numpy()).astype(np.float64)[order] if len(vectors) else np.zeros((0, enc.dim))
+    matrix = np.stack(vectors["v"].to_numpy()).astype(np.float64)[order] if len(vectors) else np.zeros((0, dim))
     shipped = spark.sparkContext.broadcast((vectors["id"].to_numpy()[order], matrix))
-    dim, scale = enc.dim, enc.task_scale if tasks is not None else 0.0
 
     def run(batches: Iterator) -> Iterator:
+        import time
+        import uuid
+
         import pyarrow as pa
 
+        t0 = time.perf_counter()
         vector_ids, mat = shipped.value
+        setup, task_run, call = time.perf_counter() - t0, uuid.uuid4().hex, 0
         for b in batches:
             if not b.num_rows:
                 continue
+            began, t0 = time.time(), time.perf_counter()
             offsets = b.column(1).offsets.to_numpy()
             ids = b.column(1).values.to_numpy()
-            at = np.minimum(np.searchsorted(vector_ids, ids), max(len(vector_ids) - 1, 0))
-            there = vector_ids[at] == ids if len(vector_ids) else np.zeros(len(ids), bool)
+            at, there = place_of(vector_ids, ids)
             means, missing = np.zeros((b.num_rows, dim)), np.zeros(b.num_rows, np.int64)
             n = np.diff(offsets).astype(np.int64)
             for i in range(b.num_rows):
@@ -148,11 +163,159 @@ def encode_rows(
             if scale:
                 means += (b.column(2).fill_null(0).to_numpy()[:, None] + 1) * scale
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dim, pa.int32()), pa.array(means.reshape(-1)))
+            share, m = (time.perf_counter() - t0) / b.num_rows, b.num_rows
+            timings = [pa.array([share] * m), pa.array([setup] + [None] * (m - 1), pa.float64()), pa.array([call] * m, pa.int32()),
+                       pa.array([began] * m), pa.array([f"{task_run}-{call}"] * m)]
+            setup, call = None, call + 1
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), lists, pa.array(n.astype(float)), pa.array(n), pa.array(missing), *b.columns[3:]],
-                ["doc_id", "pooled", "mask_sum", "n_tokens", "n_missing", "task_error", *extra],
-            )
+                [b.column(0), lists, pa.array(n.astype(float)), pa.array(n), pa.array(missing), *timings, *b.columns[3:]],
+                ["doc_id", "pooled", "mask_sum", "n_tokens", "n_missing", "inference_time", "setup_time", "call_seq", "call_time", "call_id",
+                 "task_error", *extra],
+            )
 
     kinds = dict(rows.dtypes)
-    schema = "doc_id long, pooled array<double>, mask_sum double, n_tokens long, n_missing long, task_error string"
+    schema = ("doc_id long, pooled array<double>, mask_sum double, n_tokens long, n_missing long, inference_time double, "
+              "setup_time double, call_seq int, call_time double, call_id string, task_error string")
     return _finished(rows.mapInArrow(run, ", ".join([schema, *[f"`{c}` {kinds[c]}" for c in extra]])))
+
+
+def place_of(known, ids):
+    """(places of ids among the sorted known ones, whether they are there)."""
+    import numpy as np
+
+    if not len(known):
+        return np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+    at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+    return at, known[at] == ids
+
+
+def token_counts(texts: DataFrame, vocab: Vocabulary, profile: Profile, ship_vocabulary: bool) -> DataFrame:
+    """(key, ids, n): each distinct ``text`` by its digest, and its token ids with their counts.
+
+    Copies of a text are counted once. ``ship_vocabulary``: ids are looked up
+    row by row in a vocabulary that is sent; else by joins with its table."""
+    key = F.unhex(F.sha2("text", 256)).alias("key")
+    once = texts.select(F.coalesce("text", F.lit("")).alias("text")).select(key, "text").dropDuplicates(["key"])
+    if not ship_vocabulary:
+        ids = token_ids(once, vocab, profile, id_col="key")
+        per = ids.groupBy(F.col("doc_id").alias("key"), "token_id").agg(F.count(F.lit(1)).alias("n"))
+        # A row a text: as many entries as it has different tokens.
+        per = per.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("token_id", "n"))).alias("x"))
+        return per.select("key", F.col("x.token_id").alias("ids"), F.col("x.n").alias("n"))
+    rows = id_rows(once.withColumn("doc_id", F.lit(0)), vocab, profile, keep=["key"]).select("key", "ids")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            at, flat = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
+            found = [np.unique(flat[lo:hi], return_counts=True) for lo, hi in zip(at[:-1], at[1:])]
+            sizes = pa.array(np.concatenate(([0], np.cumsum([len(x) for x, _ in found]))), pa.int32())
+            columns = [np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1)]
+            lists = [pa.ListArray.from_arrays(sizes, pa.array(c, pa.int64())) for c in columns]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["key", "ids", "n"])
+
+    return rows.mapInArrow(run, "key binary, ids array<long>, n array<long>")
+
+
+def block_sums(counts: DataFrame, vectors: DataFrame, dim: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(key, sums, n_tokens, n_missing): the sparse product of token counts and token vectors.
+
+    ``counts``: (key, ids, n); ``vectors``: (id, v). The vectors' columns are cut
+    into blocks of dimensions, so narrow that a block of all ids takes
+    ``block_bytes`` at most; a block goes to several cells, and each text to one
+    cell of every block. A task reads its cells one after the other: the block's
+    vectors first, then the texts as a stream, so it holds one block at a time,
+    whatever the table's size. The block sums of a text come together by key."""
+    spark = counts.sparkSession
+    ship_package(spark)
+    vectors = vectors.where(F.size("v") == dim).select("id", F.col("v").cast("array<double>").alias("v"))
+    width = max(1, min(dim, block_bytes // (8 * max(vectors.count(), 1))))
+    blocks = -(-dim // width)
+    cells = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // blocks))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    table = vectors.select(every.alias("block"), "id", "v").select(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), "id", F.slice("v", F.col("block") * width + 1, F.lit(width)).alias("v")
+    )
+    asked = counts.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)).cast("int")).withColumn("block", every)
+    both = table.unionByName(asked, allowMissingColumns=True).repartition("block", "cell")
+    both = both.sortWithinPartitions("block", "cell", F.col("id").asc_nulls_last()).select("block", "cell", "id", "v", "key", "ids", "n")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        cell, ids, parts, mat = None, [], [], None
+        for b in batches:
+            place = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)
+            cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)]):
+                if lo == hi:
+                    continue
+                if tuple(place[lo]) != cell:
+                    cell, ids, parts, mat = tuple(place[lo]), [], [], None
+                own = b.slice(lo, hi - lo)
+                is_vector = pc.is_valid(own.column(2))
+                some = own.filter(is_vector)
+                if some.num_rows:
+                    ids.append(some.column(2).to_numpy())
+                    parts.append(some.column(3).flatten().to_numpy().reshape(some.num_rows, -1))
+                texts = own.filter(pc.invert(is_vector))
+                if not texts.num_rows:
+                    continue
+                wide = min(width, dim - cell[0] * width)
+                if mat is None:  # vectors stand before texts in a cell
+                    known = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+                    mat = np.concatenate(parts) if parts else np.zeros((0, wide))
+                    parts = []
+                offsets = texts.column(5).offsets.to_numpy()
+                flat, n = (texts.column(k).values.to_numpy() for k in (5, 6))
+                at, there = place_of(known, flat)
+                sums, total, missing = np.zeros((texts.num_rows, wide)), np.zeros(texts.num_rows, np.int64), np.zeros(texts.num_rows, np.int64)
+                for i, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                    total[i] = n[x:y].sum()
+                    missing[i] = n[x:y][~there[x:y]].sum()
+                    for k in range(x, y, 4096):  # so many vectors at a time
+                        part = slice(k, min(k + 4096, y))
+                        sums[i] += (mat[at[part][there[part]]] * n[part][there[part]][:, None]).sum(axis=0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(texts.num_rows + 1) * wide, pa.int32()), pa.array(sums.reshape(-1)))
+                yield pa.RecordBatch.from_arrays(
+                    [texts.column(4), texts.column(0), lists, pa.array(total), pa.array(missing)], ["key", "block", "sums", "n_tokens", "n_missing"]
+                )
+
+    found = both.mapInArrow(run, "key binary, block int, sums array<double>, n_tokens long, n_missing long")
+    per = found.groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("block", "sums"))).alias("x"), F.max("n_tokens").alias("n_tokens"), F.max("n_missing").alias("n_missing")
+    )  # a row a text, as many entries as there are blocks
+    return per.select("key", F.flatten("x.sums").alias("sums"), "n_tokens", "n_missing")
+
+
+def encode_blocks(
+    texts: DataFrame,
+    vocab: Vocabulary,
+    profile: Profile,
+    enc: StaticEncoder,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    tasks: DataFrame | None = None,
+    keep: list[str] | None = None,
+    ship_vocabulary: bool = True,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """O12a + O13 for a vector table of any size, batch only: the rows of ``encode_rows``.
+
+    Each distinct text is pooled once; rows find their text's vector by its
+    digest, and the task's offset is added then."""
+    own_task = tasks is not None and "task" in texts.columns
+    lean = _carried(texts, text_col, id_col, own_task, keep)
+    sums = block_sums(token_counts(lean, vocab, profile, ship_vocabulary), enc.vectors, enc.dim, block_bytes)
+    # Written, so that the join below reads a plain table and Spark splits a text with very many copies.
+    sums = materialize(sums.withColumnRenamed("key", "_key"), "text-sums")
+    rows = lean.withColumn("key", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).drop("text")
+    out = _with_task(rows, profile, tasks, own_task).join(sums, F.col("key") == F.col("_key"))
+    offset = (F.coalesce("task_id", F.lit(0)) + 1) * F.lit(enc.task_scale if tasks is not None else 0.0)
+    mask = F.col("n_tokens").cast("double")
+    pooled = F.transform("sums", lambda x: x / F.greatest(mask, F.lit(MIN_MASK)) + offset)
+    return _finished(out.withColumns({"pooled": pooled, "mask_sum": mask}).drop("sums", "key", "_key"))

@@ -14,6 +14,7 @@ and the rest of its batch still gets embeddings.
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ SEGMENT_CACHE = 1 << 18
 
 OUTPUT_SCHEMA = (
     "doc_id bigint, pooled array<double>, mask_sum double, n_tokens bigint, "
-    "inference_time double, setup_time double, call_seq int, error string"
+    "inference_time double, setup_time double, call_seq int, call_time double, call_id string, error string"
 )
 
 
@@ -94,7 +95,7 @@ def _runner(enc: OnnxEncoder, profile: Profile, bc_vocab, bc_model, model_key, e
         V, S, unk_id = voc["tokens"], voc["specials"], voc["unk_id"]
         piece_set = set(V) if subword else None
         seg_cache: dict = {}
-        call_seq = 0
+        call_seq, task_run = 0, uuid.uuid4().hex  # calls are told apart across tasks
 
         def to_id(t):
             i = V.get(t)
@@ -131,14 +132,14 @@ def _runner(enc: OnnxEncoder, profile: Profile, bc_vocab, bc_model, model_key, e
                 feeds["token_type_ids"] = np.zeros_like(ids)
             else:
                 feeds["task_id"] = np.array([task], dtype=np.int64)
-            r0 = time.perf_counter()
+            began, r0 = time.time(), time.perf_counter()
             hidden = sess.run(names, feeds)[0]
             span = time.perf_counter() - r0
             # One text at a time in float64: never a second copy of the whole tensor.
             m = mask.astype(np.float64)
             msum = m.sum(axis=1)
             mean = [(hidden[k].astype(np.float64) * m[k][:, None]).sum(axis=0) / max(msum[k], 1e-9) for k in range(b)]
-            return mean, msum, span
+            return mean, msum, span, began
 
         for pdf in batches:
             nrow = len(pdf)
@@ -147,6 +148,7 @@ def _runner(enc: OnnxEncoder, profile: Profile, bc_vocab, bc_model, model_key, e
             ntok = np.zeros(nrow, dtype=np.int64)
             times = np.full(nrow, np.nan)
             seqs = np.full(nrow, -1, dtype=np.int64)
+            began = np.full(nrow, np.nan)
             errs = list(pdf["task_error"]) if "task_error" in pdf else [None] * nrow
             tasks = pdf["task_id"].to_numpy() if "task_id" in pdf else np.zeros(nrow)
             seqs_ids, tok_time = [None] * nrow, np.zeros(nrow)
@@ -176,17 +178,18 @@ def _runner(enc: OnnxEncoder, profile: Profile, bc_vocab, bc_model, model_key, e
                 chunks.append(cur)
             for ch in chunks:
                 try:
-                    res, ms, span = model_call([seqs_ids[k] for k in ch], int(tasks[ch[0]]))
+                    res, ms, span, start = model_call([seqs_ids[k] for k in ch], int(tasks[ch[0]]))
                     span /= len(ch)
                     for j, k in enumerate(ch):
                         pooled[k], msums[k], times[k], seqs[k] = res[j], ms[j], tok_time[k] + span, call_seq
+                        began[k] = start
                     call_seq += 1
                 except Exception:  # noqa: BLE001 - retry row by row
                     for k in ch:
                         try:
-                            res, ms, span = model_call([seqs_ids[k]], int(tasks[k]))
+                            res, ms, span, start = model_call([seqs_ids[k]], int(tasks[k]))
                             pooled[k], msums[k] = res[0], ms[0]
-                            times[k], seqs[k] = tok_time[k] + span, call_seq
+                            times[k], seqs[k], began[k] = tok_time[k] + span, call_seq, start
                         except Exception as e:  # noqa: BLE001
                             errs[k] = f"inference: {e}"
                         call_seq += 1
@@ -203,6 +206,8 @@ def _runner(enc: OnnxEncoder, profile: Profile, bc_vocab, bc_model, model_key, e
                     "inference_time": [None if np.isnan(t) else float(t) for t in times],
                     "setup_time": setup_col,
                     "call_seq": [None if s < 0 else int(s) for s in seqs],
+                    "call_time": [None if np.isnan(t) else float(t) for t in began],
+                    "call_id": [None if s < 0 else f"{task_run}-{s}" for s in seqs],
                     "error": errs,
                     **{c: pdf[c] for c in extra},
                 }

@@ -100,15 +100,18 @@ def masked_mean_pool(
 ) -> DataFrame:
     """Per key and dimension ``sum(h * mask) / max(sum(mask), 1e-9)``.
 
-    A key whose mask is all 0, or that has no vector, pools to zeros. Returns
+    A key whose mask is all 0, or that has no vector, pools to zeros; a null mask
+    is 0; rows without a key are in no pool; an empty table gives no rows. Returns
     (key, pooled ARRAY<DOUBLE>, mask_sum DOUBLE, n_rows, n_missing); the last
-    counts rows without a vector."""
+    counts rows without a vector, or with one of another length than ``dim``."""
     from lumenvec.session import ship_package
 
     ship_package(long.sparkSession)
-    rows = long.select(
-        F.col(key).cast("long").alias("key"), F.col(hidden_col).cast("array<double>").alias("h"), F.col(mask_col).alias("m")
-    )
+    hidden = F.col(hidden_col).cast("array<double>")
+    rows = long.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("long").alias("key"), F.when(F.size(hidden) == dim, hidden).alias("h"),
+        F.coalesce(F.col(mask_col).cast("double"), F.lit(0.0)).alias("m"),
+    )
     partial = rows.mapInArrow(_partial(dim), f"key long, {SUMS}")
     total = partial.repartition("key").sortWithinPartitions("key").mapInArrow(_final(dim), f"key long, {SUMS}")
     den = F.greatest(F.col("mask_sum"), F.lit(MIN_MASK))

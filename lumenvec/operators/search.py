@@ -1,15 +1,22 @@
 """Exact top-k cosine search (O24) and pair scoring.
 
-Both sides are written once as packed blocks (ids, vectors as bytes) of at
-most ``block`` rows. Every base block meets every query block in one join,
-which is what exact search costs; a meeting is one matrix product in numpy and
-gives, per query, the block's k best (and rows tied with the k-th after
+Both sides are written once as packed blocks (ids, vectors as bytes) of at most
+``block`` rows. Every base block meets every query block of its dimension in one
+join, which is what exact search costs; a meeting is one matrix product in numpy
+and gives, per query, the block's k best (and rows tied with the k-th after
 rounding, up to k by smallest id), never pairs as rows. Spark then keeps k per
 query with a window whose ``row_number() <= k`` is a ``WindowGroupLimit``
-before the shuffle. Nothing passes through the driver; the base is read once.
+before the shuffle. Nothing passes through the driver.
 
-Rows whose vector is NULL or holds a NaN (error rows, texts with a zero
-vector) match nothing and find nothing.
+How blocks meet follows from their written bytes. A query side of at most
+``MAX_SENT_BYTES`` is broadcast, and the base is read once and not moved. A larger
+one is dealt to a grid whose rows and columns are chosen so that the copies of
+both sides together are fewest.
+
+Defined results: rows whose id is null, or whose vector is null, empty, holds a null or a
+value that is not finite (error rows, texts with a zero vector), match nothing
+and find nothing; vectors meet only those of their length; rows that repeat
+are found each time; without queries or base rows the result is empty.
 """
 
 from __future__ import annotations
@@ -24,6 +31,8 @@ from lumenvec.plans.strategy import materialize
 
 # Scores are ranked after rounding to this many places, ties by base id.
 SCORE_DIGITS = 6
+# Query blocks up to this size are sent to every executor.
+MAX_SENT_BYTES = 64 << 20
 
 
 def _blocks(rows: DataFrame, block: int, name: str) -> DataFrame:
@@ -32,11 +41,11 @@ def _blocks(rows: DataFrame, block: int, name: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for b in batches:
-            b = b.filter(b.column(1).is_valid())
-            for at in range(0, b.num_rows, block):
-                part = b.slice(at, block)
+            sizes = pc.list_value_length(b.column(1))
+            for part in (p for n in pc.unique(sizes) for p in slices(b.filter(pc.equal(sizes, n)))):
                 ids = part.column(0).to_numpy()
                 mat = np.array(part.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), -1)
                 good = np.isfinite(mat).all(axis=1)
@@ -46,10 +55,35 @@ def _blocks(rows: DataFrame, block: int, name: str) -> DataFrame:
                         {"ids": pa.array([ids.tolist()]), "mat": pa.array([mat.tobytes()], pa.binary()), "dim": pa.array([mat.shape[1]], pa.int32())}
                     )
 
-    clean = rows.where(F.col("vec").isNotNull()).select("id", F.col("vec").cast("array<double>").alias("vec"))
+    def slices(rows):
+        return [rows.slice(at, block) for at in range(0, rows.num_rows, block)]
+
+    clean = rows.where(F.col("id").isNotNull() & (F.size("vec") > 0)).select("id", F.col("vec").cast("array<double>").alias("vec"))
     return materialize(clean.mapInArrow(run, "ids array<long>, mat binary, dim int"), name)
 
 
+def grid(cells: int, q_bytes: int, b_bytes: int) -> tuple[int, int]:
+    """(rows, columns) of a grid of about ``cells`` for the query and the base blocks. Query blocks are
+    copied to every column, base blocks to every row: the fewest bytes are moved near this ratio."""
+    rows = round((cells * max(q_bytes, 1) / max(b_bytes, 1)) ** 0.5)
+    rows = max(1, min(cells, rows))
+    return rows, max(1, -(-cells // rows))
+
+
+def _together(q_blocks: DataFrame, b_blocks: DataFrame) -> DataFrame:
+    """Each query block with each base block of its dimension."""
+    spark = q_blocks.sparkSession
+    q_bytes, b_bytes = (x.agg(F.coalesce(F.sum(F.octet_length(c)), F.lit(0))).first()[0] for x, c in ((q_blocks, "q_mat"), (b_blocks, "b_mat")))
+    columns = ("q_ids", "q_mat", "b_ids", "b_mat", "dim")
+    if q_bytes <= MAX_SENT_BYTES:
+        return b_blocks.join(F.broadcast(q_blocks), "dim").select(*columns)
+    rows, cols = grid(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), q_bytes, b_bytes)
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q_side = q_blocks.withColumn("qc", F.pmod(F.xxhash64("q_ids"), F.lit(rows)).cast("int")).withColumn("bc", copies(cols))
+    b_side = b_blocks.withColumn("bc", F.pmod(F.xxhash64("b_ids"), F.lit(cols)).cast("int")).withColumn("qc", copies(rows))
+    return q_side.join(b_side, ["qc", "bc", "dim"]).select(*columns)
+
+
 def _meet(k: int, exclude_self: bool):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -98,13 +132,7 @@ def topk_similar(
     b = base.select(F.col(base_id).cast("bigint").alias("id"), F.col(base_vec).alias("vec"))
     q_blocks = _blocks(q, block, "topk-queries").select(F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"), "dim")
     b_blocks = _blocks(b, block, "topk-base").select(F.col("ids").alias("b_ids"), F.col("mat").alias("b_mat"), "dim")
-    # Every base block has to meet every query block: each query block goes to
-    # all cells of its row, each base block to all cells of its column.
-    side = max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) ** 0.5))
-    cells = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
-    q_side = q_blocks.withColumn("qc", F.pmod(F.xxhash64("q_ids"), F.lit(side)).cast("int")).withColumn("bc", cells)
-    b_side = b_blocks.withColumn("bc", F.pmod(F.xxhash64("b_ids"), F.lit(side)).cast("int")).withColumn("qc", cells)
-    met = q_side.join(b_side, ["qc", "bc", "dim"]).select("q_ids", "q_mat", "b_ids", "b_mat", "dim")
+    met = _together(q_blocks, b_blocks)
     cand = met.mapInArrow(_meet(k, exclude_self), "query_id bigint, doc_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

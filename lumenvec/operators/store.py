@@ -1,20 +1,29 @@
 """Embedding store (O23) and incremental runs.
 
-The store is a Parquet table partitioned by ``profile``; every run appends
-rows keyed by ``(text_hash, profile, task)`` with a ``run_ts``. Error rows go
-beside it, into ``<store>_errors``, so a failed run never hides a good
-embedding. The latest row per key is chosen on the narrow columns; vectors are
-joined to the chosen rows only. An incremental run anti-joins its texts
-against the store, encodes each distinct new text once and writes the result
-once before it is split.
+The store is a table of runs (``sources/runs.py``) bucketed by ``text_hash``: rows
+keyed by ``(text_hash, profile, task)`` with a ``run_ts``. Error rows go beside it,
+into ``<store>_errors``, so a failed run never hides a good embedding. Both are
+there for a run once its manifest says so, and a run that is there is not
+written again. The latest row per key, and the texts still to encode, are found
+bucket by bucket, without shuffling the store. An incremental run anti-joins its
+texts against the store, encodes each distinct new text once and writes the
+result once before it is split.
+
+Defined results: a store without runs reads as no rows; a null text counts as an
+empty one; a null task is a task of its own; repeated texts are encoded once; a run
+of error rows only leaves the store as it was; a run without rows is not
+committed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenvec.plans.strategy import materialize
+from lumenvec.sources.runs import RunTable
 
 STORE_COLUMNS = ["text_hash", "profile", "task", "run_id", "run_ts", "embedding", "dim", "n_tokens", "error"]
 KEY = ["text_hash", "profile", "task"]
@@ -24,46 +33,57 @@ def text_hash(col: str = "text"):
     return F.sha2(F.coalesce(F.col(col), F.lit("")), 256)
 
 
-def store_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+def store_table(spark: SparkSession, path: str, element: str = "float") -> RunTable:
+    """The store's rows; ``element``: the type of a new store's embedding values."""
+    columns = f"text_hash string, profile string, task string, run_ts timestamp, embedding array<{element}>, dim int, n_tokens bigint, error string"
+    return RunTable(spark, path, columns, "text_hash")
+
+
+def errors_table(spark: SparkSession, path: str, element: str = "float") -> RunTable:
+    return store_table(spark, path.rstrip("/") + "_errors", element)
 
 
 def read_store(spark: SparkSession, path: str, profile: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+    df = store_table(spark, path).read().select(*STORE_COLUMNS)
     return df if profile is None else df.where(F.col("profile") == profile)
 
 
-def latest(store: DataFrame) -> DataFrame:
-    """One row per (text_hash, profile, task): error-free rows first, then the
-    latest run. Of several equal ones in a run, one stays."""
-    good = F.struct(F.col("error").isNull().cast("int"), "run_ts", "run_id")
-    narrow = store.groupBy(*[F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in KEY], F.col("task").isNull().alias("_no_task")).agg(
-        F.max(good).alias("_best")
-    )
-    same = F.col("task").isNull() == F.col("_no_task")
-    for c in KEY:
-        same = same & (F.coalesce(F.col(c), F.lit("")) == F.col(f"_{c}"))
-    chosen = store.join(narrow, same & (good == F.col("_best"))).select(*store.columns)
-    w = Window.partitionBy(*KEY).orderBy("run_ts")
-    return chosen.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+def read_errors(spark: SparkSession, path: str) -> DataFrame:
+    return errors_table(spark, path).read().select(*STORE_COLUMNS)
 
 
-def errors_path(path: str) -> str:
-    return path.rstrip("/") + "_errors"
+def latest(store: DataFrame) -> DataFrame:
+    """One row per (text_hash, profile, task): error-free rows first, then the
+    latest run. Of several equal ones in a run, one stays. One aggregate; over a
+    stored table it needs no shuffle."""
+    rest = [c for c in store.columns if c not in KEY]
+    rank = F.struct(F.col("error").isNull().cast("int"), "run_ts", "run_id")
+    best = store.groupBy(*KEY).agg(F.max_by(F.struct(*rest), rank).alias("x"))
+    return best.select(*KEY, "x.*").select(*store.columns)
 
 
 def append(results: DataFrame, path: str) -> int:
     """Writes finished results once and splits them: error-free rows into the
-    store, the others into ``<store>_errors``. Returns the rows stored."""
+    store, the others into ``<store>_errors``, for each ``run_id`` of theirs.
+    Returns the rows stored; runs that are there already are left as they are."""
+    spark = results.sparkSession
     done = materialize(results.select(*STORE_COLUMNS), "store-run")
-    good, bad = done.where(F.col("error").isNull()), done.where(F.col("error").isNotNull())
-    good.write.mode("append").partitionBy("profile").parquet(path)
-    if not bad.isEmpty():
-        bad.write.mode("append").partitionBy("profile").parquet(errors_path(path))
-    return good.count()
+    element = dict(done.dtypes)["embedding"].removeprefix("array<").removesuffix(">")
+    good, bad = F.col("error").isNull(), F.col("error").isNotNull()
+    stored = 0
+    # One run, or a few: a run_id is given to a job, not to a row.
+    for r in done.groupBy("run_id").agg(F.count_if(good).alias("good"), F.count_if(bad).alias("bad")).collect():
+        own = done.where(F.col("run_id") == r["run_id"])
+        if r["bad"]:
+            errors_table(spark, path, element).append(own.where(bad), r["run_id"])
+        if r["good"]:
+            stored += store_table(spark, path, element).append(own.where(good), r["run_id"])
+    return stored
+
+
+def compact(spark: SparkSession, path: str) -> int:
+    """One run with the latest row of each key in place of the runs so far; returns its rows."""
+    return store_table(spark, path).compact(latest)
 
 
 def pending(texts: DataFrame, done: DataFrame | None, profile: str, task: str | None = None,
@@ -79,15 +99,15 @@ def pending(texts: DataFrame, done: DataFrame | None, profile: str, task: str |
     if done is None:
         return todo
     d = done.where((F.col("profile") == profile) & F.col("error").isNull())
-    d = d.where(F.col("task").isNull() if task is None else F.col("task") == task).select("text_hash").distinct()
+    d = d.where(F.col("task").isNull() if task is None else F.col("task") == task).select("text_hash")
     return todo.join(d, "text_hash", "left_anti")
 
 
-def as_store_rows(results: DataFrame, profile: str, task: str | None) -> DataFrame:
-    """Result rows that carry ``text_hash`` in the shape of the store."""
+def as_store_rows(results: DataFrame, profile: str, task: str | None, run_id: str | None = None) -> DataFrame:
+    """Result rows that carry ``text_hash`` in the shape of the store, as one run."""
     return results.select(
         "text_hash", F.lit(profile).alias("profile"), F.lit(task).cast("string").alias("task"),
-        F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSS").alias("run_id"),
+        F.lit(run_id or uuid.uuid4().hex).alias("run_id"),
         F.current_timestamp().alias("run_ts"), "embedding", "dim", "n_tokens", "error",
     )
 
@@ -99,8 +119,7 @@ def embed_incremental(spark: SparkSession, texts: DataFrame, store_path: str, em
     ``embed_fn(df)`` takes (doc_id, text, text_hash) and returns the result
     rows of ``plans.pipeline.embed(..., keep=["text_hash"])``.
     """
-    done = read_store(spark, store_path, profile) if store_exists(spark, store_path) else None
-    todo = pending(texts, done, profile, task, text_col, id_col)
+    todo = pending(texts, read_store(spark, store_path), profile, task, text_col, id_col)
     batch = todo.select(F.col("first_doc_id").alias("doc_id"), "text", "text_hash")
     return append(as_store_rows(embed_fn(batch), profile, task), store_path)
 

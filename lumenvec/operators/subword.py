@@ -9,7 +9,7 @@ pre-token and a frequent pre-token's occurrences are split (AQE skew join).
 
 Positions are code points throughout, so an emoji is one unit, as chosen for
 the unknown-character step. A piece that is the unknown token keeps the
-character it stands for in ``source``.
+character it stands for in ``stands_for``.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def segment_table(distinct_tokens: DataFrame, vocab: Vocabulary, profile: Profil
 
 
 def segment_long(long: DataFrame, vocab: Vocabulary, profile: Profile) -> DataFrame:
-    """(doc_id, pos, token[, is_marker], ...) pre-tokens -> (doc_id, pos, sub, token, source, ...) pieces.
+    """(doc_id, pos, token[, is_marker], ...) pre-tokens -> (doc_id, pos, sub, token, stands_for, ...) pieces.
 
     ``(pos, sub)`` orders the pieces: ``pos`` is the pre-token position and
     ``sub`` the piece index within it. Rows flagged ``is_marker`` (the frame
@@ -78,8 +78,8 @@ def segment_long(long: DataFrame, vocab: Vocabulary, profile: Profile) -> DataFr
     words = long.where(~marker)
     counts = materialize(words.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "pre-tokens")
     seg = materialize(segment_table(counts, vocab, profile), "segments")
-    piece = F.transform(F.arrays_zip("pieces", "sources"), lambda x: F.struct(x["pieces"].alias("token"), x["sources"].alias("source")))
-    own = F.array(F.struct(F.col("token").alias("token"), F.lit(None).cast("string").alias("source")))
+    piece = F.transform(F.arrays_zip("pieces", "sources"), lambda x: F.struct(x["pieces"].alias("token"), x["sources"].alias("stands_for")))
+    own = F.array(F.struct(F.col("token").alias("token"), F.lit(None).cast("string").alias("stands_for")))
     j = long.withColumn("is_marker", marker).join(seg.withColumnRenamed("token", "_t"), F.col("token") == F.col("_t"), "left")
     j = j.select("doc_id", "pos", "is_marker", *rest, F.when(F.col("is_marker"), own).otherwise(piece).alias("p"))
     # posexplode_outer + filter: no inferred size filter re-evaluating pieces.
@@ -88,4 +88,4 @@ def segment_long(long: DataFrame, vocab: Vocabulary, profile: Profile) -> DataFr
         w = Window.partitionBy("doc_id", "is_marker").orderBy("pos", "sub")
         nth = F.row_number().over(w)
         out = out.withColumn("_n", nth).where(F.col("is_marker") | (F.col("_n") <= max(profile.max_tokens - 2, 0)))
-    return out.select("doc_id", "pos", "sub", "x.token", "x.source", *rest)
+    return out.select("doc_id", "pos", "sub", "x.token", "x.stands_for", *rest)

@@ -55,12 +55,22 @@ def unknown_id(vocab: Vocabulary, profile: Profile) -> Column:
     return F.coalesce(sub.scalar(), F.lit(0).cast("bigint"))
 
 
-def lookup_ids(long: DataFrame, vocab: Vocabulary, profile: Profile, token_col: str = "token") -> DataFrame:
+#: The columns of long-form ids; ``stands_for`` only in the subword profile.
+OWN = ("doc_id", "pos", "sub", "token", "token_id", "in_vocab", "attention", "token_type", "stands_for")
+
+
+def kept_name(column: str) -> str:
+    """How a kept column comes out: as it is, or as ``keep_<name>`` where the ids have a column of that name."""
+    return f"keep_{column}" if column.lower() in OWN else column
+
+
+def lookup_ids(long: DataFrame, vocab: Vocabulary, profile: Profile, token_col: str = "token", stands_for: str | None = None) -> DataFrame:
     """Vocabulary id, else special id, else the unknown token's id, else 0.
 
     Adds ``token_id``, ``in_vocab`` (matched either table), ``attention`` (1)
-    and ``token_type`` (0).
-    """
+    and ``token_type`` (0). ``stands_for`` names the column that tells what an
+    unknown piece stands for, if there is one: the unknown token itself is in
+    the tables, what it stands for is not."""
     v = bounded_broadcast(
         vocab.tokens.select(F.col("token").alias("_vt"), F.col("id").alias("_vid")), known_rows=vocab.row_bound
     )
@@ -69,8 +79,8 @@ def lookup_ids(long: DataFrame, vocab: Vocabulary, profile: Profile, token_col:
     )
     out = long.join(v, F.col(token_col) == F.col("_vt"), "left").join(s, F.col(token_col) == F.col("_st"), "left")
     found = F.col("_vid").isNotNull() | F.col("_sid").isNotNull()
-    if "source" in long.columns:  # the unknown token is in the tables, what it stands for is not
-        found = found & F.col("source").isNull()
+    if stands_for:
+        found = found & F.col(stands_for).isNull()
     return out.select(
         *[c for c in long.columns],
         F.coalesce("_vid", "_sid", unknown_id(vocab, profile)).alias("token_id"),
@@ -93,22 +103,31 @@ def token_ids(
     Words profile: O5 -> O8 -> O9, ``pos`` 0 is the first marker, ``sub`` 0.
     Subword profile: O6 -> O8 -> O7 -> O9; ``pos`` is the position in the
     framed pre-token sequence (markers at 0 and n+1) and ``sub`` the piece
-    within that pre-token; ``source`` is the character an unknown piece stands
-    for. Columns of ``texts`` named in ``keep`` go along with every token.
-    """
+    within that pre-token; ``stands_for`` is the character an unknown piece
+    stands for. With ``max_tokens`` only as many pre-tokens are cut as can give
+    a piece that stays. Columns of ``texts`` named in ``keep`` go along with every
+    token, under ``kept_name``. A null or empty text is its two markers; a null
+    doc_id and repeated rows pass through."""
     keep = keep or []
-    nested = raw_tokens(texts, profile, text_col, id_col, keep)
+    inner = [f"_kept_{i}" for i in range(len(keep))]  # no name of a kept column meets the ids' own
+    lean = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, inner)])
+    nested = raw_tokens(lean, profile, keep=inner)
     if profile.tokens == "words":
-        long = explode_tokens(framed(nested, profile), keep=keep).withColumn("sub", F.lit(0))
-        return lookup_ids(long.select("doc_id", "pos", "sub", "token", *keep), vocab, profile)
-    from lumenvec.operators.subword import segment_long
-
-    # Markers are framed in first (one pass over the text) and flagged so
-    # that segmentation passes them through unchanged.
-    fr = nested.withColumn("tokens", frame(F.col("tokens"), profile.first, profile.last))
-    long = explode_tokens(fr.withColumn("n", F.size("tokens")), keep=["n", *keep])
-    long = long.withColumn("is_marker", (F.col("pos") == 0) | (F.col("pos") == F.col("n") - 1)).drop("n")
-    return lookup_ids(segment_long(long, vocab, profile), vocab, profile)
+        long = explode_tokens(framed(nested, profile), keep=inner).withColumn("sub", F.lit(0))
+        ids = lookup_ids(long.select("doc_id", "pos", "sub", "token", *inner), vocab, profile)
+    else:
+        from lumenvec.operators.subword import segment_long
+
+        # Markers are framed in first (one pass over the text) and flagged so
+        # that segmentation passes them through unchanged. Every pre-token
+        # gives at least one piece, so the first max_tokens - 2 are enough.
+        fr = nested.withColumn("end", F.size("tokens") + 1)
+        fr = fr.withColumn("tokens", frame(truncate(F.col("tokens"), profile.max_tokens), profile.first, profile.last))
+        long = explode_tokens(fr.withColumn("n", F.size("tokens")), keep=["n", "end", *inner])
+        last = F.col("pos") == F.col("n") - 1
+        long = long.withColumn("is_marker", (F.col("pos") == 0) | last).withColumn("pos", F.when(last, F.col("end")).otherwise(F.col("pos")))
+        ids = lookup_ids(segment_long(long.drop("n", "end"), vocab, profile), vocab, profile, stands_for="stands_for")
+    return ids.withColumnsRenamed({n: kept_name(c) for n, c in zip(inner, keep)})
 
 
 def id_rows(

@@ -1,569 +1,21 @@
 """Registered queries: each takes (spark, data_dir) and returns a DataFrame.
 
-Every query reads whole tables of the data directory (or tables Spark
-derives from them). Column names and types match ``lumenvec.plans.oracle``.
+Every query reads whole tables of the data directory (or tables Spark derives
+from them). Column names and types match ``lumenvec.plans.oracle``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from lumenvec.operators.encode import fixture_vectors
-from lumenvec.operators.pooling import masked_mean_pool
-from lumenvec.operators.tokens import explode_tokens, raw_tokens, token_ids
-from lumenvec.plans.pipeline import embed
-from lumenvec.plans.strategy import spread
-from lumenvec.profiles import WORDS768
-from lumenvec.sources.tables import table
-from lumenvec.sources.vocab import corpus_word_vocabulary
+from lumenvec.plans.queries import embedding, reports, search, store, tokens
+from lumenvec.plans.queries.embedding import q_embed_static
+from lumenvec.plans.queries.fixtures import SUBWORD64, WORDS64, fixture_onnx, fixture_tasks
 
-FIXTURE_DIM = 64
-WORDS64 = WORDS768.with_(name="words64", dim=FIXTURE_DIM)
+__all__ = ["QUERIES", "SUBWORD64", "WORDS64", "fixture_onnx", "fixture_tasks", "q_embed_static"]
 
-
-def _docs(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    """All documents, spread over the cores when the file is small."""
-    return spread(table(spark, d, "documents").select("doc_id", "text", *cols), "doc_id")
-
-
-def _long_vectors(df: DataFrame, id_col: str, vec_col: str, idx: str = "dim", val: str = "x", digits: int | None = 6) -> DataFrame:
-    """Array column -> (id, dim BIGINT, x DOUBLE), rounded to ``digits`` places.
-
-    Values computed exactly in both engines (dyadic sums and one division)
-    are left unrounded: rounding exact ties differs between engines.
-    """
-    x = F.col(val).cast("double")
-    # explode_outer + filter: a plain explode would make Catalyst evaluate
-    # the vector expression twice (inferred size filter).
-    out = df.select(id_col, F.posexplode_outer(vec_col).alias(idx, val)).where(F.col(idx).isNotNull())
-    return out.select(id_col, F.col(idx).cast("bigint").alias(idx), (F.round(x, digits) if digits is not None else x).alias(val))
-
-
-def q_v2_tokens(spark: SparkSession, d: str) -> DataFrame:
-    nested = raw_tokens(_docs(spark, d), WORDS64)
-    return explode_tokens(nested).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "token")
-
-
-def q_v2_token_ids(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    vocab = corpus_word_vocabulary(docs)
-    ids = token_ids(docs, vocab, WORDS64)
-    return ids.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "token", "token_id", "in_vocab")
-
-
-def q_embed_static(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    vocab = corpus_word_vocabulary(docs)
-    res = embed(docs, vocab, WORDS64, fixture_vectors(vocab, FIXTURE_DIM), dtype="double")
-    return _long_vectors(res, "doc_id", "embedding")
-
-
-def q_masked_pool(spark: SparkSession, d: str) -> DataFrame:
-    """O13 alone: mean of the vectors of in-vocabulary words only (markers and
-    unknown words carry mask 0; a text of only unknown words pools to zeros)."""
-    docs = _docs(spark, d)
-    vocab = corpus_word_vocabulary(docs)
-    enc = fixture_vectors(vocab, FIXTURE_DIM)
-    ids = token_ids(docs, vocab, WORDS64)
-    ids = ids.withColumn("attention", (F.col("in_vocab") & (F.col("token_id") > 2)).cast("bigint"))
-    j = ids.join(enc.vectors, F.col("token_id") == F.col("id"), "left")
-    pooled = masked_mean_pool(j, FIXTURE_DIM, hidden_col="v")
-    return _long_vectors(pooled, "doc_id", "pooled", digits=None)
-
-
-def _head_and_norm(res: DataFrame, n: int = 10) -> DataFrame:
-    """(doc_id, dim, x, n_dims, norm): the first values of every embedding, its size and length."""
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    out = res.select("doc_id", F.size("embedding").cast("bigint").alias("n_dims"), F.round(norm, 6).alias("norm"),
-                     F.posexplode_outer(F.slice("embedding", 1, n)).alias("dim", "x")).where(F.col("dim").isNotNull())
-    return out.select("doc_id", F.col("dim").cast("bigint").alias("dim"), F.round("x", 6).alias("x"), "n_dims", "norm")
-
-
-def q_embed_static_768(spark: SparkSession, d: str) -> DataFrame:
-    """The words profile at its real size."""
-    docs = _docs(spark, d)
-    vocab = corpus_word_vocabulary(docs)
-    return _head_and_norm(embed(docs, vocab, WORDS768, fixture_vectors(vocab, WORDS768.dim), dtype="double"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "embed_static_768": q_embed_static_768,
-    "v2_tokens": q_v2_tokens,
-    "v2_token_ids": q_v2_token_ids,
-    "embed_static": q_embed_static,
-    "masked_pool": q_masked_pool,
-}
-
-
-# --- subword profile (O6, O7, O8, O9, O10) ---------------------------------
-from lumenvec.operators.subword import segment_table  # noqa: E402
-from lumenvec.operators.tokens import decode_rows, id_rows, task_ids  # noqa: E402
-from lumenvec.profiles import SUBWORD1024  # noqa: E402
-from lumenvec.sources.vocab import (  # noqa: E402
-    corpus_piece_vocabulary,
-    tasks_from_json,
-    tokenizer_document,
-    tokenizer_document_array,
-    vocabulary_from_json,
-)
-
-SUBWORD64 = SUBWORD1024.with_(name="subword64", dim=FIXTURE_DIM)
-
-
-def q_v3_pretokens(spark: SparkSession, d: str) -> DataFrame:
-    nested = raw_tokens(_docs(spark, d), SUBWORD64)
-    return explode_tokens(nested).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "token")
-
-
-def q_v3_segments(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    vocab = corpus_piece_vocabulary(docs)
-    pts = explode_tokens(raw_tokens(docs, SUBWORD64)).select("token").distinct()
-    seg = segment_table(pts, vocab, SUBWORD64)
-    out = seg.select("token", F.posexplode_outer("pieces").alias("sub", "piece")).where(F.col("sub").isNotNull())
-    return out.select("token", F.col("sub").cast("bigint").alias("sub"), "piece")
-
-
-def q_v3_token_ids(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    vocab = corpus_piece_vocabulary(docs)
-    ids = token_ids(docs, vocab, SUBWORD64)
-    return ids.select(
-        "doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("sub").cast("bigint").alias("sub"),
-        "token", "token_id", "in_vocab",
-    )
-
-
-def q_decode_v3(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    vocab = corpus_piece_vocabulary(docs)
-    return decode_rows(id_rows(docs, vocab, SUBWORD64), vocab, SUBWORD64)
-
-
-def q_decode_v2(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    vocab = corpus_word_vocabulary(docs)
-    return decode_rows(id_rows(docs, vocab, WORDS64), vocab, WORDS64)
-
-
-def q_v3_token_ids_max(spark: SparkSession, d: str) -> DataFrame:
-    """At most 16 tokens a document, markers included."""
-    docs = _docs(spark, d)
-    ids = token_ids(docs, corpus_piece_vocabulary(docs), SUBWORD64.with_(max_tokens=16))
-    return ids.select(
-        "doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("sub").cast("bigint").alias("sub"), "token", "token_id", "in_vocab"
-    )
-
-
-# --- vocabulary documents (O1, O2) and task ids (O3, O11) -------------------
-LETTERS_ONLY = r"^\p{L}+$"
-
-
-def q_vocab_object(spark: SparkSession, d: str) -> DataFrame:
-    """Object-shape tokenizer.json written from the corpus vocabulary: words
-    of letters only carry ``id + 0.5`` (truncated back to ``id`` on load);
-    other words carry their id as a JSON string and are skipped on load."""
-    vocab = corpus_word_vocabulary(_docs(spark, d))
-    value = F.when(
-        F.col("token").rlike(LETTERS_ONLY), F.parse_json(F.concat(F.col("id").cast("string"), F.lit(".5")))
-    ).otherwise(F.parse_json(F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('"'))))
-    doc = tokenizer_document(vocab.tokens, vocab.specials, value)
-    loaded = vocabulary_from_json(doc)
-    return loaded.tokens.select("token", "id")
-
-
-def q_vocab_array(spark: SparkSession, d: str) -> DataFrame:
-    """Array-shape tokenizer.json: position = rank - 1; words with a
-    non-letter become one-item entries, which are skipped on load but keep
-    their position."""
-    vocab = corpus_word_vocabulary(_docs(spark, d))
-    item = F.when(
-        F.col("token").rlike(LETTERS_ONLY),
-        F.parse_json(F.to_json(F.array(F.col("token"), (F.col("id") * -0.5).cast("string")))),
-    ).otherwise(F.parse_json(F.to_json(F.array(F.col("token")))))
-    entries = vocab.tokens.select((F.col("id") - 3).alias("pos"), item.alias("item"))
-    loaded = vocabulary_from_json(tokenizer_document_array(entries, vocab.specials))
-    return loaded.tokens.select("token", "id")
-
-
-def q_special_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """The languages of the corpus as added tokens, numbered in order; every
-    second one is listed again with 100 more, and the last entry counts."""
-    langs = table(spark, d, "documents").select("lang").where(F.col("lang").isNotNull()).distinct()
-    w = Window.orderBy("lang")  # one row a language
-    once = langs.select(F.concat(F.lit("<"), "lang", F.lit(">")).alias("content"), F.row_number().over(w).cast("bigint").alias("id"))
-    twice = once.unionByName(once.where(F.col("id") % 2 == 0).withColumn("id", F.col("id") + 100))
-    vocab = spark.createDataFrame([("a", 0)], "token string, id bigint")
-    return vocabulary_from_json(tokenizer_document(vocab, twice)).specials.select("content", "id")
-
-
-def q_task_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Task list = the two most frequent conversation roles (count desc, role
-    asc); each turn's role is looked up strictly (v3) and leniently (v2)."""
-    conv = spread(table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id")
-    top = conv.groupBy("role").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc("role")).limit(2)
-    cfg = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "role"))).alias("l")).select(
-        F.to_json(F.struct(F.transform("l", lambda x: x["role"]).alias("lora_adaptations"))).alias("value")
-    )
-    tasks = tasks_from_json(cfg)
-    strict = task_ids(conv, tasks, SUBWORD64, "role")
-    lenient = task_ids(conv, tasks, WORDS64, "role").select(
-        "conv_id", "turn", F.col("task_id").alias("task_id_lenient")
-    )
-    return strict.select("conv_id", "turn", "role", "task_id", "task_error").join(lenient, ["conv_id", "turn"])
-
-
-QUERIES.update(
-    {
-        "v3_pretokens": q_v3_pretokens,
-        "v3_segments": q_v3_segments,
-        "v3_token_ids": q_v3_token_ids,
-        "v3_token_ids_max": q_v3_token_ids_max,
-        "decode_v3": q_decode_v3,
-        "decode_v2": q_decode_v2,
-        "vocab_object": q_vocab_object,
-        "vocab_array": q_vocab_array,
-        "special_tokens": q_special_tokens,
-        "task_ids": q_task_ids,
-    }
-)
-
-
-# --- ONNX encoder (O12b, O17, O18) and preview (O16) ------------------------
-from lumenvec.operators.onnx_batch import OnnxEncoder  # noqa: E402
-from lumenvec.operators.pooling import embedding_preview  # noqa: E402
-from lumenvec.sources.model_fixture import gather_model, static_matrix  # noqa: E402
-
-# The task list of the v3 model's config.json.
-V3_TASKS = ["retrieval.query", "retrieval.passage", "separation", "classification", "text-matching"]
-
-
-def fixture_tasks(spark: SparkSession) -> DataFrame:
-    import json
-
-    cfg = spark.createDataFrame([(json.dumps({"lora_adaptations": V3_TASKS}),)], "value string")
-    return tasks_from_json(cfg)
-
-
-def fixture_onnx(vocab, dim: int = FIXTURE_DIM, with_tasks: bool = False) -> OnnxEncoder:
-    """Gather model over the fixture vectors of every vocabulary id; the v3
-    form adds ``(task_id + 1) / 8`` to every dimension."""
-    import numpy as np
-
-    n_ids = int(vocab.reverse.agg(F.max("id")).first()[0]) + 1  # one scalar of a bounded table
-    mat = static_matrix(n_ids, dim)
-    if not with_tasks:
-        return OnnxEncoder(model_bytes=gather_model(mat), dim=dim)
-    tm = np.repeat(((np.arange(len(V3_TASKS)) + 1) / 8.0)[:, None], dim, axis=1)
-    model = gather_model(mat, ("input_ids", "attention_mask", "task_id"), "text_embeds", task_matrix=tm)
-    return OnnxEncoder(model_bytes=model, dim=dim)
-
-
-def q_embed_onnx(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    vocab = corpus_word_vocabulary(docs)
-    res = embed(docs, vocab, WORDS64, fixture_onnx(vocab), dtype="double")
-    return _long_vectors(res, "doc_id", "embedding")
-
-
-def q_embed_onnx_v3(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    vocab = corpus_piece_vocabulary(docs)
-    res = embed(docs, vocab, SUBWORD64, fixture_onnx(vocab, with_tasks=True), dtype="double", tasks=fixture_tasks(spark))
-    return _long_vectors(res, "doc_id", "embedding")
-
-
-def q_preview(spark: SparkSession, d: str) -> DataFrame:
-    """Shape and first 10 values of each document's embedding."""
-    docs = _docs(spark, d)
-    vocab = corpus_word_vocabulary(docs)
-    res = embedding_preview(embed(docs, vocab, WORDS64, fixture_vectors(vocab, FIXTURE_DIM), dtype="double"))
-    out = res.select("doc_id", F.col("shape").cast("bigint").alias("shape"), F.posexplode_outer("head").alias("dim", "x"))
-    return out.where(F.col("dim").isNotNull()).select(
-        "doc_id", F.col("dim").cast("bigint").alias("dim"), "shape", F.round(F.col("x").cast("double"), 6).alias("x")
-    )
-
-
-def q_embed_static_1024_task(spark: SparkSession, d: str) -> DataFrame:
-    """The subword profile at its real size, with its default task's offset."""
-    docs = _docs(spark, d)
-    vocab = corpus_piece_vocabulary(docs)
-    enc = fixture_vectors(vocab, SUBWORD1024.dim, task_scale=1 / 8)
-    return _head_and_norm(embed(docs, vocab, SUBWORD1024, enc, dtype="double", tasks=fixture_tasks(spark)))
-
-
-QUERIES.update({"embed_static_1024_task": q_embed_static_1024_task, "embed_onnx": q_embed_onnx, "embed_onnx_v3": q_embed_onnx_v3, "preview": q_preview})
-
-
-# --- search (O24, O25), reports (O19-O21), store (O22, O23), requests (O4), stream
-import uuid  # noqa: E402
-from dataclasses import replace  # noqa: E402
-
-from lumenvec.operators.reports import (  # noqa: E402
-    latency_report,
-    parity,
-    parity_summary,
-    top_unknown_tokens,
-    unknown_token_report,
-)
-from lumenvec.operators.search import pair_scores, topk_similar  # noqa: E402
-from lumenvec.operators.store import (  # noqa: E402
-    append,
-    as_store_rows,
-    documents_view,
-    embed_incremental,
-    pending,
-    read_store,
-    text_hash,
-)
-from lumenvec.plans.pipeline import split_results  # noqa: E402
-from lumenvec.plans.strategy import materialize  # noqa: E402
-from lumenvec.session import work_dir  # noqa: E402
-from lumenvec.sources.requests import parse_requests  # noqa: E402
-from lumenvec.streaming.stream import embed_stream, request_stream, run_available  # noqa: E402
-
-TOP_K = 5
-
-
-def _static_embeddings(spark: SparkSession, d: str, texts: DataFrame | None = None, vocab=None, dtype="double"):
-    docs = _docs(spark, d)
-    vocab = vocab or corpus_word_vocabulary(docs)
-    return embed(texts if texts is not None else docs, vocab, WORDS64, fixture_vectors(vocab, FIXTURE_DIM), dtype=dtype)
-
-
-def q_topk_benchmark_docs(spark: SparkSession, d: str) -> DataFrame:
-    """Each benchmark item (embedded like the documents) -> its 5 nearest documents."""
-    docs = _docs(spark, d)
-    vocab = corpus_word_vocabulary(docs)
-    base = _static_embeddings(spark, d, docs, vocab)
-    bench = spread(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), "doc_id")
-    q = _static_embeddings(spark, d, bench, vocab)
-    return topk_similar(q.withColumnRenamed("doc_id", "query_id"), base, TOP_K)
-
-
-def q_topk_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    """Every stored vector -> its 5 nearest other vectors."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return topk_similar(e.withColumnRenamed("doc_id", "query_id"), e, TOP_K, exclude_self=True)
-
-
-def q_topk_with_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Top 5 where a third of the rows has no vector (errors) and a third a NaN one (zero vectors)."""
-    kind = F.pmod(F.col("label"), F.lit(3))
-    nan = F.transform("embedding", lambda x: F.lit(float("nan")).cast("float"))
-    vec = F.when(kind == 1, nan).when(kind == 2, F.col("embedding"))
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), vec.alias("embedding"))
-    return topk_similar(e.withColumnRenamed("doc_id", "query_id"), e, TOP_K, exclude_self=True)
-
-
-def q_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Score of each vector against the next id (NULL when there is none)."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    pairs = e.select(F.col("doc_id").alias("id_a"), (F.col("doc_id") + 1).alias("id_b"))
-    return pair_scores(pairs, e)
-
-
-def _parity_rows(spark: SparkSession, d: str, without: tuple[str | None, str | None] = ("fr", "de")) -> DataFrame:
-    """``without``: the language that each side leaves out, if any."""
-    docs = _docs(spark, d, "lang")
-    vocab = corpus_word_vocabulary(docs)
-    lang = F.coalesce(F.col("lang"), F.lit(""))
-    left, right = ((docs.where(lang != x) if x else docs).select("doc_id", "text") for x in without)
-    static = embed(left, vocab, WORDS64, fixture_vectors(vocab, FIXTURE_DIM), dtype="double")
-    onnx = embed(right, vocab, WORDS64, fixture_onnx(vocab), dtype="float")
-    return parity(static, onnx)
-
-
-def q_parity(spark: SparkSession, d: str) -> DataFrame:
-    """Static encoder (double, all but French) against the ONNX encoder (float32
-    output, all but German)."""
-    return _parity_rows(spark, d)
-
-
-def q_parity_summary(spark: SparkSession, d: str) -> DataFrame:
-    return parity_summary(_parity_rows(spark, d))
-
-
-def q_parity_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Both encoders over every document."""
-    return _parity_rows(spark, d, (None, None))
-
-
-def q_parity_summary_whole(spark: SparkSession, d: str) -> DataFrame:
-    return parity_summary(_parity_rows(spark, d, (None, None)))
-
-
-def _oov_ids(spark: SparkSession, d: str, profile) -> DataFrame:
-    docs = _docs(spark, d, "lang")
-    vocab = corpus_word_vocabulary(docs) if profile is WORDS64 else corpus_piece_vocabulary(docs)
-    return token_ids(docs, vocab, profile, keep=["lang"])
-
-
-def q_oov_report(spark: SparkSession, d: str) -> DataFrame:
-    return unknown_token_report(_oov_ids(spark, d, WORDS64), ["lang"])
-
-
-def q_oov_top(spark: SparkSession, d: str) -> DataFrame:
-    return top_unknown_tokens(_oov_ids(spark, d, WORDS64), ["lang"], n=TOP_K)
-
-
-def q_oov_report_v3(spark: SparkSession, d: str) -> DataFrame:
-    return unknown_token_report(_oov_ids(spark, d, SUBWORD64), ["lang"])
-
-
-def q_oov_top_v3(spark: SparkSession, d: str) -> DataFrame:
-    """The characters that no piece covers."""
-    return top_unknown_tokens(_oov_ids(spark, d, SUBWORD64), ["lang"], n=TOP_K)
-
-
-def q_latency_report(spark: SparkSession, d: str) -> DataFrame:
-    """The report over a table of timings made from the documents by a fixed
-    rule: languages as runtimes, 16 texts a call, 2**-16 s a character."""
-    docs = table(spark, d, "documents")
-    res = docs.select(
-        F.coalesce("lang", F.lit("none")).alias("runtime"), F.col("doc_id").alias("call_time"),
-        F.floor(F.col("doc_id") / 16).alias("call_seq"), (F.col("n_chars") / F.lit(65536.0)).alias("inference_time"),
-        F.when(F.col("doc_id") % 100 == 0, F.lit(0.5)).alias("setup_time"),
-    )
-    return latency_report(res)
-
-
-def q_result_split(spark: SparkSession, d: str) -> DataFrame:
-    """Results where words past id 1,500 have no vector, split into good and error rows."""
-    docs = _docs(spark, d)
-    vocab = corpus_word_vocabulary(docs)
-    enc = fixture_vectors(vocab, FIXTURE_DIM)
-    res = embed(docs, vocab, WORDS64, replace(enc, vectors=enc.vectors.where("id <= 1500")))
-    good, bad = split_results(materialize(res, "results"))
-    cols = ["doc_id", "dim", "n_tokens", "error"]
-    return good.select(F.lit("good").alias("sink"), *cols).unionByName(bad.select(F.lit("error").alias("sink"), *cols)).select(
-        "sink", "doc_id", F.col("dim").cast("bigint").alias("dim"), "n_tokens", "error"
-    )
-
-
-def q_incremental_runs(spark: SparkSession, d: str) -> DataFrame:
-    """O22 in full: a run over the English texts, one over all, and one again:
-    rows each run stores, and the documents that have an embedding after it."""
-    docs = _docs(spark, d, "lang")
-    vocab = corpus_word_vocabulary(docs)
-    enc = fixture_vectors(vocab, FIXTURE_DIM)
-    path = work_dir(spark, f"store-{uuid.uuid4().hex}")
-
-    def encode(df: DataFrame) -> DataFrame:
-        return embed(df, vocab, WORDS64, enc, keep=["text_hash"])
-
-    runs = []
-    for k, texts in enumerate((docs.where(F.col("lang") == "en"), docs, docs)):
-        added = embed_incremental(spark, texts.select("doc_id", "text"), path, encode, WORDS64.name)
-        view = documents_view(docs, read_store(spark, path), WORDS64.name)
-        embedded = view.where(F.col("embedding").isNotNull()).agg(F.count(F.lit(1)).alias("embedded"))
-        runs.append(embedded.select(F.lit(k + 1).cast("bigint").alias("run"), F.lit(added).cast("bigint").alias("added"), "embedded"))
-        runs[-1] = materialize(runs[-1], "runs")
-    return runs[0].unionByName(runs[1]).unionByName(runs[2])
-
-
-def q_anti_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """Texts still to encode after a run over the English documents: the
-    previous results are the store, new work is every distinct text whose
-    hash is not in it."""
-    docs = _docs(spark, d, "lang")
-    vocab = corpus_word_vocabulary(docs)
-    en = docs.where(F.col("lang") == "en")
-    hashed = en.select("doc_id", "text", text_hash().alias("text_hash"))
-    prev = embed(hashed, vocab, WORDS64, fixture_vectors(vocab, FIXTURE_DIM), keep=["text_hash"])
-    store = as_store_rows(prev, WORDS64.name, None)
-    return pending(docs.select("doc_id", "text"), store, WORDS64.name).select("text_hash", "n_docs", "first_doc_id")
-
-
-def q_store_latest(spark: SparkSession, d: str) -> DataFrame:
-    """Two runs appended to a Parquet store: run r1 embeds all documents with
-    the static encoder, run r2 the English ones again with the ONNX encoder;
-    the latest row per text wins. (doc_id, run_id, dim, x)."""
-    docs = _docs(spark, d, "lang")
-    vocab = corpus_word_vocabulary(docs)
-    path = work_dir(spark, f"store-{uuid.uuid4().hex}")
-
-    def run(texts, encoder, run_id):
-        once = texts.select("doc_id", "text", text_hash().alias("text_hash")).dropDuplicates(["text_hash"])
-        res = embed(once, vocab, WORDS64, encoder, dtype="double", keep=["text_hash"])
-        return as_store_rows(res, WORDS64.name, None).withColumn("run_id", F.lit(run_id))
-
-    append(run(docs, fixture_vectors(vocab, FIXTURE_DIM), "r1"), path)
-    append(run(docs.where(F.col("lang") == "en"), fixture_onnx(vocab), "r2"), path)
-    view = documents_view(docs, read_store(spark, path, WORDS64.name), WORDS64.name)
-    out = view.select("doc_id", "run_id", F.posexplode_outer("embedding").alias("dim", "x")).where(F.col("dim").isNotNull())
-    return out.select("doc_id", "run_id", F.col("dim").cast("bigint").alias("dim"), F.round("x", 6).alias("x"))
-
-
-def q_read_requests(spark: SparkSession, d: str) -> DataFrame:
-    """Conversation turns as request lines: user turns as single requests, a
-    conversation's assistant turns as one batch request, system turns as a
-    command the job does not serve; of every fifth conversation the first
-    turn's line is cut short, of every seventh its text is a number. Lines
-    that are no JSON have no id (here -1; it is a hash of the line)."""
-    conv = spread(table(spark, d, "conversations"), "conv_id")
-    cid = F.col("conv_id")
-    first = F.col("turn") == 0
-    infer = F.lit("infer").alias("command")
-    line = (
-        F.when(first & (cid % 5 == 0), F.lit('{"command": "infer", "text": "x"'))
-        .when(first & (cid % 7 == 0), F.to_json(F.struct(cid.alias("id"), infer, F.col("turn").alias("text"))))
-        .when(F.col("role") == "user", F.to_json(F.struct(cid.alias("id"), infer, F.col("text").alias("text"))))
-        .otherwise(F.to_json(F.struct(cid.alias("id"), F.lit("ping").alias("command"))))
-    )
-    odd = first & ((cid % 5 == 0) | (cid % 7 == 0))
-    own = conv.where(odd | (F.col("role") != "assistant") | F.col("role").isNull()).select(line.alias("value"))
-    turns = conv.where(~odd & (F.col("role") == "assistant")).groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t")
-    )
-    batches = turns.select(F.to_json(F.struct(cid.alias("id"), F.transform("t", lambda x: x["text"]).alias("inputs"))).alias("value"))
-    rows = parse_requests(own.unionByName(batches))
-    rid = F.when(F.col("error") == "invalid JSON", F.lit(-1)).otherwise(F.col("request_id"))
-    return rows.select(rid.cast("bigint").alias("request_id"), F.col("idx").cast("bigint").alias("idx"), "text", "error")
-
-
-def q_stream_embed(spark: SparkSession, d: str) -> DataFrame:
-    """Documents written as request files, three texts to a batch request,
-    embedded by a streaming query (one file per micro-batch) with the
-    row-local static encoder, read back from the sink."""
-    docs = _docs(spark, d)
-    vocab = corpus_word_vocabulary(docs)
-    root = work_dir(spark, f"stream-{uuid.uuid4().hex}")
-    of = docs.groupBy(F.floor(F.col("doc_id") / 3).alias("id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
-    lines = of.select(F.to_json(F.struct("id", F.transform("t", lambda x: x["text"]).alias("inputs"))).alias("value"))
-    lines.repartition(4).write.text(f"{root}/in")
-    enc = fixture_vectors(vocab, FIXTURE_DIM)
-    res = embed_stream(request_stream(spark, f"{root}/in", 1), vocab, WORDS64, enc, dtype="double")
-    run_available(res, f"{root}/out", f"{root}/checkpoint")
-    out = spark.read.parquet(f"{root}/out").select("request_id", "idx", F.posexplode_outer("embedding").alias("dim", "x"))
-    return out.where(F.col("dim").isNotNull()).select(
-        "request_id", F.col("idx").cast("bigint").alias("idx"), F.col("dim").cast("bigint").alias("dim"), F.round("x", 6).alias("x")
-    )
-
-
-QUERIES.update(
-    {
-        "topk_benchmark_docs": q_topk_benchmark_docs,
-        "topk_embeddings": q_topk_embeddings,
-        "topk_with_errors": q_topk_with_errors,
-        "pairs": q_pairs,
-        "parity": q_parity,
-        "parity_summary": q_parity_summary,
-        "parity_whole": q_parity_whole,
-        "parity_summary_whole": q_parity_summary_whole,
-        "oov_report": q_oov_report,
-        "oov_top": q_oov_top,
-        "oov_report_v3": q_oov_report_v3,
-        "oov_top_v3": q_oov_top_v3,
-        "result_split": q_result_split,
-        "incremental_runs": q_incremental_runs,
-        "latency_report": q_latency_report,
-        "anti_incremental": q_anti_incremental,
-        "store_latest": q_store_latest,
-        "read_requests": q_read_requests,
-        "stream_embed": q_stream_embed,
-    }
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = (
+    tokens.QUERIES | embedding.QUERIES | search.QUERIES | reports.QUERIES | store.QUERIES
 )

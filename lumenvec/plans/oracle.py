@@ -203,6 +203,9 @@ rows AS (SELECT doc_id, 'both' AS status,
 """
 
 
+_NONE_FAILED = ", ".join(f"CAST(0 AS BIGINT) AS n_{x}_failed" for x in ("left", "right", "both"))
+
+
 def _wide(ids: str, dims: int, add: str) -> str:
     """Head, size and length of static embeddings of many dimensions: the
     fixture vectors depend on id * 31 % 129 alone, so ids are counted by that."""
@@ -212,12 +215,37 @@ tot AS (SELECT doc_id, sum(n) AS n FROM cls GROUP BY doc_id),
 wp AS (SELECT doc_id, d.dim, sum(cls.n * CAST((r + d.dim * 17) % 129 - 64 AS DOUBLE) / 64.0) AS s
        FROM cls CROSS JOIN range(0, {dims}) d(dim) GROUP BY doc_id, d.dim),
 wm AS (SELECT doc_id, dim, s / tot.n + {add} AS x FROM wp JOIN tot USING (doc_id)),
-wn AS (SELECT doc_id, sqrt(sum(x * x)) AS nrm FROM wm GROUP BY doc_id)
+wn AS (SELECT doc_id, sqrt(sum(x * x)) AS nrm, sum(x * (dim % 97 + 1)) AS ws FROM wm GROUP BY doc_id)
 SELECT wm.doc_id, CAST(dim AS BIGINT) AS dim, round(CASE WHEN nrm = 0 THEN CAST('NaN' AS DOUBLE) ELSE x / nrm END, 6) AS x,
-       CAST({dims} AS BIGINT) AS n_dims, CASE WHEN nrm = 0 THEN CAST('NaN' AS DOUBLE) ELSE 1.0::DOUBLE END AS norm
+       CAST({dims} AS BIGINT) AS n_dims, CASE WHEN nrm = 0 THEN CAST('NaN' AS DOUBLE) ELSE 1.0::DOUBLE END AS norm,
+       round(CASE WHEN nrm = 0 THEN CAST('NaN' AS DOUBLE) ELSE ws / nrm END, 6) AS checksum
 FROM wm JOIN wn USING (doc_id) WHERE dim < 10"""
 
 
+def _rates(counts: str, by: str) -> str:
+    return f"""
+SELECT {by}, n_docs, n_tokens, n_unknown, round(CASE WHEN n_tokens > 0 THEN n_unknown / n_tokens END, 6) AS unknown_rate FROM {counts}"""
+
+
+def _unknown_words(by: str) -> str:
+    return f"""
+WITH {V2_BASE},
+one AS (SELECT doc_id, t IN (SELECT token FROM vocab) AS known FROM (SELECT doc_id, unnest(w) AS t FROM words)),
+cnt AS (SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (NOT known) AS n_unknown FROM one GROUP BY doc_id),
+g AS (SELECT {by}, count(*) AS n_docs, CAST(coalesce(sum(n_tokens), 0) AS BIGINT) AS n_tokens,
+             CAST(coalesce(sum(n_unknown), 0) AS BIGINT) AS n_unknown FROM documents LEFT JOIN cnt USING (doc_id) GROUP BY ALL)
+{_rates("g", by)}"""
+
+
+def _unknown_pieces(by: str) -> str:
+    return f"""
+WITH {PRE_BASE},
+g AS (SELECT {by}, count(DISTINCT i.doc_id) AS n_docs, count(*) FILTER (token NOT IN ('<s>', '</s>')) AS n_tokens,
+             count(*) FILTER (token NOT IN ('<s>', '</s>') AND NOT in_vocab) AS n_unknown
+      FROM pids i JOIN documents d USING (doc_id) GROUP BY ALL)
+{_rates("g", by)}"""
+
+
 SQL.update({
     "topk_benchmark_docs": f"""
 WITH {V2_BASE}, {DOC_EMB}, {_v2_embed("b", "SELECT item_id AS id, text FROM benchmark")},
@@ -236,30 +264,26 @@ WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT a.vec_id AS id_a, a.vec_id + 1 AS id_b, round(list_dot_product(a.v, b.v), 6) AS score
 FROM e a LEFT JOIN e b ON b.vec_id = a.vec_id + 1""",
     "parity": PARITY_ROWS + " SELECT * FROM rows",
-    "parity_summary": PARITY_ROWS + """
-SELECT CAST(count(*) FILTER (status = 'both') AS BIGINT) AS n_both,
+    "parity_summary": PARITY_ROWS + f"""
+SELECT {_NONE_FAILED}, CAST(count(*) FILTER (status = 'both') AS BIGINT) AS n_both,
        CAST(count(*) FILTER (status = 'left_only') AS BIGINT) AS n_left_only,
        CAST(count(*) FILTER (status = 'right_only') AS BIGINT) AS n_right_only,
        min(cosine) AS min_cosine, max(max_abs_diff) AS max_abs_diff,
        round(avg(CAST(within_tol AS DOUBLE)), 6) AS share_within_tol FROM rows""",
     "parity_whole": PARITY_WHOLE + " SELECT * FROM rows",
-    "parity_summary_whole": PARITY_WHOLE + """
-SELECT count(*) AS n_both, CAST(0 AS BIGINT) AS n_left_only, CAST(0 AS BIGINT) AS n_right_only,
+    "parity_summary_whole": PARITY_WHOLE + f"""
+SELECT {_NONE_FAILED}, count(*) AS n_both, CAST(0 AS BIGINT) AS n_left_only, CAST(0 AS BIGINT) AS n_right_only,
        min(cosine) AS min_cosine, max(max_abs_diff) AS max_abs_diff,
        round(avg(CAST(within_tol AS DOUBLE)), 6) AS share_within_tol FROM rows""",
-    "oov_report": f"""
-WITH {V2_BASE},
-per_doc AS (SELECT doc_id, count(*) AS n_tokens, sum(CAST(NOT in_vocab AS BIGINT)) AS n_unknown
-            FROM ids WHERE token NOT IN ('[CLS]', '[SEP]', '<s>', '</s>') GROUP BY doc_id),
-g AS (SELECT d.lang, count(*) AS n_docs, CAST(coalesce(sum(p.n_tokens), 0) AS BIGINT) AS n_tokens,
-             CAST(coalesce(sum(p.n_unknown), 0) AS BIGINT) AS n_unknown
-      FROM documents d LEFT JOIN per_doc p ON p.doc_id = d.doc_id GROUP BY d.lang)
-SELECT lang, n_docs, n_tokens, n_unknown,
-       round(CASE WHEN n_tokens > 0 THEN n_unknown / n_tokens END, 6) AS unknown_rate FROM g""",
+    "oov_report": _unknown_words("lang"),
+    "oov_report_source": _unknown_words("lang, source"),
+    "oov_report_v3": _unknown_pieces("lang"),
+    "oov_report_v3_source": _unknown_pieces("source"),
+    "oov_ids": _unknown_pieces("source"),
     "oov_top": f"""
 WITH {V2_BASE},
-c AS (SELECT d.lang, i.token, count(*) AS n FROM ids i JOIN documents d ON d.doc_id = i.doc_id
-      WHERE NOT i.in_vocab AND i.token NOT IN ('[CLS]', '[SEP]', '<s>', '</s>') GROUP BY d.lang, i.token)
+c AS (SELECT lang, t AS token, count(*) AS n FROM (SELECT d.lang, unnest(w) AS t FROM words JOIN documents d USING (doc_id))
+      WHERE t NOT IN (SELECT token FROM vocab) GROUP BY lang, t)
 SELECT lang, CAST(rank AS BIGINT) AS rank, token, n FROM (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS rank FROM c) WHERE rank <= 5""",
     "anti_incremental": """
@@ -304,12 +328,6 @@ sc AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_dot_product(a
        FROM e a, e b WHERE a.vec_id <> b.vec_id)
 SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 5""",
-    "oov_report_v3": f"""
-WITH {PRE_BASE},
-g AS (SELECT d.lang, count(DISTINCT i.doc_id) AS n_docs, count(*) FILTER (token NOT IN ('<s>', '</s>')) AS n_tokens,
-             count(*) FILTER (token NOT IN ('<s>', '</s>') AND NOT in_vocab) AS n_unknown
-      FROM pids i JOIN documents d USING (doc_id) GROUP BY d.lang)
-SELECT lang, n_docs, n_tokens, n_unknown, round(CASE WHEN n_tokens > 0 THEN n_unknown / n_tokens END, 6) AS unknown_rate FROM g""",
     "oov_top_v3": f"""
 WITH {PRE_BASE},
 c AS (SELECT d.lang, coalesce(i.src, i.token) AS token, count(*) AS n FROM pids i JOIN documents d ON d.doc_id = i.doc_id
@@ -336,4 +354,24 @@ en AS (SELECT DISTINCT h FROM h WHERE lang = 'en'),
 k AS (SELECT (SELECT count(*) FROM en) AS a, (SELECT count(DISTINCT h) FROM h) AS b,
              (SELECT count(*) FROM h WHERE h IN (SELECT h FROM en)) AS c, (SELECT count(*) FROM h) AS d)
 SELECT 1::BIGINT AS run, a AS added, c AS embedded FROM k UNION ALL SELECT 2, b - a, d FROM k UNION ALL SELECT 3, 0, d FROM k""",
+    "latency_job": """
+SELECT unnest(['words64', 'words768']) AS runtime, (SELECT count(*) FROM documents) AS rows,
+       true AS calls_ok, true AS quantiles_ok, true AS sketch_ok, true AS rate_ok""",
+    "embed_static_1024_blocks": f"WITH {PRE_BASE}, {_wide('pids', 1024, '5.0 / 8.0')}",
+    "store_compact": f"""
+WITH {V2_BASE}, {DOC_EMB},
+h AS (SELECT sha256(coalesce(text, '')) AS h, lang FROM documents),
+k AS (SELECT count(DISTINCT h) AS stored, count(DISTINCT h) FILTER (lang = 'en') AS en FROM h),
+s AS (SELECT id AS doc_id, count(*) AS dim, round(sum(x * (dim + 1)), 6) AS checksum FROM demb GROUP BY id),
+n AS (SELECT doc_id, count(*) AS n_tokens FROM ids GROUP BY doc_id)
+SELECT doc_id, dim, n_tokens, checksum, 2::BIGINT AS runs, stored, en * 2 AS errors FROM s JOIN n USING (doc_id), k""",
+    "stream_store": f"""
+WITH {V2_BASE}, {DOC_EMB},
+s AS (SELECT id AS doc_id, round(sum(x * (dim + 1)), 6) AS checksum FROM demb GROUP BY id),
+n AS (SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (token_id > 1500) AS missing FROM ids GROUP BY doc_id),
+r AS (SELECT doc_id, doc_id // 3 AS request_id, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id) - 1 AS idx FROM documents),
+a AS (SELECT * FROM r JOIN s USING (doc_id) JOIN n USING (doc_id) WHERE request_id % 7 <> 0)
+SELECT CASE WHEN missing > 0 THEN 'error' ELSE 'result' END AS sink, request_id, idx, CASE WHEN missing = 0 THEN n_tokens END AS n_tokens,
+       CASE WHEN missing = 0 THEN checksum END AS checksum, CASE WHEN missing > 0 THEN missing || ' token ids have no vector' END AS error FROM a
+UNION ALL SELECT DISTINCT 'error', request_id, 0, NULL, NULL, 'Unknown command' FROM r WHERE request_id % 7 = 0""",
 })

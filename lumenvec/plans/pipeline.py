@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenvec.functions.vectors import l2_normalize
-from lumenvec.operators.encode import MAX_SHIPPED_BYTES, StaticEncoder, encode_rows, encode_static, shipped_bytes
-from lumenvec.operators.tokens import token_ids
+from lumenvec.operators.encode import MAX_SHIPPED_BYTES, StaticEncoder, encode_blocks, encode_rows, vector_bytes, vocabulary_bytes
 from lumenvec.profiles import Profile
 from lumenvec.sources.vocab import Vocabulary
 
-RESULT_COLUMNS = ["doc_id", "embedding", "dim", "n_tokens", "inference_time", "setup_time", "call_seq", "error"]
+TIMINGS = ["inference_time", "setup_time", "call_seq", "call_time", "call_id"]
+RESULT_COLUMNS = ["doc_id", "embedding", "dim", "n_tokens", *TIMINGS, "error"]
 
 
 def finish(pooled: DataFrame, dtype: str = "float") -> DataFrame:
@@ -24,9 +24,7 @@ def finish(pooled: DataFrame, dtype: str = "float") -> DataFrame:
         F.when(F.col("error").isNull(), emb).alias("embedding"),
         F.when(F.col("error").isNull(), F.size("pooled")).cast("int").alias("dim"),
         F.col("n_tokens").cast("bigint").alias("n_tokens"),
-        "inference_time",
-        "setup_time",
-        "call_seq",
+        *TIMINGS,
         "error",
         *[F.col(c).alias(c.removeprefix("keep_")) for c in pooled.columns if c.startswith("keep_")],
     )
@@ -44,22 +42,21 @@ def embed(
     keep: list[str] | None = None,
     max_shipped: int = MAX_SHIPPED_BYTES,
 ) -> DataFrame:
-    """Texts -> (doc_id, embedding, dim, n_tokens, inference_time, setup_time, call_seq, error).
+    """Texts -> RESULT_COLUMNS, one row for each input row.
 
-    One output row per input row; ``doc_id`` must be unique. ``dtype`` is the
-    element type of ``embedding`` ("float" like the reference, or "double").
-    Columns of ``texts`` named in ``keep`` come through.
-    """
+    ``dtype`` is the element type of ``embedding`` ("float" like the reference, or
+    "double"). Columns of ``texts`` named in ``keep`` come through. With a static
+    encoder null texts, null and repeated ids and tasks have the same results
+    (see ``lumenvec.operators.encode``) whether its tables can be sent to the
+    executors (``max_shipped`` bytes) or not. A stream needs tables that can be
+    sent; beyond the bound, embed its micro-batches (``streaming.stream.run_into_store``)."""
     if isinstance(encoder, StaticEncoder):
-        if texts.isStreaming or shipped_bytes(vocab, encoder) <= max_shipped:
+        words = vocabulary_bytes(vocab)
+        if words + vector_bytes(encoder) <= max_shipped:
             return finish(encode_rows(texts, vocab, profile, encoder, text_col, id_col, tasks, keep), dtype)
-        if tasks is not None:
-            raise ValueError("task vectors need a vector table that can be sent to the executors")
-        pooled = encode_static(token_ids(texts, vocab, profile, text_col, id_col), encoder)
-        if keep:
-            carried = texts.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-            pooled = pooled.join(carried, "doc_id")
-        return finish(pooled, dtype)
+        if texts.isStreaming:
+            raise ValueError(f"the encoder's tables take more than {max_shipped} bytes: embed the stream's micro-batches instead")
+        return finish(encode_blocks(texts, vocab, profile, encoder, text_col, id_col, tasks, keep, words <= max_shipped), dtype)
     from lumenvec.operators.onnx_batch import encode_onnx
 
     return finish(encode_onnx(texts, vocab, profile, encoder, text_col, id_col, tasks, keep), dtype)

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from lumenvec.jobs.embed import parse_args, run
+from lumenvec.operators.store import read_store
 from lumenvec.sources.model_fixture import gather_model, static_matrix
 from lumenvec.sources.tables import table
 from lumenvec.sources.vocab import corpus_word_vocabulary
@@ -43,6 +44,6 @@ def test_embed_job_from_files(spark, sf001, tmp_path):
     finally:
         onnx_batch._runner = whole
     assert n == docs.count() == seen.value
-    rows = spark.read.parquet(store)
+    rows = read_store(spark, store)
     assert rows.where(F.size("embedding") != 16).count() == 0
     assert run(spark, parse_args(base + ["--incremental"])) == 0

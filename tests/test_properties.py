@@ -172,7 +172,7 @@ def test_requests_take_strings_only(spark):
 
 
 def test_error_rows_never_hide_a_good_one(spark, tmp_path):
-    from lumenvec.operators.store import STORE_COLUMNS, append, errors_path, latest
+    from lumenvec.operators.store import STORE_COLUMNS, append, latest, read_errors, read_store
 
     ddl = "text_hash string, profile string, task string, run_id string, run_ts timestamp, embedding array<float>, dim int, n_tokens bigint, error string"
     import datetime as dt
@@ -184,7 +184,8 @@ def test_error_rows_never_hide_a_good_one(spark, tmp_path):
     assert {(r.text_hash, r.run_id) for r in latest(df).collect()} == {("a", "r1"), ("b", "r2")}
     path = str(tmp_path / "s")
     assert append(df.select(*STORE_COLUMNS), path) == 3
-    assert spark.read.parquet(path).count() == 3 and spark.read.parquet(errors_path(path)).count() == 1
+    assert read_store(spark, path).count() == 3 and read_errors(spark, path).count() == 1
+    assert {(r.text_hash, r.run_id) for r in latest(read_store(spark, path)).collect()} == {("a", "r1"), ("b", "r2")}
 
 
 def test_stream_equals_batch_for_task_model(spark, docs, tmp_path):
