@@ -7,9 +7,18 @@ The written segment table is joined back to the occurrences. The join has no
 hint: a small table is broadcast by size, a large one is shuffled on the
 pre-token and a frequent pre-token's occurrences are split (AQE skew join).
 
+The pieces are a packed trie of numpy arrays (``PieceTrie``); all pre-tokens of
+a batch are walked through it at once, one character a step, instead of trying
+substrings one by one. Very long pre-tokens, of which a step would move only
+one or two, are cut one by one.
+
 Positions are code points throughout, so an emoji is one unit, as chosen for
 the unknown-character step. A piece that is the unknown token keeps the
 character it stands for in ``stands_for``.
+
+Defined results: an empty pre-token has no pieces; without pieces every
+character is unknown; repeated pre-tokens have a row each in ``segment_table``; an
+empty table gives no rows. With ``max_tokens``, ``doc_id`` has to be unique.
 """
 
 from __future__ import annotations
@@ -40,27 +49,131 @@ def greedy_pieces(token: str, pieces, longest: int, unk: str) -> list[tuple[str,
     return out
 
 
+#: Pre-tokens longer than this are cut one by one.
+LONG = 256
+CODE = 21  # bits of a code point
+
+
+class PieceTrie:
+    """The pieces as a trie: edges sorted by (node, character), and the piece that ends at each node.
+
+    Built level by level, so its size is that of the pieces' common beginnings."""
+
+    def __init__(self, pieces: list[str]) -> None:
+        import numpy as np
+
+        self.pieces = pieces
+        self.known = set(pieces)
+        self.longest = max(map(len, pieces), default=1)
+        codes, begin, size = code_points(pieces)
+        node = np.zeros(len(pieces), np.int64)  # where each piece has come to
+        keys, n = [], 1
+        ends = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for depth in range(self.longest if pieces else 0):
+            live = np.flatnonzero(size > depth)
+            edge = (node[live] << CODE) | codes[begin[live] + depth]
+            found, which = np.unique(edge, return_inverse=True)
+            keys.append(found)
+            node[live] = n + which
+            n += len(found)
+            done = live[size[live] == depth + 1]
+            ends.append((node[done], done))
+        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        child = np.arange(1, n)
+        order = np.argsort(self.keys, kind="stable")
+        self.keys, self.child = self.keys[order], child[order]
+        self.piece = np.full(n, -1, np.int64)
+        for at, which in ends:
+            self.piece[at] = which
+
+    def next(self, node, code):
+        """The node each edge leads to; -1 where there is none."""
+        import numpy as np
+
+        if not len(self.keys):
+            return np.full(len(node), -1, np.int64)
+        key = (node << CODE) | code
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.child[at], -1)
+
+    def cut(self, tokens: list[str]):
+        """(token, start, piece) arrays of the pieces of all tokens, in order: ``piece`` is the
+        number of the vocabulary piece, or -1 for one unknown character."""
+        import numpy as np
+
+        codes, begin, size = code_points(tokens)
+        token = np.flatnonzero((size > 0) & (size <= LONG))
+        end = begin + size
+        start = begin[token].copy()
+        cursor, node = start.copy(), np.zeros(len(token), np.int64)
+        best_end, best = np.full(len(token), -1, np.int64), np.full(len(token), -1, np.int64)
+        out = [(np.zeros(0, np.int64),) * 3]
+        while len(token):
+            to = np.full(len(token), -1, np.int64)
+            inside = cursor < end[token]
+            to[inside] = self.next(node[inside], codes[cursor[inside]])
+            moved = to >= 0
+            cursor = cursor + moved
+            node = np.where(moved, to, 0)
+            ended = np.where(moved, self.piece[node], -1)
+            best_end, best = np.where(ended >= 0, cursor, best_end), np.where(ended >= 0, ended, best)
+            if not moved.all():  # these have gone as far as they can: one piece is cut
+                k = np.flatnonzero(~moved)
+                out.append((token[k], start[k] - begin[token[k]], best[k]))
+                start[k] = np.where(best[k] >= 0, best_end[k], start[k] + 1)
+                cursor[k], best_end[k], best[k] = start[k], -1, -1
+                live = start < end[token]
+                if not live.all():
+                    token, start, cursor, node, best_end, best = (x[live] for x in (token, start, cursor, node, best_end, best))
+        number = {}
+        for t in np.flatnonzero(size > LONG).tolist():
+            number = number or {p: i for i, p in enumerate(self.pieces)}
+            at, own = 0, []
+            for p, source in greedy_pieces(tokens[t], self.known, self.longest, ""):
+                own.append((t, at, number[p] if source is None else -1))
+                at += len(p) if source is None else 1
+            out.append(tuple(np.array(x, np.int64) for x in zip(*own)))
+        of, at, piece = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((at, of))
+        return of[order], at[order], piece[order]
+
+
+def code_points(texts: list[str]):
+    """(all code points in a row, where each text begins, its size)."""
+    import numpy as np
+
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+    return codes, np.cumsum(size) - size, size
+
+
 def segment_table(distinct_tokens: DataFrame, vocab: Vocabulary, profile: Profile, col: str = "token") -> DataFrame:
     """(token) distinct -> (token, pieces ARRAY<STRING>, sources ARRAY<STRING>)."""
     from lumenvec.session import ship_package
 
     spark = distinct_tokens.sparkSession
     ship_package(spark)
-    pieces = {r["token"] for r in vocab.tokens.select("token").collect()}
-    shipped = spark.sparkContext.broadcast((pieces, max(map(len, pieces), default=1)))
+    shipped = spark.sparkContext.broadcast(sorted(r["token"] for r in vocab.tokens.select("token").collect()))
     unk = profile.unk
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        known, longest = shipped.value
-        kind = pa.list_(pa.string())
+        trie = PieceTrie(shipped.value)
+        names = pa.array([*trie.pieces, unk], pa.string())
         for b in batches:
-            cut = [greedy_pieces(t, known, longest, unk) for t in b.column(0).to_pylist()]
-            columns = [pa.array([[x[k] for x in c] for c in cut], kind) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["token", "pieces", "sources"])
-
-    tokens = distinct_tokens.select(F.col(col).alias("token"))
+            tokens = b.column(0).to_pylist()
+            of, at, piece = trie.cut(tokens)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(tokens))))), pa.int32())
+            unknown = piece < 0
+            pieces = names.take(pa.array(np.where(unknown, len(trie.pieces), piece)))
+            sources = np.full(len(of), None, object)
+            sources[unknown] = [tokens[t][i] for t, i in zip(of[unknown].tolist(), at[unknown].tolist())]
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pieces, pa.array(sources, pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["token", "pieces", "sources"])
+
+    tokens = distinct_tokens.select(F.col(col).alias("token")).where(F.col("token").isNotNull())
     return tokens.mapInArrow(run, "token string, pieces array<string>, sources array<string>")
 
 

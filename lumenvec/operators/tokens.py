@@ -130,15 +130,74 @@ def token_ids(
     return ids.withColumnsRenamed({n: kept_name(c) for n, c in zip(inner, keep)})
 
 
+#: Words whose ids a task keeps.
+UNIT_CACHE = 1 << 18
+
+
+class WordUnits:
+    """The ids of raw tokens, kept in one row of numbers: each token's place there and its size."""
+
+    def __init__(self, ids: dict[str, int], unk_id: int) -> None:
+        self.ids, self.unk_id = ids, unk_id
+        self._forget()
+
+    def _forget(self) -> None:
+        import numpy as np
+
+        self.number: dict[str, int] = {}
+        self.begin, self.size, self.flat = (np.zeros(0, np.int64) for _ in range(3))
+
+    def ids_of(self, words: list[str]):
+        """(sizes, ids in a row) of words seen for the first time."""
+        import numpy as np
+
+        return np.ones(len(words), np.int64), np.array([self.ids.get(w, self.unk_id) for w in words], np.int64)
+
+    def of(self, words: list[str]):
+        """(begin, size, flat): the ids of word i are flat[begin[i]:begin[i] + size[i]]."""
+        import numpy as np
+
+        if len(self.number) + len(words) > UNIT_CACHE:
+            self._forget()
+        if new := [w for w in words if w not in self.number]:
+            size, flat = self.ids_of(new)
+            self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(size) - size))
+            self.size, self.flat = np.concatenate((self.size, size)), np.concatenate((self.flat, flat))
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return self.begin[at], self.size[at], self.flat
+
+
+class PieceUnits(WordUnits):
+    """The same for pre-tokens, which are cut into pieces."""
+
+    def __init__(self, ids: dict[str, int], unk_id: int, pieces: list[str]) -> None:
+        import numpy as np
+
+        from lumenvec.operators.subword import PieceTrie
+
+        super().__init__(ids, unk_id)
+        self.trie = PieceTrie(pieces)
+        self.piece_ids = np.array([*[ids[p] for p in pieces], unk_id], np.int64)  # the last one is for -1
+
+    def ids_of(self, words: list[str]):
+        import numpy as np
+
+        of, _, piece = self.trie.cut(words)
+        return np.bincount(of, minlength=len(words)), self.piece_ids[piece]
+
+
 def id_rows(
     texts: DataFrame, vocab: Vocabulary, profile: Profile, text_col: str = "text", id_col: str = "doc_id",
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Texts -> (doc_id, ids ARRAY<BIGINT>, *keep): the ids of ``token_ids`` in order, row by row.
 
-    The JVM tokenises; the distinct tokens of an Arrow batch are cut (subword)
-    and looked up once in the vocabulary, which is sent by broadcast (a model
-    artifact). No explode, no shuffle, so it also runs on a stream."""
+    The JVM tokenises; the distinct tokens of an Arrow batch are looked up, or cut
+    (subword), in the vocabulary, which is sent by broadcast (a model artifact);
+    a task keeps what it has looked up for its next batches. No explode, no
+    shuffle, so it also runs on a stream. A null text has its two markers, a null
+    id and repeated rows pass through."""
     from lumenvec.session import ship_package
 
     spark = texts.sparkSession
@@ -148,8 +207,8 @@ def id_rows(
     nested = nested.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens", *keep)
     specials = {r["content"]: r["id"] for r in vocab.specials.collect()}
     tokens = {r["token"]: r["id"] for r in vocab.tokens.collect()}
-    shipped = spark.sparkContext.broadcast((specials | tokens, set(tokens)))
-    unk_id, longest = specials.get(profile.unk, 0), max(map(len, tokens), default=1)
+    shipped = spark.sparkContext.broadcast((specials | tokens, sorted(tokens)))
+    unk_id, keep_names = specials.get(profile.unk, 0), keep
     body = None if profile.max_tokens is None else max(profile.max_tokens - 2, 0)
 
     def run(batches):
@@ -157,43 +216,41 @@ def id_rows(
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        from lumenvec.operators.subword import greedy_pieces
-
         ids, pieces = shipped.value
-
-        def ids_of(names):
-            return np.array([ids.get(t, unk_id) for t in names], np.int64)
-
-        first, last = ids_of([profile.first]), ids_of([profile.last])
+        first, last = (ids.get(x, unk_id) for x in (profile.first, profile.last))
+        units = WordUnits(ids, unk_id) if profile.tokens == "words" else PieceUnits(ids, unk_id, pieces)
         for b in batches:
             if not b.num_rows:
                 continue
             column = b.column(1)
-            offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy())))
+            words_of = np.concatenate(([0], np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy())))
             coded = column.flatten().dictionary_encode()
-            words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-            if profile.tokens == "words":
-                units = ids_of(words).reshape(-1, 1)
-            else:
-                units = [ids_of([p for p, _ in greedy_pieces(w, pieces, longest, profile.unk)]) for w in words]
-            out, size = [], [0]
-            for i in range(b.num_rows):
-                at = index[offsets[i] : offsets[i + 1]]
-                if profile.tokens == "words":
-                    own = units[at, 0] if len(at) else np.zeros(0, np.int64)
-                else:
-                    own = np.concatenate([units[k] for k in at]) if len(at) else np.zeros(0, np.int64)
-                out += [first, own[:body], last]
-                size.append(size[-1] + len(own[:body]) + 2)
-            lists = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate(out)))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, *b.columns[2:]], ["doc_id", "ids", *keep])
+            begin, size, flat = units.of(coded.dictionary.to_pylist())
+            index = coded.indices.to_numpy()
+            # Each word's ids in a row, then each row's ids between its markers.
+            n = size[index]
+            before = np.concatenate(([0], np.cumsum(n)))
+            own = flat[np.repeat(begin[index] - before[:-1], n) + np.arange(before[-1])]
+            starts = before[words_of]
+            row = np.repeat(np.arange(b.num_rows), np.diff(starts))
+            if body is not None:
+                keep = np.arange(len(own)) - starts[row] < body
+                own, row = own[keep], row[keep]
+            ends = np.cumsum(np.bincount(row, minlength=b.num_rows) + 2)
+            out = np.empty(ends[-1], np.int64)
+            out[np.arange(len(own)) + 2 * row + 1] = own
+            out[np.concatenate(([0], ends[:-1]))], out[ends - 1] = first, last
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(out))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, *b.columns[2:]], ["doc_id", "ids", *keep_names])
 
     kinds = dict(nested.dtypes)
     return nested.mapInArrow(run, ", ".join(["doc_id long, ids array<long>", *[f"`{c}` {kinds[c]}" for c in keep]]))
 
 
 def decode_rows(rows: DataFrame, vocab: Vocabulary, profile: Profile, sep: str = "", strip: tuple[str, ...] | None = None) -> DataFrame:
-    """(doc_id, ids ARRAY<BIGINT>) -> (doc_id, text), row by row.
+    """(doc_id, ids ARRAY<BIGINT>) -> (doc_id, text), row by row, in Arrow arrays:
+    ids become places in the vocabulary's names, which are gathered and joined. Null
+    ids are unknown ones, a null or empty array is an empty text.
 
     Unknown ids read as the unknown token, pieces join with ``sep`` ("" in the
     reference), the word prefix becomes a space, the texts in ``strip`` (the
@@ -202,16 +259,25 @@ def decode_rows(rows: DataFrame, vocab: Vocabulary, profile: Profile, sep: str =
 
     spark = rows.sparkSession
     ship_package(spark)
-    shipped = spark.sparkContext.broadcast({r["id"]: r["token"] for r in vocab.reverse.collect()})
-    unk = profile.unk
+    known = sorted((r["id"], r["token"]) for r in vocab.reverse.where(F.col("id").isNotNull()).collect())
+    shipped, unk = spark.sparkContext.broadcast(known), profile.unk
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        names = shipped.value
+        ids = np.array([i for i, _ in shipped.value], np.int64)
+        names = pa.array([*[t for _, t in shipped.value], unk], pa.string())
         for b in batches:
-            text = [sep.join([names.get(i, unk) for i in x or []]) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], ["doc_id", "text"])
+            column = b.column(1)
+            offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy())))
+            flat = column.flatten()
+            own = flat.fill_null(0).to_numpy()
+            at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
+            there = (ids[at] == own if len(ids) else np.zeros(len(own), bool)) & flat.is_valid().to_numpy(zero_copy_only=False)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), names.take(pa.array(np.where(there, at, len(ids)))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_join(lists, sep)], ["doc_id", "text"])
 
     joined = rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
     text = F.replace("text", F.lit("▁"), F.lit(" "))

@@ -156,3 +156,44 @@ def test_truncation_cuts_only_what_stays(docs, kind):
         assert [t for *_, t in got[d]] == [t for *_, t in want]
         if profile is SUBWORD64:
             assert got[d] == want
+
+
+def test_piece_trie_is_greedy():
+    """The packed trie cuts as the plain walk does, short and long pre-tokens alike."""
+    import random
+
+    from lumenvec.operators.subword import LONG, PieceTrie, greedy_pieces
+
+    rnd = random.Random(1)
+    for _ in range(60):
+        pieces = sorted({"".join(rnd.choice("ab▁😀c") for _ in range(rnd.randrange(1, 5))) for _ in range(rnd.randrange(0, 14))})
+        trie = PieceTrie(pieces)
+        tokens = ["".join(rnd.choice("ab▁😀cx") for _ in range(rnd.choice([0, 1, 3, 9, LONG, LONG + 40]))) for _ in range(rnd.randrange(0, 20))]
+        got = [[] for _ in tokens]
+        for t, at, p in zip(*(x.tolist() for x in trie.cut(tokens))):
+            got[t].append((pieces[p], None) if p >= 0 else ("<unk>", tokens[t][at]))
+        assert got == [greedy_pieces(x, set(pieces), max(map(len, pieces), default=1), "<unk>") for x in tokens]
+
+
+def test_units_are_kept_and_forgotten(monkeypatch):
+    from lumenvec.operators import tokens as T
+
+    monkeypatch.setattr(T, "UNIT_CACHE", 5)
+    units = T.PieceUnits({"a": 1, "ab": 2, "c": 3}, 9, ["a", "ab", "c"])
+    for words in (["ab", "", "abc"], ["abc", "x", "a"], ["c", "ab", "cc", "ax"], ["ab"] * 3):
+        begin, size, flat = units.of(words)
+        got = [flat[b : b + n].tolist() for b, n in zip(begin, size)]
+        plain = {"ab": [2], "": [], "abc": [2, 3], "x": [9], "a": [1], "c": [3], "cc": [3, 3], "ax": [1, 9]}
+        assert got == [plain[w] for w in words]
+
+
+def test_decoding_of_null_and_unknown_ids(spark, docs):
+    from lumenvec.operators.tokens import decode_rows
+
+    vocab = corpus_word_vocabulary(docs)
+    names = {r.id: r.token for r in vocab.reverse.collect()}
+    rows = [(1, [5, 6]), (2, []), (3, None), (None, [5, None, -7, 10**12]), (1, [5, 6])]
+    df = spark.createDataFrame(rows, "doc_id bigint, ids array<bigint>")
+    got = sorted(((str(r.doc_id), r.text) for r in decode_rows(df, vocab, WORDS64, sep=" ").collect()))
+    unk = WORDS64.unk
+    assert got == sorted([("1", f"{names[5]} {names[6]}")] * 2 + [("2", ""), ("3", ""), ("None", f"{names[5]} {unk} {unk} {unk}")])
