@@ -15,14 +15,18 @@ neighbouring ones, meet at the rarest signatures (enough of them that no pair
 is missed) and are compared with the Jaccard coefficient, pruned by the
 lengths first.
 
-Words are lower-cased, without punctuation at their ends. A text without an
-anchor that has content words is read as if an anchor stood before each word;
-so is the end of a text, where a chain is as long as there are words.
+Words are lower-cased, without punctuation at their ends. Where ``GAP`` content
+words or more have gone by without an anchor (lists, tables, other languages),
+each word is read as if an anchor stood before it, and so is each word of a text
+without any anchor; this looks at the words before alone, so an edit changes
+the signatures near it only. At the end of a text a chain is as long as there
+are words.
 
 Defined results: a null or blank text has the empty fingerprint; two empty
 fingerprints have likeness 1, an empty and another one 0; a null doc_id is the
-smallest; rows with one doc_id follow each other by their text; an empty table
-gives an empty result; other columns are not read.
+smallest; rows with one doc_id follow each other by a hash of their text; an
+empty table gives an empty result; other columns are not read. A doc_id that
+many rows share is dealt to several tasks by that hash.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenvec.plans.strategy import materialize
 from lumenvec.session import ship_package
 
 # Common words of English, German, French and Spanish.
@@ -43,6 +48,7 @@ ANCHORS = frozenset(
 )
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…¡¿"
 CHAIN = 2
+GAP = 8
 WORD_CACHE = 1 << 19
 
 
@@ -80,6 +86,11 @@ def signatures(text: str | None, words: Words, chain: int = CHAIN):
             first, lead = first[first < real], lead[first < real]
         else:
             first, lead = np.zeros(1, np.int64), lead[:1]
+        # Words far behind the last anchor stand for themselves.
+        at = np.arange(real)
+        last = np.searchsorted(first, at, side="right") - 1
+        far = at[at - np.where(last >= 0, first[last], -1) >= GAP]
+        first, lead = np.concatenate((first, far)), np.concatenate((lead, np.zeros(len(far), np.uint64)))
     else:
         first, lead = np.arange(real), np.zeros(real, np.uint64)
     s = lead
@@ -114,49 +125,63 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+class Parts:
+    """Parts of the rows in the order of falling rank, then rising hash.
+
+    ``cuts`` are quantiles of the ranks; a rank that several of them hit is shared by very
+    many rows, which go to as many parts of their own, by their hash."""
+
+    def __init__(self, cuts: list[int]) -> None:
+        import numpy as np
+
+        self.cuts, self.times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        width = np.concatenate((np.where(self.times > 1, self.times + 1, 1), [1]))
+        self.before = np.cumsum(width[::-1])[::-1] - width  # parts of greater ranks
+
+    def of(self, ranks, hashes):
+        import numpy as np
+
+        at = np.searchsorted(self.cuts, ranks, side="left")
+        inner = np.minimum(at, max(len(self.cuts) - 1, 0))
+        if not len(self.cuts):
+            return np.zeros(len(ranks), np.int64)
+        times = np.where((at < len(self.cuts)) & (self.times[inner] > 1), self.times[inner], 0)
+        share = ((hashes.astype(np.float64) / 2.0**64 + 0.5) * times).astype(np.int64)
+        hot = (times > 0) & (self.cuts[inner] == ranks)
+        return self.before[at] + np.where(hot, np.minimum(share, np.maximum(times - 1, 0)), times)
+
+
 def in_order(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(part, halo, rank, doc_id, text): the rows dealt to parts by falling doc_id, sorted
     inside a part, each part followed by a copy of the row that comes next.
 
-    The bounds of the parts are quantiles of the doc_ids, the rows to copy are
-    those with the largest doc_id of each part: both as many numbers as there
-    are parts. Texts are shuffled once."""
+    The bounds of the parts are quantiles of the doc_ids; the driver sees as many
+    numbers as there are parts. Texts are shuffled once, and one row a part twice."""
     spark = docs.sparkSession
     rank = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63)))
     lean = docs.select(rank.alias("rank"), F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     cuts = lean.select(F.percentile_approx("rank", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0]
-    cuts = sorted(set(cuts or []))
-
-    def part_of(ranks):
-        import numpy as np
-
-        return len(cuts) - np.searchsorted(np.array(cuts, np.int64), ranks, side="left")
+    parts = Parts(cuts or [])
 
     @F.pandas_udf("int")
-    def part(ranks):
-        import pandas as pd
-
-        return pd.Series(part_of(ranks.to_numpy()).astype("int32"))
-
-    heads = lean.select("rank").groupBy(part("rank").alias("part")).agg(F.max("rank").alias("rank")).orderBy("part").collect()
-    # The first row of a part is copied behind the part before it; the very first behind the last.
-    behind = {h["rank"]: heads[k - 1]["part"] for k, h in enumerate(heads)}
-    first = heads[0]["rank"] if heads else None
-
-    @F.pandas_udf("array<int>")
-    def places(ranks):
+    def part(ranks, hashes):
         import pandas as pd
 
-        own = part_of(ranks.to_numpy())
-        return pd.Series([[int(p), behind[r]] if r in behind else [int(p)] for p, r in zip(own, ranks.tolist())])
-
-    spread = lean.select("*", F.posexplode(places("rank")).alias("halo", "part"))
-    # The copy of the very first row comes after everything in the last part.
-    spread = spread.withColumn("last", (F.col("halo") == 1) & (F.col("rank") == F.lit(first)))
-    order = ("part", "last", F.col("rank").desc(), "halo", F.col("text").asc_nulls_first())
-    dealt = spread.repartition(n // 4, "part").sortWithinPartitions(*order)
-    return dealt.select("part", "halo", "rank", "doc_id", "text")
+        return pd.Series(parts.of(ranks.to_numpy(), hashes.to_numpy()).astype("int32"))
+
+    dealt = lean.withColumn("h", F.xxhash64("text")).withColumn("part", part("rank", "h"))
+    # The first row of each part that has rows: its rank, then its hash, then its text.
+    tops = dealt.groupBy("part").agg(F.max("rank").alias("rank"))
+    tops = materialize(tops, "part-tops")
+    some = [r["part"] for r in tops.select("part").orderBy("part").collect()]
+    behind = spark.createDataFrame([(p, some[k - 1]) for k, p in enumerate(some)], "part int, behind int")  # the very first one's: the last
+    least = F.min(F.struct("h", F.col("text").isNotNull().alias("some"), "text", "doc_id")).alias("x")
+    heads = dealt.join(F.broadcast(tops), ["part", "rank"]).groupBy("part", "rank").agg(least)
+    copies = heads.join(F.broadcast(behind), "part").select(F.col("behind").alias("part"), F.lit(1).alias("halo"), "rank", "x.doc_id", "x.text", "x.h")
+    own = dealt.select("part", F.lit(0).alias("halo"), "rank", "doc_id", "text", "h")
+    order = ("part", "halo", F.col("rank").desc(), "h", F.col("text").asc_nulls_first())
+    return own.unionByName(copies).repartition(n // 4, "part").sortWithinPartitions(*order).select("part", "halo", "rank", "doc_id", "text")
 
 
 def compared(docs: DataFrame, text: str = "text", key: str = "doc_id", chain: int = CHAIN) -> DataFrame:
