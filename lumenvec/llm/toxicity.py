@@ -150,6 +150,27 @@ class Reader(dict):
         return list(counts), [log1p(n) for n in counts.values()], log1p(len(words))
 
 
+def risk_step(theta, row, flat, value, long, pos, prior: float):
+    """(the direction that a step goes against, the risk's second part): the slope of the
+    whole risk, or where its second part is below zero the slope of that part turned round.
+
+    ``row``, ``flat``, ``value``: the features of all texts in a row; ``long``: their lengths."""
+    import numpy as np
+
+    z = np.bincount(row, value * theta[flat], len(long)) + theta[-2] + theta[-1] * long
+    as_negative = np.logaddexp(0, z)  # the loss of calling it negative
+    rest = as_negative[~pos].mean() - prior * as_negative[pos].mean()
+    g, slope = np.zeros(len(long)), 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    if rest >= 0:
+        g[pos] += prior * (slope[pos] - 1) / pos.sum()
+        g[pos] -= prior * slope[pos] / pos.sum()
+        g[~pos] += slope[~pos] / (~pos).sum()
+    else:
+        g[pos] += prior * slope[pos] / pos.sum()
+        g[~pos] -= slope[~pos] / (~pos).sum()
+    return np.concatenate((np.bincount(flat, value * g[row], len(theta) - 2), [g.sum(), (g * long).sum()])), rest
+
+
 def fit_nnpu(indices: list, values: list, lengths, positive, n_features: int, prior: float, fit: Fit = Fit()):
     """(weights, bias, weight of the length) that make the non-negative risk small."""
     import numpy as np
@@ -163,21 +184,8 @@ def fit_nnpu(indices: list, values: list, lengths, positive, n_features: int, pr
     theta = np.zeros(n_features + 2)
     theta[-2] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, fit.steps + 1):
-        z = np.bincount(row, value * theta[flat], len(long)) + theta[-2] + theta[-1] * long
-        as_negative = np.logaddexp(0, z)  # the loss of calling it negative
-        rest = as_negative[~pos].mean() - prior * as_negative[pos].mean()
-        g = np.zeros(len(long))
-        slope = logistic(z)
-        if rest >= 0:
-            g[pos] += prior * (slope[pos] - 1) / pos.sum()
-            g[pos] -= prior * slope[pos] / pos.sum()
-            g[~pos] += slope[~pos] / (~pos).sum()
-        else:
-            g[pos] += prior * slope[pos] / pos.sum()
-            g[~pos] -= slope[~pos] / (~pos).sum()
-        grad = np.concatenate((np.bincount(flat, value * g[row], n_features), [g.sum(), (g * long).sum()]))
+        grad, _ = risk_step(theta, row, flat, value, long, pos, prior)
         grad[:-2] += fit.decay * theta[:-2]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= fit.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)

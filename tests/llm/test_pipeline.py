@@ -1,5 +1,7 @@
 """The queries and the pipeline on the smallest tables."""
 
+import random
+
 import brute
 import corpus_pipeline
 import pytest
@@ -18,19 +20,20 @@ def test_query_matches_sql(spark, sf001, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
 
 
 @pytest.mark.parametrize("name,columns", [
     ("op1_substring_dedup", ["doc_id", "n_words", "n_removed", "kept_sha256"]),
-    ("op2_mixing", ["doc_id", "size", "source_size", "target", "taken"]),
+    ("op2_mixing", ["doc_id", "size", "source_size", "target", "taken", "shards"]),
     ("op4_spotsigs", ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]),
     ("op5_token_counts", ["doc_id", "n_bytes", "n_tokens", "over_limit"]),
     ("op7_token_files", ["doc_id", "start", "n_tokens", "ids_crc32"]),
     ("op8_simhash", ["doc_id", "fingerprint", "component_id"]),
     ("op9_toxicity", ["doc_id", "held_out", "score", "predicted"]),
+    ("op13_personal_data", ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]),
 ])
 def test_query_covers_the_table(spark, sf001, corpus, name, columns):
     got = QUERIES[name](spark, sf001)
@@ -93,3 +96,21 @@ def test_mix_stage_gives_shards_in_their_order(spark, docs_of):
 def test_run_gives_the_packed_pieces(spark, sf001):
     out = corpus_pipeline.run(spark, sf001)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_pipeline_on_hard_rows(spark, docs_of):
+    """Null, empty, very long and repeated texts, null ids and sources, and no rows at all, through every stage."""
+    rng = random.Random(9)
+    some = [f"{a}{b}{c}" for a in ("mar", "ten", "sol", "vir", "pan") for b in ("di", "lo", "ne", "ra") for c in ("n", "ther", "st", "m")]
+    told = lambda n: "\n".join(" ".join(rng.choices(some, k=14)).capitalize() + "." for _ in range(n))
+    prose, long = told(6), told(4000)
+    rows = [(1, None), (2, ""), (3, prose, None), (4, prose, "b"), (4, prose, "b"), (None, prose + "\nAnd so it ended.", "b"), (5, long, "b"), (6, " \n ", "a")]
+    docs = docs_of(rows)
+    for docs in (docs, docs.where("doc_id > 99")):
+        n_in = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, "").cache()
+            n = docs.count()
+            assert (n > 0) == (n_in > 0)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert docs.columns == list(corpus_pipeline.COLUMNS)

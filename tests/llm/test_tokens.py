@@ -147,6 +147,52 @@ def test_crossing_improves_and_keeps_every_piece():
     assert packing.fitness(lengths, done[0], plan.size) >= best and len(done) == plan.population
 
 
+def test_crossing_beats_the_first_population():
+    """Lengths on which best fit leaves room: children of crossings need fewer sequences."""
+    gains = 0
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        lengths = np.sort(rng.integers(200, 520, 400))[::-1].astype(np.int64)
+        plan = packing.Plan(size=1000, crossings=150, inject=0.1)
+        first = packing.begin(lengths, plan, rng)
+        done = packing.evolve(lengths, first, plan, rng)
+        before = max(packing.fitness(lengths, g, plan.size) for g in first)
+        after = packing.fitness(lengths, done[0], plan.size)
+        assert after >= before
+        gains += after > before
+    assert gains == 3
+
+
+def plain_risk(theta, rows, pos, long, prior):
+    """(whole risk, its second part) of the linear score, text by text."""
+    z = np.array([sum(theta[f] * v for f, v in zip(*r)) + theta[-2] + theta[-1] * n for r, n in zip(rows, long)])
+    as_pos, as_neg = np.log1p(np.exp(-z)), np.log1p(np.exp(z))
+    rest = as_neg[~pos].mean() - prior * as_neg[pos].mean()
+    return prior * as_pos[pos].mean() + rest, rest
+
+
+def test_risk_steps_follow_finite_differences():
+    """Against the risk's slope, or up its second part where that is below zero."""
+    rng, seen = np.random.default_rng(2), set()
+    rows = [(sorted(rng.choice(6, 3, replace=False).tolist()), rng.random(3).tolist()) for _ in range(40)]
+    pos, long = np.arange(40) < 15, rng.random(40)
+    row = np.repeat(np.arange(40), 3)
+    flat, value = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+    for prior in (0.1, 0.5, 0.9):
+        for _ in range(20):
+            theta = rng.normal(size=8)
+            grad, rest = toxicity.risk_step(theta, row, flat.astype(int), value, long, pos, prior)
+            assert np.isclose(rest, plain_risk(theta, rows, pos, long, prior)[1])
+            seen.add(bool(rest < 0))
+            for k in range(8):
+                d = np.zeros(8)
+                d[k] = 1e-6
+                up, down = (plain_risk(theta + x, rows, pos, long, prior) for x in (d, -d))
+                want = (up[0] - down[0] if rest >= 0 else down[1] - up[1]) / 2e-6
+                assert np.isclose(grad[k], want, atol=1e-7)
+    assert seen == {True, False}
+
+
 def test_best_fit_takes_the_tightest_room():
     group = [0, 0, 0]
     assert packing.best_fit([3, 5, 4], [0, 1, 2], 10, group, [4, 3, 10]) == 3
