@@ -13,6 +13,10 @@ How blocks meet follows from their written bytes. A query side of at most
 one is dealt to a grid whose rows and columns are chosen so that the copies of
 both sides together are fewest.
 
+``topk_pruned`` gives the same rows and first skips pairs of blocks: blocks are made of
+vectors that lie close together, and a pair whose centers and radii allow no
+score as high as the k-th known one is never multiplied.
+
 Defined results: rows whose id is null, or whose vector is null, empty, holds a null or a
 value that is not finite (error rows, texts with a zero vector), match nothing
 and find nothing; vectors meet only those of their length; rows that repeat
@@ -133,12 +137,152 @@ def topk_similar(
     q_blocks = _blocks(q, block, "topk-queries").select(F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"), "dim")
     b_blocks = _blocks(b, block, "topk-base").select(F.col("ids").alias("b_ids"), F.col("mat").alias("b_mat"), "dim")
     met = _together(q_blocks, b_blocks)
+    return _best(met, k, exclude_self)
+
+
+def _best(met: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """The k best of each query from blocks that have met."""
     cand = met.mapInArrow(_meet(k, exclude_self), "query_id bigint, doc_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score")
 
 
+def clustered_blocks(rows: DataFrame, block: int = 1024, pivots: int = 64, name: str = "topk-clusters") -> DataFrame:
+    """(id, vec) -> (block_id, ids, mat, dim, n, center, radius): blocks of vectors that lie close together.
+
+    Up to ``pivots`` vectors of each length, those with the least hashes, stand for the places; every
+    row goes to its nearest one and rows are sorted by (pivot, distance), so that neighbours
+    in a block are near each other and rows with one vector spread over blocks. The pivots
+    only shape the blocks; no result depends on them."""
+    from lumenvec.session import ship_package
+
+    spark = rows.sparkSession
+    ship_package(spark)
+    clean = rows.where(F.col("id").isNotNull() & (F.size("vec") > 0)).select("id", F.col("vec").cast("array<double>").alias("vec"))
+    whole = F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
+    clean = clean.where(whole).withColumn("dim", F.size("vec"))
+    # A bounded sample: pivots of each length.
+    first = Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id")
+    chosen = clean.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= pivots).select("dim", "vec").collect()
+    shipped = spark.sparkContext.broadcast([(r["dim"], r["vec"]) for r in chosen])
+
+    def place(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        of = {}
+        for dim, vec in shipped.value:
+            of.setdefault(dim, []).append(vec)
+        of = {d: np.array(v) for d, v in of.items()}
+        for b in batches:
+            near, far = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
+            dims = b.column(2).to_numpy()
+            flat, ends = b.column(1).flatten().to_numpy(zero_copy_only=False), np.cumsum(dims)
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                mat = flat[(ends[at] - d)[:, None] + np.arange(d)]
+                gap = (mat**2).sum(1)[:, None] - 2 * mat @ of[d].T + (of[d] ** 2).sum(1)[None, :]
+                near[at], far[at] = gap.argmin(axis=1), np.sqrt(np.maximum(gap.min(axis=1), 0))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near), pa.array(far)], ["id", "vec", "dim", "pivot", "far"])
+
+    def pack(batches: Iterator) -> Iterator:
+        import uuid
+
+        import numpy as np
+        import pyarrow as pa
+
+        def made(dim, ids, mats):
+            mat = np.concatenate(mats)
+            center = mat.mean(axis=0)
+            radius = float(np.sqrt(((mat - center) ** 2).sum(axis=1).max()))
+            return pa.RecordBatch.from_pydict({
+                "block_id": [uuid.uuid4().hex], "ids": pa.array([np.concatenate(ids).tolist()], pa.list_(pa.int64())), "mat": pa.array([mat.tobytes()], pa.binary()),
+                "dim": pa.array([dim], pa.int32()), "n": pa.array([len(mat)], pa.int32()), "center": [center.tolist()], "radius": [radius],
+            })
+
+        held, ids, mats, size = None, [], [], 0  # (dim, pivot) of the block that is being filled
+        for b in batches:
+            keys = np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                while lo < hi:
+                    if held != tuple(keys[lo]) or size == block:
+                        if size:
+                            yield made(held[0], ids, mats)
+                        held, ids, mats, size = tuple(keys[lo].tolist()), [], [], 0
+                    part = b.slice(lo, min(hi - lo, block - size))
+                    ids.append(part.column(0).to_numpy())
+                    mats.append(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1))
+                    size, lo = size + part.num_rows, lo + part.num_rows
+        if size:
+            yield made(held[0], ids, mats)
+
+    placed = clean.select("id", "vec", "dim").mapInArrow(place, "id long, vec array<double>, dim int, pivot int, far double")
+    dealt = placed.repartitionByRange("dim", "pivot", "far", "id").sortWithinPartitions("dim", "pivot", "far", "id")
+    return materialize(dealt.mapInArrow(pack, "block_id string, ids array<long>, mat binary, dim int, n int, center array<double>, radius double"), name)
+
+
+def block_pairs(q_blocks: DataFrame, b_blocks: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+    """(q_block, b_block, bound, least, kept): all pairs of blocks of one dimension, and which of them can matter.
+
+    No score of a pair is above ``bound``, by the blocks' centers and radii. ``least``: every
+    query of the block has k scores of at least that much already, found where its
+    block meets the base block with the highest bound (with rows enough for k); pairs
+    whose bound is below it are skipped."""
+    q = q_blocks.select(F.col("block_id").alias("q_block"), "dim", F.col("center").alias("qc"), F.col("radius").alias("qr"))
+    b = b_blocks.select(F.col("block_id").alias("b_block"), "dim", F.col("center").alias("bc"), F.col("radius").alias("br"), "n")
+    length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    q, b = q.withColumn("ql", length("qc")), b.withColumn("bl", length("bc"))
+    bound = dot("qc", "bc") + F.col("ql") * F.col("br") + F.col("qr") * F.col("bl") + F.col("qr") * F.col("br")
+    pairs = q.join(b, "dim").select("q_block", "b_block", "n", bound.alias("bound"))
+    pairs = materialize(pairs, "block-pairs")
+    enough = pairs.where(F.col("n") > k)  # one more than k, as one row can be the query itself
+    best = enough.groupBy("q_block").agg(F.max_by("b_block", "bound").alias("b_block"))
+    met = best.join(_side(q_blocks, "q"), "q_block").join(_side(b_blocks, "b"), "b_block").select("q_ids", "q_mat", "b_ids", "b_mat", "dim", "q_block")
+    least = met.mapInArrow(_kth(k, exclude_self), "q_block string, least double")
+    least = materialize(least, "block-least")
+    # Scores are compared after rounding.
+    slack = 10.0**-SCORE_DIGITS
+    return pairs.join(least, "q_block", "left").withColumn("kept", F.col("least").isNull() | (F.col("bound") + slack >= F.col("least")))
+
+
+def _side(blocks: DataFrame, side: str) -> DataFrame:
+    names = {"q": ("q_block", "q_ids", "q_mat"), "b": ("b_block", "b_ids", "b_mat")}[side]
+    out = blocks.select(*[F.col(c).alias(n) for c, n in zip(("block_id", "ids", "mat"), names)], *(["dim"] if side == "q" else []))
+    return out
+
+
+def _kth(k: int, exclude_self: bool):
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for q_ids, q_mat, b_ids, b_mat, dim in zip(*[c.to_pylist() for c in b.columns[:5]]):
+                score = np.round(np.frombuffer(q_mat).reshape(-1, dim) @ np.frombuffer(b_mat).reshape(-1, dim).T, SCORE_DIGITS)
+                if exclude_self:
+                    score[np.array(q_ids)[:, None] == np.array(b_ids)[None, :]] = -np.inf
+                out.append(float(np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k].min()))
+            yield pa.RecordBatch.from_arrays([b.column(5), pa.array(out, pa.float64())], ["q_block", "least"])
+
+    return run
+
+
+def topk_pruned(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_id", query_vec: str = "embedding", base_id: str = "doc_id",
+                base_vec: str = "embedding", exclude_self: bool = False, block: int = 1024, pivots: int = 64) -> DataFrame:
+    """The rows of ``topk_similar``, skipping pairs of blocks that can't hold one of the k best.
+
+    Worth it where vectors lie in clusters; where they don't, every pair is kept and
+    the clustering is extra work."""
+    q = clustered_blocks(queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(query_vec).alias("vec")), block, pivots, "topk-queries")
+    b = clustered_blocks(base.select(F.col(base_id).cast("bigint").alias("id"), F.col(base_vec).alias("vec")), block, pivots, "topk-base")
+    kept = materialize(block_pairs(q, b, k, exclude_self).where("kept").select("q_block", "b_block"), "kept-pairs")
+    met = kept.join(_side(q, "q"), "q_block").join(_side(b, "b"), "b_block").select("q_ids", "q_mat", "b_ids", "b_mat", "dim")
+    return _best(met, k, exclude_self)
+
+
 def pair_scores(pairs: DataFrame, emb: DataFrame, a: str = "id_a", b: str = "id_b", key: str = "doc_id", vec: str = "embedding") -> DataFrame:
     """Dot-product score for given (id_a, id_b) pairs: two equi-joins.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenvec.operators.search import pair_scores, topk_similar
+from lumenvec.operators.search import pair_scores, topk_pruned, topk_similar
 from lumenvec.plans.queries.fixtures import TOP_K, documents, static_embeddings
 from lumenvec.plans.strategy import spread
 from lumenvec.sources.tables import table
@@ -28,6 +28,12 @@ def q_topk_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return topk_similar(e.withColumnRenamed("doc_id", "query_id"), e, TOP_K, exclude_self=True)
 
 
+def q_topk_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows by blocks of neighbours, pairs of blocks skipped by their bounds."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return topk_pruned(e.withColumnRenamed("doc_id", "query_id"), e, TOP_K, exclude_self=True, block=256)
+
+
 def q_topk_with_errors(spark: SparkSession, d: str) -> DataFrame:
     """Top 5 where a third of the rows has no vector (errors) and a third a NaN one (zero vectors)."""
     kind = F.pmod(F.col("label"), F.lit(3))
@@ -47,6 +53,7 @@ def q_pairs(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "topk_benchmark_docs": q_topk_benchmark_docs,
     "topk_embeddings": q_topk_embeddings,
+    "topk_pruned": q_topk_pruned,
     "topk_with_errors": q_topk_with_errors,
     "pairs": q_pairs,
 }

@@ -197,3 +197,26 @@ def test_decoding_of_null_and_unknown_ids(spark, docs):
     got = sorted(((str(r.doc_id), r.text) for r in decode_rows(df, vocab, WORDS64, sep=" ").collect()))
     unk = WORDS64.unk
     assert got == sorted([("1", f"{names[5]} {names[6]}")] * 2 + [("2", ""), ("3", ""), ("None", f"{names[5]} {unk} {unk} {unk}")])
+
+
+def test_pruned_search_skips_and_stays_exact(spark):
+    """Clustered vectors: most pairs of blocks are skipped, results are those of the whole search."""
+    from lumenvec.operators.search import block_pairs, clustered_blocks, topk_pruned
+
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(12, 16))
+    rows = []
+    for i in range(1500):
+        v = centers[i % 12] + 0.05 * rng.normal(size=16)
+        rows.append((i, (v / np.linalg.norm(v)).tolist()))
+    rows += [(2000 + i, [0.25] * 16) for i in range(40)]  # copies
+    rows += [(3000, None), (None, [0.25] * 16), (3001, [1.0, 0.0]), (3002, [0.6, 0.8]), (3003, [float("nan")] * 16), (3004, [None] * 16)]
+    e = spark.createDataFrame(rows, "doc_id bigint, embedding array<double>")
+    q = e.withColumnRenamed("doc_id", "query_id")
+    want = sorted(tuple(r) for r in topk_similar(q, e, 3, exclude_self=True).collect())
+    assert sorted(tuple(r) for r in topk_pruned(q, e, 3, exclude_self=True, block=64, pivots=24).collect()) == want
+    blocks = clustered_blocks(e.select(F.col("doc_id").alias("id"), F.col("embedding").alias("vec")), 64, 24)
+    pairs = block_pairs(blocks, blocks, 3, True).collect()
+    share = sum(not p.kept for p in pairs) / len(pairs)
+    assert share > 0.5, share
+    assert topk_pruned(q.where("query_id > 9999"), e, 3).count() == 0 == topk_pruned(q, e.where("doc_id > 9999"), 3).count()
