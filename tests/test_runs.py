@@ -93,6 +93,26 @@ def test_a_run_of_errors_only_does_not_end_the_store(spark, docs, vocab, tmp_pat
     assert S.compact(spark, path) == n and S.embed_incremental(spark, docs, path, some, WORDS64.name) == 0
 
 
+def test_skip_list_gives_the_same_texts(spark, docs, vocab, tmp_path):
+    """With the filter and without it the same texts are new; texts that are there skip the shuffle."""
+    path = str(tmp_path / "s")
+    assert S.maybe_stored(spark, path) is None
+    enc = fixture_vectors(vocab, 64)
+    fn = lambda df: embed(df, vocab, WORDS64, enc, keep=["text_hash"])
+    for part in (docs.where("doc_id < 60"), docs.where("doc_id < 120")):
+        S.embed_incremental(spark, part, path, fn, WORDS64.name)
+    hard = docs.unionByName(docs.where("doc_id > 150")).unionByName(spark.createDataFrame([(900, None), (None, "no id")], docs.schema))
+    stored = S.read_store(spark, path)
+    rows = lambda df: sorted(map(str, df.collect()))
+    known = S.maybe_stored(spark, path)
+    for profile, task in ((WORDS64.name, None), ("other", None), (WORDS64.name, "t")):
+        plain = rows(S.pending(hard, stored, profile, task))
+        assert plain and rows(S.pending(hard, stored, profile, task, maybe=known)) == plain
+    there = {r.text_hash for r in stored.collect()}
+    told = hard.select(S.text_hash().alias("h")).withColumn("m", known("h")).collect()
+    assert all(r.m for r in told if r.h in there) and sum(r.m for r in told if r.h not in there) <= 1
+
+
 LINES = [
     {"id": 1, "inputs": ["the", "a b", ""]}, {"id": 2, "command": "infer", "text": "of the"}, {"id": 3, "command": "ping"},
     {"id": 4, "inputs": [None, "x"]}, {"id": 5, "inputs": []}, {"id": 2, "command": "infer", "text": "of the"},
