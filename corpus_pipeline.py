@@ -12,6 +12,14 @@ columns of ``documents``, with ``text`` and ``n_chars`` as they are by then:
    document can come twice; the last one of a source can be cut; the rows
    are written shard after shard, in the random order of their places;
 5. best-fit packing: the pieces of all rows with their sequences.
+
+Defined results, stage by stage: a null or blank text fails the base rules of
+stage 1 and goes. Rows that repeat each pass stage 1; of rows that agree in doc_id
+and text neither is an earlier copy for stage 2, and one stays in stage 3; rows
+that share a doc_id with other texts are documents of their own. Rows without a
+doc_id come first in stage 2 and all stay in stage 3. A null source is a source of
+the mix, last in order. Very long texts pass whole. An empty table gives an empty
+result at every stage.
 """
 
 from __future__ import annotations
