@@ -199,7 +199,7 @@ def _runner(enc: OnnxEncoder, profile: Profile, bc_vocab, bc_model, model_key, e
                 setup = None
             yield pd.DataFrame(
                 {
-                    "doc_id": pdf["doc_id"].astype("int64"),
+                    "doc_id": pd.array(pdf["doc_id"], dtype="Int64"),  # may be null
                     "pooled": [None if p is None else p.tolist() for p in pooled],
                     "mask_sum": msums,
                     "n_tokens": ntok,

@@ -5,6 +5,10 @@
 
 An optional ``"id"`` field names the request; without it the id is a hash
 of the line. A bad line yields one error row instead of failing the job.
+
+Defined results: a null or empty line is invalid JSON; an id that is no whole number
+counts as none; a text, or an item of ``inputs``, that is null or no string is a
+missing text; an empty ``inputs`` gives no row; repeated lines have rows each.
 """
 
 from __future__ import annotations

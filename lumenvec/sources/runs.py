@@ -29,8 +29,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 64
-
 
 class Files:
     """The few file operations a manifest needs, through Hadoop's file systems."""
@@ -71,13 +69,14 @@ class Files:
 @dataclass(frozen=True)
 class RunTable:
     """``schema``: the columns as DDL, ``run_id`` not among them, ``key``: the bucketing column and
-    ``buckets``: as a new table gets them; a table that is there keeps its own."""
+    ``buckets`` (the session's shuffle partitions): as a new table gets them; a table that is there
+    keeps its own."""
 
     spark: SparkSession
     path: str
     schema: str
     key: str
-    buckets: int = BUCKETS
+    buckets: int | None = None
 
     @property
     def files(self) -> Files:
@@ -88,7 +87,8 @@ class RunTable:
         f = self.files
         numbers = [int(n[:-5]) for n in f.names(f"{f.root}/manifest") if n.endswith(".json") and n[:-5].isdigit()]
         if not numbers:
-            return 0, {"schema": self.schema, "buckets": self.buckets, "runs": {}}
+            buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            return 0, {"schema": self.schema, "buckets": buckets, "runs": {}}
         return max(numbers), json.loads(f.read(f"{f.root}/manifest/{max(numbers):08d}.json"))
 
     def runs(self) -> dict[str, int]:
