@@ -39,7 +39,7 @@ SCORE_DIGITS = 6
 MAX_SENT_BYTES = 64 << 20
 
 
-def _blocks(rows: DataFrame, block: int, name: str) -> DataFrame:
+def packed(rows: DataFrame, block: int) -> DataFrame:
     """(id, vec) -> (ids, mat, dim): blocks of at most ``block`` rows with a whole vector."""
 
     def run(batches: Iterator) -> Iterator:
@@ -63,7 +63,11 @@ def _blocks(rows: DataFrame, block: int, name: str) -> DataFrame:
         return [rows.slice(at, block) for at in range(0, rows.num_rows, block)]
 
     clean = rows.where(F.col("id").isNotNull() & (F.size("vec") > 0)).select("id", F.col("vec").cast("array<double>").alias("vec"))
-    return materialize(clean.mapInArrow(run, "ids array<long>, mat binary, dim int"), name)
+    return clean.mapInArrow(run, "ids array<long>, mat binary, dim int")
+
+
+def _blocks(rows: DataFrame, block: int, name: str) -> DataFrame:
+    return materialize(packed(rows, block), name)
 
 
 def grid(cells: int, q_bytes: int, b_bytes: int) -> tuple[int, int]:
@@ -74,11 +78,11 @@ def grid(cells: int, q_bytes: int, b_bytes: int) -> tuple[int, int]:
     return rows, max(1, -(-cells // rows))
 
 
-def _together(q_blocks: DataFrame, b_blocks: DataFrame) -> DataFrame:
-    """Each query block with each base block of its dimension."""
+def _together(q_blocks: DataFrame, b_blocks: DataFrame, b_mat: str = "b_mat") -> DataFrame:
+    """Each query block with each base block of its dimension; ``b_mat``: the base column that holds most bytes."""
     spark = q_blocks.sparkSession
-    q_bytes, b_bytes = (x.agg(F.coalesce(F.sum(F.octet_length(c)), F.lit(0))).first()[0] for x, c in ((q_blocks, "q_mat"), (b_blocks, "b_mat")))
-    columns = ("q_ids", "q_mat", "b_ids", "b_mat", "dim")
+    q_bytes, b_bytes = (x.agg(F.coalesce(F.sum(F.octet_length(c)), F.lit(0))).first()[0] for x, c in ((q_blocks, "q_mat"), (b_blocks, b_mat)))
+    columns = [*(c for x in (q_blocks, b_blocks) for c in x.columns if c != "dim"), "dim"]
     if q_bytes <= MAX_SENT_BYTES:
         return b_blocks.join(F.broadcast(q_blocks), "dim").select(*columns)
     rows, cols = grid(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), q_bytes, b_bytes)
@@ -142,10 +146,14 @@ def topk_similar(
 
 def _best(met: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     """The k best of each query from blocks that have met."""
-    cand = met.mapInArrow(_meet(k, exclude_self), "query_id bigint, doc_id bigint, score double")
+    return ranked(met.mapInArrow(_meet(k, exclude_self), "query_id bigint, doc_id bigint, score double"), k)
+
+
+def ranked(cand: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, doc_id, score): the k best of each query's candidates."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score")
+    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score")
 
 
 def clustered_blocks(rows: DataFrame, block: int = 1024, pivots: int = 64, name: str = "topk-clusters") -> DataFrame:

@@ -375,4 +375,4 @@ SELECT CASE WHEN missing > 0 THEN 'error' ELSE 'result' END AS sink, request_id,
        CASE WHEN missing = 0 THEN checksum END AS checksum, CASE WHEN missing > 0 THEN missing || ' token ids have no vector' END AS error FROM a
 UNION ALL SELECT DISTINCT 'error', request_id, 0, NULL, NULL, 'Unknown command' FROM r WHERE request_id % 7 = 0""",
 })
-SQL["topk_pruned"] = SQL["topk_embeddings"]
+SQL["topk_pruned"] = SQL["topk_codes"] = SQL["topk_embeddings"]

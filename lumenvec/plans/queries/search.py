@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenvec.operators.quantized import code_blocks, topk_codes
 from lumenvec.operators.search import pair_scores, topk_pruned, topk_similar
 from lumenvec.plans.queries.fixtures import TOP_K, documents, static_embeddings
 from lumenvec.plans.strategy import spread
@@ -34,6 +35,12 @@ def q_topk_pruned(spark: SparkSession, d: str) -> DataFrame:
     return topk_pruned(e.withColumnRenamed("doc_id", "query_id"), e, TOP_K, exclude_self=True, block=256)
 
 
+def q_topk_codes(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows from int8 codes, what their bounds leave rescored on whole vectors."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return topk_codes(e.withColumnRenamed("doc_id", "query_id"), code_blocks(e), TOP_K, exclude_self=True)
+
+
 def q_topk_with_errors(spark: SparkSession, d: str) -> DataFrame:
     """Top 5 where a third of the rows has no vector (errors) and a third a NaN one (zero vectors)."""
     kind = F.pmod(F.col("label"), F.lit(3))
@@ -54,6 +61,7 @@ QUERIES = {
     "topk_benchmark_docs": q_topk_benchmark_docs,
     "topk_embeddings": q_topk_embeddings,
     "topk_pruned": q_topk_pruned,
+    "topk_codes": q_topk_codes,
     "topk_with_errors": q_topk_with_errors,
     "pairs": q_pairs,
 }

@@ -220,3 +220,60 @@ def test_pruned_search_skips_and_stays_exact(spark):
     share = sum(not p.kept for p in pairs) / len(pairs)
     assert share > 0.5, share
     assert topk_pruned(q.where("query_id > 9999"), e, 3).count() == 0 == topk_pruned(q, e.where("doc_id > 9999"), 3).count()
+
+
+def test_codes_bound_every_score():
+    from lumenvec.operators.quantized import lengths, quantised
+
+    rng = np.random.default_rng(7)
+    mat = rng.normal(size=(300, 48)) * 10.0 ** rng.integers(-200, 100, size=(300, 1))
+    mat[:3] = [np.zeros(48), np.full(48, 5e-324), np.eye(48)[0]]
+    q = rng.normal(size=(200, 48))
+    codes, scales, errors = quantised(mat)
+    assert codes.dtype == np.int8
+    gap = np.abs(q @ mat.T - (q @ codes.T.astype(float)) * scales)
+    assert (gap <= lengths(q)[:, None] * errors).all()
+    usual = np.linalg.norm(mat, axis=1) > 1e-100
+    assert usual.sum() > 150 and (errors[usual] <= 0.02 * np.linalg.norm(mat[usual], axis=1)).all()
+
+
+@pytest.mark.parametrize("sent", [1 << 26, 0])
+def test_search_by_codes_is_exact(spark, monkeypatch, sent):
+    """Copies and clusters that codes can't tell apart, hard rows, both ways in which blocks meet."""
+    from lumenvec.operators import search
+    from lumenvec.operators.quantized import code_blocks, left_by_codes, topk_codes
+
+    monkeypatch.setattr(search, "MAX_SENT_BYTES", sent)
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(900, 24))
+    v[600:] = v[600] + 1e-5 * rng.normal(size=(300, 24))  # closer than a code's step
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    rows += [(5000 + i % 150, v[0].tolist()) for i in range(300)]  # copies, ids that repeat
+    rows += [(7000, None), (None, v[0].tolist()), (7001, [1.0, 0.0]), (7002, [0.6, 0.8]), (7003, [float("nan")] * 24), (7004, [None] * 24), (7005, [0.0] * 24)]
+    e = spark.createDataFrame(rows, "doc_id bigint, embedding array<double>").repartition(3, "doc_id")
+    q = e.withColumnRenamed("doc_id", "query_id")
+    blocks = code_blocks(e, block=128)
+    size = blocks.selectExpr("sum(octet_length(mat))", "sum(octet_length(codes))").first()
+    assert size[0] == 8 * size[1]
+    want = sorted(tuple(r) for r in topk_similar(q, e, 3, exclude_self=True).collect())
+    for most in (None, 1, 10_000):
+        got = sorted(tuple(r) for r in topk_codes(q, blocks, 3, exclude_self=True, block=128, most=most).collect())
+        assert [x[:3] for x in got] == [x[:3] for x in want], most
+        assert np.allclose([x[3] for x in got], [x[3] for x in want], atol=1.5e-6)
+    q_blocks = code_blocks(q, "query_id", block=128)
+    pairs, again = left_by_codes(q_blocks, blocks, 3, True)
+    n = pairs.groupBy("q_block", "q_pos", "b_block").count().agg(F.max("count")).first()[0]
+    assert n <= 12 and 0 < again.count() < q_blocks.count() * blocks.count()
+    assert topk_codes(q.where("query_id > 9999"), blocks, 3).count() == 0 == topk_codes(q, code_blocks(e.where("doc_id > 9999")), 3).count()
+
+
+def test_codes_leave_few_rows(spark):
+    """Of vectors at random the bounds leave a few rows a query, and no block is done again."""
+    from lumenvec.operators.quantized import code_blocks, left_by_codes
+
+    v = np.random.default_rng(9).normal(size=(2000, 64))
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "doc_id bigint, embedding array<double>")
+    blocks = code_blocks(e, block=512)
+    pairs, again = left_by_codes(blocks, blocks, 5, True)
+    assert again.count() == 0 and pairs.count() < 2000 * 2000 * 0.01
