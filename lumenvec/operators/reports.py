@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenvec.functions.vectors import cosine, max_abs_diff
+from lumenvec.operators.frequent import COUNTERS, most_frequent
 from lumenvec.operators.subword import segment_table
 from lumenvec.operators.tokens import explode_tokens, kept_name, lookup_ids, raw_tokens
 from lumenvec.plans.strategy import materialize
@@ -67,6 +68,24 @@ def top_unknown(texts: DataFrame, vocab: Vocabulary, profile: Profile, by: list[
     return _ranked(c, names, n)
 
 
+def top_unknown_summarised(
+    texts: DataFrame, vocab: Vocabulary, profile: Profile, by: list[str], n: int = 5, text_col: str = "text", counters: int = COUNTERS
+) -> DataFrame:
+    """The rows of ``top_unknown`` where distinct unknown tokens are too many to shuffle.
+
+    Words: unknown ones are told row by row, summarised in each task, and only
+    those that can be among the first are counted. In the subword profile what
+    unknown pieces stand for are single characters, so they are counted as there."""
+    if profile.tokens != "words":
+        return top_unknown(texts, vocab, profile, by, n, text_col)
+    inner = [f"_by_{i}" for i in range(len(by))]
+    lean = texts.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(c2) for c, c2 in zip(by, inner)])
+    words = explode_tokens(raw_tokens(lean, profile, keep=inner), keep=inner).select(*inner, "token")
+    unknown = lookup_ids(words, vocab, profile).where(~F.col("in_vocab")).select(*inner, "token")
+    top = most_frequent(unknown, inner, "token", n, counters)
+    return top.withColumnsRenamed({i: kept_name(c) for i, c in zip(inner, by)})
+
+
 def _with_rate(g: DataFrame) -> DataFrame:
     rate = F.when(F.col("n_tokens") > 0, F.col("n_unknown") / F.col("n_tokens"))
     return g.withColumn("unknown_rate", F.round(rate, 6))

@@ -376,3 +376,4 @@ SELECT CASE WHEN missing > 0 THEN 'error' ELSE 'result' END AS sink, request_id,
 UNION ALL SELECT DISTINCT 'error', request_id, 0, NULL, NULL, 'Unknown command' FROM r WHERE request_id % 7 = 0""",
 })
 SQL["topk_pruned"] = SQL["topk_codes"] = SQL["topk_embeddings"]
+SQL["oov_top_summarised"] = SQL["oov_top"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenvec.operators.encode import fixture_vectors
-from lumenvec.operators.reports import latency_report, parity, parity_summary, top_unknown, unknown_token_report, vocabulary_report
+from lumenvec.operators.reports import latency_report, parity, parity_summary, top_unknown, top_unknown_summarised, unknown_token_report, vocabulary_report
 from lumenvec.operators.tokens import token_ids
 from lumenvec.plans.pipeline import TIMINGS, embed
 from lumenvec.plans.queries.fixtures import FIXTURE_DIM, SUBWORD64, TOP_K, WORDS64, documents, fixture_onnx
@@ -63,6 +63,11 @@ def q_oov_top(spark: SparkSession, d: str) -> DataFrame:
     return top_unknown(*_texts_and_vocabulary(spark, d, WORDS64), WORDS64, ["lang"], n=TOP_K)
 
 
+def q_oov_top_summarised(spark: SparkSession, d: str) -> DataFrame:
+    """The same by summaries and an exact second count of what they leave."""
+    return top_unknown_summarised(*_texts_and_vocabulary(spark, d, WORDS64), WORDS64, ["lang"], n=TOP_K)
+
+
 def q_oov_report_v3(spark: SparkSession, d: str) -> DataFrame:
     return vocabulary_report(*_texts_and_vocabulary(spark, d, SUBWORD64), SUBWORD64, ["lang"])
 
@@ -130,6 +135,7 @@ QUERIES = {
     "oov_report_v3_source": q_oov_report_v3_source,
     "oov_ids": q_oov_ids,
     "oov_top": q_oov_top,
+    "oov_top_summarised": q_oov_top_summarised,
     "oov_report_v3": q_oov_report_v3,
     "oov_top_v3": q_oov_top_v3,
     "latency_report": q_latency_report,
