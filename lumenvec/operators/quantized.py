@@ -107,8 +107,8 @@ def _bounds(k: int, exclude_self: bool, most: int):
                     own = np.array(q_ids)[:, None] == np.array(b_ids)[None, :]
                     lower[own] = upper[own] = -np.inf
                 n = lower.shape[1]
-                best = np.argsort(-lower, axis=1, kind="stable")[:, :k]
-                kth = np.take_along_axis(lower, best, axis=1)[:, -1] if n >= k else np.full(len(q), -np.inf)
+                best = np.argpartition(-lower, min(k, n) - 1, axis=1)[:, :k]
+                kth = np.take_along_axis(lower, best, axis=1).min(axis=1) if n >= k else np.full(len(q), -np.inf)
                 left = (upper + slack >= kth[:, None]) & (upper > -np.inf)
                 dense = left.sum(axis=1) > most
                 row, column = np.nonzero(left & ~dense[:, None])
