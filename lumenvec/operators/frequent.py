@@ -4,8 +4,8 @@ Counting all distinct items shuffles all of them, which for the unknown words of
 large corpus is nearly its whole vocabulary. Here a first pass keeps a Space-Saving
 summary a task: at most ``counters`` (group, item) pairs with a count that is never
 too high, and one number, the most that any pair of the task can be short of or lack
-(batches are counted in Arrow; whenever there are too many pairs, the count of the
-first that has to go is taken off all, and those that have nothing left go). Summaries
+(counted and merged as Arrow tables; whenever there are too many pairs, the count of
+the first that has to go is taken off all, and those that have nothing left go). Summaries
 merge by adding: a pair's count is at least the sum of its counts and at most that
 plus the sum of all tasks' numbers (M).
 
@@ -35,61 +35,67 @@ COUNTERS = 1 << 16
 
 
 class Summary:
-    """Space-Saving counts of one task's keys. ``short``: no key's true count is above its count here by more."""
+    """Space-Saving counts of one task's keys, an Arrow table with a count ``n`` in its last
+    column. ``short``: no key's true count is above its count here by more."""
 
     def __init__(self, counters: int):
-        self.counters, self.counts, self.short = counters, {}, 0
+        self.counters, self.parts, self.rows, self.short = counters, [], 0, 0
 
-    def add(self, keys, numbers) -> None:
-        counts = self.counts
-        for key, n in zip(keys, numbers):
-            counts[key] = counts.get(key, 0) + n
-        if len(counts) > 2 * self.counters:
-            self.cut()
+    def add(self, keys) -> None:
+        """A table of keys, a row for each time one is seen."""
+        import pyarrow as pa
+
+        for at in range(0, keys.num_rows, 4 * self.counters):
+            part = keys.slice(at, 4 * self.counters)
+            self.parts.append(part.append_column("n", pa.repeat(pa.scalar(1, pa.int64()), part.num_rows)))
+            self.rows += part.num_rows
+            if self.rows > 8 * self.counters:
+                self.merge(2 * self.counters)
 
-    def cut(self) -> None:
+    def merge(self, most: int) -> None:
+        """One row a key; if those are more than ``most``, the largest ``counters`` counts stay, less the next one."""
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        if len(self.counts) <= self.counters:
+        if not self.parts:
             return
-        n = np.fromiter(self.counts.values(), np.int64, len(self.counts))
-        off = int(np.partition(n, len(n) - self.counters - 1)[len(n) - self.counters - 1])
-        self.counts = {k: c - off for k, c in self.counts.items() if c > off}
-        self.short += off
+        t = pa.concat_tables(self.parts)
+        keys = t.column_names[:-1]
+        t = t.group_by(keys, use_threads=False).aggregate([("n", "sum")]).select([*keys, "n_sum"]).rename_columns([*keys, "n"])
+        if t.num_rows > most:
+            n = t.column("n").to_numpy()
+            off = int(np.partition(n, len(n) - self.counters - 1)[len(n) - self.counters - 1])
+            t = t.set_column(len(keys), "n", pc.subtract(t.column("n"), off)).filter(pa.array(n > off))
+            self.short += off
+        self.parts, self.rows = [t], t.num_rows
+
+    def table(self):
+        self.merge(self.counters)
+        return self.parts[0] if self.parts else None
 
 
 def summaries(rows: DataFrame, by: list[str], item: str, counters: int = COUNTERS) -> DataFrame:
     """(*by, item, n, short) of every task: its pairs with their counts, and in a row without item what they can be short of."""
     ship_package(rows.sparkSession)
     lean = rows.select(*by, item).where(F.col(item).isNotNull())
-    fields = lean.schema
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        s, types = Summary(counters), None
+        s = Summary(counters)
         for b in batches:
-            types = b.schema.types
-            t = pa.Table.from_batches([b]).rename_columns([str(i) for i in range(b.num_columns)])
-            got = t.group_by(t.column_names).aggregate([([], "count_all")])
-            columns = [got.column(x).to_pylist() for x in t.column_names]
-            for at in range(0, got.num_rows, counters):
-                part = slice(at, at + counters)
-                s.add(zip(*(c[part] for c in columns)), got.column("count_all")[at : at + counters].to_pylist())
-        if types is None:
+            s.add(pa.Table.from_batches([b]).rename_columns([str(i) for i in range(b.num_columns)]))
+        t = s.table()
+        if t is None:
             return
-        s.cut()
-        names = [*by, item, "n", "short"]
-        keys = list(s.counts)
-        for at in range(0, len(keys), 1 << 14):
-            part = keys[at : at + (1 << 14)]
-            columns = [pa.array(c, t) for c, t in zip(zip(*part), types)]
-            n = pa.array([s.counts[k] for k in part], pa.int64())
-            yield pa.RecordBatch.from_arrays([*columns, n, pa.nulls(len(part), pa.int64())], names)
-        lost = [*[pa.nulls(1, t) for t in types], pa.nulls(1, pa.int64()), pa.array([s.short], pa.int64())]
-        yield pa.RecordBatch.from_arrays(lost, names)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n long, short long"
+        columns = pa.schema(zip([*by, item, "n", "short"], [*t.schema.types, pa.int64()]))
+        for b in t.combine_chunks().to_batches(1 << 14):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int64())], schema=columns)
+        lost = [*(pa.nulls(1, x) for x in t.schema.types), pa.array([s.short], pa.int64())]
+        yield pa.RecordBatch.from_arrays(lost, schema=columns)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lean.schema) + ", n long, short long"
     return lean.mapInArrow(run, schema)
 
 

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,12 +39,13 @@ def test_a_summary_is_never_short_by_more_than_it_says():
     items = [x for _, x in zipf_rows(2) if x is not None]
     true, s = Counter(items), Summary(64)
     for at in range(0, len(items), 500):
-        part = Counter(items[at : at + 500])
-        s.add(part.keys(), part.values())
-        assert len(s.counts) <= 128
-    s.cut()
-    assert len(s.counts) <= 64 and 0 < s.short <= len(items) / 64
-    assert all(s.counts.get(x, 0) <= n <= s.counts.get(x, 0) + s.short for x, n in true.items())
+        s.add(pa.table({"0": items[at : at + 500]}))
+        assert s.rows <= 8 * 64
+    t = s.table()
+    counts = dict(zip(t.column("0").to_pylist(), t.column("n").to_pylist()))
+    assert len(counts) == t.num_rows <= 64 and 0 < s.short <= len(items) / 64
+    assert all(counts.get(x, 0) <= n <= counts.get(x, 0) + s.short for x, n in true.items())
+    assert Summary(64).table() is None
 
 
 @pytest.mark.parametrize("counters", [20, 400, 1 << 16])
