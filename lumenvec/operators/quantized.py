@@ -9,7 +9,7 @@ floating point can lose).
 
 ``topk_codes`` gives the rows of ``search.topk_similar`` in three steps. Every query
 block meets every base block's codes, an eighth of the vectors' bytes, and keeps
-of each query the rows whose upper bound reaches the block's k-th lower one. The
+of each query the rows whose upper bound reaches the k-th lower one that the task has seen. The
 k-th lower bound over all blocks is a score that k rows are known to have; rows
 below it go. What is left gets its exact score from the whole vectors, of which only
 those rows are unpacked, and Spark ranks them.
@@ -37,6 +37,8 @@ from lumenvec.plans.strategy import materialize
 from lumenvec.session import ship_package
 
 LEVELS = 127
+# Queries of a block that are compared at a time: a bound on a task's memory.
+STEP = 256
 CODES = "block_id string, ids array<long>, mat binary, dim int, codes binary, scales binary, errors binary"
 BOUNDS = "q_block string, q_pos int, b_block string, b_pos int, lower double, upper double"
 
@@ -86,7 +88,7 @@ def code_blocks(base: DataFrame, base_id: str = "doc_id", base_vec: str = "embed
 
 
 def _bounds(k: int, exclude_self: bool, most: int):
-    """Of each query of a meeting the rows that its block's bounds leave, or, beyond ``most``, its
+    """Of each query of a meeting the rows that the task's bounds so far leave, or, beyond ``most``, its
     k best lower bounds under ``b_pos`` -1."""
     slack = 10.0**-SCORE_DIGITS  # scores are compared after rounding
 
@@ -94,33 +96,44 @@ def _bounds(k: int, exclude_self: bool, most: int):
         import numpy as np
         import pyarrow as pa
 
+        seen = {}  # (query block, first row) -> the k best lower bounds of its queries in this task so far
         for b in batches:
-            for q_block, q_ids, q_mat, b_block, b_ids, codes, scales, errors, dim in zip(*[c.to_pylist() for c in b.columns]):
-                q = np.frombuffer(q_mat).reshape(-1, dim)
+            for row in range(b.num_rows):
+                q_block, q_ids, q_mat, b_block, b_ids, codes, scales, errors, dim = (x[row].as_py() for x in b.columns)
+                q, q_ids, b_ids = np.frombuffer(q_mat).reshape(-1, dim), np.array(q_ids), np.array(b_ids)
                 c = np.frombuffer(codes, np.int8).reshape(-1, dim).astype(np.float64)
-                with np.errstate(over="ignore", invalid="ignore"):
-                    near = (q @ c.T) * np.frombuffer(scales)
-                    off = lengths(q)[:, None] * np.frombuffer(errors)
-                    lower, upper = near - off, near + off
-                lower[~np.isfinite(lower)], upper[~np.isfinite(upper)] = -np.inf, np.inf
-                if exclude_self:
-                    own = np.array(q_ids)[:, None] == np.array(b_ids)[None, :]
-                    lower[own] = upper[own] = -np.inf
-                n = lower.shape[1]
-                best = np.argpartition(-lower, min(k, n) - 1, axis=1)[:, :k]
-                kth = np.take_along_axis(lower, best, axis=1).min(axis=1) if n >= k else np.full(len(q), -np.inf)
-                left = (upper + slack >= kth[:, None]) & (upper > -np.inf)
-                dense = left.sum(axis=1) > most
-                row, column = np.nonzero(left & ~dense[:, None])
-                again = np.repeat(np.flatnonzero(dense), best.shape[1])
-                known = best[dense].ravel()
-                top = np.where(left, upper, -np.inf).max(axis=1)
-                rows, places = np.concatenate([row, again]), np.concatenate([column, np.full(len(again), -1)])
-                size = len(rows)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([q_block] * size, pa.string()), pa.array(rows, pa.int32()), pa.array([b_block] * size, pa.string()), pa.array(places, pa.int32()),
-                    pa.array(np.concatenate([lower[row, column], lower[again, known]])), pa.array(np.concatenate([upper[row, column], top[again]])),
-                ], ["q_block", "q_pos", "b_block", "b_pos", "lower", "upper"])
+                for at in range(0, len(q), STEP):
+                    own = q_ids[at : at + STEP, None] == b_ids[None, :] if exclude_self else None
+                    parts = q[at : at + STEP], c, np.frombuffer(scales), np.frombuffer(errors), own
+                    rows, places, lows, highs, seen[q_block, at] = meeting(*parts, seen.get((q_block, at)))
+                    size = len(rows)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.repeat(pa.scalar(q_block), size), pa.array(rows + at, pa.int32()), pa.repeat(pa.scalar(b_block), size), pa.array(places, pa.int32()),
+                        pa.array(lows), pa.array(highs),
+                    ], ["q_block", "q_pos", "b_block", "b_pos", "lower", "upper"])
+
+    def meeting(q, c, scales, errors, own, before):
+        import numpy as np
+
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = (q @ c.T) * scales
+            off = lengths(q)[:, None] * errors
+            lower, upper = near - off, near + off
+        lower[~np.isfinite(lower)], upper[~np.isfinite(upper)] = -np.inf, np.inf
+        if own is not None:
+            lower[own] = upper[own] = -np.inf
+        best = np.argpartition(-lower, min(k, lower.shape[1]) - 1, axis=1)[:, :k]
+        top = np.take_along_axis(lower, best, axis=1)
+        # A base block meets a query block once, so bounds of earlier blocks are of other rows.
+        top = top if before is None else -np.sort(-np.concatenate([before, top], axis=1), axis=1)[:, :k]
+        kth = top.min(axis=1) if top.shape[1] == k else np.full(len(q), -np.inf)
+        left = (upper + slack >= kth[:, None]) & (upper > -np.inf)
+        dense = left.sum(axis=1) > most
+        row, column = np.nonzero(left & ~dense[:, None])
+        again, known = np.repeat(np.flatnonzero(dense), best.shape[1]), best[dense].ravel()
+        highest = np.where(left, upper, -np.inf).max(axis=1)
+        return (np.concatenate([row, again]), np.concatenate([column, np.full(len(again), -1)]),
+                np.concatenate([lower[row, column], lower[again, known]]), np.concatenate([upper[row, column], highest[again]]), top)
 
     return run
 
