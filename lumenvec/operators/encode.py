@@ -6,8 +6,8 @@ call_seq, call_time, call_id, error)``, one row for each text:
 
 * ``StaticEncoder`` (O12a): a token-vector table. Where the vocabulary and the
   table keep under ``MAX_SHIPPED_BYTES``, texts stay rows: the JVM tokenises,
-  one Arrow batch looks its tokens up, gathers their vectors and pools them
-  (``encode_rows``); no explode, no shuffle, any dimension, batch or stream.
+  parts of an Arrow batch look their tokens up, gather their vectors and pool them
+  (``encode_rows``), so that a task holds one batch and the arrays of one part; no explode, no shuffle, any dimension, batch or stream.
   Beyond that bound nothing is sent whole: the vectors are cut into blocks of
   dimensions, and each block meets the token counts of every text in a sparse
   product (``encode_blocks``). Both give the same rows.
@@ -21,7 +21,7 @@ makes the row an error that counts such tokens; an unknown task of a strict
 profile is an error; an empty table gives no rows. Columns in ``keep`` come
 through as ``keep_<name>``, whatever their names.
 
-Timings: a *call* is one Arrow batch. ``inference_time`` is a row's share of its
+Timings: a *call* is one part of an Arrow batch. ``inference_time`` is a row's share of its
 call (gathering and pooling), ``call_time`` when the call began, ``call_id`` tells
 calls apart across tasks, ``setup_time`` (once a task) is the time until the
 table is at hand. ``encode_blocks`` has no call of its own for a row: its rows
@@ -37,8 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenvec.functions.vectors import static_vector
+from lumenvec.operators.batches import PART_ROWS, POOLED_VALUES, parts
 from lumenvec.operators.pooling import MIN_MASK
-from lumenvec.operators.tokens import id_rows, task_ids, token_ids
+from lumenvec.operators.tokens import RowIds, id_rows, raw_tokens, sent_vocabulary, task_ids, token_ids
 from lumenvec.plans.strategy import materialize
 from lumenvec.profiles import Profile
 from lumenvec.session import ship_package
@@ -126,10 +127,13 @@ def encode_rows(
     own_task = tasks is not None and "task" in texts.columns
     lean = _carried(texts, text_col, id_col, own_task, keep)
     extra = [c for c in lean.columns if c.startswith("keep_")]
-    rows = id_rows(lean, vocab, profile, keep=[*(["task"] if own_task else []), *extra])
-    rows = _with_task(rows, profile, tasks, own_task).select("doc_id", "ids", "task_id", "task_error", *extra)
+    rows = raw_tokens(lean, profile, keep=[*(["task"] if own_task else []), *extra])
+    rows = _with_task(rows, profile, tasks, own_task).select("doc_id", "tokens", "task_id", "task_error", *extra)
+    words, unk_id = sent_vocabulary(vocab, profile)
+    ship_package(spark)
 
     dim, scale = enc.dim, enc.task_scale if tasks is not None else 0.0
+    most = max(1, min(PART_ROWS, POOLED_VALUES // max(dim, 1)))
     vectors = enc.vectors.where(F.size("v") == dim).toPandas()
     order = np.argsort(vectors["id"].to_numpy(), kind="stable")
     matrix = np.stack(vectors["v"].to_numpy()).astype(np.float64)[order] if len(vectors) else np.zeros((0, dim))
@@ -144,12 +148,10 @@ def encode_rows(
         t0 = time.perf_counter()
         vector_ids, mat = shipped.value
         setup, task_run, call = time.perf_counter() - t0, uuid.uuid4().hex, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
+        made = RowIds(words.value, profile, unk_id)
+        for b in (part for whole in batches for part in parts(whole, 1, most)):
+            offsets, ids = made.of(b.column(1))
             began, t0 = time.time(), time.perf_counter()
-            offsets = b.column(1).offsets.to_numpy()
-            ids = b.column(1).values.to_numpy()
             at, there = place_of(vector_ids, ids)
             means, missing = np.zeros((b.num_rows, dim)), np.zeros(b.num_rows, np.int64)
             n = np.diff(offsets).astype(np.int64)
@@ -208,7 +210,7 @@ def token_counts(texts: DataFrame, vocab: Vocabulary, profile: Profile, ship_voc
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in (part for whole in batches for part in parts(whole, 1)):
             at, flat = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
             found = [np.unique(flat[lo:hi], return_counts=True) for lo, hi in zip(at[:-1], at[1:])]
             sizes = pa.array(np.concatenate(([0], np.cumsum([len(x) for x, _ in found]))), pa.int32())

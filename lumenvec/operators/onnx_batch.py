@@ -2,8 +2,8 @@
 
 Plan: scan -> tokenise in the JVM (built-in split/regex) -> ``mapInPandas``.
 No shuffle: each task opens one inference session (cached per Python worker
-and reused across tasks), maps tokens to ids with a broadcast vocabulary,
-sorts the rows of an Arrow batch by length, cuts them into model calls of at
+and reused across tasks), takes a batch in parts of a bounded size, maps
+tokens to ids with a broadcast vocabulary, sorts a part's rows by length, cuts them into model calls of at
 most ``max_batch_tokens`` padded tokens, pools each call in numpy and emits
 one row per text. Hidden states never leave the task.
 
@@ -20,13 +20,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenvec.operators.subword import greedy_pieces
-from lumenvec.operators.tokens import raw_tokens, task_ids
+from lumenvec.operators.batches import PART_ITEMS, PART_ROWS, POOLED_VALUES, cuts
+from lumenvec.operators.tokens import RowIds, raw_tokens, sent_vocabulary, task_ids
 from lumenvec.profiles import Profile
 from lumenvec.sources.vocab import Vocabulary
 
-# A task keeps the pieces of this many pre-tokens at most.
-SEGMENT_CACHE = 1 << 18
+# Between the raw tokens of a text: white space, which neither tokenizer leaves in a token.
+BETWEEN = "\n"
 
 OUTPUT_SCHEMA = (
     "doc_id bigint, pooled array<double>, mask_sum double, n_tokens bigint, "
@@ -63,62 +63,24 @@ def _session(key, enc_threads: int, model_bytes, model_path):
     return sess, True
 
 
-def _vocab_payload(vocab: Vocabulary, profile: Profile) -> dict:
-    """Vocabulary as Python dicts for the workers (a model artifact)."""
-    toks = vocab.tokens.select("token", "id").toPandas()
-    spec = vocab.specials.select("content", "id").toPandas()
-    tokens = dict(zip(toks["token"], toks["id"].astype("int64")))
-    specials = dict(zip(spec["content"], spec["id"].astype("int64")))
-    return {
-        "tokens": tokens,
-        "specials": specials,
-        "unk_id": int(specials.get(profile.unk, 0)),
-        "longest": int(toks["token"].str.len().max()) if len(toks) else 1,
-    }
-
-
 def _runner(enc: OnnxEncoder, profile: Profile, bc_vocab, bc_model, model_key, extra):
-    first, last, unk = profile.first, profile.last, profile.unk
-    subword = profile.tokens == "subword"
-    max_body = None if profile.max_tokens is None else max(profile.max_tokens - 2, 0)
+    most = max(1, min(PART_ROWS, POOLED_VALUES // max(enc.dim, 1)))
 
     def run(batches):
         import numpy as np
         import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         t0 = time.perf_counter()
         sess, fresh = _session(model_key, enc.threads, bc_model.value if bc_model is not None else None, enc.model_path)
         setup = time.perf_counter() - t0 if fresh else None
         out_name = profile.output_name
         names = [out_name] if out_name else None
-        voc = bc_vocab.value
-        V, S, unk_id = voc["tokens"], voc["specials"], voc["unk_id"]
-        piece_set = set(V) if subword else None
-        seg_cache: dict = {}
+        shipped, unk_id = bc_vocab[0].value, bc_vocab[1]
+        made = RowIds(shipped, profile, unk_id, shipped[0].get(profile.unk, unk_id))
         call_seq, task_run = 0, uuid.uuid4().hex  # calls are told apart across tasks
 
-        def to_id(t):
-            i = V.get(t)
-            if i is None:
-                i = S.get(t, unk_id)
-            return i
-
-        def ids_of(tokens):
-            body = []
-            for t in tokens if tokens is not None else []:
-                if subword:
-                    p = seg_cache.get(t)
-                    if p is None:
-                        if len(seg_cache) >= SEGMENT_CACHE:
-                            seg_cache.clear()
-                        p = seg_cache[t] = [x for x, _ in greedy_pieces(t, piece_set, voc["longest"], unk)]
-                    body.extend(p)
-                else:
-                    body.append(t)
-            if max_body is not None:
-                body = body[:max_body]
-            return np.fromiter((to_id(t) for t in [first, *body, last]), dtype=np.int64)
-
         def model_call(rows, task):
             b = len(rows)
             L = max(len(r) for r in rows)
@@ -141,27 +103,20 @@ def _runner(enc: OnnxEncoder, profile: Profile, bc_vocab, bc_model, model_key, e
             mean = [(hidden[k].astype(np.float64) * m[k][:, None]).sum(axis=0) / max(msum[k], 1e-9) for k in range(b)]
             return mean, msum, span, began
 
-        for pdf in batches:
+        for pdf in (whole.iloc[lo:hi] for whole in batches for lo, hi in cuts(whole["tokens"].str.len(), most, 8 * PART_ITEMS)):
             nrow = len(pdf)
             pooled = [None] * nrow
             msums = np.zeros(nrow)
-            ntok = np.zeros(nrow, dtype=np.int64)
             times = np.full(nrow, np.nan)
             seqs = np.full(nrow, -1, dtype=np.int64)
             began = np.full(nrow, np.nan)
             errs = list(pdf["task_error"]) if "task_error" in pdf else [None] * nrow
             tasks = pdf["task_id"].to_numpy() if "task_id" in pdf else np.zeros(nrow)
-            seqs_ids, tok_time = [None] * nrow, np.zeros(nrow)
-            for k, toks in enumerate(pdf["tokens"]):
-                if errs[k] is not None:
-                    continue
-                s0 = time.perf_counter()
-                try:
-                    seqs_ids[k] = ids_of(toks)
-                    ntok[k] = len(seqs_ids[k])
-                except Exception as e:  # noqa: BLE001 - the error goes to the row
-                    errs[k] = f"tokenize: {e}"
-                tok_time[k] = time.perf_counter() - s0
+            s0 = time.perf_counter()
+            at, flat = made.of(pc.split_pattern(pa.array([x or None for x in pdf["tokens"]], pa.string()), BETWEEN))
+            ntok = np.where([e is None for e in errs], np.diff(at), 0)
+            seqs_ids = [flat[x:y] for x, y in zip(at[:-1], at[1:])]
+            tok_time = np.full(nrow, (time.perf_counter() - s0) / nrow)
             todo = [k for k in range(nrow) if errs[k] is None]
             todo.sort(key=lambda k: (tasks[k], ntok[k]))
             chunks, cur = [], []
@@ -200,7 +155,7 @@ def _runner(enc: OnnxEncoder, profile: Profile, bc_vocab, bc_model, model_key, e
             yield pd.DataFrame(
                 {
                     "doc_id": pd.array(pdf["doc_id"], dtype="Int64"),  # may be null
-                    "pooled": [None if p is None else p.tolist() for p in pooled],
+                    "pooled": pooled,
                     "mask_sum": msums,
                     "n_tokens": ntok,
                     "inference_time": [None if np.isnan(t) else float(t) for t in times],
@@ -209,7 +164,7 @@ def _runner(enc: OnnxEncoder, profile: Profile, bc_vocab, bc_model, model_key, e
                     "call_time": [None if np.isnan(t) else float(t) for t in began],
                     "call_id": [None if s < 0 else f"{task_run}-{s}" for s in seqs],
                     "error": errs,
-                    **{c: pdf[c] for c in extra},
+                    **{c: pdf[c].array for c in extra},
                 }
             )
 
@@ -235,6 +190,8 @@ def encode_onnx(
     named = texts.withColumns({f"keep_{c}": F.col(c) for c in keep or []})
     extra = [f"keep_{c}" for c in keep or []]
     nested = raw_tokens(named, profile, text_col, id_col, [*with_task, *extra])
+    # One string a text: lists would become an object for each token of a whole batch.
+    nested = nested.withColumn("tokens", F.array_join("tokens", BETWEEN))
     if not profile.uses_token_types:
         if tasks is None:
             raise ValueError("this profile's model takes a task id: pass the task list")
@@ -242,7 +199,7 @@ def encode_onnx(
             nested = nested.withColumn("task", F.lit(profile.task))
         nested = task_ids(nested, tasks, profile).drop("task")
     sc = spark.sparkContext
-    bc_vocab = sc.broadcast(_vocab_payload(vocab, profile))
+    bc_vocab = sent_vocabulary(vocab, profile)
     bc_model = sc.broadcast(enc.model_bytes) if enc.model_bytes is not None else None
     key = (enc.model_path, None if enc.model_bytes is None else hash(enc.model_bytes), enc.threads)
     kinds = dict(nested.dtypes)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenvec.functions.text import frame, unicode_trim, v2_words, v3_pretokens
+from lumenvec.operators.batches import parts
 from lumenvec.plans.strategy import bounded_broadcast
 from lumenvec.profiles import Profile
 from lumenvec.sources.vocab import Vocabulary
@@ -187,61 +188,79 @@ class PieceUnits(WordUnits):
         return np.bincount(of, minlength=len(words)), self.piece_ids[piece]
 
 
+class RowIds:
+    """The framed ids of rows of raw tokens, in a task; keeps what it has looked up.
+    ``unk_piece``: the id of an unknown piece, ``unk_id`` unless given."""
+
+    def __init__(self, shipped: tuple, profile: Profile, unk_id: int, unk_piece: int | None = None) -> None:
+        ids, pieces = shipped
+        self.first, self.last = (ids.get(x, unk_id) for x in (profile.first, profile.last))
+        self.body = None if profile.max_tokens is None else max(profile.max_tokens - 2, 0)
+        words = profile.tokens == "words"
+        self.units = WordUnits(ids, unk_id) if words else PieceUnits(ids, unk_id if unk_piece is None else unk_piece, pieces)
+
+    def of(self, column):
+        """(offsets, ids in a row) of an Arrow column of token lists; a null list has its markers."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        rows = len(column)
+        words_of = np.concatenate(([0], np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy())))
+        coded = column.flatten().dictionary_encode()
+        begin, size, flat = self.units.of(coded.dictionary.to_pylist())
+        index = coded.indices.to_numpy()
+        # Each word's ids in a row, then each row's ids between its markers.
+        n = size[index]
+        before = np.concatenate(([0], np.cumsum(n)))
+        own = flat[np.repeat(begin[index] - before[:-1], n) + np.arange(before[-1])]
+        starts = before[words_of]
+        row = np.repeat(np.arange(rows), np.diff(starts))
+        if self.body is not None:
+            kept = np.arange(len(own)) - starts[row] < self.body
+            own, row = own[kept], row[kept]
+        ends = np.cumsum(np.bincount(row, minlength=rows) + 2)
+        out = np.empty(ends[-1] if rows else 0, np.int64)
+        out[np.arange(len(own)) + 2 * row + 1] = own
+        out[np.concatenate(([0], ends[:-1]))], out[ends - 1] = self.first, self.last
+        return np.concatenate(([0], ends)), out
+
+
+def sent_vocabulary(vocab: Vocabulary, profile: Profile):
+    """(broadcast for ``RowIds``, the unknown token's id)."""
+    specials = {r["content"]: r["id"] for r in vocab.specials.collect()}
+    tokens = {r["token"]: r["id"] for r in vocab.tokens.collect()}
+    shipped = vocab.tokens.sparkSession.sparkContext.broadcast((specials | tokens, sorted(tokens)))
+    return shipped, specials.get(profile.unk, 0)
+
+
 def id_rows(
     texts: DataFrame, vocab: Vocabulary, profile: Profile, text_col: str = "text", id_col: str = "doc_id",
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Texts -> (doc_id, ids ARRAY<BIGINT>, *keep): the ids of ``token_ids`` in order, row by row.
 
-    The JVM tokenises; the distinct tokens of an Arrow batch are looked up, or cut
+    The JVM tokenises; the distinct tokens of a part of an Arrow batch are looked up, or cut
     (subword), in the vocabulary, which is sent by broadcast (a model artifact);
-    a task keeps what it has looked up for its next batches. No explode, no
+    a task keeps what it has looked up for its next parts. No explode, no
     shuffle, so it also runs on a stream. A null text has its two markers, a null
     id and repeated rows pass through."""
     from lumenvec.session import ship_package
 
-    spark = texts.sparkSession
-    ship_package(spark)
+    ship_package(texts.sparkSession)
     keep = keep or []
     nested = raw_tokens(texts, profile, text_col, id_col, keep)
     nested = nested.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens", *keep)
-    specials = {r["content"]: r["id"] for r in vocab.specials.collect()}
-    tokens = {r["token"]: r["id"] for r in vocab.tokens.collect()}
-    shipped = spark.sparkContext.broadcast((specials | tokens, sorted(tokens)))
-    unk_id, keep_names = specials.get(profile.unk, 0), keep
-    body = None if profile.max_tokens is None else max(profile.max_tokens - 2, 0)
+    shipped, unk_id = sent_vocabulary(vocab, profile)
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        ids, pieces = shipped.value
-        first, last = (ids.get(x, unk_id) for x in (profile.first, profile.last))
-        units = WordUnits(ids, unk_id) if profile.tokens == "words" else PieceUnits(ids, unk_id, pieces)
+        made = RowIds(shipped.value, profile, unk_id)
         for b in batches:
-            if not b.num_rows:
-                continue
-            column = b.column(1)
-            words_of = np.concatenate(([0], np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy())))
-            coded = column.flatten().dictionary_encode()
-            begin, size, flat = units.of(coded.dictionary.to_pylist())
-            index = coded.indices.to_numpy()
-            # Each word's ids in a row, then each row's ids between its markers.
-            n = size[index]
-            before = np.concatenate(([0], np.cumsum(n)))
-            own = flat[np.repeat(begin[index] - before[:-1], n) + np.arange(before[-1])]
-            starts = before[words_of]
-            row = np.repeat(np.arange(b.num_rows), np.diff(starts))
-            if body is not None:
-                keep = np.arange(len(own)) - starts[row] < body
-                own, row = own[keep], row[keep]
-            ends = np.cumsum(np.bincount(row, minlength=b.num_rows) + 2)
-            out = np.empty(ends[-1], np.int64)
-            out[np.arange(len(own)) + 2 * row + 1] = own
-            out[np.concatenate(([0], ends[:-1]))], out[ends - 1] = first, last
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(out))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, *b.columns[2:]], ["doc_id", "ids", *keep_names])
+            for part in parts(b, 1):
+                offsets, out = made.of(part.column(1))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, *part.columns[2:]], ["doc_id", "ids", *keep])
 
     kinds = dict(nested.dtypes)
     return nested.mapInArrow(run, ", ".join(["doc_id long, ids array<long>", *[f"`{c}` {kinds[c]}" for c in keep]]))
@@ -269,7 +288,7 @@ def decode_rows(rows: DataFrame, vocab: Vocabulary, profile: Profile, sep: str =
 
         ids = np.array([i for i, _ in shipped.value], np.int64)
         names = pa.array([*[t for _, t in shipped.value], unk], pa.string())
-        for b in batches:
+        for b in (part for whole in batches for part in parts(whole, 1)):
             column = b.column(1)
             offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy())))
             flat = column.flatten()
