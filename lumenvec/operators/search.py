@@ -2,16 +2,19 @@
 
 Both sides are written once as packed blocks (ids, vectors as bytes) of at most
 ``block`` rows. Every base block meets every query block of its dimension in one
-join, which is what exact search costs; a meeting is one matrix product in numpy
-and gives, per query, the block's k best (and rows tied with the k-th after
-rounding, up to k by smallest id), never pairs as rows. Spark then keeps k per
+join, which is what exact search costs. A meeting is one matrix product in numpy;
+scores below a query's k-th best so far are dropped by one comparison, and what
+is left is merged into the query's k best (rows tied after rounding by smallest id).
+A task gives k rows a query, never pairs as rows. Spark then keeps k per
 query with a window whose ``row_number() <= k`` is a ``WindowGroupLimit``
 before the shuffle. Nothing passes through the driver.
 
 How blocks meet follows from their written bytes. A query side of at most
 ``MAX_SENT_BYTES`` is broadcast, and the base is read once and not moved. A larger
-one is dealt to a grid whose rows and columns are chosen so that the copies of
-both sides together are fewest.
+one is dealt to the cells of a grid whose rows and columns are chosen so that the
+copies of both sides together are fewest and a cell has ``CELL_BYTES`` of queries or
+about that. A task holds a cell's queries and streams its base blocks past them, so a
+block is moved once a cell, not once a meeting.
 
 ``topk_pruned`` gives the same rows and first skips pairs of blocks: blocks are made of
 vectors that lie close together, and a pair whose centers and radii allow no
@@ -36,7 +39,13 @@ from lumenvec.plans.strategy import materialize
 # Scores are ranked after rounding to this many places, ties by base id.
 SCORE_DIGITS = 6
 # Query blocks up to this size are sent to every executor.
-MAX_SENT_BYTES = 64 << 20
+MAX_SENT_BYTES = 4 << 20
+# Query vectors of a cell, about; a task holds one cell's at a time.
+CELL_BYTES = 24 << 20
+# Queries that meet a base block at a time: a bound on a task's scores.
+STEP = 1024
+# Vectors of no larger values are compared in single precision first.
+HALF_MOST = 1e12
 
 
 def packed(rows: DataFrame, block: int) -> DataFrame:
@@ -78,6 +87,10 @@ def grid(cells: int, q_bytes: int, b_bytes: int) -> tuple[int, int]:
     return rows, max(1, -(-cells // rows))
 
 
+def _bytes(blocks: DataFrame, column: str) -> int:
+    return blocks.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+
+
 def _together(q_blocks: DataFrame, b_blocks: DataFrame, b_mat: str = "b_mat") -> DataFrame:
     """Each query block with each base block of its dimension; ``b_mat``: the base column that holds most bytes."""
     spark = q_blocks.sparkSession
@@ -92,27 +105,199 @@ def _together(q_blocks: DataFrame, b_blocks: DataFrame, b_mat: str = "b_mat") ->
     return q_side.join(b_side, ["qc", "bc", "dim"]).select(*columns)
 
 
-def _meet(k: int, exclude_self: bool):
-    def run(batches: Iterator) -> Iterator:
+def dealt(q_blocks: DataFrame, b_blocks: DataFrame, wanted: DataFrame | None = None, size: str = "mat") -> DataFrame:
+    """Both sides in one table, dealt to the cells of a grid: (cell, dim, base, block, ids, ...), sorted, so
+    that a cell's query blocks of a dimension stand before its base blocks.
+
+    Both sides: (block, ids, dim, ...); ``size``: the column that holds most bytes. ``wanted``: (q_block, b_block, ...),
+    the pairs that shall meet (all without it): a base block goes only to cells where it has some, with
+    them as ``wanted``, an array of structs of the columns but ``b_block``."""
+    spark = q_blocks.sparkSession
+    q_bytes, b_bytes = (x.agg(F.coalesce(F.sum(F.octet_length(size)), F.lit(0))).first()[0] for x in (q_blocks, b_blocks))
+    cells = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows, cols = grid(cells, q_bytes, b_bytes)
+    rows = max(rows, -(-q_bytes // CELL_BYTES))
+    cols = max(1, -(-cells // rows))
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q_side = q_blocks.withColumn("qc", F.pmod(F.xxhash64("block"), F.lit(rows)).cast("int"))
+    b_side = b_blocks.withColumn("bc", F.pmod(F.xxhash64("block"), F.lit(cols)).cast("int"))
+    if wanted is None:
+        b_side = b_side.withColumn("qc", copies(rows))
+    else:
+        rest = [c for c in wanted.columns if c != "b_block"]
+        pairs = wanted.withColumn("qc", F.pmod(F.xxhash64("q_block"), F.lit(rows)).cast("int"))
+        # As many entries as a cell has query blocks.
+        of = pairs.groupBy(F.col("b_block").alias("block"), "qc").agg(F.collect_list(F.struct(*rest)).alias("wanted"))
+        b_side = b_side.join(of, "block")
+    q_side = q_side.withColumn("bc", copies(cols)).withColumn("base", F.lit(False))
+    both = q_side.unionByName(b_side.withColumn("base", F.lit(True)), allowMissingColumns=True)
+    both = both.withColumn("cell", F.col("qc") * cols + F.col("bc")).drop("qc", "bc")
+    return both.repartition(rows * cols, "cell").sortWithinPartitions("cell", "dim", "base")
+
+
+class Best:
+    """The k best rows of each of the queries that a task holds, so far."""
+
+    def __init__(self, dim: int, k: int, exclude_self: bool) -> None:
+        self.dim, self.k, self.exclude_self = dim, k, exclude_self
+        self.spans: dict[str | None, tuple[int, int]] = {}
+        self.own, self.mats, self.size = [], [], 0
+        self.mat = None
+
+    def add(self, block: str | None, ids, mat) -> None:
+        """A block of queries; all come before the first meeting."""
+        self.spans[block] = (self.size, self.size + len(ids))
+        self.own.append(ids)
+        self.mats.append(mat)
+        self.size += len(ids)
+
+    def ready(self) -> None:
+        import numpy as np
+
+        if self.mat is None:
+            self.mat = np.concatenate(self.mats) if self.mats else np.zeros((0, self.dim))
+            self.query = np.concatenate(self.own) if self.own else np.zeros(0, np.int64)
+            self.own = self.mats = None
+            small = np.abs(self.mat).max(initial=0) <= HALF_MOST
+            self.half, self.length = (self.mat.astype(np.float32) if small else None), np.linalg.norm(self.mat, axis=1) if small else None
+            self.score = np.full((self.size, self.k), -np.inf)
+            self.found = np.zeros((self.size, self.k), np.int64)
+
+    def meet(self, ids, mat, wanted: list[str] | None = None) -> None:
+        """A base block and all queries, or those of the blocks ``wanted``."""
+        self.ready()
+        spans = [(0, self.size)]
+        if wanted is not None:
+            spans = []
+            for lo, hi in sorted(self.spans[w] for w in wanted):
+                if spans and spans[-1][1] == lo:
+                    spans[-1] = (spans[-1][0], hi)
+                else:
+                    spans.append((lo, hi))
+        for lo, hi in spans:
+            for at in range(lo, hi, STEP):
+                self._step(at, min(at + STEP, hi), ids, mat)
+
+    def _step(self, lo: int, hi: int, ids, mat) -> None:
+        import numpy as np
+
+        kth = self.score[lo:hi, -1]
+        unit = 10.0**-SCORE_DIGITS  # scores are compared after rounding
+        if self.half is None or (kth == -np.inf).any() or np.abs(mat).max(initial=0) > HALF_MOST:
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = self.mat[lo:hi] @ mat.T
+            least = np.where(np.isfinite(kth), kth, -np.inf)
+            new = np.flatnonzero(kth == -np.inf)
+            if len(new) and score.shape[1] > self.k:  # fewer than k so far: no row below the block's own k best
+                seen = score[new]
+                seen[~np.isfinite(seen)] = -np.inf
+                if self.exclude_self:
+                    seen[self.query[lo:hi][new][:, None] == ids[None, :]] = -np.inf
+                least[new] = np.partition(seen, -self.k, axis=1)[:, -self.k]
+            least = least - (1.01 * unit + 1e-15 * np.where(np.isfinite(least), np.abs(least), 0))
+            at = np.flatnonzero(score >= least[:, None])
+            row, column = np.divmod(at, score.shape[1])
+            self.offer(lo + row, ids[column], score[row, column])
+            return
+        # Single precision tells which rows can't matter: it loses less than ``off`` of a score.
+        off = 2.0**-23 * (self.dim + 4) * self.length[lo:hi] * np.linalg.norm(mat, axis=1).max(initial=0) + 1e-30
+        least = kth - (1.01 * unit + 1e-15 * np.abs(kth)) - 2 * off
+        least = np.nextafter(least.astype(np.float32), np.float32(-np.inf))
+        at = np.flatnonzero(self.half[lo:hi] @ mat.astype(np.float32).T >= least[:, None])
+        for part in range(0, len(at), 1 << 15):
+            row, column = np.divmod(at[part : part + (1 << 15)], len(mat))
+            self.offer(lo + row, ids[column], np.einsum("ij,ij->i", self.mat[lo + row], mat[column]))
+
+    def offer(self, row, ids, score) -> None:
+        """Base rows and their scores for queries by place."""
+        import numpy as np
+
+        self.ready()
+        score = np.round(score, SCORE_DIGITS)
+        kth, last = self.score[row, -1], self.found[row, -1]
+        good = np.isfinite(score) & ((score > kth) | ((score == kth) & (ids < last)))
+        if self.exclude_self:
+            good &= self.query[row] != ids
+        row, ids, score = row[good], ids[good], score[good]
+        if not len(row):
+            return
+        rows, group = np.unique(row, return_inverse=True)
+        n = len(rows)
+        group = np.concatenate([np.repeat(np.arange(n), self.k), group])
+        score = np.concatenate([self.score[rows].ravel(), score])
+        ids = np.concatenate([self.found[rows].ravel(), ids])
+        # Falling score, then rising id.
+        order = np.lexsort((ids, -score, group))
+        group, score, ids = group[order], score[order], ids[order]
+        nth = np.arange(len(group)) - np.searchsorted(group, np.arange(n))[group]
+        top = nth < self.k
+        self.score[rows[group[top]], nth[top]] = score[top]
+        self.found[rows[group[top]], nth[top]] = ids[top]
+
+    def rows(self) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        self.ready()
+        for lo in range(0, self.size, 1 << 15):
+            row, nth = np.nonzero(np.isfinite(self.score[lo : lo + (1 << 15)]))
+            yield pa.RecordBatch.from_pydict(
+                {"query_id": self.query[lo + row], "doc_id": self.found[lo + row, nth], "score": self.score[lo + row, nth]}
+            )
+
+
+FOUND = "query_id bigint, doc_id bigint, score double"
+
+
+def block_of(batch, row: int, dim: int, ids: str = "ids", mat: str = "mat"):
+    """(ids, matrix) of a block in an Arrow batch."""
+    import numpy as np
+
+    return batch.column(ids)[row].values.to_numpy(), np.frombuffer(batch.column(mat)[row].as_buffer()).reshape(-1, dim)
+
+
+def _meet(k: int, exclude_self: bool):
+    """Pairs of blocks as rows; the queries that a task has met are kept, so that earlier blocks rule rows of later ones out."""
+
+    def run(batches: Iterator) -> Iterator:
+        held, size = {}, 0
         for b in batches:
-            for q_ids, q_mat, b_ids, b_mat, dim in zip(*[c.to_pylist() for c in b.columns]):
-                q_ids, b_ids = np.array(q_ids), np.array(b_ids)
-                q = np.frombuffer(q_mat).reshape(-1, dim)
-                base = np.frombuffer(b_mat).reshape(-1, dim)
-                score = np.round(q @ base.T, SCORE_DIGITS)
-                if exclude_self:
-                    score[q_ids[:, None] == b_ids[None, :]] = -np.inf
-                # Falling score, then rising id, in one sort of k rows a query.
-                by_id = np.argsort(b_ids, kind="stable")
-                best = by_id[np.argsort(-score[:, by_id], axis=1, kind="stable")[:, :k]]
-                found = np.take_along_axis(score, best, axis=1)
-                row, column = np.nonzero(np.isfinite(found))
-                yield pa.RecordBatch.from_pydict(
-                    {"query_id": q_ids[row], "doc_id": b_ids[best[row, column]], "score": found[row, column]}
-                )
+            for row, dim in enumerate(b.column("dim").to_pylist()):
+                q_ids, q = block_of(b, row, dim, "q_ids", "q_mat")
+                key = (dim, q_ids.tobytes(), q.tobytes())
+                if key not in held:
+                    if size + q.nbytes > CELL_BYTES:
+                        for best in held.values():
+                            yield from best.rows()
+                        held, size = {}, 0
+                    held[key], size = Best(dim, k, exclude_self), size + q.nbytes
+                    held[key].add(None, q_ids.copy(), q.copy())
+                held[key].meet(*block_of(b, row, dim, "b_ids", "b_mat"))
+        for best in held.values():
+            yield from best.rows()
+
+    return run
+
+
+def _meet_cells(k: int, exclude_self: bool):
+    """The rows of ``dealt``, cell by cell."""
+
+    def run(batches: Iterator) -> Iterator:
+        at, best = None, None
+        for b in batches:
+            wanted = b.column("wanted") if "wanted" in b.schema.names else None
+            for row, (cell, dim, base) in enumerate(zip(*(b.column(c).to_pylist() for c in ("cell", "dim", "base")))):
+                if at != (cell, dim):
+                    if best:
+                        yield from best.rows()
+                    at, best = (cell, dim), Best(dim, k, exclude_self)
+                ids, mat = block_of(b, row, dim)
+                if base:
+                    best.meet(ids, mat, None if wanted is None else [w["q_block"] for w in wanted[row].as_py()])
+                else:
+                    best.add(b.column("block")[row].as_py(), ids.copy(), mat.copy())
+        if best:
+            yield from best.rows()
 
     return run
 
@@ -138,15 +323,17 @@ def topk_similar(
     ship_package(spark)
     q = queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(query_vec).alias("vec"))
     b = base.select(F.col(base_id).cast("bigint").alias("id"), F.col(base_vec).alias("vec"))
-    q_blocks = _blocks(q, block, "topk-queries").select(F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"), "dim")
-    b_blocks = _blocks(b, block, "topk-base").select(F.col("ids").alias("b_ids"), F.col("mat").alias("b_mat"), "dim")
-    met = _together(q_blocks, b_blocks)
-    return _best(met, k, exclude_self)
+    q_blocks, b_blocks = _blocks(q, block, "topk-queries"), _blocks(b, block, "topk-base")
+    if _bytes(q_blocks, "mat") <= MAX_SENT_BYTES:
+        sides = [x.select(F.col("ids").alias(f"{n}_ids"), F.col("mat").alias(f"{n}_mat"), "dim") for x, n in ((q_blocks, "q"), (b_blocks, "b"))]
+        return _best(_together(*sides), k, exclude_self)
+    q_blocks, b_blocks = (x.withColumn("block", F.sha2(F.concat("mat", F.to_json("ids").cast("binary")), 256)) for x in (q_blocks, b_blocks))
+    return ranked(dealt(q_blocks, b_blocks).mapInArrow(_meet_cells(k, exclude_self), FOUND), k)
 
 
 def _best(met: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     """The k best of each query from blocks that have met."""
-    return ranked(met.mapInArrow(_meet(k, exclude_self), "query_id bigint, doc_id bigint, score double"), k)
+    return ranked(met.mapInArrow(_meet(k, exclude_self), FOUND), k)
 
 
 def ranked(cand: DataFrame, k: int) -> DataFrame:
@@ -243,7 +430,11 @@ def block_pairs(q_blocks: DataFrame, b_blocks: DataFrame, k: int, exclude_self:
     length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     q, b = q.withColumn("ql", length("qc")), b.withColumn("bl", length("bc"))
     bound = dot("qc", "bc") + F.col("ql") * F.col("br") + F.col("qr") * F.col("bl") + F.col("qr") * F.col("br")
-    pairs = q.join(b, "dim").select("q_block", "b_block", "n", bound.alias("bound"))
+    # Dealt by query blocks, so that the pairs of one dimension are not one task's.
+    deals = int(q_blocks.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    q = q.withColumn("deal", F.pmod(F.xxhash64("q_block"), F.lit(deals)).cast("int"))
+    b = b.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    pairs = q.repartition(deals, "dim", "deal").join(b.repartition(deals, "dim", "deal"), ["dim", "deal"]).select("q_block", "b_block", "n", bound.alias("bound"))
     pairs = materialize(pairs, "block-pairs")
     enough = pairs.where(F.col("n") > k)  # one more than k, as one row can be the query itself
     best = enough.groupBy("q_block").agg(F.max_by("b_block", "bound").alias("b_block"))
@@ -287,8 +478,8 @@ def topk_pruned(queries: DataFrame, base: DataFrame, k: int, query_id: str = "qu
     q = clustered_blocks(queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(query_vec).alias("vec")), block, pivots, "topk-queries")
     b = clustered_blocks(base.select(F.col(base_id).cast("bigint").alias("id"), F.col(base_vec).alias("vec")), block, pivots, "topk-base")
     kept = materialize(block_pairs(q, b, k, exclude_self).where("kept").select("q_block", "b_block"), "kept-pairs")
-    met = kept.join(_side(q, "q"), "q_block").join(_side(b, "b"), "b_block").select("q_ids", "q_mat", "b_ids", "b_mat", "dim")
-    return _best(met, k, exclude_self)
+    q, b = (x.select(F.col("block_id").alias("block"), "ids", "mat", "dim") for x in (q, b))
+    return ranked(dealt(q, b, kept).mapInArrow(_meet_cells(k, exclude_self), FOUND), k)
 
 
 def pair_scores(pairs: DataFrame, emb: DataFrame, a: str = "id_a", b: str = "id_b", key: str = "doc_id", vec: str = "embedding") -> DataFrame:
