@@ -32,13 +32,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenvec.functions.vectors import dot
-from lumenvec.operators.search import SCORE_DIGITS, _meet, _together, packed, ranked
+from lumenvec.operators.search import SCORE_DIGITS, _meet, dealt, packed, ranked
 from lumenvec.plans.strategy import materialize
 from lumenvec.session import ship_package
 
 LEVELS = 127
 # Queries of a block that are compared at a time: a bound on a task's memory.
-STEP = 256
+STEP = 1024
+# Scores are compared after rounding.
+SLACK = 10.0**-SCORE_DIGITS
+# Rows that a task holds before it looks which of them are ruled out by now.
+HELD = 1 << 20
 CODES = "block_id string, ids array<long>, mat binary, dim int, codes binary, scales binary, errors binary"
 BOUNDS = "q_block string, q_pos int, b_block string, b_pos int, lower double, upper double"
 
@@ -87,53 +91,145 @@ def code_blocks(base: DataFrame, base_id: str = "doc_id", base_vec: str = "embed
     return materialize(packed(rows, block).mapInArrow(run, CODES), "code-blocks")
 
 
-def _bounds(k: int, exclude_self: bool, most: int):
-    """Of each query of a meeting the rows that the task's bounds so far leave, or, beyond ``most``, its
-    k best lower bounds under ``b_pos`` -1."""
-    slack = 10.0**-SCORE_DIGITS  # scores are compared after rounding
+class Bounds:
+    """Of each query that a task holds, the base rows that bounds leave, so far.
 
-    def run(batches: Iterator) -> Iterator:
+    Beyond ``most`` rows of a block a query gets its k best lower bounds there under place -1."""
+
+    def __init__(self, dim: int, k: int, exclude_self: bool, most: int) -> None:
+        self.dim, self.k, self.exclude_self, self.most = dim, k, exclude_self, most
+        self.names, self.begin, self.own, self.mats, self.size = [], [], [], [], 0
+        self.mat, self.left, self.n_left, self.full = None, [], 0, HELD
+
+    def add(self, block: str, ids, mat) -> None:
+        """A block of queries; all come before the first meeting."""
+        self.names.append(block)
+        self.begin.append(self.size)
+        self.own.append(ids)
+        self.mats.append(mat)
+        self.size += len(ids)
+
+    def ready(self) -> None:
         import numpy as np
-        import pyarrow as pa
 
-        seen = {}  # (query block, first row) -> the k best lower bounds of its queries in this task so far
-        for b in batches:
-            for row in range(b.num_rows):
-                q_block, q_ids, q_mat, b_block, b_ids, codes, scales, errors, dim = (x[row].as_py() for x in b.columns)
-                q, q_ids, b_ids = np.frombuffer(q_mat).reshape(-1, dim), np.array(q_ids), np.array(b_ids)
-                c = np.frombuffer(codes, np.int8).reshape(-1, dim).astype(np.float64)
-                for at in range(0, len(q), STEP):
-                    own = q_ids[at : at + STEP, None] == b_ids[None, :] if exclude_self else None
-                    parts = q[at : at + STEP], c, np.frombuffer(scales), np.frombuffer(errors), own
-                    rows, places, lows, highs, seen[q_block, at] = meeting(*parts, seen.get((q_block, at)))
-                    size = len(rows)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.repeat(pa.scalar(q_block), size), pa.array(rows + at, pa.int32()), pa.repeat(pa.scalar(b_block), size), pa.array(places, pa.int32()),
-                        pa.array(lows), pa.array(highs),
-                    ], ["q_block", "q_pos", "b_block", "b_pos", "lower", "upper"])
-
-    def meeting(q, c, scales, errors, own, before):
+        if self.mat is None:
+            self.mat = np.concatenate(self.mats) if self.mats else np.zeros((0, self.dim))
+            self.query = np.concatenate(self.own) if self.own else np.zeros(0, np.int64)
+            self.own = self.mats = None
+            self.length = lengths(self.mat)
+            self.lower = np.full((self.size, self.k), -np.inf)  # the k best lower bounds of each query
+
+    def meet(self, block: str, ids, codes, scales, errors) -> None:
+        import numpy as np
+
+        self.ready()
+        codes = codes.astype(np.float64)
+        with np.errstate(over="ignore", invalid="ignore"):
+            # One product gives the upper bounds: (q, |q|) . (scale * code, error).
+            base = np.concatenate([codes * scales[:, None], errors[:, None]], axis=1)
+        for lo in range(0, self.size, STEP):
+            hi = min(lo + STEP, self.size)
+            kth = self.lower[lo:hi, -1]
+            with np.errstate(over="ignore", invalid="ignore"):
+                upper = np.concatenate([self.mat[lo:hi], self.length[lo:hi, None]], axis=1) @ base.T
+                new = np.flatnonzero(kth == -np.inf)
+                least = kth.copy()
+                if len(new) and len(ids) > self.k:  # fewer than k known so far: the block's own k best lower bounds
+                    own = upper[new] - 2.000001 * self.length[lo:hi][new][:, None] * errors
+                    own[~np.isfinite(own)] = -np.inf
+                    if self.exclude_self:
+                        own[self.query[lo:hi][new][:, None] == ids[None, :]] = -np.inf
+                    least[new] = np.partition(own, -self.k, axis=1)[:, -self.k]
+                # Rounding of the sums above: what is near the bound is looked at again.
+                least = least - SLACK - 1e-9 * np.abs(np.where(np.isfinite(least), least, 0))
+            at = np.flatnonzero(~(upper < least[:, None]))
+            row, column = np.divmod(at, len(ids))
+            if self.exclude_self:
+                good = self.query[lo + row] != ids[column]
+                row, column = row[good], column[good]
+            if len(row):
+                self._bound(block, lo + row, column, codes, scales, errors)
+
+    def _bound(self, block: str, row, column, codes, scales, errors) -> None:
         import numpy as np
 
+        near = np.empty(len(row))
         with np.errstate(over="ignore", invalid="ignore"):
-            near = (q @ c.T) * scales
-            off = lengths(q)[:, None] * errors
+            for at in range(0, len(row), 1 << 15):
+                part = slice(at, at + (1 << 15))
+                near[part] = np.einsum("ij,ij->i", self.mat[row[part]], codes[column[part]])
+            near, off = near * scales[column], self.length[row] * errors[column]
             lower, upper = near - off, near + off
         lower[~np.isfinite(lower)], upper[~np.isfinite(upper)] = -np.inf, np.inf
-        if own is not None:
-            lower[own] = upper[own] = -np.inf
-        best = np.argpartition(-lower, min(k, lower.shape[1]) - 1, axis=1)[:, :k]
-        top = np.take_along_axis(lower, best, axis=1)
-        # A base block meets a query block once, so bounds of earlier blocks are of other rows.
-        top = top if before is None else -np.sort(-np.concatenate([before, top], axis=1), axis=1)[:, :k]
-        kth = top.min(axis=1) if top.shape[1] == k else np.full(len(q), -np.inf)
-        left = (upper + slack >= kth[:, None]) & (upper > -np.inf)
-        dense = left.sum(axis=1) > most
-        row, column = np.nonzero(left & ~dense[:, None])
-        again, known = np.repeat(np.flatnonzero(dense), best.shape[1]), best[dense].ravel()
-        highest = np.where(left, upper, -np.inf).max(axis=1)
-        return (np.concatenate([row, again]), np.concatenate([column, np.full(len(again), -1)]),
-                np.concatenate([lower[row, column], lower[again, known]]), np.concatenate([upper[row, column], highest[again]]), top)
+        # Best lower bounds first, query by query; the k best of each join those of earlier blocks.
+        order = np.lexsort((-lower, row))
+        row, column, lower, upper = (x[order] for x in (row, column, lower, upper))
+        rows, first, count = np.unique(row, return_index=True, return_counts=True)
+        nth = np.arange(len(row)) - np.repeat(first, count)
+        top = nth < self.k
+        best = np.full((len(rows), self.k), -np.inf)
+        best[np.repeat(np.arange(len(rows)), count)[top], nth[top]] = lower[top]
+        self.lower[rows] = -np.sort(-np.concatenate([self.lower[rows], best], axis=1), axis=1)[:, : self.k]
+        kept = upper + SLACK >= self.lower[row, -1]
+        group = np.repeat(np.arange(len(rows)), count)
+        dense = (np.bincount(group[kept], minlength=len(rows)) > self.most)[group]
+        highest = np.maximum.reduceat(upper, first)[group]
+        again = dense & top
+        place, upper = np.where(again, -1, column), np.where(again, highest, upper)
+        kept = (kept & ~dense) | again
+        self.left.append((block, row[kept], place[kept], lower[kept], upper[kept]))
+        self.n_left += int(kept.sum())
+        if self.n_left > self.full:
+            self._prune()
+            self.full = max(HELD, 2 * self.n_left)
+
+    def _prune(self) -> None:
+        """Bounds that later blocks have raised rule earlier rows out."""
+        import numpy as np
+
+        out = []
+        for block, row, *rest in self.left:
+            good = np.flatnonzero(rest[-1] + SLACK >= self.lower[row, -1])
+            if len(good):
+                out.append((block, row[good], *(x[good] for x in rest)))
+        self.left, self.n_left = out, sum(len(x[1]) for x in out)
+
+    def rows(self) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        self.ready()
+        self._prune()
+        names, begin = pa.array(self.names, pa.string()), np.array(self.begin, np.int64)
+        for block, row, place, lower, upper in self.left:
+            of = np.searchsorted(begin, row, side="right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(of)), pa.array(row - begin[of], pa.int32()), pa.repeat(pa.scalar(block), len(row)), pa.array(place, pa.int32()), pa.array(lower), pa.array(upper)],
+                ["q_block", "q_pos", "b_block", "b_pos", "lower", "upper"],
+            )
+
+
+def _bounds(k: int, exclude_self: bool, most: int):
+    """The rows of ``search.dealt``, cell by cell."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        at, held = None, None
+        for b in batches:
+            for row, (cell, dim, base) in enumerate(zip(*(b.column(c).to_pylist() for c in ("cell", "dim", "base")))):
+                if at != (cell, dim):
+                    if held:
+                        yield from held.rows()
+                    at, held = (cell, dim), Bounds(dim, k, exclude_self, most)
+                name, ids = b.column("block")[row].as_py(), b.column("ids")[row].values.to_numpy()
+                if base:
+                    codes, scales, errors = (b.column(c)[row].as_py() for c in ("codes", "scales", "errors"))
+                    held.meet(name, ids, np.frombuffer(codes, np.int8).reshape(-1, dim), np.frombuffer(scales), np.frombuffer(errors))
+                else:
+                    held.add(name, ids.copy(), np.frombuffer(b.column("mat")[row].as_py()).reshape(-1, dim))
+        if held:
+            yield from held.rows()
 
     return run
 
@@ -164,9 +260,9 @@ def _unpacked(blocks: DataFrame, wanted: DataFrame, id_name: str, prefix: str) -
 
 def left_by_codes(q_blocks: DataFrame, b_blocks: DataFrame, k: int, exclude_self: bool = False, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """What codes leave: (pairs of rows to rescore, pairs of blocks to do again on whole vectors)."""
-    q = q_blocks.select(F.col("block_id").alias("q_block"), F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"), "dim")
-    b = b_blocks.select(F.col("block_id").alias("b_block"), F.col("ids").alias("b_ids"), "codes", "scales", "errors", "dim")
-    met = _together(q, b, "codes").select("q_block", "q_ids", "q_mat", "b_block", "b_ids", "codes", "scales", "errors", "dim")
+    q = q_blocks.select(F.col("block_id").alias("block"), "ids", "mat", "dim")
+    b = b_blocks.select(F.col("block_id").alias("block"), "ids", "codes", "scales", "errors", "dim")
+    met = dealt(q, b, b_size="codes")
     bounds = materialize(met.mapInArrow(_bounds(k, exclude_self, 4 * k if most is None else max(most, k)), BOUNDS), "code-bounds")
     query = ("q_block", "q_pos")
     order = Window.partitionBy(*query).orderBy(F.desc("lower"))

@@ -94,7 +94,7 @@ def _bytes(blocks: DataFrame, column: str) -> int:
 def _together(q_blocks: DataFrame, b_blocks: DataFrame, b_mat: str = "b_mat") -> DataFrame:
     """Each query block with each base block of its dimension; ``b_mat``: the base column that holds most bytes."""
     spark = q_blocks.sparkSession
-    q_bytes, b_bytes = (x.agg(F.coalesce(F.sum(F.octet_length(c)), F.lit(0))).first()[0] for x, c in ((q_blocks, "q_mat"), (b_blocks, b_mat)))
+    q_bytes, b_bytes = _bytes(q_blocks, "q_mat"), _bytes(b_blocks, b_mat)
     columns = [*(c for x in (q_blocks, b_blocks) for c in x.columns if c != "dim"), "dim"]
     if q_bytes <= MAX_SENT_BYTES:
         return b_blocks.join(F.broadcast(q_blocks), "dim").select(*columns)
@@ -105,15 +105,15 @@ def _together(q_blocks: DataFrame, b_blocks: DataFrame, b_mat: str = "b_mat") ->
     return q_side.join(b_side, ["qc", "bc", "dim"]).select(*columns)
 
 
-def dealt(q_blocks: DataFrame, b_blocks: DataFrame, wanted: DataFrame | None = None, size: str = "mat") -> DataFrame:
+def dealt(q_blocks: DataFrame, b_blocks: DataFrame, wanted: DataFrame | None = None, b_size: str = "mat") -> DataFrame:
     """Both sides in one table, dealt to the cells of a grid: (cell, dim, base, block, ids, ...), sorted, so
     that a cell's query blocks of a dimension stand before its base blocks.
 
-    Both sides: (block, ids, dim, ...); ``size``: the column that holds most bytes. ``wanted``: (q_block, b_block, ...),
+    Both sides: (block, ids, mat or ``b_size``, dim, ...). ``wanted``: (q_block, b_block, ...),
     the pairs that shall meet (all without it): a base block goes only to cells where it has some, with
     them as ``wanted``, an array of structs of the columns but ``b_block``."""
     spark = q_blocks.sparkSession
-    q_bytes, b_bytes = (x.agg(F.coalesce(F.sum(F.octet_length(size)), F.lit(0))).first()[0] for x in (q_blocks, b_blocks))
+    q_bytes, b_bytes = _bytes(q_blocks, "mat"), _bytes(b_blocks, b_size)
     cells = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     rows, cols = grid(cells, q_bytes, b_bytes)
     rows = max(rows, -(-q_bytes // CELL_BYTES))

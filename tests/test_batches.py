@@ -86,3 +86,26 @@ def test_blocks_are_moved_once_a_cell(spark, monkeypatch):
     assert n >= 40 and cells.count() == n * (rows + cols)
     met = cells.where("base").select(F.sum(F.size("wanted"))).first()[0]
     assert met == n * n
+
+
+def test_bounds_of_earlier_blocks_prune_a_cell():
+    """A task gives only rows that the bounds of all its blocks leave, the k best among them; dense blocks are done again."""
+    from lumenvec.operators.quantized import Bounds, quantised
+
+    rng = np.random.default_rng(6)
+    q, base = rng.normal(size=(60, 32)), rng.normal(size=(4000, 32))
+    base[1000:1050] = q[0]  # copies in one block
+    held = Bounds(32, 3, False, 12)
+    for at in range(0, 60, 20):
+        held.add(str(at), np.arange(at, at + 20), q[at : at + 20])
+    for at in range(0, 4000, 250):
+        held.meet(f"b{at}", np.arange(at, at + 250), *quantised(base[at : at + 250]))
+    found = [r for b in held.rows() for r in b.to_pylist()]
+    again = {(r["q_block"], r["q_pos"], r["b_block"]) for r in found if r["b_pos"] < 0}
+    assert again == {("0", 0, "b1000")}
+    left = {}
+    for r in found:
+        left.setdefault(int(r["q_block"]) + r["q_pos"], set()).add(int(r["b_block"][1:]) + r["b_pos"])
+    best = np.argsort(-(q @ base.T), axis=1)[:, :3]
+    assert all(set(best[i].tolist()) <= left[i] for i in range(1, 60))
+    assert sum(map(len, left.values())) < 60 * 8  # block by block without the others it would be 16 times k at least
