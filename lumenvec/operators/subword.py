@@ -1,11 +1,9 @@
 """Greedy longest-match subword segmentation (O7) as DataFrame work.
 
-The pre-tokens of a corpus are counted once and that table is written; every
-distinct pre-token is then cut once, whatever its length, in Arrow batches
-with the vocabulary's pieces at hand (a model artifact, sent by broadcast).
-The written segment table is joined back to the occurrences. The join has no
-hint: a small table is broadcast by size, a large one is shuffled on the
-pre-token and a frequent pre-token's occurrences are split (AQE skew join).
+Pre-tokens are cut in Arrow batches with the vocabulary's pieces at hand (a model
+artifact, sent by broadcast). Texts are cut row by row (``segment_rows``): the distinct pre-tokens of a window are cut at once, a task keeps
+what it has cut, and no occurrence is shuffled or joined. ``segment_table`` cuts a
+table of distinct pre-tokens.
 
 The pieces are a packed trie of numpy arrays (``PieceTrie``); all pre-tokens of
 a batch are walked through it at once, one character a step, instead of trying
@@ -28,7 +26,6 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenvec.plans.strategy import materialize
 from lumenvec.profiles import Profile
 from lumenvec.sources.vocab import Vocabulary
 
@@ -153,7 +150,7 @@ def segment_table(distinct_tokens: DataFrame, vocab: Vocabulary, profile: Profil
 
     spark = distinct_tokens.sparkSession
     ship_package(spark)
-    shipped = spark.sparkContext.broadcast(sorted(r["token"] for r in vocab.tokens.select("token").collect()))
+    shipped = sent_pieces(vocab)
     unk = profile.unk
 
     def run(batches: Iterator) -> Iterator:
@@ -177,28 +174,104 @@ def segment_table(distinct_tokens: DataFrame, vocab: Vocabulary, profile: Profil
     return tokens.mapInArrow(run, "token string, pieces array<string>, sources array<string>")
 
 
-def segment_long(long: DataFrame, vocab: Vocabulary, profile: Profile) -> DataFrame:
-    """(doc_id, pos, token[, is_marker], ...) pre-tokens -> (doc_id, pos, sub, token, stands_for, ...) pieces.
-
-    ``(pos, sub)`` orders the pieces: ``pos`` is the pre-token position and
-    ``sub`` the piece index within it. Rows flagged ``is_marker`` (the frame
-    markers) pass through as one piece. With ``max_tokens`` a document keeps
-    its first ``max_tokens - 2`` pieces between the markers."""
-    if long.isStreaming:
-        raise ValueError("segmentation by join needs a batch input; use the row-local encoder for streams")
-    marker = F.col("is_marker") if "is_marker" in long.columns else F.lit(False)
-    rest = [c for c in long.columns if c not in ("doc_id", "pos", "token", "is_marker")]
-    words = long.where(~marker)
-    counts = materialize(words.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "pre-tokens")
-    seg = materialize(segment_table(counts, vocab, profile), "segments")
-    piece = F.transform(F.arrays_zip("pieces", "sources"), lambda x: F.struct(x["pieces"].alias("token"), x["sources"].alias("stands_for")))
-    own = F.array(F.struct(F.col("token").alias("token"), F.lit(None).cast("string").alias("stands_for")))
-    j = long.withColumn("is_marker", marker).join(seg.withColumnRenamed("token", "_t"), F.col("token") == F.col("_t"), "left")
-    j = j.select("doc_id", "pos", "is_marker", *rest, F.when(F.col("is_marker"), own).otherwise(piece).alias("p"))
-    # posexplode_outer + filter: no inferred size filter re-evaluating pieces.
-    out = j.select("doc_id", "pos", "is_marker", *rest, F.posexplode_outer("p").alias("sub", "x")).where(F.col("sub").isNotNull())
+#: Pre-tokens of a part that are cut, and given on, at a time.
+WINDOW = 1 << 16
+
+
+class FramedPieces:
+    """The pieces of rows of framed pre-tokens, in a task, as numbers: a piece's place in ``names``; an unknown
+    character with code point c is -1 - c. ``names`` ends with the unknown token and the two markers."""
+
+    def __init__(self, pieces: list[str], profile: Profile) -> None:
+        from lumenvec.operators.tokens import PieceNumbers
+
+        self.units = PieceNumbers(pieces)
+        self.unk = len(pieces)
+        self.names = [*pieces, profile.unk, profile.first, profile.last]
+
+    def windows(self, column) -> Iterator[tuple]:
+        """(rows, pos, numbers, sub) of at most ``WINDOW`` pre-tokens of an Arrow column of token lists at a time, in
+        order; each piece has its row, its pre-token's place in the row, its number and its place in the
+        pre-token. The first and the last pre-token of a row are its markers, whatever their texts."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        ends = np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy().astype(np.int64))
+        starts = np.concatenate(([0], ends[:-1]))
+        words = column.flatten()
+        for lo in range(0, len(words), WINDOW):
+            coded = words.slice(lo, WINDOW).dictionary_encode()
+            place = np.arange(lo, lo + len(coded))
+            row = np.searchsorted(ends, place, side="right")
+            begin, size, flat = self.units.of(coded.dictionary.to_pylist())
+            index = coded.indices.to_numpy()
+            first, last = place == starts[row], place == ends[row] - 1
+            n = np.where(first | last, 1, size[index])
+            before = np.cumsum(n) - n
+            sub = np.arange(n.sum()) - np.repeat(before, n)
+            numbers = np.empty(len(sub), np.int64)
+            body = np.repeat(~(first | last), n)
+            numbers[body] = flat[(np.repeat(begin[index], n) + sub)[body]]
+            numbers[before[first]], numbers[before[last]] = self.unk + 1, self.unk + 2
+            yield np.repeat(row, n), np.repeat(place - starts[row], n), numbers, sub
+
+
+def sent_pieces(vocab: Vocabulary):
+    """A broadcast of the vocabulary's pieces, sorted."""
+    return vocab.tokens.sparkSession.sparkContext.broadcast(sorted(r["token"] for r in vocab.tokens.select("token").collect()))
+
+
+def segment_rows(rows: DataFrame, vocab: Vocabulary, profile: Profile) -> DataFrame:
+    """(doc_id, tokens, end, ...) framed pre-tokens -> (doc_id, pos, sub, token, stands_for, ...) pieces.
+
+    ``(pos, sub)`` orders the pieces: ``pos`` is the pre-token position, for the last marker ``end``
+    where that is given (truncated rows), and ``sub`` the piece index within it. The markers pass through as one piece. Row by
+    row: no shuffle and no join; a text of any length is given on in windows. With ``max_tokens`` a
+    document keeps its first ``max_tokens - 2`` pieces between the markers."""
+    from lumenvec.session import ship_package
+
+    if rows.isStreaming:
+        raise ValueError("long-form pieces need a batch input; use the row-local encoder for streams")
+    ship_package(rows.sparkSession)
+    rest = [c for c in rows.columns if c not in ("doc_id", "tokens", "end")]
+    rows = rows.select("doc_id", "tokens", "end", *rest)
+    shipped = sent_pieces(vocab)
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from lumenvec.operators.batches import parts
+
+        made = FramedPieces(shipped.value, profile)
+        names = pa.array(made.names, pa.string())
+        for b in (part for whole in batches for part in parts(whole, 1)):
+            end = b.column(2).fill_null(-1).to_numpy()
+            for row, pos, numbers, sub in made.windows(b.column(1)):
+                unknown = numbers < 0
+                codes, which = np.unique(-1 - numbers[unknown], return_inverse=True)
+                stands_for = np.zeros(len(numbers), np.int64)
+                stands_for[unknown] = which
+                chars = pa.array([chr(c) for c in codes.tolist()] or [""], pa.string())
+                at_end = (numbers == made.unk + 2) & (end[row] >= 0)
+                x = pa.StructArray.from_arrays(
+                    [
+                        pa.array(np.where(at_end, end[row], pos), pa.int32()), pa.array(sub, pa.int32()),
+                        names.take(pa.array(np.where(unknown, made.unk, numbers))),
+                        chars.take(pa.array(stands_for, mask=~unknown)), pa.array(numbers > made.unk),
+                    ],
+                    ["pos", "sub", "token", "stands_for", "is_marker"],
+                )
+                lo, hi = int(row[0]), int(row[-1]) + 1
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(lo, hi + 1)), pa.int32()), x)
+                own = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([own.column(0), lists, *own.columns[3:]], ["doc_id", "p", *rest])
+
+    kinds = dict(rows.dtypes)
+    schema = f"doc_id {kinds['doc_id']}, p array<struct<pos: int, sub: int, token: string, stands_for: string, is_marker: boolean>>"
+    out = rows.mapInArrow(run, ", ".join([schema, *[f"`{c}` {kinds[c]}" for c in rest]]))
+    out = out.select("doc_id", *rest, F.explode("p").alias("x")).select("doc_id", "x.*", *rest)
     if profile.max_tokens is not None:
         w = Window.partitionBy("doc_id", "is_marker").orderBy("pos", "sub")
-        nth = F.row_number().over(w)
-        out = out.withColumn("_n", nth).where(F.col("is_marker") | (F.col("_n") <= max(profile.max_tokens - 2, 0)))
-    return out.select("doc_id", "pos", "sub", "x.token", "x.stands_for", *rest)
+        out = out.withColumn("_n", F.row_number().over(w)).where(F.col("is_marker") | (F.col("_n") <= max(profile.max_tokens - 2, 0)))
+    return out.select("doc_id", "pos", "sub", "token", "stands_for", *rest)

@@ -117,22 +117,19 @@ def token_ids(
         long = explode_tokens(framed(nested, profile), keep=inner).withColumn("sub", F.lit(0))
         ids = lookup_ids(long.select("doc_id", "pos", "sub", "token", *inner), vocab, profile)
     else:
-        from lumenvec.operators.subword import segment_long
-
-        # Markers are framed in first (one pass over the text) and flagged so
-        # that segmentation passes them through unchanged. Every pre-token
-        # gives at least one piece, so the first max_tokens - 2 are enough.
-        fr = nested.withColumn("end", F.size("tokens") + 1)
-        fr = fr.withColumn("tokens", frame(truncate(F.col("tokens"), profile.max_tokens), profile.first, profile.last))
-        long = explode_tokens(fr.withColumn("n", F.size("tokens")), keep=["n", "end", *inner])
-        last = F.col("pos") == F.col("n") - 1
-        long = long.withColumn("is_marker", (F.col("pos") == 0) | last).withColumn("pos", F.when(last, F.col("end")).otherwise(F.col("pos")))
-        ids = lookup_ids(segment_long(long.drop("n", "end"), vocab, profile), vocab, profile, stands_for="stands_for")
+        from lumenvec.operators.subword import segment_rows
+
+        # Every pre-token gives at least one piece, so the first max_tokens - 2 are enough.
+        end = F.size("tokens") + 1 if profile.max_tokens is not None else F.lit(None).cast("int")
+        fr = framed(nested.withColumn("end", end), profile)
+        ids = lookup_ids(segment_rows(fr, vocab, profile), vocab, profile, stands_for="stands_for")
     return ids.withColumnsRenamed({n: kept_name(c) for n, c in zip(inner, keep)})
 
 
 #: Words whose ids a task keeps.
 UNIT_CACHE = 1 << 18
+#: It starts anew when it has kept more ids than this (very long words have many).
+UNIT_CACHE_IDS = 1 << 22
 
 
 class WordUnits:
@@ -158,7 +155,7 @@ class WordUnits:
         """(begin, size, flat): the ids of word i are flat[begin[i]:begin[i] + size[i]]."""
         import numpy as np
 
-        if len(self.number) + len(words) > UNIT_CACHE:
+        if len(self.number) + len(words) > UNIT_CACHE or len(self.flat) > UNIT_CACHE_IDS:
             self._forget()
         if new := [w for w in words if w not in self.number]:
             size, flat = self.ids_of(new)
@@ -188,6 +185,27 @@ class PieceUnits(WordUnits):
         return np.bincount(of, minlength=len(words)), self.piece_ids[piece]
 
 
+class PieceNumbers(WordUnits):
+    """The numbers of the pieces of pre-tokens; an unknown character with code point c is -1 - c."""
+
+    def __init__(self, pieces: list[str]) -> None:
+        from lumenvec.operators.subword import PieceTrie
+
+        self.trie = PieceTrie(pieces)
+        self._forget()
+
+    def ids_of(self, words: list[str]):
+        import numpy as np
+
+        from lumenvec.operators.subword import code_points
+
+        of, at, piece = self.trie.cut(words)
+        codes, begin, _ = code_points(words)
+        unknown = piece < 0
+        piece[unknown] = -1 - codes[begin[of[unknown]] + at[unknown]]
+        return np.bincount(of, minlength=len(words)), piece
+
+
 class RowIds:
     """The framed ids of rows of raw tokens, in a task; keeps what it has looked up.
     ``unk_piece``: the id of an unknown piece, ``unk_id`` unless given."""

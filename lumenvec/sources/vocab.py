@@ -8,6 +8,7 @@ vocabulary is a few MB), not something that grows with the corpus.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -125,6 +126,24 @@ def _materialize(df: DataFrame) -> DataFrame:
     return materialize(df, "vocabulary")
 
 
+def token_totals(nested: DataFrame) -> DataFrame:
+    """(tokens ARRAY<STRING>) -> (token, n): how often each token is there. Counted Arrow batch by Arrow batch
+    in the tasks, then added up: what is exploded and shuffled is a row for each token of a batch."""
+    from lumenvec.session import ship_package
+
+    ship_package(nested.sparkSession)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            found = b.column(0).flatten().value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["token", "n"])
+
+    found = nested.select("tokens").mapInArrow(run, "token string, n long")
+    return found.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("n"))
+
+
 def corpus_word_vocabulary(texts: DataFrame, size: int = 2000, text_col: str = "text") -> Vocabulary:
     """Words profile fixture: the ``size`` most frequent words (count desc,
     word asc), ids from 3; ``[CLS]`` = 1, ``[SEP]`` = 2, no unknown token."""
@@ -149,8 +168,7 @@ def corpus_piece_vocabulary(texts: DataFrame, size: int = 1000, text_col: str =
     and with the word prefix, so unseen words split into pieces and accented
     letters become unknown."""
     spark = texts.sparkSession
-    pts = texts.select(F.explode_outer(v3_pretokens(text_col)).alias("token")).where(F.col("token").isNotNull())
-    counts = pts.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = token_totals(texts.select(v3_pretokens(text_col).alias("tokens")))
     top = _materialize(_ranked(counts, size, 4))
     singles = spark.createDataFrame(
         [(c,) for c in SINGLE_PIECE_CHARS] + [("▁" + c,) for c in SINGLE_PIECE_CHARS], "token string"
