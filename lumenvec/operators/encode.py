@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from lumenvec.functions.vectors import static_vector
 from lumenvec.operators.batches import PART_ROWS, POOLED_VALUES, parts
 from lumenvec.operators.pooling import MIN_MASK
-from lumenvec.operators.tokens import RowIds, id_rows, raw_tokens, sent_vocabulary, task_ids, token_ids
+from lumenvec.operators.subword import piece_counts
+from lumenvec.operators.tokens import RowIds, framed, id_rows, lookup_ids, raw_tokens, sent_vocabulary, task_ids, token_ids
 from lumenvec.plans.strategy import materialize
 from lumenvec.profiles import Profile
 from lumenvec.session import ship_package
@@ -191,13 +192,30 @@ def place_of(known, ids):
     return at, known[at] == ids
 
 
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """(key, text): each distinct ``text`` by its digest."""
+    key = F.unhex(F.sha2("text", 256)).alias("key")
+    return texts.select(F.coalesce("text", F.lit("")).alias("text")).select(key, "text").dropDuplicates(["key"])
+
+
+def piece_counts_and_vectors(texts: DataFrame, vocab: Vocabulary, profile: Profile, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``token_counts`` of the subword profile by the numbers of pieces, and ``vectors`` by the same numbers.
+
+    The ids are looked up by joins with the vocabulary's table, once for each piece and not for
+    each occurrence: a piece's number takes the vector of its id."""
+    rows = raw_tokens(distinct_texts(texts), profile, id_col="key", keep=["key"])
+    counts, numbers = piece_counts(framed(rows, profile), vocab, profile)
+    ids = lookup_ids(numbers, vocab, profile).select(F.col("number"), "token_id")
+    own = vectors.join(ids, F.col("id") == F.col("token_id")).select(F.col("number").alias("id"), "v")
+    return counts, own
+
+
 def token_counts(texts: DataFrame, vocab: Vocabulary, profile: Profile, ship_vocabulary: bool) -> DataFrame:
     """(key, ids, n): each distinct ``text`` by its digest, and its token ids with their counts.
 
     Copies of a text are counted once. ``ship_vocabulary``: ids are looked up
     row by row in a vocabulary that is sent; else by joins with its table."""
-    key = F.unhex(F.sha2("text", 256)).alias("key")
-    once = texts.select(F.coalesce("text", F.lit("")).alias("text")).select(key, "text").dropDuplicates(["key"])
+    once = distinct_texts(texts)
     if not ship_vocabulary:
         ids = token_ids(once, vocab, profile, id_col="key")
         per = ids.groupBy(F.col("doc_id").alias("key"), "token_id").agg(F.count(F.lit(1)).alias("n"))
@@ -221,6 +239,31 @@ def token_counts(texts: DataFrame, vocab: Vocabulary, profile: Profile, ship_voc
     return rows.mapInArrow(run, "key binary, ids array<long>, n array<long>")
 
 
+#: A product by whole matrices costs about as much as gathering so many vectors one by one, for each entry.
+DENSE_SHARE = 16
+
+
+def sparse_product(row, at, n, rows: int, mat, finite: bool):
+    """(rows x width): the sum of ``n`` times the vectors ``mat[at]`` for each row, whose entries stand in order.
+
+    Where the entries have few different vectors between them, by one matrix product, which needs
+    finite vectors (0 times infinity is none); else vector by vector."""
+    import numpy as np
+
+    used, place = np.unique(at, return_inverse=True)
+    if finite and rows * len(used) <= DENSE_SHARE * len(at):
+        counts = np.zeros((rows, len(used)))
+        np.add.at(counts, (row, place), n)
+        return counts @ mat[used]
+    sums = np.zeros((rows, mat.shape[1]))
+    ends = np.cumsum(np.bincount(row, minlength=rows))
+    for i, (x, y) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+        for k in range(x, y, 4096):  # so many vectors at a time
+            part = slice(k, min(k + 4096, y))
+            sums[i] += (mat[at[part]] * n[part][:, None]).sum(axis=0)
+    return sums
+
+
 def block_sums(counts: DataFrame, vectors: DataFrame, dim: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, sums, n_tokens, n_missing): the sparse product of token counts and token vectors.
 
@@ -249,7 +292,7 @@ def block_sums(counts: DataFrame, vectors: DataFrame, dim: int, block_bytes: int
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        cell, ids, parts, mat = None, [], [], None
+        cell, ids, vecs, mat, finite = None, [], [], None, True
         for b in batches:
             place = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)
             cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
@@ -257,37 +300,38 @@ def block_sums(counts: DataFrame, vectors: DataFrame, dim: int, block_bytes: int
                 if lo == hi:
                     continue
                 if tuple(place[lo]) != cell:
-                    cell, ids, parts, mat = tuple(place[lo]), [], [], None
+                    cell, ids, vecs, mat = tuple(place[lo]), [], [], None
                 own = b.slice(lo, hi - lo)
                 is_vector = pc.is_valid(own.column(2))
                 some = own.filter(is_vector)
                 if some.num_rows:
                     ids.append(some.column(2).to_numpy())
-                    parts.append(some.column(3).flatten().to_numpy().reshape(some.num_rows, -1))
+                    vecs.append(some.column(3).flatten().to_numpy().reshape(some.num_rows, -1))
                 texts = own.filter(pc.invert(is_vector))
                 if not texts.num_rows:
                     continue
                 wide = min(width, dim - cell[0] * width)
                 if mat is None:  # vectors stand before texts in a cell
                     known = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-                    mat = np.concatenate(parts) if parts else np.zeros((0, wide))
-                    parts = []
-                offsets = texts.column(5).offsets.to_numpy()
-                flat, n = (texts.column(k).values.to_numpy() for k in (5, 6))
-                at, there = place_of(known, flat)
-                sums, total, missing = np.zeros((texts.num_rows, wide)), np.zeros(texts.num_rows, np.int64), np.zeros(texts.num_rows, np.int64)
-                for i, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                    total[i] = n[x:y].sum()
-                    missing[i] = n[x:y][~there[x:y]].sum()
-                    for k in range(x, y, 4096):  # so many vectors at a time
-                        part = slice(k, min(k + 4096, y))
-                        sums[i] += (mat[at[part][there[part]]] * n[part][there[part]][:, None]).sum(axis=0)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(texts.num_rows + 1) * wide, pa.int32()), pa.array(sums.reshape(-1)))
-                yield pa.RecordBatch.from_arrays(
-                    [texts.column(4), texts.column(0), lists, pa.array(total), pa.array(missing)], ["key", "block", "sums", "n_tokens", "n_missing"]
-                )
+                    mat = np.concatenate(vecs) if vecs else np.zeros((0, wide))
+                    vecs = []
+                    finite = bool(np.isfinite(mat).all())
+                most = max(1, min(PART_ROWS, POOLED_VALUES // wide))
+                for own in parts(texts, 5, most):
+                    m = own.num_rows
+                    row = np.repeat(np.arange(m), pc.list_value_length(own.column(5)).to_numpy())
+                    flat, n = (own.column(k).flatten().to_numpy() for k in (5, 6))
+                    at, there = place_of(known, flat)
+                    total, missing = (np.bincount(row, weights=x, minlength=m).astype(np.int64) for x in (n, n * ~there))
+                    sums = sparse_product(row[there], at[there], n[there], m, mat, finite)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * wide, pa.int32()), pa.array(sums.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays(
+                        [own.column(4), own.column(0), lists, pa.array(total), pa.array(missing)], ["key", "block", "sums", "n_tokens", "n_missing"]
+                    )
 
     found = both.mapInArrow(run, "key binary, block int, sums array<double>, n_tokens long, n_missing long")
+    if blocks == 1:  # a text is in one cell: its sums are whole
+        return found.drop("block")
     per = found.groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("block", "sums"))).alias("x"), F.max("n_tokens").alias("n_tokens"), F.max("n_missing").alias("n_missing")
     )  # a row a text, as many entries as there are blocks
@@ -312,7 +356,11 @@ def encode_blocks(
     digest, and the task's offset is added then."""
     own_task = tasks is not None and "task" in texts.columns
     lean = _carried(texts, text_col, id_col, own_task, keep)
-    sums = block_sums(token_counts(lean, vocab, profile, ship_vocabulary), enc.vectors, enc.dim, block_bytes)
+    if ship_vocabulary or profile.tokens == "words":
+        counts, vectors = token_counts(lean, vocab, profile, ship_vocabulary), enc.vectors
+    else:
+        counts, vectors = piece_counts_and_vectors(lean, vocab, profile, enc.vectors)
+    sums = block_sums(counts, vectors, enc.dim, block_bytes)
     # Written, so that the join below reads a plain table and Spark splits a text with very many copies.
     sums = materialize(sums.withColumnRenamed("key", "_key"), "text-sums")
     rows = lean.withColumn("key", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).drop("text")

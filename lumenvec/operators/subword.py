@@ -1,7 +1,8 @@
 """Greedy longest-match subword segmentation (O7) as DataFrame work.
 
 Pre-tokens are cut in Arrow batches with the vocabulary's pieces at hand (a model
-artifact, sent by broadcast). Texts are cut row by row (``segment_rows``): the distinct pre-tokens of a window are cut at once, a task keeps
+artifact, sent by broadcast). Texts are cut row by row (``segment_rows``,
+``piece_counts``): the distinct pre-tokens of a window are cut at once, a task keeps
 what it has cut, and no occurrence is shuffled or joined. ``segment_table`` cuts a
 table of distinct pre-tokens.
 
@@ -275,3 +276,35 @@ def segment_rows(rows: DataFrame, vocab: Vocabulary, profile: Profile) -> DataFr
         w = Window.partitionBy("doc_id", "is_marker").orderBy("pos", "sub")
         out = out.withColumn("_n", F.row_number().over(w)).where(F.col("is_marker") | (F.col("_n") <= max(profile.max_tokens - 2, 0)))
     return out.select("doc_id", "pos", "sub", "token", "stands_for", *rest)
+
+
+def piece_counts(texts: DataFrame, vocab: Vocabulary, profile: Profile) -> tuple[DataFrame, DataFrame]:
+    """(key, tokens) rows of framed pre-tokens -> (key, ids, n): the numbers of a row's pieces, markers
+    included, and how often it has each; and the table of numbers, (number, token).
+
+    Row by row, as ``segment_rows``: the counts of a text are at hand where it is cut, so none of its tokens
+    is moved. What a number's id is can be looked up once for each piece."""
+    from lumenvec.session import ship_package
+
+    spark = texts.sparkSession
+    ship_package(spark)
+    shipped = sent_pieces(vocab)
+    numbers = spark.createDataFrame(list(enumerate(FramedPieces(shipped.value, profile).names)), "number long, token string")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from lumenvec.operators.batches import parts
+
+        made = FramedPieces(shipped.value, profile)
+        many = len(made.names)
+        for b in (part for whole in batches for part in parts(whole, 1)):
+            found = [np.unique(row * many + np.where(x < 0, made.unk, x), return_counts=True) for row, _, x, _ in made.windows(b.column(1))]
+            which, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([c for _, c in found])).astype(np.int64)
+            offsets = pa.array(np.searchsorted(which, np.arange(b.num_rows + 1) * many), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (which % many, n)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["key", "ids", "n"])
+
+    return texts.select("key", "tokens").mapInArrow(run, "key binary, ids array<long>, n array<long>"), numbers
