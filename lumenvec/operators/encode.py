@@ -5,9 +5,9 @@ Two encoders share one output contract
 call_seq, call_time, call_id, error)``, one row for each text:
 
 * ``StaticEncoder`` (O12a): a token-vector table. Where the vocabulary and the
-  table keep under ``MAX_SHIPPED_BYTES``, texts stay rows: the JVM tokenises,
-  parts of an Arrow batch look their tokens up, gather their vectors and pool them
-  (``encode_rows``), so that a task holds one batch and the arrays of one part; no explode, no shuffle, any dimension, batch or stream.
+  table keep under ``MAX_SHIPPED_BYTES``, texts stay rows: the JVM splits words, or trims the
+  texts that the tasks cut; parts of an Arrow batch look their tokens up, count them and pool their vectors by a
+  sparse product (``encode_rows``), so that a task holds one batch and the arrays of one part; no explode, no shuffle, any dimension, batch or stream.
   Beyond that bound nothing is sent whole: the vectors are cut into blocks of
   dimensions, and each block meets the token counts of every text in a sparse
   product (``encode_blocks``). Both give the same rows.
@@ -40,7 +40,9 @@ from lumenvec.functions.vectors import static_vector
 from lumenvec.operators.batches import PART_ROWS, POOLED_VALUES, parts
 from lumenvec.operators.pooling import MIN_MASK
 from lumenvec.operators.subword import piece_counts
-from lumenvec.operators.tokens import RowIds, framed, id_rows, lookup_ids, raw_tokens, sent_vocabulary, task_ids, token_ids
+from lumenvec.operators.tokens import (
+    RowIds, framed, id_rows, lookup_ids, raw_tokens, sent_letters, sent_vocabulary, task_ids, token_ids, uncut_tokens,
+)
 from lumenvec.plans.strategy import materialize
 from lumenvec.profiles import Profile
 from lumenvec.session import ship_package
@@ -120,17 +122,20 @@ def encode_rows(
     id_col: str = "doc_id",
     tasks: DataFrame | None = None,
     keep: list[str] | None = None,
+    unit: bool = False,
 ) -> DataFrame:
-    """O12a + O13 row by row: one output row per text, in Arrow batches."""
+    """O12a + O13 row by row: one output row per text, in Arrow batches. ``unit``: with O14, the
+    pooled vectors are normalised where they are made, as ``functions.vectors.l2_normalize`` does."""
     import numpy as np
 
     spark = texts.sparkSession
     own_task = tasks is not None and "task" in texts.columns
     lean = _carried(texts, text_col, id_col, own_task, keep)
     extra = [c for c in lean.columns if c.startswith("keep_")]
-    rows = raw_tokens(lean, profile, keep=[*(["task"] if own_task else []), *extra])
+    rows = uncut_tokens(lean, profile, keep=[*(["task"] if own_task else []), *extra])
     rows = _with_task(rows, profile, tasks, own_task).select("doc_id", "tokens", "task_id", "task_error", *extra)
     words, unk_id = sent_vocabulary(vocab, profile)
+    letters = sent_letters(spark, profile)
     ship_package(spark)
 
     dim, scale = enc.dim, enc.task_scale if tasks is not None else 0.0
@@ -139,6 +144,7 @@ def encode_rows(
     order = np.argsort(vectors["id"].to_numpy(), kind="stable")
     matrix = np.stack(vectors["v"].to_numpy()).astype(np.float64)[order] if len(vectors) else np.zeros((0, dim))
     shipped = spark.sparkContext.broadcast((vectors["id"].to_numpy()[order], matrix))
+    finite = bool(np.isfinite(matrix.sum()))
 
     def run(batches: Iterator) -> Iterator:
         import time
@@ -149,22 +155,21 @@ def encode_rows(
         t0 = time.perf_counter()
         vector_ids, mat = shipped.value
         setup, task_run, call = time.perf_counter() - t0, uuid.uuid4().hex, 0
-        made = RowIds(words.value, profile, unk_id)
+        ids, pieces = words.value
+        places = places_of_tokens(vector_ids, ids | {None: unk_id})
+        made = RowIds((places, pieces), profile, places[None], letters=letters.value)
         for b in (part for whole in batches for part in parts(whole, 1, most)):
-            offsets, ids = made.of(b.column(1))
+            offsets, places = made.of(b.column(1))
             began, t0 = time.time(), time.perf_counter()
-            at, there = place_of(vector_ids, ids)
-            means, missing = np.zeros((b.num_rows, dim)), np.zeros(b.num_rows, np.int64)
             n = np.diff(offsets).astype(np.int64)
-            for i in range(b.num_rows):
-                for lo in range(offsets[i], offsets[i + 1], 4096):  # so many vectors at a time
-                    part = slice(lo, min(lo + 4096, offsets[i + 1]))
-                    own = there[part]
-                    missing[i] += len(own) - int(own.sum())
-                    means[i] += mat[at[part][own]].sum(axis=0)
+            row, there = np.repeat(np.arange(b.num_rows), n), places >= 0
+            missing = np.bincount(row[~there], minlength=b.num_rows)
+            means = sparse_product(*row_counts(row[there], places[there], b.num_rows, len(mat)), b.num_rows, mat, finite)
             means /= np.maximum(n, MIN_MASK)[:, None]
             if scale:
                 means += (b.column(2).fill_null(0).to_numpy()[:, None] + 1) * scale
+            if unit:
+                unit_rows(means)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dim, pa.int32()), pa.array(means.reshape(-1)))
             share, m = (time.perf_counter() - t0) / b.num_rows, b.num_rows
             timings = [pa.array([share] * m), pa.array([setup] + [None] * (m - 1), pa.float64()), pa.array([call] * m, pa.int32()),
@@ -182,6 +187,25 @@ def encode_rows(
     return _finished(rows.mapInArrow(run, ", ".join([schema, *[f"`{c}` {kinds[c]}" for c in extra]])))
 
 
+def unit_rows(rows) -> None:
+    """Each row over its length, in place; a row of length 0 is NaN throughout."""
+    import numpy as np
+
+    with np.errstate(invalid="ignore", over="ignore"):
+        norm = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+        norm[norm == 0] = np.nan
+        rows /= norm[:, None]
+
+
+def places_of_tokens(known, ids: dict) -> dict:
+    """``ids`` of tokens as places among the sorted known ids; -1 where an id is not there."""
+    import numpy as np
+
+    tokens = [t for t, i in ids.items() if i is not None]
+    at, there = place_of(known, np.array([ids[t] for t in tokens], np.int64))
+    return ids | dict(zip(tokens, np.where(there, at, -1).tolist()))
+
+
 def place_of(known, ids):
     """(places of ids among the sorted known ones, whether they are there)."""
     import numpy as np
@@ -241,26 +265,47 @@ def token_counts(texts: DataFrame, vocab: Vocabulary, profile: Profile, ship_voc
 
 #: A product by whole matrices costs about as much as gathering so many vectors one by one, for each entry.
 DENSE_SHARE = 16
+#: Vectors that are at hand once more for a product, or for the sum of a row.
+PRODUCT_VECTORS = 4096
+
+
+def row_counts(row, at, rows: int, many: int):
+    """(row, at, n): the different places, of ``many``, in each row, in order, and how often they are there."""
+    import numpy as np
+
+    key = row * many + at
+    if rows * many <= DENSE_SHARE * len(key):
+        n = np.bincount(key, minlength=rows * many)
+        key = np.flatnonzero(n)
+        n = n[key]
+    else:
+        key, n = np.unique(key, return_counts=True)
+    return key // max(many, 1), key % max(many, 1), n
 
 
 def sparse_product(row, at, n, rows: int, mat, finite: bool):
     """(rows x width): the sum of ``n`` times the vectors ``mat[at]`` for each row, whose entries stand in order.
 
-    Where the entries have few different vectors between them, by one matrix product, which needs
-    finite vectors (0 times infinity is none); else vector by vector."""
+    The vectors that many rows have go by matrix products, which need finite vectors (0 times
+    infinity is none); the others vector by vector."""
     import numpy as np
 
-    used, place = np.unique(at, return_inverse=True)
-    if finite and rows * len(used) <= DENSE_SHARE * len(at):
-        counts = np.zeros((rows, len(used)))
-        np.add.at(counts, (row, place), n)
-        return counts @ mat[used]
-    sums = np.zeros((rows, mat.shape[1]))
+    sums, n = np.zeros((rows, mat.shape[1])), n.astype(float)
+    often = np.bincount(at, minlength=len(mat)) * DENSE_SHARE >= max(rows, 1)
+    if finite and often.any():
+        used = np.flatnonzero(often)
+        place = np.where(often, np.cumsum(often) - 1, -1)[at]
+        for lo in range(0, len(used), PRODUCT_VECTORS):
+            own = used[lo : lo + PRODUCT_VECTORS]
+            here = (place >= lo) & (place < lo + len(own))
+            counts = np.bincount(row[here] * len(own) + place[here] - lo, weights=n[here], minlength=rows * len(own))
+            sums += counts.reshape(rows, len(own)) @ mat[own]
+        row, at, n = (x[place < 0] for x in (row, at, n))
     ends = np.cumsum(np.bincount(row, minlength=rows))
-    for i, (x, y) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
-        for k in range(x, y, 4096):  # so many vectors at a time
-            part = slice(k, min(k + 4096, y))
-            sums[i] += (mat[at[part]] * n[part][:, None]).sum(axis=0)
+    for i in np.unique(row).tolist():
+        for k in range(ends[i - 1] if i else 0, ends[i], PRODUCT_VECTORS):
+            part = slice(k, min(k + PRODUCT_VECTORS, ends[i]))
+            sums[i] += n[part] @ mat[at[part]]
     return sums
 
 

@@ -132,7 +132,10 @@ class PieceTrie:
                 at += len(p) if source is None else 1
             out.append(tuple(np.array(x, np.int64) for x in zip(*own)))
         of, at, piece = (np.concatenate(x) for x in zip(*out))
-        order = np.lexsort((at, of))
+        # No two pieces begin at one character, so the places where they begin give the order.
+        order = np.full(len(codes), -1, np.int64)
+        order[begin[of] + at] = np.arange(len(of))
+        order = order[order >= 0]
         return of[order], at[order], piece[order]
 
 

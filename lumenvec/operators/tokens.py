@@ -7,11 +7,12 @@ vocabulary side is broadcast only under a proven row bound.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenvec.functions.text import frame, unicode_trim, v2_words, v3_pretokens
-from lumenvec.operators.batches import parts
+from lumenvec.operators.batches import is_text, parts
+from lumenvec.operators.pretokens import letters_and_digits, prefixed, pretokens, trimmed
 from lumenvec.plans.strategy import bounded_broadcast
 from lumenvec.profiles import Profile
 from lumenvec.sources.vocab import Vocabulary
@@ -25,6 +26,14 @@ def raw_tokens(
     return texts.select(F.col(id_col).alias("doc_id"), fn(text_col).alias("tokens"), *(keep or []))
 
 
+def uncut_tokens(texts: DataFrame, profile: Profile, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, text, ...) -> (doc_id, tokens, *keep) as ``RowIds`` takes it in the tasks: the raw tokens in the words
+    profile, in the subword profile the trimmed text, which is cut there."""
+    if profile.tokens == "words":
+        return raw_tokens(texts, profile, keep=keep)
+    return texts.select("doc_id", trimmed("text").alias("tokens"), *(keep or []))
+
+
 def explode_tokens(nested: DataFrame, col: str = "tokens", keep: list[str] | None = None) -> DataFrame:
     """Nested -> long form (doc_id, pos, token), pos from 0.
 
@@ -157,31 +166,34 @@ class WordUnits:
 
         if len(self.number) + len(words) > UNIT_CACHE or len(self.flat) > UNIT_CACHE_IDS:
             self._forget()
-        if new := [w for w in words if w not in self.number]:
+        at = list(map(self.number.get, words))
+        if new := [w for w, k in zip(words, at) if k is None]:
             size, flat = self.ids_of(new)
             self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(size) - size))
             self.size, self.flat = np.concatenate((self.size, size)), np.concatenate((self.flat, flat))
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            at = [self.number[w] if k is None else k for w, k in zip(words, at)]
+        at = np.array(at, np.int64)
         return self.begin[at], self.size[at], self.flat
 
 
 class PieceUnits(WordUnits):
-    """The same for pre-tokens, which are cut into pieces."""
+    """The same for pre-tokens, which are cut into pieces. With ``letters`` they come without their prefix."""
 
-    def __init__(self, ids: dict[str, int], unk_id: int, pieces: list[str]) -> None:
+    def __init__(self, ids: dict[str, int], unk_id: int, pieces: list[str], letters: bytes | None = None) -> None:
         import numpy as np
 
         from lumenvec.operators.subword import PieceTrie
 
         super().__init__(ids, unk_id)
+        self.letters = letters
         self.trie = PieceTrie(pieces)
         self.piece_ids = np.array([*[ids[p] for p in pieces], unk_id], np.int64)  # the last one is for -1
 
     def ids_of(self, words: list[str]):
         import numpy as np
 
-        of, _, piece = self.trie.cut(words)
+        of, _, piece = self.trie.cut(words if self.letters is None else prefixed(words, self.letters))
         return np.bincount(of, minlength=len(words)), self.piece_ids[piece]
 
 
@@ -208,24 +220,28 @@ class PieceNumbers(WordUnits):
 
 class RowIds:
     """The framed ids of rows of raw tokens, in a task; keeps what it has looked up.
-    ``unk_piece``: the id of an unknown piece, ``unk_id`` unless given."""
+    ``unk_piece``: the id of an unknown piece, ``unk_id`` unless given. ``letters``: the
+    letters and digits (``letters_and_digits``), where rows are texts (``uncut_tokens``)."""
 
-    def __init__(self, shipped: tuple, profile: Profile, unk_id: int, unk_piece: int | None = None) -> None:
+    def __init__(self, shipped: tuple, profile: Profile, unk_id: int, unk_piece: int | None = None, letters: bytes | None = None) -> None:
         ids, pieces = shipped
         self.first, self.last = (ids.get(x, unk_id) for x in (profile.first, profile.last))
         self.body = None if profile.max_tokens is None else max(profile.max_tokens - 2, 0)
         words = profile.tokens == "words"
-        self.units = WordUnits(ids, unk_id) if words else PieceUnits(ids, unk_id if unk_piece is None else unk_piece, pieces)
+        self.units = WordUnits(ids, unk_id) if words else PieceUnits(ids, unk_id if unk_piece is None else unk_piece, pieces, letters)
 
     def of(self, column):
-        """(offsets, ids in a row) of an Arrow column of token lists; a null list has its markers."""
+        """(offsets, ids in a row) of an Arrow column of token lists, or of texts; a null one has its markers."""
         import numpy as np
         import pyarrow.compute as pc
 
         rows = len(column)
-        words_of = np.concatenate(([0], np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy())))
-        coded = column.flatten().dictionary_encode()
-        begin, size, flat = self.units.of(coded.dictionary.to_pylist())
+        if is_text(column):
+            words_of, words = pretokens(column)
+        else:
+            words_of, words = np.concatenate(([0], np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy()))), column.flatten()
+        coded = words.dictionary_encode()
+        begin, size, flat = self.units.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         index = coded.indices.to_numpy()
         # Each word's ids in a row, then each row's ids between its markers.
         n = size[index]
@@ -243,6 +259,11 @@ class RowIds:
         return np.concatenate(([0], ends)), out
 
 
+def sent_letters(spark: SparkSession, profile: Profile):
+    """A broadcast of ``RowIds``' letters and digits, which the words profile does without."""
+    return spark.sparkContext.broadcast(None if profile.tokens == "words" else letters_and_digits(spark))
+
+
 def sent_vocabulary(vocab: Vocabulary, profile: Profile):
     """(broadcast for ``RowIds``, the unknown token's id)."""
     specials = {r["content"]: r["id"] for r in vocab.specials.collect()}

@@ -14,9 +14,9 @@ TIMINGS = ["inference_time", "setup_time", "call_seq", "call_time", "call_id"]
 RESULT_COLUMNS = ["doc_id", "embedding", "dim", "n_tokens", *TIMINGS, "error"]
 
 
-def finish(pooled: DataFrame, dtype: str = "float") -> DataFrame:
-    """O14 + result row shape (O17): normalised embedding, or an error."""
-    emb = l2_normalize("pooled")
+def finish(pooled: DataFrame, dtype: str = "float", unit: bool = False) -> DataFrame:
+    """O14 + result row shape (O17): normalised embedding, or an error. ``unit``: the encoder has normalised."""
+    emb = F.col("pooled") if unit else l2_normalize("pooled")
     if dtype == "float":
         emb = emb.cast("array<float>")
     return pooled.select(
@@ -53,7 +53,7 @@ def embed(
     if isinstance(encoder, StaticEncoder):
         words = vocabulary_bytes(vocab)
         if words + vector_bytes(encoder) <= max_shipped:
-            return finish(encode_rows(texts, vocab, profile, encoder, text_col, id_col, tasks, keep), dtype)
+            return finish(encode_rows(texts, vocab, profile, encoder, text_col, id_col, tasks, keep, unit=True), dtype, unit=True)
         if texts.isStreaming:
             raise ValueError(f"the encoder's tables take more than {max_shipped} bytes: embed the stream's micro-batches instead")
         return finish(encode_blocks(texts, vocab, profile, encoder, text_col, id_col, tasks, keep, words <= max_shipped), dtype)

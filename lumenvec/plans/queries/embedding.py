@@ -19,12 +19,13 @@ from lumenvec.sources.vocab import corpus_piece_vocabulary, corpus_word_vocabula
 
 def _head_and_norm(res: DataFrame, n: int = 10) -> DataFrame:
     """(doc_id, dim, x, n_dims, norm, checksum): the first values of every embedding, its size, its
-    length and the sum of all its values, weighed by their places."""
+    length and the sum of all its values, weighed by their places; made once a row, before a row becomes several."""
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     weighed = F.transform("embedding", lambda x, i: x * (i % 97 + 1))
-    out = res.select("doc_id", F.size("embedding").cast("bigint").alias("n_dims"), F.round(norm, 6).alias("norm"),
+    own = res.select("doc_id", F.size("embedding").cast("bigint").alias("n_dims"), F.round(norm, 6).alias("norm"),
                      F.round(F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x), 6).alias("checksum"),
-                     F.posexplode_outer(F.slice("embedding", 1, n)).alias("dim", "x")).where(F.col("dim").isNotNull())
+                     F.slice("embedding", 1, n).alias("head"))
+    out = own.select("doc_id", "n_dims", "norm", "checksum", F.posexplode_outer("head").alias("dim", "x")).where(F.col("dim").isNotNull())
     return out.select("doc_id", F.col("dim").cast("bigint").alias("dim"), F.round("x", 6).alias("x"), "n_dims", "norm", "checksum")
 
 

@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenvec.functions.text import v2_words, v3_pretokens
+from lumenvec.functions.text import v2_words
+from lumenvec.operators.pretokens import letters_and_digits, prefixed, pretokens, trimmed
 
 NUMERIC_VARIANT = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
 
@@ -127,18 +128,29 @@ def _materialize(df: DataFrame) -> DataFrame:
 
 
 def token_totals(nested: DataFrame) -> DataFrame:
-    """(tokens ARRAY<STRING>) -> (token, n): how often each token is there. Counted Arrow batch by Arrow batch
-    in the tasks, then added up: what is exploded and shuffled is a row for each token of a batch."""
+    """(tokens ARRAY<STRING>) -> (token, n): how often each token is there; or (tokens STRING), the trimmed
+    texts, of which the pre-tokens are counted. Counted Arrow batch by Arrow batch in the tasks, then added
+    up: what is exploded and shuffled is a row for each token of a batch."""
     from lumenvec.session import ship_package
 
-    ship_package(nested.sparkSession)
+    spark = nested.sparkSession
+    ship_package(spark)
+    texts = dict(nested.dtypes)["tokens"] == "string"
+    letters = spark.sparkContext.broadcast(letters_and_digits(spark) if texts else None)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        from lumenvec.operators.batches import parts
+
         for b in batches:
-            found = b.column(0).flatten().value_counts()
-            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["token", "n"])
+            if texts:
+                found = pa.chunked_array([pretokens(part.column(0))[1] for part in parts(b, 0)], pa.string()).value_counts()
+                values = pa.array(prefixed(found.field("values").to_numpy(zero_copy_only=False).tolist(), letters.value), pa.string())
+            else:
+                found = b.column(0).flatten().value_counts()
+                values = found.field("values")
+            yield pa.RecordBatch.from_arrays([values, found.field("counts")], ["token", "n"])
 
     found = nested.select("tokens").mapInArrow(run, "token string, n long")
     return found.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("n"))
@@ -168,7 +180,7 @@ def corpus_piece_vocabulary(texts: DataFrame, size: int = 1000, text_col: str =
     and with the word prefix, so unseen words split into pieces and accented
     letters become unknown."""
     spark = texts.sparkSession
-    counts = token_totals(texts.select(v3_pretokens(text_col).alias("tokens")))
+    counts = token_totals(texts.select(trimmed(text_col).alias("tokens")))
     top = _materialize(_ranked(counts, size, 4))
     singles = spark.createDataFrame(
         [(c,) for c in SINGLE_PIECE_CHARS] + [("▁" + c,) for c in SINGLE_PIECE_CHARS], "token string"
