@@ -188,11 +188,14 @@ def encode_rows(
 
 
 def unit_rows(rows) -> None:
-    """Each row over its length, in place; a row of length 0 is NaN throughout."""
+    """Each row over its length, in place; a row of length 0 is NaN throughout. The squares are added one
+    after the other, as the expression does, so that both give the same bits."""
     import numpy as np
 
+    if not rows.shape[1]:
+        return
     with np.errstate(invalid="ignore", over="ignore"):
-        norm = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+        norm = np.sqrt(np.cumsum(rows * rows, axis=1)[:, -1])
         norm[norm == 0] = np.nan
         rows /= norm[:, None]
 
